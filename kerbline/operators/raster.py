@@ -361,37 +361,57 @@ def depth_summary(raster: DataFrame, accuracy: int = 10_000) -> DataFrame:
     )
 
 
-def blurred(raster: DataFrame, kernel: list[list[float]], tile: int = TILE) -> DataFrame:
-    """Weighted neighbourhood sum (odd kernel, edges mirrored without the edge pixel)."""
+# The small smoothing kernels used when no sigma is given.
+SMALL_KERNELS = {
+    1: [1.0],
+    3: [0.25, 0.5, 0.25],
+    5: [0.0625, 0.25, 0.375, 0.25, 0.0625],
+    7: [0.03125, 0.109375, 0.21875, 0.28125, 0.21875, 0.109375, 0.03125],
+}
+
+
+def blur_kernel(strength: int) -> list[float]:
+    """One-dimensional Gaussian weights; an even strength is raised to the next odd one."""
+    size = strength + 1 if strength % 2 == 0 else strength
+    if size in SMALL_KERNELS:
+        return SMALL_KERNELS[size]
+    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    raw = np.exp(-((np.arange(size) - (size - 1) / 2) ** 2) / (2 * sigma * sigma))
+    return (raw / raw.sum()).tolist()
+
+
+def blurred(raster: DataFrame, kernel: list[float], tile: int = TILE) -> DataFrame:
+    """Add ``blurred``: kernel over rows and columns, edges mirrored without the edge pixel."""
     weights = np.asarray(kernel, dtype=float)
-    if weights.shape[0] % 2 == 0 or weights.shape[1] % 2 == 0:
-        raise ValueError("the kernel needs odd sides")
-    ry, rx = weights.shape[0] // 2, weights.shape[1] // 2
-    reach = max(ry, rx)
+    if len(weights) % 2 == 0:
+        raise ValueError("the kernel needs an odd length")
+    reach = len(weights) // 2
 
     def blur(pdf: pd.DataFrame) -> pd.DataFrame:
         grid, oy, ox = dense(pdf, "depth")
         core = core_window(pdf, grid, oy, ox, tile)
-        h, w = int(pdf["h"].iat[0]), int(pdf["w"].iat[0])
-        rows = np.arange(core[0].start, core[0].stop) + oy
-        cols = np.arange(core[1].start, core[1].stop) + ox
-
-        def mirror(i: np.ndarray, size: int) -> np.ndarray:
-            i = np.abs(i)
-            return np.where(i >= size, 2 * (size - 1) - i, i) if size > 1 else np.zeros_like(i)
-
-        out = np.zeros((len(rows), len(cols)))
-        for dy in range(-ry, ry + 1):
-            for dx in range(-rx, rx + 1):
-                yy, xx = mirror(rows + dy, h) - oy, mirror(cols + dx, w) - ox
-                out += weights[dy + ry, dx + rx] * grid[np.ix_(yy, xx)]
-        yy, xx = np.nonzero(~np.isnan(grid[core]))
+
+        def lines(window: slice, origin: int, size: int) -> list[np.ndarray]:
+            at = np.arange(window.start, window.stop) + origin
+            period = max(2 * (size - 1), 1)
+            out = []
+            for d in range(-reach, reach + 1):
+                i = np.abs(at + d) % period
+                out.append(np.where(i >= size, period - i, i) - origin)
+            return out
+
+        rows = lines(core[0], oy, int(pdf["h"].iat[0]))
+        cols = lines(core[1], ox, int(pdf["w"].iat[0]))
+        across = sum(k * grid[:, c] for k, c in zip(weights, cols))
+        out = sum(k * across[r, :] for k, r in zip(weights, rows))
+        here = grid[core]
+        yy, xx = np.nonzero(~np.isnan(here))
         return pd.DataFrame(
             {
                 "image_id": pdf["image_id"].iat[0],
-                "y": rows[yy],
-                "x": cols[xx],
-                "depth": grid[core][yy, xx],
+                "y": yy + core[0].start + oy,
+                "x": xx + core[1].start + ox,
+                "depth": here[yy, xx],
                 "blurred": out[yy, xx],
             }
         )
@@ -406,3 +426,16 @@ def blurred(raster: DataFrame, kernel: list[list[float]], tile: int = TILE) -> D
         ]
     )
     return with_halo(raster, reach, tile).groupBy("image_id", "ty", "tx").applyInPandas(blur, schema)
+
+
+def blur_inside(raster: DataFrame, mask: DataFrame, strength: int = 15, tile: int = TILE) -> DataFrame:
+    """Blurred values inside ``mask(image_id, y, x)``, raw values elsewhere (``value``)."""
+    soft = blurred(raster, blur_kernel(strength), tile)
+    marked = mask.select("image_id", "y", "x").distinct().withColumn("_in", F.lit(True))
+    return soft.join(marked, ["image_id", "y", "x"], "left").select(
+        "image_id",
+        "y",
+        "x",
+        F.col("_in").isNotNull().alias("masked"),
+        F.when(F.col("_in").isNotNull(), F.col("blurred")).otherwise(F.col("depth")).alias("value"),
+    )
