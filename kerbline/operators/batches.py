@@ -111,13 +111,13 @@ def modality_batches(
     both = split.agg(F.count_distinct("modality").alias("k")).scalar() == 2
     tagged = dealt.join(counts, "modality").withColumn("_mixed", both & (F.col("mega") == F.col("_last")))
     batch_hash = scale.seeded_hash(f"{seed}|batch", "modality", "mega")
-    regular = tagged.filter(~F.col("_mixed")).withColumn("_bh", F.when(both, batch_hash).otherwise(F.lpad(F.col("mega").cast("string"), 32, "0")))
+    regular = tagged.filter(~F.col("_mixed")).withColumn("_bh", batch_hash)
     numbers = scale.ordered_index(
         regular.select("modality", "mega", "_bh").distinct(),
         ["_bh", "modality", "mega"],
         "batch_no",
         bucket=scale.hash_bucket(F.col("_bh")),
-    ).select("modality", "mega", (F.col("batch_no") - 1).alias("batch_no"))
+    ).select("modality", "mega", F.when(both, F.col("batch_no") - 1).otherwise(F.col("mega")).alias("batch_no"))
     inside = Window.partitionBy("batch_no").orderBy("rank", "slot")
     placed = regular.join(numbers, ["modality", "mega"]).withColumn("place", F.row_number().over(inside) - 1)
     n_regular = numbers.agg(F.count(F.lit(1)).alias("n")).scalar()
