@@ -17,12 +17,15 @@ FRONT_DEFAULT = (0.5, 0.75)  # fixed value: three quarters down the middle
 
 
 def pick_one(candidates: DataFrame, seed: int = 17) -> DataFrame:
-    """One candidate per image in seeded order; an aggregate, so a crowded image stays cheap."""
+    """One candidate per image in seeded order; an aggregate, so a crowded image stays cheap.
+
+    Candidates that share a ``box_no`` are told apart by their other columns.
+    """
     key = scale.seeded_hash(seed, "image_id", "box_no")
     cols = [c for c in candidates.columns if c != "image_id"]
     return (
         candidates.groupBy("image_id")
-        .agg(F.min_by(F.struct(*cols), F.struct(key, F.col("box_no"))).alias("_p"))
+        .agg(F.min(F.struct(key.alias("_key"), *cols)).alias("_p"))
         .select("image_id", *[F.col(f"_p.{c}").alias(c) for c in cols])
     )
 

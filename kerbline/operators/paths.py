@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..session import cut_lineage
-from .raster import MOVES, attach, core_window, dense, with_halo
+from .raster import MOVES, TileGrid, attach, pack_tiles
 
 SEARCH_TILE = 128
 
@@ -123,8 +123,10 @@ def _densify_pass(points: DataFrame, n: int) -> DataFrame:
     ends = plan.groupBy("image_id").agg(
         F.max(F.col("s.r") + F.col("s.k") - 1).cast("int").alias("end"), (F.max("seq") + 1).alias("last")
     )
-    tail = points.join(ends, (points["image_id"] == ends["image_id"]) & (points["seq"] == ends["last"])).select(
-        points["image_id"], F.col("end").alias("seq"), "x", "y"
+    tail = (
+        points.withColumn("last", F.col("seq"))
+        .join(ends, ["image_id", "last"])
+        .select("image_id", F.col("end").alias("seq"), "x", "y")
     )
     kept = points.join(plan.select("image_id").distinct(), "image_id", "left_anti").select(
         "image_id", F.col("seq").cast("int").alias("seq"), "x", "y"
@@ -215,49 +217,38 @@ def shortest_distances(
     """
     id_type = cells.schema["image_id"].dataType.simpleString()
 
-    def first_pass(pdf: pd.DataFrame) -> pd.DataFrame:
-        enter, oy, ox = dense(pdf.assign(enter_cost=pdf["enter_cost"].astype(float)), "enter_cost")
-        core = core_window(pdf, enter, oy, ox, tile)
-        nh, nw = core[0].stop - core[0].start, core[1].stop - core[1].start
+    def first_tile(row) -> tuple:
+        g = TileGrid(row, tile)
+        nh, nw = len(g.rows), len(g.cols)
 
-        def framed(grid: np.ndarray) -> np.ndarray:
-            full = np.pad(grid, 1, constant_values=np.nan)
-            return full[core[0].start : core[0].stop + 2, core[1].start : core[1].stop + 2].copy()
+        def framed(values) -> np.ndarray:
+            full = np.pad(g.fill(values), 1, constant_values=np.nan)
+            return full[g.core[0].start : g.core[0].stop + 2, g.core[1].start : g.core[1].stop + 2].copy()
 
-        enter = framed(enter)
-        depth = framed(dense(pdf, "depth")[0]) if use_depth_change else None
+        enter = framed(row.enter_cost)
+        depth = framed(row.depth) if use_depth_change else None
         dist = np.full(enter.shape, np.inf)
-        y0, x0 = core[0].start + oy, core[1].start + ox
-        sy, sx = int(pdf["sy"].iat[0]) - y0 + 1, int(pdf["sx"].iat[0]) - x0 + 1
-        sent = False
-        if 1 <= sy <= nh and 1 <= sx <= nw:
+        y0, x0 = int(g.rows[0]), int(g.cols[0])
+        sy, sx = int(row.sy) - y0 + 1, int(row.sx) - x0 + 1
+        here = 1 <= sy <= nh and 1 <= sx <= nw
+        if here:
             dist[sy, sx] = 0.0
             dist = _improve(enter, depth, dist, moves)
-            sent = True
-        return pd.DataFrame(
-            {
-                "image_id": [pdf["image_id"].iat[0]],
-                "ty": [int(pdf["ty"].iat[0])],
-                "tx": [int(pdf["tx"].iat[0])],
-                "h": [int(pdf["h"].iat[0])],
-                "w": [int(pdf["w"].iat[0])],
-                "y0": [y0],
-                "x0": [x0],
-                "nh": [nh],
-                "nw": [nw],
-                "enter": [enter.tobytes()],
-                "depth": [depth.tobytes() if depth is not None else None],
-                "dist": [dist.tobytes()],
-                "changed": [sent],
-            }
-        )
+        blobs = (enter.tobytes(), depth.tobytes() if depth is not None else None, dist.tobytes())
+        return (row.image_id, row.ty, row.tx, row.h, row.w, y0, x0, nh, nw, *blobs, here)
+
+    names = ["image_id", "ty", "tx", "h", "w", "y0", "x0", "nh", "nw", "enter", "depth", "dist", "changed"]
+
+    def first_pass(batches):
+        for pdf in batches:
+            yield pd.DataFrame([first_tile(row) for row in pdf.itertuples(index=False)], columns=names)
 
     head = f"image_id {id_type}, ty int, tx int, h bigint, w bigint, {_STATE_FIELDS}"
     keep = ["image_id", "h", "w", "y", "x", "enter_cost", *(["depth"] if use_depth_change else [])]
+    placed = attach(cells.select(*keep), starts.select("image_id", "h", "w", "sy", "sx"))
+    values = ("enter_cost", "depth") if use_depth_change else ("enter_cost",)
     state = cut_lineage(
-        with_halo(attach(cells.select(*keep), starts.select("image_id", "h", "w", "sy", "sx")), 1, tile)
-        .groupBy("image_id", "ty", "tx")
-        .applyInPandas(first_pass, head + ", changed boolean")
+        pack_tiles(placed, 1, tile, values, keep=("sy", "sx")).mapInPandas(first_pass, head + ", changed boolean")
     )
 
     def send(rows):

@@ -166,24 +166,57 @@ def with_halo(raster: DataFrame, halo: int, tile: int) -> DataFrame:
     )
 
 
-def dense(pdf: pd.DataFrame, column: str) -> tuple[np.ndarray, int, int]:
-    """Tile pixels as an array (NaN where there is none) with its top-left corner."""
-    y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-    oy, ox = int(y.min()), int(x.min())
-    grid = np.full((int(y.max()) - oy + 1, int(x.max()) - ox + 1), np.nan)
-    grid[y - oy, x - ox] = pdf[column].to_numpy(dtype=float)
-    return grid, oy, ox
-
-
-def core_window(pdf: pd.DataFrame, grid: np.ndarray, oy: int, ox: int, tile: int):
-    """Slices of the tile's own cells inside the haloed array."""
-    y0, x0 = int(pdf["ty"].iat[0]) * tile, int(pdf["tx"].iat[0]) * tile
+def pack_tiles(
+    raster: DataFrame, halo: int, tile: int, values: tuple[str, ...] = ("depth",), keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per tile: ``image_id, ty, tx, h, w, ys, xs`` and an array per value column.
+
+    A row is bounded by the tile and its halo. NULL values become NaN. ``keep`` are columns
+    that are constant per image.
+    """
+    keys = ["image_id", "ty", "tx"]
+    parts = int(raster.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = [F.collect_list(F.coalesce(F.col(v).cast("double"), F.lit(float("nan")))).alias(v) for v in values]
     return (
-        slice(max(y0 - oy, 0), min(y0 + tile - oy, grid.shape[0])),
-        slice(max(x0 - ox, 0), min(x0 + tile - ox, grid.shape[1])),
+        with_halo(raster, halo, tile)
+        .repartition(parts, *keys)
+        .groupBy(*keys)
+        .agg(
+            *[F.first(c).alias(c) for c in ("h", "w", *keep)],
+            F.collect_list(F.col("y").cast("int")).alias("ys"),
+            F.collect_list(F.col("x").cast("int")).alias("xs"),
+            *lists,
+        )
     )
 
 
+class TileGrid:
+    """A packed tile as arrays: NaN where there is no pixel, ``core`` for its own cells."""
+
+    def __init__(self, row, tile: int):
+        self.ys, self.xs = np.asarray(row.ys), np.asarray(row.xs)
+        self.oy, self.ox = int(self.ys.min()), int(self.xs.min())
+        self.shape = (int(self.ys.max()) - self.oy + 1, int(self.xs.max()) - self.ox + 1)
+        y0, x0 = int(row.ty) * tile, int(row.tx) * tile
+        self.core = (
+            slice(max(y0 - self.oy, 0), min(y0 + tile - self.oy, self.shape[0])),
+            slice(max(x0 - self.ox, 0), min(x0 + tile - self.ox, self.shape[1])),
+        )
+        self.rows = np.arange(self.core[0].start, self.core[0].stop) + self.oy
+        self.cols = np.arange(self.core[1].start, self.core[1].stop) + self.ox
+
+    def fill(self, values) -> np.ndarray:
+        grid = np.full(self.shape, np.nan)
+        grid[self.ys - self.oy, self.xs - self.ox] = values
+        return grid
+
+    def table(self, row, here: np.ndarray, **columns: np.ndarray) -> pd.DataFrame:
+        """Core pixels in long form with more columns of the same shape."""
+        yy, xx = np.nonzero(~np.isnan(here))
+        out = {"image_id": row.image_id, "h": row.h, "w": row.w, "y": self.rows[yy], "x": self.cols[xx]}
+        return pd.DataFrame(out | {"depth": here[yy, xx]} | {k: v[yy, xx] for k, v in columns.items()})
+
+
 def _draws(key: int, ys: np.ndarray, xs: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Seeded integer per cell and draw; plain modular arithmetic, the same in any engine."""
     m = 2147483647
@@ -222,9 +255,9 @@ def change_cost(
     unit2 = per_metre * per_metre
     limit = float("inf") if depth_limit is None else depth_limit * per_metre
 
-    def costs(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid, oy, ox = dense(pdf, "depth")
-        core = core_window(pdf, grid, oy, ox, tile)
+    def tile_costs(row) -> pd.DataFrame:
+        g = TileGrid(row, tile)
+        grid, core = g.fill(row.depth), g.core
         here = grid[core]
         ring = np.pad(grid, reach, constant_values=np.nan)
         radii = np.full(here.shape, reach, dtype=float)
@@ -235,15 +268,15 @@ def change_cost(
             cap[:] = threshold * unit2
         if adaptive_threshold is not None:
             cap = (adaptive_threshold + adaptive_threshold / 10.0 * (here / per_metre)) * unit2
-        ys = np.arange(core[0].start, core[0].stop)[:, None] + oy
-        xs = np.arange(core[1].start, core[1].stop)[None, :] + ox
+        limited = np.isfinite(cap).any()
 
         def change(dy: int, dx: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             top, left = core[0].start + reach + dy, core[1].start + reach + dx
             there = ring[top : top + here.shape[0], left : left + here.shape[1]]
             ok = ~np.isnan(there) & (dy * dy + dx * dx <= radii * radii)
-            delta = np.where(ok, (here - there) ** 2, 0.0)
-            over = ok & (delta > cap) & ((here < limit) | (there < limit))
+            rise = np.where(ok, here - there, 0.0)
+            delta = rise * rise
+            over = ok & (delta > cap) & ((here < limit) | (there < limit)) if limited else np.zeros_like(ok)
             return ok, delta, over
 
         total = np.zeros(here.shape)
@@ -257,49 +290,27 @@ def change_cost(
                 blocked |= over
         else:
             layers = [change(dy, dx) for dy, dx in offsets]
-            ok = np.stack([a for a, _, _ in layers])
-            delta = np.stack([b for _, b, _ in layers])
-            over = np.stack([c for _, _, c in layers])
+            ok, delta, over = (np.stack(part) for part in zip(*layers))
             rank = np.cumsum(ok, axis=0)
             for k in range(samples):
-                pick = _draws(int(pdf["_key"].iat[0]), ys, xs, k, seed) % rank[-1]
+                pick = _draws(int(row.key), g.rows[:, None], g.cols[None, :], k, seed) % rank[-1]
                 chosen = ok & (rank == pick + 1)
                 total += (delta * chosen).sum(axis=0)
                 blocked |= (over & chosen).any(axis=0)
             n[:] = samples
-        keep = ~np.isnan(here)
-        yy, xx = np.nonzero(keep)
-        return pd.DataFrame(
-            {
-                "image_id": pdf["image_id"].iat[0],
-                "h": pdf["h"].iat[0],
-                "w": pdf["w"].iat[0],
-                "y": yy + core[0].start + oy,
-                "x": xx + core[1].start + ox,
-                "depth": here[keep],
-                "total": total[keep],
-                "n": n[keep],
-                "blocked": blocked[keep],
-            }
-        )
+        return g.table(row, here, total=total, n=n, blocked=blocked)
+
+    def costs(batches):
+        for pdf in batches:
+            yield pd.concat([tile_costs(row) for row in pdf.itertuples(index=False)])
 
     id_type = raster.schema["image_id"].dataType
     key = F.col("image_id").cast("bigint") if isinstance(id_type, T.IntegralType) else F.crc32("image_id")
-    schema = T.StructType(
-        [
-            T.StructField("image_id", id_type),
-            T.StructField("h", T.LongType()),
-            T.StructField("w", T.LongType()),
-            T.StructField("y", T.LongType()),
-            T.StructField("x", T.LongType()),
-            T.StructField("depth", T.DoubleType()),
-            T.StructField("total", T.DoubleType()),
-            T.StructField("n", T.LongType()),
-            T.StructField("blocked", T.BooleanType()),
-        ]
+    schema = (
+        f"image_id {id_type.simpleString()}, h bigint, w bigint, y bigint, x bigint, depth double, "
+        "total double, n bigint, blocked boolean"
     )
-    haloed = with_halo(raster, reach, tile).withColumn("_key", key)
-    return haloed.groupBy("image_id", "ty", "tx").applyInPandas(costs, schema)
+    return pack_tiles(raster.withColumn("key", key), reach, tile, keep=("key",)).mapInPandas(costs, schema)
 
 
 def cell_cost(costs: DataFrame, per_metre: float = 1.0) -> DataFrame:
@@ -387,12 +398,11 @@ def blurred(raster: DataFrame, kernel: list[float], tile: int = TILE) -> DataFra
         raise ValueError("the kernel needs an odd length")
     reach = len(weights) // 2
 
-    def blur(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid, oy, ox = dense(pdf, "depth")
-        core = core_window(pdf, grid, oy, ox, tile)
+    def tile_blur(row) -> pd.DataFrame:
+        g = TileGrid(row, tile)
+        grid = g.fill(row.depth)
 
-        def lines(window: slice, origin: int, size: int) -> list[np.ndarray]:
-            at = np.arange(window.start, window.stop) + origin
+        def lines(at: np.ndarray, origin: int, size: int) -> list[np.ndarray]:
             period = max(2 * (size - 1), 1)
             out = []
             for d in range(-reach, reach + 1):
@@ -400,32 +410,17 @@ def blurred(raster: DataFrame, kernel: list[float], tile: int = TILE) -> DataFra
                 out.append(np.where(i >= size, period - i, i) - origin)
             return out
 
-        rows = lines(core[0], oy, int(pdf["h"].iat[0]))
-        cols = lines(core[1], ox, int(pdf["w"].iat[0]))
+        rows, cols = lines(g.rows, g.oy, int(row.h)), lines(g.cols, g.ox, int(row.w))
         across = sum(k * grid[:, c] for k, c in zip(weights, cols))
-        out = sum(k * across[r, :] for k, r in zip(weights, rows))
-        here = grid[core]
-        yy, xx = np.nonzero(~np.isnan(here))
-        return pd.DataFrame(
-            {
-                "image_id": pdf["image_id"].iat[0],
-                "y": yy + core[0].start + oy,
-                "x": xx + core[1].start + ox,
-                "depth": here[yy, xx],
-                "blurred": out[yy, xx],
-            }
-        )
+        return g.table(row, grid[g.core], blurred=sum(k * across[r, :] for k, r in zip(weights, rows)))
 
-    schema = T.StructType(
-        [
-            raster.schema["image_id"],
-            T.StructField("y", T.LongType()),
-            T.StructField("x", T.LongType()),
-            T.StructField("depth", T.DoubleType()),
-            T.StructField("blurred", T.DoubleType()),
-        ]
-    )
-    return with_halo(raster, reach, tile).groupBy("image_id", "ty", "tx").applyInPandas(blur, schema)
+    def blur(batches):
+        for pdf in batches:
+            yield pd.concat([tile_blur(row) for row in pdf.itertuples(index=False)])
+
+    kind = raster.schema["image_id"].dataType.simpleString()
+    schema = f"image_id {kind}, h bigint, w bigint, y bigint, x bigint, depth double, blurred double"
+    return pack_tiles(raster, reach, tile).mapInPandas(blur, schema)
 
 
 def blur_inside(raster: DataFrame, mask: DataFrame, strength: int = 15, tile: int = TILE) -> DataFrame:

@@ -1,0 +1,6 @@
+"""All registered queries."""
+
+from . import box_queries, raster_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | None = None, app: str = "kerbline") -> SparkSession:
+def local_session(cpus: int | None = None, app: str = "kerbline", console: bool = True) -> SparkSession:
     """Session for tests and the bench. A cluster brings its own."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     return (
@@ -18,6 +18,7 @@ def local_session(cpus: int | None = None, app: str = "kerbline") -> SparkSessio
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", str(console).lower())
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
