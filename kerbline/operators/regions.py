@@ -9,8 +9,6 @@ the edge.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,61 +33,44 @@ def _rows(df: DataFrame, top: Column, bottom: Column) -> DataFrame:
 def _clip(df: DataFrame) -> DataFrame:
     """Keep the part of each interval inside 0..w-1."""
     return (
-        df.withColumn("x_from", F.greatest(F.col("x_from"), F.lit(0)).cast("bigint"))
+        df.filter("x_from is not null")
+        .withColumn("x_from", F.greatest(F.col("x_from"), F.lit(0)).cast("bigint"))
         .withColumn("x_to", F.least(F.col("x_to"), F.col("w") - 1).cast("bigint"))
         .filter("x_from <= x_to")
         .select(*RUN)
     )
 
 
-def polygon_runs(polygons: DataFrame) -> DataFrame:
-    """Even-odd fill with the edge included.
+def quad_runs(df: DataFrame, corners: list[tuple[Column, Column]]) -> DataFrame:
+    """Even-odd fill of one four-cornered shape per row, edge included.
 
-    ``polygons(image_id, region, h, w, corners ARRAY<STRUCT<x DOUBLE, y DOUBLE>>)``.
+    ``df(image_id, region, h, w, …)``. The four edges are unrolled into plain arithmetic, so
+    the whole cut stays in generated code.
     """
-    edges = F.zip_with(
-        "corners",
-        F.concat(F.slice("corners", 2, F.size("corners") - 1), F.slice("corners", 1, 1)),
-        lambda a, b: F.struct(
-            F.when(a["y"] <= b["y"], a["x"]).otherwise(b["x"]).alias("xa"),
-            F.least(a["y"], b["y"]).alias("ya"),
-            F.when(a["y"] <= b["y"], b["x"]).otherwise(a["x"]).alias("xb"),
-            F.greatest(a["y"], b["y"]).alias("yb"),
-        ),
-    )
-    rows = _rows(
-        polygons.withColumn("edges", edges),
-        F.array_min(F.transform("edges", lambda e: e["ya"])),
-        F.array_max(F.transform("edges", lambda e: e["yb"])),
+    if len(corners) != 4:
+        raise ValueError("a quad has four corners")
+    flat = df.select(
+        "image_id", "region", "h", "w",
+        *[c.cast("double").alias(f"_{a}{k}") for k, xy in enumerate(corners) for a, c in zip("xy", xy)],
     )
+    ys = [F.col(f"_y{k}") for k in range(4)]
+    rows = _rows(flat, F.least(*ys), F.greatest(*ys))
     y = F.col("y").cast("double")
-
-    def at(e: Column) -> Column:
-        return (e["xa"] * (e["yb"] - e["ya"]) + (y - e["ya"]) * (e["xb"] - e["xa"])) / (e["yb"] - e["ya"])
-
-    crossings = F.array_sort(
-        F.transform(F.filter("edges", lambda e: (e["ya"] <= y) & (y < e["yb"])), at)
-    )
-    pairs = F.transform(
-        F.filter(
-            F.sequence(F.lit(1), F.greatest(F.size("cr"), F.lit(1))), lambda i: (i % 2 == 1) & (i < F.size("cr"))
-        ),
-        lambda i: F.struct(
-            F.ceil(F.element_at("cr", i)).alias("x_from"), F.floor(F.element_at("cr", i + 1)).alias("x_to")
-        ),
-    )
-    on_edge = F.transform(
-        F.filter("edges", lambda e: (e["ya"] <= y) & (y <= e["yb"])),
-        lambda e: F.struct(
-            F.ceil(F.when(e["ya"] == e["yb"], F.least(e["xa"], e["xb"])).otherwise(at(e))).alias("x_from"),
-            F.floor(F.when(e["ya"] == e["yb"], F.greatest(e["xa"], e["xb"])).otherwise(at(e))).alias("x_to"),
-        ),
-    )
+    crossings, on_edge = [], []
+    for k in range(4):
+        m = (k + 1) % 4
+        up = F.col(f"_y{k}") <= F.col(f"_y{m}")
+        xa, xb = (F.when(up, F.col(f"_x{i}")).otherwise(F.col(f"_x{j}")) for i, j in ((k, m), (m, k)))
+        ya, yb = F.least(f"_y{k}", f"_y{m}"), F.greatest(f"_y{k}", f"_y{m}")
+        at = (xa * (yb - ya) + (y - ya) * (xb - xa)) / (yb - ya)
+        crossings.append(F.when((ya <= y) & (y < yb), at))
+        flat_edge, sloped = (ya == yb) & (y == ya), (ya < yb) & (ya <= y) & (y <= yb)
+        on_edge.append((F.when(flat_edge, F.least(xa, xb)).when(sloped, at), F.when(flat_edge, F.greatest(xa, xb)).when(sloped, at)))
+    cut = rows.withColumn("_c", F.array_sort(F.array(*crossings)))
+    spans = [(F.col("_c")[0], F.col("_c")[1]), (F.col("_c")[2], F.col("_c")[3]), *on_edge]
+    runs = F.array(*[F.struct(F.ceil(lo).alias("x_from"), F.floor(hi).alias("x_to")) for lo, hi in spans])
     return _clip(
-        rows.withColumn("cr", crossings)
-        .withColumn("_i", F.explode(F.concat(pairs, on_edge)))
-        .withColumn("x_from", F.col("_i.x_from"))
-        .withColumn("x_to", F.col("_i.x_to"))
+        cut.withColumn("_i", F.explode(runs)).withColumn("x_from", F.col("_i.x_from")).withColumn("x_to", F.col("_i.x_to"))
     )
 
 
@@ -140,10 +121,6 @@ def run_pixels(runs: DataFrame) -> DataFrame:
 
 # ---- the masks -----------------------------------------------------------------------
 
-def _corner(x: Column, y: Column) -> Column:
-    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-
-
 def side_masks(points: DataFrame, as_reference: bool = True) -> DataFrame:
     """Areas left (``L``) and right (``R``) of a path; ``points(image_id, seq, px, py, h, w)``.
 
@@ -152,24 +129,16 @@ def side_masks(points: DataFrame, as_reference: bool = True) -> DataFrame:
     orders them so that left and right mirror each other.
     """
     pairs = segments(points, ("px", "py"))
-    a, b = _corner(F.col("px"), F.col("py")), _corner(F.col("next_px"), F.col("next_py"))
-    zero = F.lit(0)
-    top_left, bottom_left = _corner(zero, zero), _corner(zero, F.col("h"))
-    top_right, bottom_right = _corner(F.col("w"), zero), _corner(F.col("w"), F.col("h"))
-    left = F.array(a, b, bottom_left, top_left) if as_reference else F.array(a, b, top_left, bottom_left)
-    right = F.array(a, b, top_right, bottom_right)
-    polygons = pairs.select(
-        "image_id",
-        "h",
-        "w",
-        F.explode(
-            F.array(
-                F.struct(F.lit("L").alias("region"), left.alias("corners")),
-                F.struct(F.lit("R").alias("region"), right.alias("corners")),
-            )
-        ).alias("p"),
-    ).select("image_id", "h", "w", "p.region", "p.corners")
-    return merge_runs(polygon_runs(polygons))
+    zero, w, h = F.lit(0).cast("bigint"), F.col("w"), F.col("h")
+    side = lambda r, x, ya, yb: F.struct(
+        F.lit(r).alias("region"), x.alias("bx"), ya.alias("ya"), yb.alias("yb")
+    )
+    left = side("L", zero, h, zero) if as_reference else side("L", zero, zero, h)
+    both = pairs.withColumn("_s", F.explode(F.array(left, side("R", w, zero, h)))).select("*", "_s.*")
+    border = [(F.col("bx"), F.col("ya")), (F.col("bx"), F.col("yb"))]
+    return merge_runs(
+        quad_runs(both, [(F.col("px"), F.col("py")), (F.col("next_px"), F.col("next_py")), *border])
+    )
 
 
 def circle_mask(centres: DataFrame, region: str = "C") -> DataFrame:
@@ -179,17 +148,14 @@ def circle_mask(centres: DataFrame, region: str = "C") -> DataFrame:
 
 def trapezoid_mask(goals: DataFrame, radius: int, region: str = "T") -> DataFrame:
     """From the whole top edge down to the goal row ± radius; ``goals(image_id, h, w, px, py)``."""
-    x, y = F.col("px"), F.col("py")
-    zero = F.lit(0)
-    corners = F.array(
-        _corner(zero, zero),
-        _corner(F.col("w"), zero),
-        _corner(F.least(x + radius, F.col("w")), y),
-        _corner(F.greatest(x - radius, zero), y),
-    )
-    return merge_runs(
-        polygon_runs(goals.select("image_id", "h", "w", F.lit(region).alias("region"), corners.alias("corners")))
-    )
+    x, y, zero = F.col("px"), F.col("py"), F.lit(0)
+    corners = [
+        (zero, zero),
+        (F.col("w"), zero),
+        (F.least(x + radius, F.col("w")), y),
+        (F.greatest(x - radius, zero), y),
+    ]
+    return merge_runs(quad_runs(goals.withColumn("region", F.lit(region)), corners))
 
 
 def _depth_at(points: DataFrame, raster: DataFrame) -> DataFrame:
@@ -278,23 +244,16 @@ def thick_line_runs(points: DataFrame, thickness: float, region: str = "line") -
     dx, dy = F.col("next_px") - F.col("px"), F.col("next_py") - F.col("py")
     length = F.sqrt((dx * dx + dy * dy).cast("double"))
     nx, ny = -dy / length * r, dx / length * r
-    body = pairs.filter(length > 0).select(
-        "image_id",
-        "h",
-        "w",
-        F.lit(region).alias("region"),
-        F.array(
-            _corner(F.col("px") + nx, F.col("py") + ny),
-            _corner(F.col("next_px") + nx, F.col("next_py") + ny),
-            _corner(F.col("next_px") - nx, F.col("next_py") - ny),
-            _corner(F.col("px") - nx, F.col("py") - ny),
-        ).alias("corners"),
+    px, py, qx, qy = (F.col(c) for c in ("px", "py", "next_px", "next_py"))
+    body = quad_runs(
+        pairs.filter(length > 0).withColumn("region", F.lit(region)),
+        [(px + nx, py + ny), (qx + nx, qy + ny), (qx - nx, qy - ny), (px - nx, py - ny)],
     )
     caps = points.select(
         "image_id", "h", "w", F.lit(region).alias("region"), F.col("px").alias("cx"), F.col("py").alias("cy"),
         F.lit(r).alias("r"),
     )
-    return merge_runs(polygon_runs(body).unionByName(disc_runs(caps)))
+    return merge_runs(body.unionByName(disc_runs(caps)))
 
 
 FOUR_MOVES = [(0, 1), (1, 0), (0, -1), (-1, 0)]
@@ -307,23 +266,34 @@ def flood_masks(pixels: DataFrame, line: DataFrame, tile: int = 128) -> DataFram
     path search, with four moves and impassable line pixels.
     """
     blocked = line.select("image_id", "y", "x").distinct().withColumn("_line", F.lit(True))
-    cells = pixels.join(blocked, ["image_id", "y", "x"], "left").select(
-        "image_id", "h", "w", "y", "x", F.when(F.col("_line").isNull(), F.lit(1.0)).alias("enter_cost")
-    )
-    images = pixels.select("image_id", "h", "w").distinct()
-    sides = []
-    for region, corner in (("L", F.lit(0)), ("R", F.col("w") - 1)):
-        starts = images.select(
-            "image_id", "h", "w", F.lit(0).cast("bigint").alias("sy"), corner.cast("bigint").alias("sx")
-        )
-        open_starts = starts.join(
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    # both corners in one search: each image appears once per side
+    sides = F.explode(F.array(F.lit("L"), F.lit("R")))
+    keyed = F.concat(F.col("image_id").cast("string"), F.lit("|"), F.col("side"))
+    corner = F.when(F.col("side") == "L", F.lit(0)).otherwise(F.col("w") - 1).cast("bigint")
+    starts = (
+        pixels.filter("y = 0 and x = 0")
+        .select("image_id", "h", "w", sides.alias("side"))
+        .select("*", F.lit(0).cast("bigint").alias("sy"), corner.alias("sx"))
+        .join(
             blocked.select("image_id", F.col("y").alias("sy"), F.col("x").alias("sx")),
             ["image_id", "sy", "sx"],
             "left_anti",
         )
-        reached = cell_distances(shortest_distances(cells, open_starts, moves=FOUR_MOVES, tile=tile))
-        sides.append(reached.select("image_id", F.lit(region).alias("region"), "y", "x"))
-    return reduce(DataFrame.unionByName, sides)
+        .withColumn("image_id", keyed)
+    )
+    cells = (
+        pixels.join(blocked, ["image_id", "y", "x"], "left")
+        .select("image_id", "h", "w", "y", "x", F.when(F.col("_line").isNull(), F.lit(1.0)).alias("enter_cost"), sides.alias("side"))
+        .withColumn("image_id", keyed)
+    )
+    reached = cell_distances(shortest_distances(cells, starts, moves=FOUR_MOVES, tile=tile))
+    return reached.select(
+        F.regexp_replace("image_id", r"\|[LR]$", "").cast(kind).alias("image_id"),
+        F.element_at(F.split("image_id", r"\|"), -1).alias("region"),
+        "y",
+        "x",
+    )
 
 
 def combine_regions(
