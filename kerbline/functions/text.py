@@ -18,6 +18,11 @@ def _c(x: CIN) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once, however often ``fn`` names it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def strip(text: CIN) -> Column:
     return F.btrim(_c(text), F.lit(WHITESPACE))
 

@@ -149,10 +149,11 @@ def soft_accuracy(pred: Column, answers: Column) -> Column:
 
     With k of the ten equal to the prediction, each left-out answer sees k-1 or k matches.
     """
-    p = A.normalise_answer(pred)
-    k = F.size(F.filter(F.transform(answers, A.normalise_answer), lambda a: a == p)).cast("double")
+    normal = F.transform(F.concat(F.array(pred), answers), A.normalise_answer)
     share = lambda m: F.least(F.lit(1.0), m / 3)
-    return F.when(k > 0, (k * share(k - 1) + (10 - k) * share(k)) / 10).otherwise(0.0)
+    score = lambda k: F.when(k > 0, (k * share(k - 1) + (10 - k) * share(k)) / 10).otherwise(0.0)
+    matches = X.bind(normal, lambda n: (F.size(F.filter(n, lambda a: a == n[0])) - 1).cast("double"))
+    return X.bind(matches, score)
 
 
 def reading_scores(results: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -176,9 +177,9 @@ def distinct_answers(answers: Column) -> Column:
 
 
 def exact_match(pred: Column, answers: Column) -> Column:
-    return F.when(
-        F.array_contains(F.transform(answers, A.normalise_answer), A.normalise_answer(pred)), 1.0
-    ).otherwise(0.0)
+    normal = F.transform(F.concat(F.array(pred), answers), A.normalise_answer)
+    hits = X.bind(normal, lambda n: F.size(F.filter(n, lambda a: a == n[0])) - 1)
+    return F.when(hits > 0, 1.0).otherwise(0.0)
 
 
 def edit_similarity(pred: Column, truth: Column) -> Column:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import box_queries, conversation_queries, raster_queries  # noqa: F401
+from . import benchmark_queries, box_queries, conversation_queries, raster_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
