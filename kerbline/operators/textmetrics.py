@@ -227,11 +227,16 @@ def bleu(pred: DataFrame, truths: DataFrame, max_n: int = 4) -> DataFrame:
     )
     p = pred.select("pair_id", tokens(F.col("text")).alias("tok"))
     t = truths.select("pair_id", "ref_no", tokens(F.col("text")).alias("tok"))
+
+
+    def sized(n: int) -> Column:
+        return F.transform(ngrams(F.col("tok"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+
     grams = lambda df, by: df.select(
         *by,
         F.explode(
             F.concat(
-                *[F.transform(ngrams(F.col("tok"), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"))) for n in range(1, max_n + 1)]
+                *[sized(n) for n in range(1, max_n + 1)]
             )
         ).alias("e"),
     ).groupBy(*by, F.col("e.n").alias("n"), F.col("e.g").alias("g")).agg(F.count(F.lit(1)).alias("c"))
