@@ -52,8 +52,16 @@ def remove_tokens(text: CIN, tokens: list[str] = REMOVED_TOKENS) -> Column:
 
 def decimal_text(x: CIN, places: int = 4) -> Column:
     """Rounded number as text with at least one decimal: 0.5, 0.25, 1.0."""
-    fixed = F.round(_c(x).cast(f"decimal(24,{places + 4})"), places).cast(f"decimal(24,{places})")
-    return F.regexp_replace(fixed.cast("string"), "0{1,%d}$" % (places - 1), "")
+    unit = 10**places
+    n = F.round(_c(x) * float(unit)).cast("bigint")
+    size = F.abs(n)
+    digits = F.rtrim(F.lpad((size % unit).cast("string"), places, "0"), F.lit("0"))
+    return F.concat(
+        F.when(n < 0, F.lit("-")).otherwise(F.lit("")),
+        F.floor(size / unit).cast("string"),
+        F.lit("."),
+        F.when(digits == "", F.lit("0")).otherwise(digits),
+    )
 
 
 def coordinates(*cols: CIN) -> Column:

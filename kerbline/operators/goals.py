@@ -94,3 +94,11 @@ def fill_cache(images: DataFrame, cached: DataFrame, compute: Callable[[DataFram
 
 def unfinished(images: DataFrame, finished: DataFrame, key: str = "image_id") -> DataFrame:
     return images.join(finished.select(key), key, "left_anti")
+
+
+GOAL_METHODS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def register_goal_method(name: str, fn: Callable[..., DataFrame]) -> None:
+    """A goal method maps its inputs (images, boxes, depth) to ``(image_id, label, cx, cy)``."""
+    GOAL_METHODS[name] = fn

@@ -51,16 +51,20 @@ def run_requests(
     wait_s: float = 2.0,
     failure_text: str | None = None,
     parallel: int | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``requests(req_id, system, prompt, picture[, client])`` → ``answers(req_id, text, elapsed_s, tries, error)``.
 
+    ``keep`` names request columns to carry along, which spares joining the answers back.
+
     ``client`` names the entry of ``clients`` that answers the row. A call that fails
     ``tries`` times leaves ``failure_text`` (NULL by default) and its error.
     """
     routed = isinstance(clients, dict)
     factories: dict[str, ClientFactory] = clients if routed else {"": clients}
-    cols = ["req_id", "system", "prompt", "picture"]
+    cols = list(dict.fromkeys(["req_id", "system", "prompt", "picture", *keep]))
     src = requests.select(*cols, F.col("client") if routed else F.lit("").alias("client"))
+    results = ["text", "elapsed_s", "tries", "error"]
     if parallel:
         src = src.repartition(parallel, "req_id")
 
@@ -80,11 +84,12 @@ def run_requests(
                         error = f"{type(e).__name__}: {e}"
                         if attempt < tries:
                             time.sleep(wait_s)
-                out.append((r.req_id, text, time.monotonic() - started, attempt, error))
-            yield pd.DataFrame(out, columns=["req_id", "text", "elapsed_s", "tries", "error"])
+                out.append((text, time.monotonic() - started, attempt, error))
+            answered = pd.DataFrame(out, columns=results, index=pdf.index)
+            yield pd.concat([pdf[["req_id", *keep]], answered], axis=1)
 
-    kind = requests.schema["req_id"].dataType.simpleString()
-    return src.mapInPandas(call, f"req_id {kind}, text string, elapsed_s double, tries bigint, error string")
+    kinds = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in ("req_id", *keep))
+    return src.mapInPandas(call, f"{kinds}, text string, elapsed_s double, tries bigint, error string")
 
 
 def answer_table(requests: DataFrame, clients, **kwargs) -> DataFrame:

@@ -9,6 +9,8 @@ the number of rounds follows the tiles a path crosses, not its length in pixels.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..session import cut_lineage
-from .raster import MOVES, TileGrid, attach, pack_tiles
+from .raster import MOVES, TileGrid, attach, cell_cost, change_cost, pack_tiles
 
 SEARCH_TILE = 128
 
@@ -444,6 +446,34 @@ def plan_paths(
     return results, points
 
 
+# Settings of the depth planner (m², m).
+PLANNER_THRESHOLD = 1.0
+PLANNER_DEPTH_LIMIT = 10.0
+
+
+def plan_depth_paths(
+    raster: DataFrame, goals: DataFrame, per_metre: float = 1.0, samples: int | None = None, seed: int = 17
+) -> tuple[DataFrame, DataFrame]:
+    """From the bottom centre to the goal of each raster; ``goals(image_id, h, w, cx, cy)``.
+
+    Adaptive disc costs, whole discs by default (``samples`` draws cells instead), and the
+    exact cheapest path under them.
+    """
+    costs = change_cost(
+        raster, adaptive_radius=True, threshold=PLANNER_THRESHOLD, depth_limit=PLANNER_DEPTH_LIMIT,
+        samples=samples, per_metre=per_metre, seed=seed,
+    )
+    return plan_paths(cell_cost(costs, per_metre), search_ends(goals), towards_goal=True)
+
+
+PLANNERS: dict[str, Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]] = {"depth_lpp": plan_depth_paths}
+
+
+def register_planner(name: str, fn: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> None:
+    """A planner maps ``(raster, goals)`` to ``(results, points)``."""
+    PLANNERS[name] = fn
+
+
 def smoothed_bounds(bounds: DataFrame, width: int = 5) -> DataFrame:
     """Moving sum over neighbouring path points divided by ``width`` even at the ends, truncated.
 

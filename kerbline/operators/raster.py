@@ -319,15 +319,40 @@ def cell_cost(costs: DataFrame, per_metre: float = 1.0) -> DataFrame:
     return costs.withColumn("enter_cost", F.when(~F.col("blocked"), F.lit(1.0) + mean))
 
 
+def move_costs(raster: DataFrame) -> DataFrame:
+    """All moves between neighbouring cells with their squared depth change.
+
+    For inspection and small rasters: it writes eight rows per cell. The path search computes
+    the same values inside its tiles.
+    """
+    moves = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in MOVES])
+    out = (
+        raster.withColumn("m", F.explode(moves))
+        .select(
+            "image_id", "y", "x", "h", "w", "depth",
+            (F.col("y") + F.col("m.dy")).alias("ny"),
+            (F.col("x") + F.col("m.dx")).alias("nx"),
+        )
+        .filter("ny >= 0 and ny < h and nx >= 0 and nx < w")
+    )
+    there = raster.select("image_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("depth").alias("next_depth"))
+    return out.join(there, ["image_id", "ny", "nx"]).select(
+        "image_id", "y", "x", "ny", "nx", squared_change(F.col("depth"), F.col("next_depth")).alias("change2")
+    )
+
+
 def neighbour_moves(raster: DataFrame, goals: DataFrame) -> DataFrame:
     """The moves out of each cell, best aligned with the goal first (``rank`` 0…).
 
     ``goals(image_id, h, w, gy, gx)``. Ranking eight moves happens inside the row.
     """
-    near = attach(raster, goals)
-    vy, vx = F.col("gy") - F.col("y"), F.col("gx") - F.col("x")
-    norm = F.sqrt((vy * vy + vx * vx).cast("double"))
-    uy, ux = F.when(norm > 0, vy / norm).otherwise(0.0), F.when(norm > 0, vx / norm).otherwise(0.0)
+    near = attach(raster, goals).withColumns({"_vy": F.col("gy") - F.col("y"), "_vx": F.col("gx") - F.col("x")})
+    vy, vx, norm = F.col("_vy"), F.col("_vx"), F.col("_norm")
+    near = near.withColumn("_norm", F.sqrt((vy * vy + vx * vx).cast("double")))
+    near = near.withColumns(
+        {"_uy": F.when(norm > 0, vy / norm).otherwise(0.0), "_ux": F.when(norm > 0, vx / norm).otherwise(0.0)}
+    )
+    uy, ux = F.col("_uy"), F.col("_ux")
     moves = F.array(
         *[
             F.struct(

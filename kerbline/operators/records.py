@@ -21,11 +21,15 @@ RECORD_FIELDS = {
 }
 
 
-def region_answers(requests: DataFrame, answers: DataFrame) -> DataFrame:
-    """Queries and answers per target with the control tokens removed."""
-    return requests.select("req_id", "image_id", "target", "prompt").join(
-        answers.select("req_id", "text", "elapsed_s"), "req_id"
-    ).select(
+ANSWER_KEYS = ("image_id", "target", "prompt")  # request columns that the answers carry along
+
+
+def region_answers(answered: DataFrame) -> DataFrame:
+    """Queries and answers per target with the control tokens removed.
+
+    ``answered`` comes from ``run_requests(…, keep=ANSWER_KEYS)``.
+    """
+    return answered.select(
         "image_id",
         "target",
         X.remove_tokens("prompt").alias("query"),

@@ -25,9 +25,8 @@ def _rows(df: DataFrame, top: Column, bottom: Column) -> DataFrame:
     """One row per raster row between ``top`` and ``bottom``, cut to 0..h-1."""
     lo = F.greatest(F.ceil(top), F.lit(0)).cast("bigint")
     hi = F.least(F.floor(bottom), F.col("h") - 1).cast("bigint")
-    return df.withColumn("_lo", lo).withColumn("_hi", hi).filter("_lo <= _hi").withColumn(
-        "y", F.explode(F.sequence(F.col("_lo"), F.col("_hi")))
-    )
+    ranged = df.select("*", lo.alias("_lo"), hi.alias("_hi")).filter("_lo <= _hi")
+    return ranged.withColumn("y", F.explode(F.sequence(F.col("_lo"), F.col("_hi")))).drop("_lo", "_hi")
 
 
 def _clip(df: DataFrame) -> DataFrame:
@@ -44,8 +43,9 @@ def _clip(df: DataFrame) -> DataFrame:
 def quad_runs(df: DataFrame, corners: list[tuple[Column, Column]]) -> DataFrame:
     """Even-odd fill of one four-cornered shape per row, edge included.
 
-    ``df(image_id, region, h, w, …)``. The four edges are unrolled into plain arithmetic, so
-    the whole cut stays in generated code.
+    ``df(image_id, region, h, w, …)``. The facts of the four edges are computed once per shape,
+    below the split into raster rows; a row then needs one short formula per edge, which keeps
+    the generated code small enough to be compiled.
     """
     if len(corners) != 4:
         raise ValueError("a quad has four corners")
@@ -53,25 +53,38 @@ def quad_runs(df: DataFrame, corners: list[tuple[Column, Column]]) -> DataFrame:
         "image_id", "region", "h", "w",
         *[c.cast("double").alias(f"_{a}{k}") for k, xy in enumerate(corners) for a, c in zip("xy", xy)],
     )
-    ys = [F.col(f"_y{k}") for k in range(4)]
-    rows = _rows(flat, F.least(*ys), F.greatest(*ys))
-    y = F.col("y").cast("double")
-    crossings, on_edge = [], []
+    edges = []
     for k in range(4):
         m = (k + 1) % 4
         up = F.col(f"_y{k}") <= F.col(f"_y{m}")
-        xa, xb = (F.when(up, F.col(f"_x{i}")).otherwise(F.col(f"_x{j}")) for i, j in ((k, m), (m, k)))
-        ya, yb = F.least(f"_y{k}", f"_y{m}"), F.greatest(f"_y{k}", f"_y{m}")
-        at = (xa * (yb - ya) + (y - ya) * (xb - xa)) / (yb - ya)
-        crossings.append(F.when((ya <= y) & (y < yb), at))
-        flat_edge, sloped = (ya == yb) & (y == ya), (ya < yb) & (ya <= y) & (y <= yb)
-        on_edge.append((F.when(flat_edge, F.least(xa, xb)).when(sloped, at), F.when(flat_edge, F.greatest(xa, xb)).when(sloped, at)))
-    cut = rows.withColumn("_c", F.array_sort(F.array(*crossings)))
-    spans = [(F.col("_c")[0], F.col("_c")[1]), (F.col("_c")[2], F.col("_c")[3]), *on_edge]
+        edges += [
+            F.when(up, F.col(f"_x{k}")).otherwise(F.col(f"_x{m}")).alias(f"_xa{k}"),
+            F.when(up, F.col(f"_x{m}")).otherwise(F.col(f"_x{k}")).alias(f"_xb{k}"),
+            F.least(f"_y{k}", f"_y{m}").alias(f"_ya{k}"),
+            F.greatest(f"_y{k}", f"_y{m}").alias(f"_yb{k}"),
+        ]
+    ys = [F.col(f"_y{k}") for k in range(4)]
+    rows = _rows(flat.select("image_id", "region", "h", "w", *[f"_y{k}" for k in range(4)], *edges), F.least(*ys), F.greatest(*ys))
+    y = F.col("y").cast("double")
+    at = []
+    for k in range(4):
+        xa, xb, ya, yb = (F.col(f"_{n}{k}") for n in ("xa", "xb", "ya", "yb"))
+        on = F.when((ya < yb) & (ya <= y) & (y <= yb), (xa * (yb - ya) + (y - ya) * (xb - xa)) / (yb - ya))
+        at.append(on.alias(f"_at{k}"))
+    cut = rows.select("*", *at)
+    crossings = [F.when(y < F.col(f"_yb{k}"), F.col(f"_at{k}")) for k in range(4)]
+    cut = cut.withColumn("_c", F.array_sort(F.array(*crossings)))
+    spans = [(F.col("_c")[0], F.col("_c")[1]), (F.col("_c")[2], F.col("_c")[3])]
+    for k in range(4):
+        level = (F.col(f"_ya{k}") == F.col(f"_yb{k}")) & (y == F.col(f"_ya{k}"))
+        spans.append(
+            (
+                F.when(level, F.least(f"_xa{k}", f"_xb{k}")).otherwise(F.col(f"_at{k}")),
+                F.when(level, F.greatest(f"_xa{k}", f"_xb{k}")).otherwise(F.col(f"_at{k}")),
+            )
+        )
     runs = F.array(*[F.struct(F.ceil(lo).alias("x_from"), F.floor(hi).alias("x_to")) for lo, hi in spans])
-    return _clip(
-        cut.withColumn("_i", F.explode(runs)).withColumn("x_from", F.col("_i.x_from")).withColumn("x_to", F.col("_i.x_to"))
-    )
+    return _clip(cut.select("image_id", "region", "y", "w", F.explode(runs).alias("_i")).select("*", "_i.*"))
 
 
 def disc_runs(discs: DataFrame) -> DataFrame:

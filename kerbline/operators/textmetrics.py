@@ -34,13 +34,15 @@ def stem_words(tokens: pd.Series) -> pd.Series:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """All n-grams as texts; empty for shorter lists."""
-    return F.when(
-        F.size(tokens) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    """All n-grams as texts; empty for shorter lists. ``tokens`` is a column, not a formula."""
+    if n == 1:
+        return tokens
+
+    def gram(first: Column, i: Column) -> Column:
+        rest = [part for k in range(1, n) for part in (F.lit(" "), F.get(tokens, i + k))]
+        return F.concat(first, *rest)
+
+    return F.transform(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(0))), gram)
 
 
 def f_measure(hits: Column, n_pred: Column, n_truth: Column) -> Column:

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import benchmarks as BM
 from ..sources import readers as RD
 from ..sources import writers as WR
+from ..scale import spread
 from . import fixtures as D
 from .conversation_queries import q
 from .registry import query
@@ -41,7 +42,9 @@ def _normalise_ctes(source: str, text: str, key: str) -> str:
     f"""WITH src AS (SELECT doc_id, text FROM documents), {_normalise_ctes("src", "text", "doc_id")} SELECT doc_id, answer FROM norm""",
 )
 def answers_normalised(spark, sf):
-    return D.table(spark, sf, "documents").select("doc_id", A.normalise_answer("text").alias("answer"))
+    return spread(D.table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", A.normalise_answer("text").alias("answer")
+    )
 
 
 _TRICKY = [
@@ -503,6 +506,12 @@ def token_budgets(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", budget.alias("budget"))
 
 
+@query("review_head_lines_dropped", """SELECT doc_id, 'tail ' || lang AS text FROM documents""")
+def review_head_lines_dropped(spark, sf):
+    text = F.concat(F.lit(" one\n two \n\ntail "), "lang")
+    return D.table(spark, sf, "documents").select("doc_id", A.drop_head_lines(text, 2).alias("text"))
+
+
 @query("content_unique", "SELECT count(DISTINCT md5(text)) AS n_unique, count(*) AS n FROM documents")
 def content_unique(spark, sf):
     """One copy per content hash, counted against all copies."""

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import batches as B
 from ..operators import conversations as C
 from ..operators import tokens as K
+from ..scale import spread
 from . import fixtures as D
 from .registry import query
 
@@ -268,7 +269,8 @@ def token_ids_truncated(spark, sf):
 )
 def token_ids_with_pictures(spark, sf):
     """Every full stop of a document becomes an image place."""
-    docs = D.table(spark, sf, "documents").select("doc_id", X.swap("text", ".", "<image>").alias("text"))
+    docs = spread(D.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", X.swap("text", ".", "<image>").alias("text"))
     ids = K.image_token_ids(docs, "text", TOK, "ids")
     total = F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, t: a + t)
     return ids.select(

@@ -25,7 +25,7 @@ _TAGS = [t for t, _, _ in PT.EVALUATED_FIELDS]
 
 def _truth_and_pred(spark, sf):
     s = F.split("text", r"\.")
-    docs = D.table(spark, sf, "documents").withColumn("filename", F.concat(F.col("doc_id").cast("string"), F.lit(".xml")))
+    docs = scale.spread(D.table(spark, sf, "documents").select("doc_id", "text")).withColumn("filename", F.concat(F.col("doc_id").cast("string"), F.lit(".xml")))
     truth = docs.select("filename", *[F.get(s, F.lit(k)).alias(t) for k, t in enumerate(_TAGS)])
     pred = docs.select(
         "filename",
@@ -339,19 +339,24 @@ def region_requests(spark, sf):
 @query(
     "region_requests_all_libraries",
     " UNION ALL ".join(
-        f"""(WITH {_REQUESTS} SELECT '{lib}' AS library, target, md5(string_agg(replace({_library_sql(lib)}, '{{destination}}', dest), chr(10) ORDER BY og.image_id)) AS digest FROM og, tg GROUP BY target)"""
+        f"""(WITH {_REQUESTS} SELECT image_id, '{lib}' AS library, target, md5(replace({_library_sql(lib)}, '{{destination}}', dest)) AS digest FROM og, tg)"""
         for lib in PT.PROMPT_LIBRARIES
     ),
 )
 def region_requests_all_libraries(spark, sf):
-    """Prompt text of every library and target over all images, as one digest each."""
-    goals = _order_goals(spark, sf)
-    dest = PR.destination_phrase(F.col("label"), ["cx", "cy"])
+    """Prompt text of every library, target and image, as digests."""
+    goals = _order_goals(spark, sf).select(
+        "image_id", PR.destination_phrase(F.col("label"), ["cx", "cy"]).alias("dest")
+    )
     fan = goals.withColumn("target", F.explode(F.array(*[F.lit(t) for t in PT.TARGETS])))
-    each = F.explode(F.array(*[F.struct(F.lit(lib).alias("library"), PR.user_prompt(lib, F.col("target"), dest).alias("prompt")) for lib in PT.PROMPT_LIBRARIES]))
-    rows = fan.select("image_id", "target", each.alias("p")).select("image_id", "target", "p.*")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("image_id", "prompt"))), lambda s: s["prompt"]), "\n")
-    return rows.groupBy("library", "target").agg(F.md5(text).alias("digest"))
+    each = F.array(
+        *[
+            F.struct(F.lit(lib).alias("library"), PR.user_prompt(lib, F.col("target"), F.col("dest")).alias("prompt"))
+            for lib in PT.PROMPT_LIBRARIES
+        ]
+    )
+    rows = fan.select("image_id", "target", F.explode(each).alias("p"))
+    return rows.select("image_id", "target", "p.library", F.md5("p.prompt").alias("digest"))
 
 
 @query(
@@ -385,15 +390,21 @@ def _last_words(text: str, n: int = 8) -> str:
 def generated_records(spark, sf):
     """The whole generation run with the echo client: regions, decision, summary, records."""
     goals, boxes = _order_goals(spark, sf), D.boxes(spark, sf)
+
+    def ask(what, name):
+        shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        answered = INF.run_requests(what, INF.EchoClient, tries=1, parallel=shards, keep=RC.ANSWER_KEYS)
+        return settle(RC.region_answers(answered), name)
+
     requests = PR.region_requests(goals, _region_boxes(spark, sf), boxes)
-    first = settle(RC.region_answers(requests, INF.run_requests(requests, INF.EchoClient, tries=1)), "regions")
+    first = ask(requests, "regions")
     wide = RC.wide_answers(first)
     lists = PR.box_lists(boxes, ["image_id"])
     decide = RC.decision_requests(wide, lists)
-    second = settle(RC.region_answers(decide, INF.run_requests(decide, INF.EchoClient, tries=1)), "decisions")
+    second = ask(decide, "decisions")
     so_far = first.unionByName(second)
     summarise = RC.summary_requests(RC.wide_answers(so_far))
-    third = settle(RC.region_answers(summarise, INF.run_requests(summarise, INF.EchoClient, tries=1)), "summaries")
+    third = ask(summarise, "summaries")
     sizes = goals.selectExpr("image_id", "640 as w", "480 as h")
     return RC.assemble(RC.wide_answers(so_far.unionByName(third)), goals, sizes)
 

@@ -170,6 +170,15 @@ def neighbour_moves_ranked(spark, sf):
     )
 
 
+@query(
+    "raster_move_costs",
+    f"""WITH {D.RASTER} SELECT a.image_id, a.y, a.x, b.y AS ny, b.x AS nx, (a.depth - b.depth)*(a.depth - b.depth) AS change2
+    FROM raster a JOIN raster b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y, a.x) <> (b.y, b.x)""",
+)
+def raster_move_costs(spark, sf):
+    return R.move_costs(D.raster(spark, sf))
+
+
 @query(
     "raster_blurred_in_mask",
     f"""WITH {D.RASTER}, k(d, wt) AS (VALUES (-1, 0.25::DOUBLE), (0, 0.5::DOUBLE), (1, 0.25::DOUBLE)),
@@ -239,6 +248,13 @@ def path_adaptive_threshold_cost(spark, sf):
     return P.plan_paths(cells, D.raster_goals(spark, sf), towards_goal=True)[0]
 
 
+@query("path_sampled_cost", _search_sql(f"costs AS (WITH s AS ({_SAMPLED}) SELECT s.*, 0 AS depth FROM s)", _MEAN))
+def path_sampled_cost(spark, sf):
+    """Ten seeded disc cells per cell instead of the whole disc."""
+    cells = R.cell_cost(R.change_cost(D.raster(spark, sf), radius=2, samples=10, per_metre=D.CM), D.CM)
+    return P.plan_paths(cells, D.raster_goals(spark, sf))[0]
+
+
 _PLANNED_OVER = f"{_DELTA} > 60.0::DOUBLE*10000.0 AND (a.depth < 1000.0 OR b.depth < 1000.0)"
 
 
@@ -290,6 +306,22 @@ def path_search_ends(spark, sf):
     return P.search_ends(goals).select("image_id", "sy", "sx", "gy", "gx", "raw_sy")
 
 
+_PRESET = f"{_DELTA} > 1.0::DOUBLE*10000.0 AND (a.depth < 1000.0 OR b.depth < 1000.0)"
+
+
+@query(
+    "path_depth_planner",
+    f"""WITH q AS ({_search_sql(_disc_sql(_ADAPTIVE, _PRESET), _MEAN, "NOT b.blocked").replace("SELECT image_id, 7, 4, 0.0::DOUBLE FROM rgoals", "SELECT image_id, 6, 4, 0.0::DOUBLE FROM rgoals").replace("vec_id % 4 AS gy, (vec_id*5) % 8 AS gx", "greatest(1, vec_id % 4) AS gy, greatest(1, least((vec_id*5) % 8, 6)) AS gx")})
+    SELECT image_id, res, reason, CASE WHEN res THEN 1.0 END::DOUBLE AS first_ny, CASE WHEN res THEN 0.5 END::DOUBLE AS first_nx FROM q""",
+)
+def path_depth_planner(spark, sf):
+    """The planner with its own settings: clamped ends, 1 m² limit below 10 m, raw start first."""
+    goals = D.raster_goals(spark, sf).select("image_id", "h", "w", "cx", "cy")
+    results, points = P.plan_depth_paths(D.raster(spark, sf), goals, per_metre=D.CM)
+    first = points.filter("seq = 0").select("image_id", F.col("ny").alias("first_ny"), F.col("nx").alias("first_nx"))
+    return results.drop("cost").join(first, "image_id", "left")
+
+
 @query(
     "path_straight_line",
     f"""WITH {D.RASTER_GOALS}, {D.raster_paths_sql(20)} SELECT image_id, seq::BIGINT AS seq, x, y, px, py FROM pts""",

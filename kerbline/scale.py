@@ -28,6 +28,15 @@ def hash_bucket(md5_col: Column) -> Column:
     return F.conv(F.substring(md5_col, 1, 3), 16, 10).cast("int")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table stored in fewer files than there are cores.
+
+    Only such an input is shuffled; a table of many files is read as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _cut_points(df: DataFrame, order: Sequence[str], buckets: int) -> list:
     keys = df.select(*order)
     picked = sorted(

@@ -22,6 +22,7 @@ def local_session(cpus: int | None = None, app: str = "kerbline", console: bool
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no stack walk per column
         .getOrCreate()
     )
 
