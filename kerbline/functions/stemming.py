@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 # Irregular words and the suffix tables of the published algorithm.
 IRREGULAR = {
     "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
@@ -110,7 +108,6 @@ def _tail(w: str) -> str:
     return w
 
 
-@lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     w = word.lower()
     if w in IRREGULAR:

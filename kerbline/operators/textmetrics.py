@@ -30,7 +30,16 @@ def rouge_tokens(text: Column, stemmed: bool) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_words(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ws: [stem(w) if len(w) > 3 else w for w in ws])
+    known: dict[str, str] = {}  # per Arrow batch
+
+    def short(w: str) -> str:
+        if len(w) <= 3:
+            return w
+        if w not in known:
+            known[w] = stem(w)
+        return known[w]
+
+    return tokens.map(lambda ws: [short(w) for w in ws])
 
 
 def ngrams(tokens: Column, n: int) -> Column:
