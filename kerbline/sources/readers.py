@@ -105,7 +105,7 @@ def read_goal_record(spark: SparkSession, path: str) -> DataFrame:
 
 def read_goal_text(spark: SparkSession, path: str) -> DataFrame:
     """First line ``cx cy`` in pixels: ``(image_id, px, py)``."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     parts = F.split(X.first_line("value"), " ")
     return raw.select(
         _stem(F.col("_metadata.file_name")).alias("image_id"),
@@ -200,8 +200,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 def read_examples(spark: SparkSession, images: str, prompts: str) -> DataFrame:
     """Few-shot prompts: every other line of the text file beside each example image, by name."""
     files = (
-        spark.read.option("wholetext", True)
-        .text(prompts)
+        spark.read.text(prompts, wholetext=True)
         .select(_stem(F.col("_metadata.file_name")).alias("image_id"), "value")
     )
     lines = F.split(F.regexp_replace("value", r"\n$", ""), "\n")
@@ -279,7 +278,7 @@ def read_keyed_jsonl(spark: SparkSession, path: str, schema: str, key: str) -> D
 
 def read_keyed_map(spark: SparkSession, path: str, value_schema: str, key: str = "id") -> DataFrame:
     """One JSON object ``{id: record}`` per file to rows."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return explode_map(raw, "value", value_schema, key)
 
 
