@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import scale
 
@@ -68,27 +69,29 @@ def length_batches(
             .drop("_r")
         )
 
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_r")
-        n = len(pdf)
-        ranks, slots = [], []
-        if n % world_size:
-            ranks = [r % world_size for r in range(n)]
-            slots = [r // world_size for r in range(n)]
-        else:
-            load, filled = [0.0] * world_size, [0] * world_size
-            for size in pdf[length]:
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("rank", T.LongType()), T.StructField("slot", T.LongType())])))
+    def deal(batches: pd.Series) -> pd.Series:
+        def one(sizes) -> list[tuple[int, int]]:
+            n = len(sizes)
+            if n % world_size:
+                return [(r % world_size, r // world_size) for r in range(n)]
+            load, filled, out = [0.0] * world_size, [0] * world_size, []
+            for size in sizes:
                 k = load.index(min(load))
-                ranks.append(k)
-                slots.append(filled[k])
+                out.append((k, filled[k]))
                 filled[k] += 1
                 load[k] = float("inf") if filled[k] == n // world_size else load[k] + float(size)
-        return pdf.assign(rank=ranks, slot=slots).drop(columns=["_r"])
+            return out
 
-    fields = [f for f in sorted_rows.schema.fields if f.name != "_r"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", rank bigint, slot bigint"
-    # a group is one mega-batch: batch_size * world_size rows at most
-    return sorted_rows.groupBy(*within, "mega").applyInPandas(deal, schema)
+        return batches.map(one)
+
+    # a mega-batch is one row of at most batch_size * world_size entries; Python sees the lengths only
+    keys = [*within, "mega"]
+    cols = [c for c in sorted_rows.columns if c not in (*keys, "_r")]
+    packed = sorted_rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", F.struct(*cols).alias("row")))).alias("_rows"))
+    lengths = F.transform("_rows", lambda r: r["row"][length].cast("double"))
+    dealt = packed.withColumn("_deal", deal(lengths)).select(*keys, F.explode(F.arrays_zip("_rows", "_deal")).alias("_z"))
+    return dealt.select(*keys, "_z._rows.row.*", "_z._deal.rank", "_z._deal.slot")
 
 
 def modality_batches(

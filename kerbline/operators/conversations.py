@@ -36,37 +36,33 @@ def index_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     Turn numbers must run without gaps and roles must alternate; conversations that break
     this, or that are empty after the drop, go to ``rejects(conv_id, reason)``.
     """
+    at = lambda role, parity: F.count_if((F.col("role") == role) & (F.pmod("turn", F.lit(2)) == parity))
     facts = turns.groupBy("conv_id").agg(
         F.min("turn").alias("t_min"),
         F.max("turn").alias("t_max"),
         F.count(F.lit(1)).alias("n"),
         F.min_by("role", "turn").alias("first_role"),
+        *[at(role, p).alias(f"{role}{p}") for role in ("human", "gpt") for p in (0, 1)],
     )
     facts = facts.withColumn("t0", F.col("t_min") + F.when(F.col("first_role") == "human", 0).otherwise(1))
+    # alternation from counts: humans on the parity of t0, gpt on the other, nothing else
+    even_start = F.pmod("t0", F.lit(2)) == 0
+    n_human = F.when(even_start, F.col("human0")).otherwise(F.col("human1"))
+    n_gpt = F.when(even_start, F.col("gpt1")).otherwise(F.col("gpt0"))
+    dropped_gpt = F.when((F.col("t0") > F.col("t_min")) & (F.col("first_role") == "gpt"), 1).otherwise(0)
+    size = F.col("t_max") - F.col("t0") + 1
+    alternates = (n_human == F.ceil(size / 2)) & (n_gpt - dropped_gpt == F.floor(size / 2))
+    judged = facts.withColumn(
+        "reason",
+        F.when(F.col("t_max") - F.col("t_min") + 1 != F.col("n"), "gap in turns")
+        .when(F.col("t0") > F.col("t_max"), "no human turn")
+        .when(~alternates, "roles do not alternate"),
+    )
+    good = judged.filter("reason is null").select("conv_id", "t_min", "t_max", "t0")
     indexed = (
-        _attach(turns, facts.select("conv_id", "t_min", "t_max", "t0"))
-        .withColumn("i", F.col("turn") - F.col("t0"))
-        .filter("i >= 0")
-        .drop("t0")
-    )
-    expected = F.when(F.col("i") % 2 == 0, "human").otherwise("gpt")
-    wrong = (
-        indexed.filter(F.col("role") != expected)
-        .groupBy("conv_id")
-        .agg(F.count(F.lit(1)).alias("n_wrong"))
-    )
-    rejects = (
-        facts.join(wrong, "conv_id", "left")
-        .select(
-            "conv_id",
-            F.when(F.col("t_max") - F.col("t_min") + 1 != F.col("n"), "gap in turns")
-            .when(F.col("t0") > F.col("t_max"), "no human turn")
-            .when(F.col("n_wrong") > 0, "roles do not alternate")
-            .alias("reason"),
-        )
-        .filter("reason is not null")
+        _attach(turns, good).withColumn("i", F.col("turn") - F.col("t0")).filter("i >= 0").drop("t0")
     )
-    return indexed.join(rejects.select("conv_id"), "conv_id", "left_anti"), rejects
+    return indexed, judged.filter("reason is not null").select("conv_id", "reason")
 
 
 def move_image_token(text: Column | str, tagged: bool = False, start_end: tuple[str, str] | None = None) -> Column:

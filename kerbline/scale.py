@@ -38,10 +38,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def _cut_points(df: DataFrame, order: Sequence[str], buckets: int) -> list:
+    """Evenly spaced keys of a hash sample; the driver sees about SAMPLE_KEYS of them."""
     keys = df.select(*order)
-    picked = sorted(
-        tuple(r) for r in keys.orderBy(F.xxhash64(*order), *order).limit(SAMPLE_KEYS).collect()
-    )
+    share = min(1.0, SAMPLE_KEYS / max(keys.count(), 1))
+    kept = F.pmod(F.xxhash64(*order), F.lit(2**31)) < int(share * 2**31)
+    picked = sorted(tuple(r) for r in keys.filter(kept).distinct().limit(4 * SAMPLE_KEYS).collect())
     step = len(picked) / buckets
     return sorted({picked[int(step * i)] for i in range(1, buckets)}) if picked else []
 

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -118,8 +119,6 @@ def silent_gaps(events: DataFrame, key: str, limit_s: float) -> DataFrame:
     all events is not sorted in one task: the last event of a bucket meets the first event of
     the source's next bucket.
     """
-    from pyspark.sql import Window
-
     t = events.select(key, "ts").withColumn("_b", F.date_trunc("hour", F.col("ts")))
     inside = Window.partitionBy(key, "_b").orderBy("ts")
     local = t.withColumn("next_ts", F.lead("ts").over(inside))
@@ -150,14 +149,13 @@ def stale_sources(events: DataFrame, key: str, limit_s: float, late: str = "10 m
             out.append((k[0], pd.Timestamp(last, unit="us"), None))
             state.remove()
         else:
-            times = sorted(int(v.value // 1000) for pdf in batches for v in pdf["ts"])
-            if state.exists:
-                times = [state.get[0], *times]
-            for a, b in zip(times, times[1:]):
-                if b - a > limit_ms * 1000:
-                    out.append((k[0], pd.Timestamp(a, unit="us"), pd.Timestamp(b, unit="us")))
-            state.update((times[-1],))
-            wake = max(times[-1] // 1000 + limit_ms, state.getCurrentWatermarkMs() + 1)
+            parts = [pdf["ts"].to_numpy(dtype="datetime64[us]").astype("int64") for pdf in batches]
+            times = np.sort(np.concatenate([[state.get[0]] if state.exists else [], *parts]).astype("int64"))
+            for i in np.flatnonzero(np.diff(times) > limit_ms * 1000):
+                out.append((k[0], pd.Timestamp(times[i], unit="us"), pd.Timestamp(times[i + 1], unit="us")))
+            last = int(times[-1])
+            state.update((last,))
+            wake = max(last // 1000 + limit_ms, state.getCurrentWatermarkMs() + 1)
             state.setTimeoutTimestamp(wake)
         yield pd.DataFrame(out, columns=[key, "last_seen", "next_ts"])
 
