@@ -33,7 +33,7 @@ def _attach(turns: DataFrame, facts: DataFrame) -> DataFrame:
 def index_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(good, rejects)``: drop a leading turn that is not human, number the rest from 0.
 
-    Turn numbers must run without gaps and roles must alternate; conversations that break
+    Turn numbers must run without gaps or repeats and roles must alternate; conversations that break
     this, or that are empty after the drop, go to ``rejects(conv_id, reason)``.
     """
     at = lambda role, parity: F.count_if((F.col("role") == role) & (F.pmod("turn", F.lit(2)) == parity))
@@ -41,6 +41,7 @@ def index_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("turn").alias("t_min"),
         F.max("turn").alias("t_max"),
         F.count(F.lit(1)).alias("n"),
+        F.count_distinct("turn").alias("n_turns"),
         F.min_by("role", "turn").alias("first_role"),
         *[at(role, p).alias(f"{role}{p}") for role in ("human", "gpt") for p in (0, 1)],
     )
@@ -50,11 +51,11 @@ def index_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_human = F.when(even_start, F.col("human0")).otherwise(F.col("human1"))
     n_gpt = F.when(even_start, F.col("gpt1")).otherwise(F.col("gpt0"))
     dropped_gpt = F.when((F.col("t0") > F.col("t_min")) & (F.col("first_role") == "gpt"), 1).otherwise(0)
-    size = F.col("t_max") - F.col("t0") + 1
+    size, size_all = F.col("t_max") - F.col("t0") + 1, F.col("t_max") - F.col("t_min") + 1
     alternates = (n_human == F.ceil(size / 2)) & (n_gpt - dropped_gpt == F.floor(size / 2))
     judged = facts.withColumn(
         "reason",
-        F.when(F.col("t_max") - F.col("t_min") + 1 != F.col("n"), "gap in turns")
+        F.when((size_all != F.col("n")) | (F.col("n_turns") != F.col("n")), "gap in turns")
         .when(F.col("t0") > F.col("t_max"), "no human turn")
         .when(~alternates, "roles do not alternate"),
     )

@@ -18,12 +18,12 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_FACTS = """facts AS (SELECT conv_id, min(turn) AS t_min, max(turn) AS t_max, count(*) AS n, arg_min(role, turn) AS first_role FROM conversations GROUP BY conv_id),
+_FACTS = """facts AS (SELECT conv_id, min(turn) AS t_min, max(turn) AS t_max, count(*) AS n, count(DISTINCT turn) AS nd, arg_min(role, turn) AS first_role FROM conversations GROUP BY conv_id),
 f0 AS (SELECT *, t_min + CASE WHEN first_role = 'user' THEN 0 ELSE 1 END AS t0 FROM facts),
 idx0 AS (SELECT c.conv_id, c.turn, c.turn - t0 AS i, CASE c.role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE c.role END AS role, text
          FROM conversations c JOIN f0 USING (conv_id) WHERE c.turn >= t0),
 wrong AS (SELECT DISTINCT conv_id FROM idx0 WHERE role <> CASE WHEN i % 2 = 0 THEN 'human' ELSE 'gpt' END),
-rejects AS (SELECT conv_id, CASE WHEN t_max - t_min + 1 <> n THEN 'gap in turns' WHEN t0 > t_max THEN 'no human turn'
+rejects AS (SELECT conv_id, CASE WHEN t_max - t_min + 1 <> n OR nd <> n THEN 'gap in turns' WHEN t0 > t_max THEN 'no human turn'
             WHEN conv_id IN (SELECT conv_id FROM wrong) THEN 'roles do not alternate' END AS reason FROM f0),
 idx AS (SELECT * FROM idx0 WHERE conv_id NOT IN (SELECT conv_id FROM rejects WHERE reason IS NOT NULL))"""
 

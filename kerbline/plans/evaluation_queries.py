@@ -298,7 +298,8 @@ def keyword_pairs(spark, sf):
 # ---- requests and records -----------------------------------------------------------------
 
 def _order_goals(spark, sf):
-    return D.table(spark, sf, "orders").selectExpr(
+    orders = scale.spread(D.table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
+    return orders.selectExpr(
         "o_orderkey as image_id", "'point' as label", "(o_orderkey % 101) / 100.0D as cx", "(o_custkey % 101) / 100.0D as cy"
     )
 
@@ -306,7 +307,11 @@ def _order_goals(spark, sf):
 def _region_boxes(spark, sf):
     """Each box in the regions its number selects."""
     regions = F.element_at(F.array(*[F.lit(r) for r in ("D", "L", "R", "P")]), (F.col("box_no") % 4).cast("int") + 1)
-    return D.boxes(spark, sf).withColumn("region", regions)
+    return _spread_boxes(spark, sf).withColumn("region", regions)
+
+
+def _spread_boxes(spark, sf):
+    return scale.spread(D.boxes(spark, sf))
 
 
 _NUM = "CASE WHEN ({0}) % 100 = 0 THEN (({0})//100) || '.0' WHEN ({0}) % 10 = 0 THEN (({0})//100) || '.' || (({0}) % 100)//10 ELSE (({0})//100) || '.' || lpad((({0}) % 100)::VARCHAR, 2, '0') END"
@@ -333,7 +338,7 @@ _SYSTEM = f"{q(PT.SYSTEM_BASE)} || CASE WHEN bx IS NULL THEN '' ELSE {q(' ' + PT
 )
 def region_requests(spark, sf):
     goals = _order_goals(spark, sf)
-    return PR.region_requests(goals, _region_boxes(spark, sf), D.boxes(spark, sf), with_side=True).drop("picture")
+    return PR.region_requests(goals, _region_boxes(spark, sf), _spread_boxes(spark, sf), with_side=True).drop("picture")
 
 
 @query(
@@ -365,7 +370,7 @@ def region_requests_all_libraries(spark, sf):
       replace({q(PT.SINGLE_TURN_PROMPT)}, '{{destination}}', dest) AS prompt FROM og LEFT JOIN bl ON bl.image_id = og.image_id AND target = 'Desc'""",
 )
 def single_turn_requests(spark, sf):
-    return PR.single_turn_requests(_order_goals(spark, sf), D.boxes(spark, sf)).select("image_id", "system", "prompt")
+    return PR.single_turn_requests(_order_goals(spark, sf), _spread_boxes(spark, sf)).select("image_id", "system", "prompt")
 
 
 _SINGLE = "CASE doc_id % 4 WHEN 0 THEN 'just text' WHEN 1 THEN '1: a' || chr(10) || '2: b' || chr(10) || '3: c' || chr(10) || '4: d' || chr(10) || '5: e:f' || chr(10) || '6: g' WHEN 2 THEN '1: a' || chr(10) || 'no colon' ELSE 'a:1' || chr(10) || 'b:2' END"
@@ -389,11 +394,10 @@ def _last_words(text: str, n: int = 8) -> str:
 
 def generated_records(spark, sf):
     """The whole generation run with the echo client: regions, decision, summary, records."""
-    goals, boxes = _order_goals(spark, sf), D.boxes(spark, sf)
+    goals, boxes = _order_goals(spark, sf), _spread_boxes(spark, sf)
 
     def ask(what, name):
-        shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        answered = INF.run_requests(what, INF.EchoClient, tries=1, parallel=shards, keep=RC.ANSWER_KEYS)
+        answered = INF.run_requests(what, INF.EchoClient, tries=1, keep=RC.ANSWER_KEYS)
         return settle(RC.region_answers(answered), name)
 
     requests = PR.region_requests(goals, _region_boxes(spark, sf), boxes)

@@ -178,6 +178,13 @@ def test_leading_gpt_turn_is_dropped(spark):
     assert rejects.first().reason == "roles do not alternate"
 
 
+def test_a_repeat_that_hides_a_gap_is_rejected(spark):
+    rows = [(1, t, "human" if t % 2 == 0 else "gpt", "x") for t in (0, 1, 2, 2, 3, 5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    good, rejects = C.index_turns(df)
+    assert good.count() == 0 and rejects.first().reason == "gap in turns"
+
+
 # ---- labels ------------------------------------------------------------------------------
 
 def test_two_separator_labels_keep_answers(spark):
