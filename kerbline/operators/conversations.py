@@ -107,13 +107,22 @@ def place_image(indexed: DataFrame, has_image: Column, tagged: bool = False) ->
     return shifted.unionByName(lead)
 
 
-def seed_examples(indexed: DataFrame, examples: list[tuple[str, str]]) -> DataFrame:
-    """Put fixed example exchanges before each conversation's own turns."""
+def seed_examples(
+    indexed: DataFrame, examples: list[tuple[str, str]], picture: bool = False, where: Column | None = None
+) -> DataFrame:
+    """Put fixed example exchanges before each conversation's own turns.
+
+    ``picture`` marks the first example message with ``<image>``; ``where`` limits the seeding
+    to some conversations.
+    """
     flat = [t for pair in examples for t in pair]
-    own = indexed.withColumn("i", F.col("i") + len(flat))
     if not flat:
-        return own
-    lead = indexed.filter("i = 0").withColumn(
+        return indexed
+    if picture:
+        flat[0] = f"{X.IMAGE_TOKEN}\n{flat[0]}"
+    chosen = F.lit(True) if where is None else where
+    own = indexed.withColumn("i", F.col("i") + F.when(chosen, len(flat)).otherwise(0))
+    lead = indexed.filter((F.col("i") == 0) & chosen).withColumn(
         "_m", F.explode(F.array(*[F.struct(F.lit(k).alias("i"), F.lit(t).alias("t")) for k, t in enumerate(flat)]))
     )
     lead = (
@@ -125,6 +134,36 @@ def seed_examples(indexed: DataFrame, examples: list[tuple[str, str]]) -> DataFr
     return own.unionByName(lead)
 
 
+def preset_turns(indexed: DataFrame) -> DataFrame:
+    """The example exchange that some templates begin with; needs the template columns."""
+    return seed_examples(indexed, [tuple(P.EXAMPLE_TURNS)], where=F.col("has_examples"))
+
+
+def append_system(df: DataFrame, extra: str) -> DataFrame:
+    """Add a line to the template's system text."""
+    return df.withColumn("system", F.concat("system", F.lit("\n" + extra)))
+
+
+def opening_of_answer() -> Column:
+    """What a prompt ends with when the answer is still to come."""
+    return (
+        F.when(F.col("style").isin("SINGLE", "TWO"), F.concat("role1", F.lit(":")))
+        .when(F.col("style") == "MPT", F.col("role1"))
+        .otherwise(F.lit(""))
+    )
+
+
+def prompt_text(body: Column) -> Column:
+    """The system text and the joined pieces as one prompt, by the template columns."""
+    head = (
+        F.when(F.col("style").isin("SINGLE", "TWO", "MPT"), F.concat("system", "sep"))
+        .when(F.col("style") == "PLAIN", F.col("system"))
+        .otherwise(F.lit(""))
+    )
+    bare = F.when(F.length("sep") > 0, F.ltrim(body, F.col("sep"))).otherwise(body)
+    return F.when(F.col("style") == "LLAMA_2", bare).otherwise(F.concat(head, body))
+
+
 def template_table(spark: SparkSession) -> DataFrame:
     rows = [(name, *values) for name, values in P.TEMPLATES.items()]
     return spark.createDataFrame(
@@ -191,16 +230,7 @@ def render_prompts(indexed: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("i", "piece"))).alias("_p"), *spec
     )
     body = F.array_join(F.col("_p.piece"), "")
-    head = (
-        F.when(F.col("style").isin("SINGLE", "TWO", "MPT"), F.concat("system", "sep"))
-        .when(F.col("style") == "PLAIN", F.col("system"))
-        .otherwise(F.lit(""))
-    )
-    prompt = F.when(
-        F.col("style") == "LLAMA_2",
-        F.when(F.length("sep") > 0, F.ltrim(body, F.col("sep"))).otherwise(body),
-    ).otherwise(F.concat(head, body))
-    return folded.select("conv_id", prompt.alias("prompt"), F.size("_p").cast("bigint").alias("n_turns"))
+    return folded.select("conv_id", prompt_text(body).alias("prompt"), F.size("_p").cast("bigint").alias("n_turns"))
 
 
 def signal_pieces(indexed: DataFrame, template: str = P.DEFAULT_TEMPLATE) -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import prompt_texts as P
 from ..functions import text as X
-from ..session import cut_lineage, settle
+from ..session import settle
+from . import conversations as C
 
 FAILED_TEXT = "#ERROR#"  # fixed value: text of a failed answer where a text is required
 
@@ -52,10 +53,12 @@ def run_requests(
     failure_text: str | None = None,
     parallel: int | None = None,
     keep: tuple[str, ...] = (),
+    answer: str = "text",
 ) -> DataFrame:
     """``requests(req_id, system, prompt, picture[, client])`` → ``answers(req_id, text, elapsed_s, tries, error)``.
 
-    ``keep`` names request columns to carry along, which spares joining the answers back.
+    ``keep`` names request columns to carry along, which spares joining the answers back;
+    ``answer`` names the text column of the result.
 
     ``client`` names the entry of ``clients`` that answers the row. A call that fails
     ``tries`` times leaves ``failure_text`` (NULL by default) and its error.
@@ -64,7 +67,7 @@ def run_requests(
     factories: dict[str, ClientFactory] = clients if routed else {"": clients}
     cols = list(dict.fromkeys(["req_id", "system", "prompt", "picture", *keep]))
     src = requests.select(*cols, F.col("client") if routed else F.lit("").alias("client"))
-    results = ["text", "elapsed_s", "tries", "error"]
+    results = [answer, "elapsed_s", "tries", "error"]
     if parallel:
         src = src.repartition(parallel, "req_id")
 
@@ -89,7 +92,7 @@ def run_requests(
             yield pd.concat([pdf[["req_id", *keep]], answered], axis=1)
 
     kinds = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in ("req_id", *keep))
-    return src.mapInPandas(call, f"{kinds}, text string, elapsed_s double, tries bigint, error string")
+    return src.mapInPandas(call, f"{kinds}, `{answer}` string, elapsed_s double, tries bigint, error string")
 
 
 def answer_table(requests: DataFrame, clients, **kwargs) -> DataFrame:
@@ -117,43 +120,53 @@ def with_cache(requests: DataFrame, cache: DataFrame, clients, **kwargs) -> tupl
 def chain_turns(
     questions: DataFrame,
     clients,
+    template: str = P.DEFAULT_TEMPLATE,
+    history: str = "all",
     system: str = "",
-    separator: str = "\n",
     **kwargs,
 ) -> DataFrame:
     """Multi-turn runs: answer n is part of prompt n+1.
 
-    ``questions(conv_id, i, text)``, ``i`` from 0 without gaps. One round asks turn ``i`` of
-    every conversation in parallel; only the running history is carried along.
+    ``questions(conv_id, i, text)``, ``i`` from 0 without gaps. ``history="all"`` renders the
+    whole conversation so far with the template; ``"last"`` puts only the previous exchange in
+    front of the question. One round asks turn ``i`` of every conversation in parallel.
     """
+    if history not in ("all", "last"):
+        raise ValueError("history is 'all' or 'last'")
     last = questions.agg(F.max("i")).first()[0]
-    spark = questions.sparkSession
-    history = questions.filter("i = 0").select("conv_id", F.lit("").alias("history"))
+    so_far = questions.filter("i = 0").select("conv_id", F.lit("").alias("before"), F.lit("").alias("exchange"))
     done = None
-    for i in range(0, (last if last is not None else -1) + 1):
-        turn = questions.filter(F.col("i") == i).join(history, "conv_id")
-        prompt = F.when(F.col("history") == "", F.col("text")).otherwise(
-            F.concat("history", F.lit(separator), F.col("text"))
+    for k in range(0, (last if last is not None else -1) + 1):
+        asked = C.with_template(questions.filter(F.col("i") == k).drop("i").join(so_far, "conv_id"), template)
+        asked = asked.withColumn("i", F.lit(2 * k)).withColumn("role", F.lit("human")).withColumn("piece", C.turn_piece())
+        if history == "all":
+            prompt = C.prompt_text(F.concat("before", "piece", C.opening_of_answer()))
+        else:
+            prompt = F.when(F.col("exchange") == "", F.col("text")).otherwise(
+                F.concat_ws(" ", "exchange", "role0", F.lit("\n"), "text")
+            )
+        asked = asked.select(
+            "conv_id", "before", "text", "piece", prompt.alias("prompt"),
+            F.concat_ws("|", F.col("conv_id").cast("string"), F.lit(str(k))).alias("req_id"),
+            F.lit(system).alias("system"), F.lit(None).cast("string").alias("picture"),
         )
-        asked = turn.select(
+        answered = run_requests(asked, clients, keep=("conv_id", "before", "text", "piece", "prompt"), answer="answer", **kwargs)
+        round_rows = settle(answered, "turns")
+        rows = round_rows.select("conv_id", F.lit(k).cast("bigint").alias("i"), "prompt", "answer")
+        done = rows if done is None else done.unionByName(rows)
+        question = F.col("text")
+        back = C.with_template(round_rows, template).withColumn("question", question)
+        back = back.withColumn("i", F.lit(2 * k + 1)).withColumn("role", F.lit("gpt"))
+        back = back.withColumn("text", F.coalesce("answer", F.lit("")))
+        so_far = back.select(
             "conv_id",
-            F.lit(i).cast("bigint").alias("i"),
-            prompt.alias("prompt"),
-            F.concat_ws("|", F.col("conv_id").cast("string"), F.lit(str(i))).alias("req_id"),
-            F.lit(system).alias("system"),
-            F.lit(None).cast("string").alias("picture"),
+            F.concat("before", "piece", C.turn_piece()).alias("before"),
+            F.concat_ws(" ", "role0", F.lit("\n"), "question", F.lit("\n"), "role1", F.lit("\n"), "text", F.lit("\n")).alias("exchange"),
         )
-        answers = answer_table(asked, clients, **kwargs)
-        round_rows = cut_lineage(
-            asked.join(answers, "req_id").select("conv_id", "i", "prompt", F.col("text").alias("answer"))
-        )
-        done = round_rows if done is None else done.unionByName(round_rows)
-        history = round_rows.select(
-            "conv_id", F.concat("prompt", F.lit(separator), F.coalesce("answer", F.lit(""))).alias("history")
-        )
-    return done if done is not None else spark.createDataFrame(
-        [], "conv_id string, i bigint, prompt string, answer string"
-    )
+    if done is None:
+        kind = questions.schema["conv_id"].dataType.simpleString()
+        return questions.sparkSession.createDataFrame([], f"conv_id {kind}, i bigint, prompt string, answer string")
+    return done
 
 
 def join_answers(answers: DataFrame) -> DataFrame:

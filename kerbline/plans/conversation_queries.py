@@ -47,9 +47,10 @@ def _piece_sql(template: str, text: str = "text") -> str:
     return f"{text} || {alt}"
 
 
-def _prompt_sql(template: str, source: str = "idx", text: str = "text") -> str:
+def _prompt_sql(template: str, source: str = "idx", text: str = "text", extra: str = "") -> str:
     """``conv_id, prompt, n_turns`` of one template."""
     system, _, _, style, sep, _, _, _ = PT.TEMPLATES[template]
+    system += extra
     body = f"string_agg({_piece_sql(template, text)}, '' ORDER BY i)"
     if style in ("SINGLE", "TWO", "MPT"):
         prompt = f"{q(system + sep)} || {body}"
@@ -201,11 +202,24 @@ _EXAMPLES = [("Where is the door?", "Ahead on the left."), ("Is the path clear?"
 @query(
     "prompts_with_examples",
     f"""WITH {_FACTS}, ex AS (SELECT conv_id, i + 4 AS i, role, text FROM idx
-      UNION ALL SELECT conv_id, k, CASE WHEN k % 2 = 0 THEN 'human' ELSE 'gpt' END, t FROM idx, (VALUES (0, {q(_EXAMPLES[0][0])}), (1, {q(_EXAMPLES[0][1])}), (2, {q(_EXAMPLES[1][0])}), (3, {q(_EXAMPLES[1][1])})) e(k, t) WHERE i = 0)
-    {_prompt_sql("vision_v0", "ex")}""",
+      UNION ALL SELECT conv_id, k, CASE WHEN k % 2 = 0 THEN 'human' ELSE 'gpt' END, t FROM idx, (VALUES (0, {q('<image>' + chr(10) + _EXAMPLES[0][0])}), (1, {q(_EXAMPLES[0][1])}), (2, {q(_EXAMPLES[1][0])}), (3, {q(_EXAMPLES[1][1])})) e(k, t) WHERE i = 0)
+    {_prompt_sql("vision_v0", "ex", extra=chr(10) + "Be brief.")}""",
 )
 def prompts_with_examples(spark, sf):
-    return C.render_prompts(C.with_template(C.seed_examples(_indexed(spark, sf), _EXAMPLES), "vision_v0"))
+    """Few-shot prompts: a longer system text, two examples, the first with a picture."""
+    seeded = C.seed_examples(_indexed(spark, sf), _EXAMPLES, picture=True)
+    return C.render_prompts(C.append_system(C.with_template(seeded, "vision_v0"), "Be brief."))
+
+
+@query(
+    "prompts_with_preset_turns",
+    f"""WITH {_FACTS}, ex AS (SELECT conv_id, i + 2 AS i, role, text FROM idx
+      UNION ALL SELECT conv_id, k, CASE WHEN k = 0 THEN 'human' ELSE 'gpt' END, t FROM idx, (VALUES (0, {q(PT.EXAMPLE_TURNS[0])}), (1, {q(PT.EXAMPLE_TURNS[1])})) e(k, t) WHERE i = 0)
+    {_prompt_sql("v0", "ex")}""",
+)
+def prompts_with_preset_turns(spark, sf):
+    """A template that begins with its own example exchange."""
+    return C.render_prompts(C.preset_turns(C.with_template(_indexed(spark, sf), "v0")))
 
 
 @query(

@@ -534,7 +534,7 @@ def answers_chained(spark, sf):
     t = D.turns(spark, sf)
     first = t.groupBy("conv_id").agg(F.min("turn").alias("t0"))
     questions = t.join(first, "conv_id").select("conv_id", (F.col("turn") - F.col("t0")).alias("i"), "text")
-    return INF.chain_turns(questions, lambda: INF.EchoClient(4), tries=1).select("conv_id", "i", "answer")
+    return INF.chain_turns(questions, lambda: INF.EchoClient(4), history="last", tries=1).select("conv_id", "i", "answer")
 
 
 @query(

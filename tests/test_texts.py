@@ -359,5 +359,11 @@ def test_cache_asks_only_new_keys(spark):
 
 def test_chained_prompts_carry_answers(spark):
     q = spark.createDataFrame([(1, 0, "a b"), (1, 1, "c"), (2, 0, "x")], "conv_id long, i long, text string")
-    rows = {(r.conv_id, r.i): (r.prompt, r.answer) for r in INF.chain_turns(q, lambda: INF.EchoClient(1), tries=1).collect()}
-    assert rows == {(1, 0): ("a b", "b"), (1, 1): ("a b\nb\nc", "c"), (2, 0): ("x", "x")}
+    last = INF.chain_turns(q, INF.DummyClient, history="last", tries=1).collect()
+    assert {(r.conv_id, r.i): r.prompt for r in last} == {
+        (1, 0): "a b", (1, 1): "USER \n a b \n ASSISTANT \n hello world \n USER \n c", (2, 0): "x"
+    }
+    full = {(r.conv_id, r.i): r.prompt for r in INF.chain_turns(q, INF.DummyClient, template="vicuna_v1", tries=1).collect()}
+    system = PT.TEMPLATES["vicuna_v1"][0]
+    assert full[1, 1] == f"{system} USER: a b ASSISTANT: hello world</s>USER: c ASSISTANT:"
+    assert full[2, 0] == f"{system} USER: x ASSISTANT:"
