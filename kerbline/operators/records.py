@@ -85,6 +85,8 @@ def complete(wide: DataFrame, targets: list[str] | None = None) -> Column:
 def assemble(wide: DataFrame, goals: DataFrame, sizes: DataFrame) -> DataFrame:
     """Records of complete images; ``recommend`` on one line, typed columns, no text literals.
 
+    ``sizes(image_id, w, h[, filename])``.
+
     Boxes and path points stay their own tables, keyed by image; ``attach_lists`` nests them.
     """
     full = wide.filter(complete(wide)).join(goals, "image_id").join(sizes, "image_id")
@@ -94,9 +96,10 @@ def assemble(wide: DataFrame, goals: DataFrame, sizes: DataFrame) -> DataFrame:
         if target == "Decs":
             text = X.swap(text, "\n", " ")
         fields += [F.col(f"q_{target}").alias(query), text.alias(answer)]
+    name = F.col("filename") if "filename" in sizes.columns else F.col("image_id").cast("string")
     return full.select(
         "image_id",
-        F.col("image_id").cast("string").alias("filename"),
+        name.alias("filename"),
         F.lit("pipeline").alias("annotator"),
         F.array("w", "h", F.lit(3)).alias("size_whc"),
         F.array("cx", "cy").alias("goal_position_xy"),

@@ -132,6 +132,11 @@ def run_pixels(runs: DataFrame) -> DataFrame:
     return runs.select("image_id", "region", "y", F.explode(F.sequence("x_from", "x_to")).alias("x"))
 
 
+def _moves(points: DataFrame) -> DataFrame:
+    """The different pixel moves of each path; a dense path repeats most of them."""
+    return segments(points, ("px", "py")).select("image_id", "h", "w", "px", "py", "next_px", "next_py").distinct()
+
+
 # ---- the masks -----------------------------------------------------------------------
 
 def side_masks(points: DataFrame, as_reference: bool = True) -> DataFrame:
@@ -141,7 +146,7 @@ def side_masks(points: DataFrame, as_reference: bool = True) -> DataFrame:
     corners bottom first, so for an upward path it crosses itself; ``as_reference=False``
     orders them so that left and right mirror each other.
     """
-    pairs = segments(points, ("px", "py"))
+    pairs = _moves(points)
     zero, w, h = F.lit(0).cast("bigint"), F.col("w"), F.col("h")
     side = lambda r, x, ya, yb: F.struct(
         F.lit(r).alias("region"), x.alias("bx"), ya.alias("ya"), yb.alias("yb")
@@ -220,7 +225,7 @@ def path_mask(points: DataFrame, raster: DataFrame, half_width: float, region: s
         F.least("py", "next_py").alias("y1"),
         F.col("next_right_x").alias("x2"),
         F.greatest("py", "next_py").alias("y2"),
-    )
+    ).distinct()
     last = bounds.groupBy("image_id", "h", "w").agg(
         F.max_by(F.struct("px", "py", "left_x", "right_x"), F.col("seq")).alias("p")
     )
@@ -247,13 +252,13 @@ def path_disc_mask(points: DataFrame, raster: DataFrame, radius: float, region:
         F.col("py").alias("cy"),
         G.metric_radius("depth", radius, "fx", "fy").alias("r"),
     )
-    return merge_runs(disc_runs(discs))
+    return merge_runs(disc_runs(discs.distinct()))
 
 
 def thick_line_runs(points: DataFrame, thickness: float, region: str = "line") -> DataFrame:
     """All pixels within half the thickness of the polyline; ``points(image_id, seq, px, py, h, w)``."""
     r = thickness / 2.0
-    pairs = segments(points, ("px", "py"))
+    pairs = _moves(points)
     dx, dy = F.col("next_px") - F.col("px"), F.col("next_py") - F.col("py")
     length = F.sqrt((dx * dx + dy * dy).cast("double"))
     nx, ny = -dy / length * r, dx / length * r

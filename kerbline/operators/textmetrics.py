@@ -267,7 +267,7 @@ def bleu(pred: DataFrame, truths: DataFrame, max_n: int = 4) -> DataFrame:
     wide = orders.groupBy().agg(
         *[F.max(F.when(F.col("n") == n, F.col(c))).alias(f"{c}_{n}") for n in range(1, max_n + 1) for c in ("hits", "total")]
     )
-    both = wide.crossJoin(sizes)  # one row each
+    both = wide.select("*", *[sizes.select(c).scalar().alias(c) for c in ("len_pred", "len_truth")])
     log_mean = sum((F.log(F.col(f"hits_{n}") / F.col(f"total_{n}")) for n in range(1, max_n + 1)), F.lit(0.0)) / max_n
     brevity = F.when(F.col("len_pred") >= F.col("len_truth"), 0.0).otherwise(1 - F.col("len_truth") / F.col("len_pred"))
     no_hit = F.exists(F.array(*[F.coalesce(F.col(f"hits_{n}"), F.lit(0)) for n in range(1, max_n + 1)]), lambda h: h == 0)

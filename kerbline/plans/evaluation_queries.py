@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import prompt_texts as PT
+from ..operators import boxes as BX
 from ..operators import evaluate as EV
+from ..operators import generate as GEN
+from ..operators import goals as GO
 from ..operators import inference as INF
 from ..operators import prompts as PR
 from ..operators import records as RC
@@ -431,6 +434,31 @@ def records_generated(spark, sf):
     )
 
 
+@query(
+    "records_from_images",
+    f"""WITH {D.RASTER}, {D.BOXES}, im AS (SELECT vec_id AS image_id FROM embeddings),
+    det AS (SELECT image_id, label, (x_min + x_max)/2 AS cx, row_number() OVER (PARTITION BY image_id ORDER BY md5('17|' || image_id || '|' || box_no), box_no, label, (x_min + x_max)/2, y_max) AS rn
+            FROM boxes WHERE label IN ('label1', 'label4')),
+    fr AS (SELECT DISTINCT image_id FROM raster WHERE x = 4 AND depth >= 600)
+    SELECT im.image_id || '.png' AS filename, coalesce(d.label, 'point') AS goal_object_label, coalesce(d.cx, 0.5) AS cx, {q(_A["L"])} AS left_desc, {q(_DECIDE_ANSWER)} AS recommend, {q(_last_words(_DECIDE_ANSWER))} AS summary_answer
+    FROM im LEFT JOIN det d ON d.image_id = im.image_id AND d.rn = 1 LEFT JOIN fr ON fr.image_id = im.image_id""",
+)
+def records_from_images(spark, sf):
+    """From rasters and boxes to records: goals, search, masks, requests, three rounds of answers."""
+    images = D.raster_goals(spark, sf).select(
+        "image_id", "h", "w", F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("filename")
+    )
+    boxes = D.boxes(spark, sf).join(images.select("image_id"), "image_id", "left_semi")
+    wanted = boxes.select("label").distinct().filter(F.col("label").isin("label1", "label4"))
+    found = GO.pick_one(BX.goal_candidates(boxes, wanted))
+    settings = GEN.Settings(front_difference=6.0, goal_radius_px=2, per_metre=D.CM)
+    depth = D.raster(spark, sf).withColumn("depth", F.greatest("depth", F.lit(1.0)))
+    recs, _ = GEN.generate_records(images, depth, boxes, [("select_det", found)], INF.EchoClient, settings, tries=1)
+    return recs.select(
+        "filename", "goal_object_label", F.col("goal_position_xy")[0].alias("cx"), "left_desc", "recommend", "summary_answer"
+    )
+
+
 @query(
     "records_complete",
     """SELECT o_orderkey AS image_id, o_orderkey % 5 <> 0 AS is_complete FROM orders""",

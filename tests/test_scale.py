@@ -130,6 +130,7 @@ def test_no_forced_broadcasts_or_local_checkpoints():
     for f in SOURCE.rglob("*.py"):
         text = f.read_text()
         assert "localCheckpoint(" not in text and "F.broadcast(" not in text, f
+        assert "crossJoin(" not in text, f
         assert ".rdd" not in text and "parallelize(" not in text, f
 
 
