@@ -41,7 +41,7 @@ def cut_batches(batches: Iterator[pa.RecordBatch], limit: int, text: str = "text
     Bounds what a Python task holds whatever the number of rows Spark puts in one batch.
     """
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(text)).to_numpy(zero_copy_only=False)
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         start = total = 0
         for i, size in enumerate(sizes):
             if i > start and total + size > limit:
