@@ -13,6 +13,8 @@ from .lang_id import identify
 from .secret_scan import scan
 from .tiff import text_media
 from .token_counts import token_counts
+from .topk import ORACLE as TOP_PRODUCTS
+from .topk import top_products
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +51,14 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op7_top_products"] = TOP_PRODUCTS
+
+
 @query
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
