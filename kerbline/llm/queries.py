@@ -10,6 +10,7 @@ from .bpe import bpe_round_trip
 from .common import table
 from .html_text import extract
 from .lang_id import identify
+from .mixing import mix
 from .secret_scan import scan
 from .tiff import text_media
 from .token_counts import token_counts
@@ -46,6 +47,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
