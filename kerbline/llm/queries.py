@@ -11,6 +11,7 @@ from .common import table
 from .html_text import extract
 from .lang_id import identify
 from .mixing import mix
+from .pii import find
 from .secret_scan import scan
 from .tiff import text_media
 from .token_counts import token_counts
@@ -47,6 +48,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
