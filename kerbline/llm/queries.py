@@ -11,6 +11,7 @@ from .common import table
 from .html_text import extract
 from .lang_id import identify
 from .mixing import mix
+from .near_dups import near_duplicates
 from .pii import find
 from .secret_scan import scan
 from .tiff import text_media
@@ -71,6 +72,11 @@ def op7_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op7_top_products"] = TOP_PRODUCTS
 
 
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
