@@ -8,7 +8,7 @@
    other; a bucket is done when all its members are connected. The members left over get hubs of
    their own, twice as many in each round, until nothing is open: no pair of a bucket that
    reaches the similarity stays unconnected, and a group of near copies costs one comparison per
-   member. Weighted Jaccard distance is a metric, so members too near to or too far from a hub to
+   member. Shingles that only one text has bound its similarity to all others. Small rests compare all their open members at once. Weighted Jaccard distance is a metric, so members too near to or too far from a hub to
    be linked to an open member are left out of later rounds.
 4. Links become classes by alternating star contraction.
 """
@@ -28,13 +28,12 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from .common import cut_batches, id_and_text
-from .shingles import (
-    BANDS, DF_BITS, ROWS, band_keys, consistent_samples, df_bucket, pack_set, rarity, shingles, unpack_set, weighted_jaccard, weights,
-)
+from .shingles import DF_BITS, band_keys, consistent_samples, df_bucket, pack_set, rarity, shingles, unpack_set, weighted_jaccard, weights
 
 SIMILARITY = 0.8
 SLICE = 2 << 20
 DF_CHUNK = 1 << 16
+SMALL = 16  # open members of a bucket that are all hubs at once
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -124,6 +123,36 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "words_a", "words_b").mapInArrow(run, "a binary, b binary, s double")
 
 
+def own_weights(sets: DataFrame) -> DataFrame:
+    """``text_key, total, own``: weight of a set, and of its shingles that no other set has.
+
+    Two sets share at most the smaller of what is not their own, which bounds their similarity
+    without comparing them; an edited copy owns every shingle an edit made.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, words in zip(batch.column("text_key").to_pylist(), batch.column("words")):
+                h, w = unpack_set(words.as_py())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(h), int.from_bytes(key[:8], "big", signed=True))), pa.array(h), pa.array(w)], names=["tid", "h", "w"]
+                )
+
+    each = sets.mapInArrow(spread, "tid long, h long, w double")
+    single = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("tid").alias("tid"), F.max("w").alias("w")).filter("n = 1")
+    own = single.groupBy("tid").agg(F.sum("w").alias("own"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("text_key").to_pylist()
+            total = [float(unpack_set(words.as_py())[1].sum()) for words in batch.column("words")]
+            tid = [int.from_bytes(key[:8], "big", signed=True) for key in keys]
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(tid, pa.int64()), pa.array(total, pa.float64())], names=["text_key", "tid", "total"])
+
+    totals = sets.mapInArrow(weigh, "text_key binary, tid long, total double")
+    return totals.join(own, "tid", "left").select("text_key", "total", F.coalesce("own", F.lit(0.0)).alias("own"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (a, b): the least node of its component.
 
@@ -158,47 +187,48 @@ def components(links: DataFrame) -> DataFrame:
 def links_of(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``a, b`` links that connect every two texts of a bucket that reach ``similarity``.
 
-    ``texts`` has ``text_key, copies, bands``. The hub of a bucket is its text with most copies.
+    ``texts`` has ``text_key, copies, bands, total, own``. The hub of a bucket is its text with
+    most copies.
     """
-    spark, far = texts.sparkSession, 1.0 - similarity
-    rows = texts.select("text_key", "copies", F.explode("bands").alias("bucket"))
+    far = 1.0 - similarity
+    rows = texts.select("text_key", "copies", "total", "own", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("copies", "text_key")).alias("hub")).filter("size > 1")
-    # buckets of the same hub and size are compared once: the pairs are distinct below
     members = settle(rows.join(shared.select("bucket", F.col("hub.text_key").alias("hub")), "bucket"), "dup-members")
-    hubs = members.select("bucket", "hub").distinct()
-    first = members.select("bucket", "copies", F.col("text_key").alias("b"), F.col("hub").alias("lead"))
-    known = spark.createDataFrame([], "a binary, b binary, s double")
     pairs = members.filter("text_key <> hub").select(F.col("hub").alias("a"), F.col("text_key").alias("b")).distinct()
-    open_, turn = first, 0
+    known = settle(similarities(pairs, sets), "dup-similar")
+    # members without the hub; a text that owns more than the rest allows is linked to nothing
+    to_hub = known.select(F.col("a").alias("hub"), F.col("b").alias("text_key"), (1 - F.col("s")).alias("d"))
+    left = members.filter(F.col("own") <= far * F.col("total") + 1e-6).join(to_hub, ["hub", "text_key"]).drop("hub")
+    turn = 0
     while True:
-        fresh = settle(similarities(pairs, sets), "dup-similar")
-        known = fresh if turn == 0 else settle(known.unionByName(fresh), "dup-known")
         linked = known.filter(F.col("s") >= similarity).select("a", "b")
-        roots = components(linked)
-        # members without the hubs just used; each with its component and its distance to the lead hub
-        used = hubs.select("bucket", F.col("hub").alias("b"))
-        both_ways = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
-        rest = (
-            open_.join(used, ["bucket", "b"], "left_anti")
-            .join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-            .join(both_ways.groupBy(F.col("a").alias("lead"), "b").agg(F.first("s").alias("s")), ["lead", "b"], "left")
-            .withColumn("d", 1 - F.coalesce("s", F.lit(0.0)))
-        )
-        rest = settle(rest.select("bucket", "copies", "b", "root", "d"), "dup-rest")
+        roots = components(linked).withColumnRenamed("node", "text_key")
+        rest = settle(left.join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key")), "dup-rest")
         # the largest component of a bucket is settled; the others are open
-        main = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots"))
-        mixed = rest.join(main.filter("roots > 1").select("bucket", F.col("m.root").alias("main")), "bucket").withColumn("open", F.col("root") != F.col("main"))
-        spread = mixed.filter("open").groupBy("bucket").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("n"), F.max(F.struct("copies", "b")).alias("best"))
+        per_root = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        main = per_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+        mixed = rest.join(main.select("bucket", F.col("m.root").alias("main")), "bucket").withColumn("open", F.col("root") != F.col("main"))
+        spread = mixed.filter("open").groupBy("bucket").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("n"), F.max(F.struct("copies", "text_key")).alias("best"))
         kept = mixed.join(spread, "bucket").filter(F.col("open") | F.col("d").between(F.col("low") - far - 1e-9, F.col("high") + far + 1e-9))
-        turn += 1
-        draw = F.pmod(F.xxhash64("b", "bucket", F.lit(turn)), F.col("n")) < 2 ** (turn - 1) - 1
-        kept = settle(kept.select("bucket", "copies", "b", (F.col("open") & (draw | (F.col("b") == F.col("best.b")))).alias("is_hub"), F.col("best.b").alias("lead")), "dup-open")
-        hubs = kept.filter("is_hub").select("bucket", F.col("b").alias("hub"))
+        draw = F.pmod(F.xxhash64("text_key", "bucket", F.lit(turn)), F.greatest(F.col("n"), F.lit(SMALL))) < SMALL * 4**turn
+        is_hub = F.col("open") & (draw | (F.col("text_key") == F.col("best.text_key")))
+        kept = settle(kept.select("bucket", "text_key", "copies", "total", "own", "d", "root", is_hub.alias("is_hub")), "dup-open")
+        hubs = kept.filter("is_hub").select("bucket", *(F.col(c).alias(f"hub_{c}") for c in ("text_key", "root", "d", "total", "own")))
         if hubs.isEmpty():
             return linked
-        open_ = kept.select("bucket", "copies", "b", "lead")
-        asked = open_.select("bucket", "b").join(hubs, "bucket").filter("b <> hub").select(F.least("b", "hub").alias("a"), F.greatest("b", "hub").alias("b")).distinct()
-        pairs = asked.join(both_ways.select("a", "b"), ["a", "b"], "left_anti")
+        common = F.least(F.col("total") - F.col("own"), F.col("hub_total") - F.col("hub_own"))
+        apart = (
+            (F.col("root") != F.col("hub_root"))
+            & (F.abs(F.col("d") - F.col("hub_d")) <= far + 1e-9)
+            & (common * (1 + similarity) + 1e-6 >= similarity * (F.col("total") + F.col("hub_total")))
+        )
+        pair = F.least("text_key", "hub_text_key").alias("a"), F.greatest("text_key", "hub_text_key").alias("b")
+        seen = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        asked = kept.join(hubs, "bucket").filter(apart).select(*pair).distinct().join(seen, ["a", "b"], "left_anti")
+        fresh = settle(similarities(asked, sets), "dup-similar")
+        known = settle(known.unionByName(fresh), "dup-known")
+        left = kept.filter("not is_hub").drop("root", "is_hub")
+        turn += 1
 
 
 def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,7 +251,8 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, id_col: str =
     keys = banded.select("text_key", F.explode("bands").alias("bucket"))
     common = keys.join(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket"), "bucket", "left_semi").select("text_key").distinct()
     some = settle(sets.join(common, "text_key", "left_semi").dropDuplicates(["text_key"]), "dup-sets")
-    roots = settle(components(links_of(banded.join(common, "text_key", "left_semi"), some, similarity)), "dup-roots")
+    compared = settle(banded.join(own_weights(some), "text_key"), "dup-compared")
+    roots = settle(components(links_of(compared, some, similarity)), "dup-roots")
     member: Column = F.coalesce("root", "text_key")
     rooted = settle(texts.drop("bands").join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("root", member), "dup-rooted")
     classes = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
@@ -229,6 +260,3 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, id_col: str =
         held.select("id", "text_key").join(rooted.join(classes, "root").select("text_key", "class_id", "class_size"), "text_key")
         .select(F.col("id").alias("doc_id"), "class_id", "class_size")
     )
-
-
-__all__ = ["BANDS", "ROWS", "components", "near_duplicates"]

@@ -16,13 +16,15 @@ STEP = 4 << 20  # bytes of one text hashed at a time
 DF_BITS = 20  # buckets of the document frequencies
 HASH_BITS = 48  # of a shingle
 CHUNK = 1 << 14  # shingles sampled at a time
-BANDS, ROWS = 16, 4  # pairs of similarity 0.8 share a band with probability 0.9998
+SAMPLES, ROWS, DEALS = 64, 8, 4  # bands of 8 samples, from 4 dealings of the 64 into 8 bands
+BANDS = DEALS * SAMPLES // ROWS  # pairs of similarity 0.8 share one of 32 bands with probability 0.99
+IDF_SHARE = 0.2  # of a weight that is the inverse document frequency
 
 # Fixed odd constants of the hashes.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 PLACES = tuple(np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
-SEEDS = np.array([pow(int(PLACES[1]), 2 * k + 1, 1 << 64) for k in range(BANDS * ROWS)], np.uint64)  # odd
+SEEDS = np.array([pow(int(PLACES[1]), 2 * k + 1, 1 << 64) for k in range(SAMPLES)], np.uint64)  # odd
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -115,9 +117,10 @@ def rarity(frequency: np.ndarray, texts: int) -> np.ndarray:
 
 
 def weights(counts: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Term frequency times inverse document frequency, the latter between 1 and 2: smoothed, so
-    that one edit of a text with thousands of copies does not outweigh what they share."""
-    return counts * (1.0 + codes / 255.0)
+    """Term frequency times smoothed inverse document frequency, the latter between 1 and
+    ``1 + IDF_SHARE``. What a text shares with thousands of copies is frequent and one edit is
+    rare; unsmoothed, the edit would outweigh the copy."""
+    return counts * (1.0 + IDF_SHARE * codes / 255.0)
 
 
 def gamma_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -135,20 +138,20 @@ def gamma_tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def consistent_samples(owner: np.ndarray, h: np.ndarray, w: np.ndarray, texts: int) -> np.ndarray:
-    """Improved consistent weighted sampling: per text, ``BANDS * ROWS`` samples (shingle, step).
+    """Improved consistent weighted sampling: per text, ``SAMPLES`` samples (shingle, step).
 
     Two texts agree in a sample with the probability of their weighted Jaccard similarity. For a
     shingle of weight S: t = floor(ln S / r + b), ln a = ln c - r (t - b + 1), smallest a wins.
     """
     r_table, c_table = gamma_tables()
-    out = np.full((texts, BANDS * ROWS), np.iinfo(np.uint64).max, np.uint64)
+    out = np.full((texts, SAMPLES), np.iinfo(np.uint64).max, np.uint64)
     log_w = np.log(w).astype(np.float32)
     low = np.uint64(0xFFFF)
     for lo in range(0, len(h), CHUNK):
         own, x, lw = owner[lo : lo + CHUNK], h[lo : lo + CHUNK], log_w[lo : lo + CHUNK]
         starts = np.flatnonzero(np.diff(own, prepend=-1))
         ids = own[starts]
-        for j in range(BANDS * ROWS):
+        for j in range(SAMPLES):
             z = x * SEEDS[j]
             z ^= z >> np.uint64(32)
             z *= MIX[0]
@@ -173,7 +176,8 @@ def consistent_samples(owner: np.ndarray, h: np.ndarray, w: np.ndarray, texts: i
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
     """One 64-bit key per band."""
-    rows = samples.reshape(len(samples), BANDS, ROWS)
+    deals = [np.random.default_rng(k).permutation(SAMPLES).reshape(-1, ROWS) for k in range(DEALS)]
+    rows = samples[:, np.sort(np.concatenate(deals), axis=1)]
     keys = np.broadcast_to((np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * MIX[1], rows.shape[:2]).copy()
     for k in range(ROWS):
         keys = mix(keys ^ (rows[:, :, k] + PLACES[k % len(PLACES)]))
