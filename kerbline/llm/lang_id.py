@@ -13,8 +13,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut_batches, per_worker
 
@@ -129,17 +130,21 @@ def score_texts(texts: list[str], logs: np.ndarray, shares: np.ndarray) -> np.nd
     return like / like.sum(axis=1, keepdims=True)
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every text.
+def fold(id_col: str) -> Column:
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
+
+
+def label(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns ``keep`` with ``lang_pred`` and ``score`` of every text.
 
     Learns from rows whose ``crc32(id as text) mod 4`` is not 2 and whose language is known; a
-    null id neither teaches nor is held out. A null text, one without a letter, and every text
-    where nothing could be learned is ``und`` with score 0. Ties go to the first language in
-    code point order. Repeated rows repeat; an empty table gives no rows.
+    row without an id teaches nothing. A null text, one without a letter, and every text where
+    nothing could be learned is ``und`` with score 0. Ties go to the first language in code point
+    order. Repeated rows repeat; an empty table gives no rows.
     """
-    fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
-    langs, logs, shares = train(df.filter(fold != 2), text_col, lang_col)
+    langs, logs, shares = train(df.filter(fold(id_col) != 2), text_col, lang_col)
     model = df.sparkSession.sparkContext.broadcast((langs, logs, shares))
+    asked = df.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(keep)), F.col(text_col).alias("text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs, shares = model.value
@@ -152,7 +157,15 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                 scores[rows] = post[np.arange(len(rows)), best]
                 for k, j in zip(rows, best):
                     names[k] = langs[j]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
+            own = [f"c{k}" for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array(names, pa.string()), pa.array(scores)], names=[*own, "lang_pred", "score"])
 
-    asked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return asked.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    kind = T.StructType([*asked.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return asked.mapInArrow(predict, kind).toDF(*keep, "lang_pred", "score")
+
+
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` of every text; see ``label``. A null id is not held out."""
+    asked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    held = asked.withColumn("held_out", F.coalesce(fold("doc_id") == 2, F.lit(False)))
+    return label(held, keep=("doc_id", "held_out"))

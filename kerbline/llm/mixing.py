@@ -111,11 +111,12 @@ def targets(sizes: DataFrame) -> DataFrame:
     return weighed.select("key", "source_size", F.least(most, F.col("w") * level).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", draw_col: str | None = None, seed: int = SEED) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every document.
 
     ``taken`` counts the words of the copies taken: 0, 1 or 2 times the size. Documents without
-    words take nothing; a null source is a source of its own, weighed last. Repeated rows are
+    words take nothing. The draw is seeded by ``draw_col``, or the id. A null
+    source is a source of its own, weighed last. Repeated rows are
     documents of their own with equal chances. An empty table gives no rows.
     """
     docs = settle(
@@ -124,7 +125,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
             F.col(source_col).alias("source"),
             F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")).alias("key"),
             word_count(F.col(text_col)).alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col)).alias("draw"),
+            F.xxhash64(F.lit(seed), F.col(draw_col or id_col)).alias("draw"),
         ).withColumn("cell", F.shiftrightunsigned("draw", 55)),
         "mix-docs",
     )
