@@ -79,13 +79,13 @@ def camera_ratios(filename: CIN) -> tuple[Column, Column, Column, Column]:
 
 
 def metric_bounds(x: CIN, depth: CIN, half_width_m, fx: CIN, width: CIN) -> tuple[Column, Column]:
-    """Pixel columns that lie ``half_width_m`` left and right of ``x`` at this depth."""
-    half = truncate(F.lit(half_width_m) / _c(depth) * _c(fx))
+    """Pixel columns that lie ``half_width_m`` left and right of ``x`` at this depth; null at depth 0."""
+    half = truncate(F.try_divide(F.lit(half_width_m), _c(depth)) * _c(fx))
     return F.greatest(_c(x) - half, F.lit(0)), F.least(_c(x) + half, _c(width) - 1)
 
 
 def metric_radius(depth: CIN, radius_m, fx: CIN, fy: CIN) -> Column:
-    return truncate(F.lit(radius_m) / _c(depth) * ((_c(fx) + _c(fy)) / 2))
+    return truncate(F.try_divide(F.lit(radius_m), _c(depth)) * ((_c(fx) + _c(fy)) / 2))
 
 
 def pull_inside(x1: CIN, x2: CIN, size: CIN) -> tuple[Column, Column]:

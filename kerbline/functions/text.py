@@ -118,8 +118,9 @@ def token_budget(requested: CIN, context: CIN, prompt_tokens: CIN, image_tokens:
     return F.when(left >= 1, left)
 
 
-def template_for_model(name: CIN, family: str = "vision") -> Column:
-    """Conversation template for a model name; ``family`` marks the vision models.
+def template_for_model(name: CIN, marker: str = "vision") -> Column:
+    """Conversation template for a model name; ``marker`` is the part of a name that tells the
+    vision models. The templates are called ``vision_…`` whatever the marker.
 
     ``mistral_orca`` and ``mpt_text`` name templates that do not exist; rows that get them
     have no partner in the template table and end up among the rejects.
@@ -129,19 +130,19 @@ def template_for_model(name: CIN, family: str = "vision") -> Column:
     has = lambda s: F.contains(n, F.lit(s))
     tagged = has("mmtag") | (has("plain") & ~has("finetune"))
     vision = (
-        F.when(has("llama-2"), f"{family}_llama_2")
+        F.when(has("llama-2"), "vision_llama_2")
         .when((has("mistral") | has("mixtral")) & has("orca"), "mistral_orca")
         .when((has("mistral") | has("mixtral")) & has("hermes"), "chatml_direct")
         .when(has("mistral") | has("mixtral"), "mistral_instruct")
-        .when(has(f"{family}-v1.6-34b"), "chatml_direct")
+        .when(has(f"{marker}-v1.6-34b"), "chatml_direct")
         .when(has("v1") & tagged, "v1_mmtag")
-        .when(has("v1"), f"{family}_v1")
+        .when(has("v1"), "vision_v1")
         .when(has("mpt"), "mpt")
         .when(tagged, "v0_mmtag")
-        .otherwise(f"{family}_v0")
+        .otherwise("vision_v0")
     )
     return (
-        F.when(has(family), vision)
+        F.when(has(marker), vision)
         .when(F.contains(raw, F.lit("mpt")), "mpt_text")
         .when(F.contains(raw, F.lit("llama-2")), "llama_2")
         .otherwise("vicuna_v1")

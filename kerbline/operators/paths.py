@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -73,27 +73,43 @@ def segments(points: DataFrame, cols: tuple[str, ...] = ("x", "y")) -> DataFrame
     return points.join(after, ["image_id", "seq"])
 
 
-def densify(points: DataFrame, n: int, max_passes: int = 64) -> DataFrame:
+def densify(points: DataFrame, n: int) -> DataFrame:
     """Insert points until a path has at least ``n``; ``points(image_id, seq, x, y)``.
 
-    One pass hands every segment its share of the missing points. A path that a pass cannot
-    lengthen any more (all shares at their minimum) is returned as it is.
+    One pass hands every segment its share of the missing points. Where no share can grow any
+    more, the longest segments are halved, so every pass adds points until ``n`` is reached. A
+    path of one point has no segment and stays as it is.
     """
     current = points.select("image_id", "seq", "x", "y")
-    for _ in range(max_passes):
-        grown = cut_lineage(_densify_pass(current, n))
-        stalled = (
-            current.groupBy("image_id").agg(F.count(F.lit(1)).alias("a"))
-            .join(grown.groupBy("image_id").agg(F.count(F.lit(1)).alias("b")), "image_id")
-            .filter((F.col("b") > F.col("a")) & (F.col("b") < n))
-        )
-        current = grown
-        if stalled.isEmpty():
-            break
-    return current
+    while True:
+        grown = cut_lineage(densify_pass(current, n))
+        count = lambda df, name: df.groupBy("image_id").agg(F.count(F.lit(1)).alias(name))
+        sizes = count(current, "a").join(count(grown, "b"), "image_id").filter((F.col("b") < n) & (F.col("b") > 1))
+        stalled = cut_lineage(sizes.filter("a = b").select("image_id", (n - F.col("b")).alias("missing")))
+        current = cut_lineage(_halve_longest(grown, stalled))
+        if sizes.isEmpty():
+            return current
 
 
-def _densify_pass(points: DataFrame, n: int) -> DataFrame:
+def _halve_longest(points: DataFrame, stalled: DataFrame) -> DataFrame:
+    """Midpoints in the ``missing`` longest segments of the stalled paths, numbered anew.
+
+    A stalled path has fewer than the wanted points, so ranking its segments is bounded.
+    """
+    pairs = segments(points.join(stalled.select("image_id"), "image_id", "left_semi")).join(stalled, "image_id")
+    step = (F.col("next_x") - F.col("x")) ** 2 + (F.col("next_y") - F.col("y")) ** 2
+    rank = F.row_number().over(Window.partitionBy("image_id").orderBy(step.desc(), "seq"))
+    middle = pairs.withColumn("rank", rank).filter("rank <= missing").select(
+        "image_id", (F.col("seq") + 0.5).alias("at"), ((F.col("x") + F.col("next_x")) / 2).alias("x"), ((F.col("y") + F.col("next_y")) / 2).alias("y")
+    )
+    kept = points.join(stalled, "image_id", "left_anti").select("image_id", F.col("seq").cast("int").alias("seq"), "x", "y")
+    split = points.join(stalled.select("image_id"), "image_id", "left_semi").select("image_id", F.col("seq").cast("double").alias("at"), "x", "y").unionByName(middle)
+    number = (F.row_number().over(Window.partitionBy("image_id").orderBy("at")) - 1).cast("int")
+    return kept.unionByName(split.select("image_id", number.alias("seq"), "x", "y"))
+
+
+def densify_pass(points: DataFrame, n: int) -> DataFrame:
+    """Every step of a path that is too short cut into its share of the missing points."""
     count = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("m"))
     # number of points already placed before each segment: r(i+1) = r(i) + share(i) - 1
     share = lambda r, m, i: F.greatest(F.lit(2), F.ceil((n - r) / (m - i)).cast("int"))
@@ -209,7 +225,6 @@ def shortest_distances(
     use_depth_change: bool = False,
     moves: list[tuple[int, int]] = MOVES,
     tile: int = SEARCH_TILE,
-    max_rounds: int | None = None,
 ) -> DataFrame:
     """Tile table with the distance of every cell from its image's start.
 
@@ -290,7 +305,7 @@ def shortest_distances(
 
     rounds = 0
     several = (F.col("h") > tile) | (F.col("w") > tile)
-    while max_rounds is None or rounds < max_rounds:
+    while True:
         live = state.filter(F.col("changed") & several)
         if live.isEmpty():
             break

@@ -177,10 +177,18 @@ def trapezoid_mask(goals: DataFrame, radius: int, region: str = "T") -> DataFram
 
 
 def _depth_at(points: DataFrame, raster: DataFrame) -> DataFrame:
-    cells = raster.select("image_id", F.col("y").alias("py"), F.col("x").alias("px"), "depth")
+    """Points with the depth of their pixel. A point without a depth above 0 has no metric size:
+    it is left out, as are the pairs it is part of; ``points_without_depth`` lists it."""
+    cells = raster.select("image_id", F.col("y").alias("py"), F.col("x").alias("px"), "depth").filter("depth > 0")
     return points.join(cells, ["image_id", "py", "px"])
 
 
+def points_without_depth(points: DataFrame, raster: DataFrame) -> DataFrame:
+    """Rejects of the metric masks: points whose pixel is missing or has no depth above 0."""
+    cells = raster.filter("depth > 0").select("image_id", F.col("y").alias("py"), F.col("x").alias("px"))
+    return points.join(cells, ["image_id", "py", "px"], "left_anti")
+
+
 def goal_bands(goals: DataFrame, raster: DataFrame, half_width: float) -> DataFrame:
     """Vertical band of metric width at the goal (``B``) and a disc of the same radius (``C``).
 

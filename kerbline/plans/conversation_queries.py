@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import prompt_texts as PT
@@ -11,7 +13,7 @@ from ..operators import conversations as C
 from ..operators import tokens as K
 from ..scale import spread
 from . import fixtures as D
-from .registry import query
+from .registry import ORACLES, query
 
 
 def q(s: str) -> str:
@@ -163,16 +165,23 @@ _CHOSEN = [
     p AS ({" UNION ALL ".join(f"SELECT conv_id, prompt, {q(t)} AS template FROM ({_prompt_sql(t)})" for t in sorted(set(_CHOSEN) & set(PT.TEMPLATES)))})
     SELECT m.conv_id, m.template, p.prompt FROM m LEFT JOIN p USING (conv_id, template)""",
 )
-def prompts_by_model_name(spark, sf):
+def prompts_by_model_name(spark, sf, marker="vision"):
     """Template per model name; names of templates that do not exist leave no prompt."""
-    named = F.element_at(F.array(*[F.lit(m) for m in _MODELS]), (F.col("conv_id") % len(_MODELS)).cast("int") + 1)
-    idx = _indexed(spark, sf).withColumn("template", X.template_for_model(named))
+    models = [re.sub("(?i)vision", marker, m) for m in _MODELS]
+    named = F.element_at(F.array(*[F.lit(m) for m in models]), (F.col("conv_id") % len(models)).cast("int") + 1)
+    idx = _indexed(spark, sf).withColumn("template", X.template_for_model(named, marker))
     good, rejects = C.join_template(idx)
     prompts = C.render_prompts(good).join(good.select("conv_id", "template").distinct(), "conv_id")
     missing = rejects.select("conv_id", "template").distinct().withColumn("prompt", F.lit(None).cast("string"))
     return prompts.select("conv_id", "template", "prompt").unionByName(missing)
 
 
+@query("prompts_by_other_marker", ORACLES["prompts_by_model_name"])
+def prompts_by_other_marker(spark, sf):
+    """Another family's marker in the model names chooses the same templates."""
+    return prompts_by_model_name(spark, sf, "seer")
+
+
 @query(
     "prompts_with_picture",
     f"""WITH {_FACTS}, im AS (SELECT conv_id, i, role, CASE WHEN i = 0 AND conv_id % 3 = 0 THEN '<image>' || chr(10) || trim(text, ' {chr(9)}{chr(10)}{chr(13)}') ELSE text END AS text FROM idx)
@@ -435,50 +444,68 @@ def batches_by_modality(spark, sf):
 
 
 def _batched_ids(spark, sf):
-    ids = K.plain_ids(D.turns(spark, sf).filter("turn = 0"), "text", K.WordTokenizer(model_max_length=40))
-    return ids.select("conv_id", (F.col("conv_id") % 13).alias("batch"), "input_ids", F.col("input_ids").alias("labels"))
+    """Ids of every turn, told apart by conversation and turn."""
+    ids = K.plain_ids(_all_turns(spark, sf), "text", K.WordTokenizer(model_max_length=1_000_000))
+    return ids.select("turn_id", "batch", "input_ids", F.col("input_ids").alias("labels"))
+
+
+def _all_turns(spark, sf):
+    rows = D.turns(spark, sf).withColumn("turn_id", F.col("conv_id") * 1000 + F.col("turn"))
+    return rows.withColumn("batch", F.col("turn_id") % 13)
 
 
-_BATCH_IDS = f"""b AS (SELECT conv_id, conv_id % 13 AS batch, (list_prepend(1, {_ids_sql("text")}))[1:40] AS ids FROM conversations WHERE turn = 0),
+_TURN_IDS = "(SELECT conv_id * 1000 + turn AS turn_id, (conv_id * 1000 + turn) % 13 AS batch, text FROM conversations)"
+_BATCH_IDS = f"""b AS (SELECT turn_id, batch, list_prepend(1, {_ids_sql("text")}) AS ids FROM {_TURN_IDS}),
 m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS mx FROM b)"""
 
 
 @query(
     "batches_padded_right",
-    f"""WITH {_BATCH_IDS} SELECT conv_id, batch, array_to_string(ids || list_transform(range(mx - len(ids)), lambda i: 0), ' ') AS input_ids,
+    f"""WITH {_BATCH_IDS} SELECT turn_id, batch, array_to_string(ids || list_transform(range(mx - len(ids)), lambda i: 0), ' ') AS input_ids,
       array_to_string(ids || list_transform(range(mx - len(ids)), lambda i: -100), ' ') AS labels, len(ids) AS n_real FROM m""",
 )
 def batches_padded_right(spark, sf):
     out = K.pad_batches(_batched_ids(spark, sf), "batch", pad_id=0)
     return out.select(
-        "conv_id", "batch", _joined("input_ids").alias("input_ids"), _joined("labels").alias("labels"),
+        "turn_id", "batch", _joined("input_ids").alias("input_ids"), _joined("labels").alias("labels"),
         F.size(F.filter("attention_mask", lambda b: b)).cast("bigint").alias("n_real"),
     )
 
 
-@query(
-    "image_places_spliced_left",
-    f"""WITH b AS (SELECT conv_id, conv_id % 13 AS batch, {_ids_sql("text")} AS w FROM conversations WHERE turn = 0),
-    s AS (SELECT conv_id, batch, ([1] || w[1:2] || list_transform(range(5), lambda i: -200) || w[3:])[1:30] AS ids, ([1] || w[1:2] || list_transform(range(5), lambda i: -100) || w[3:])[1:30] AS labs FROM b),
+def _spliced_sql(cut: str) -> str:
+    return f"""WITH b AS (SELECT turn_id, batch, {_ids_sql("text")} AS w FROM {_TURN_IDS}),
+    s AS (SELECT turn_id, batch, ([1] || w[1:2] || list_transform(range(5), lambda i: -200) || w[3:]){cut} AS ids, ([1] || w[1:2] || list_transform(range(5), lambda i: -100) || w[3:]){cut} AS labs FROM b),
     m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS mx FROM s)
-    SELECT conv_id, batch, array_to_string(list_transform(range(mx - len(ids)), lambda i: 0) || ids, ' ') AS input_ids,
+    SELECT turn_id, batch, array_to_string(list_transform(range(mx - len(ids)), lambda i: 0) || ids, ' ') AS input_ids,
       array_to_string(list_transform(range(mx - len(ids)), lambda i: -100) || labs, ' ') AS labels,
-      array_to_string(list_transform(range(mx - len(ids)), lambda i: 0) || range(len(ids)), ' ') AS position_ids FROM m""",
-)
-def image_places_spliced_left(spark, sf):
-    """One image place behind the second word becomes five; batches are padded on the left."""
-    rows = D.turns(spark, sf).filter("turn = 0").select("conv_id", (F.col("conv_id") % 13).alias("batch"), TOK.ids(F.col("text")).alias("w"))
+      array_to_string(list_transform(range(mx - len(ids)), lambda i: 0) || range(len(ids)), ' ') AS position_ids FROM m"""
+
+
+def _spliced(spark, sf, max_length):
+    rows = _all_turns(spark, sf).select("turn_id", "batch", TOK.ids(F.col("text")).alias("w"))
     rows = rows.select(
-        "conv_id", "batch",
+        "turn_id", "batch",
         F.concat(F.slice("w", 1, 3), F.array(F.lit(K.IMAGE_ID)), F.slice("w", 4, 10_000_000)).alias("input_ids"),
     ).withColumn("labels", F.col("input_ids"))
-    out = K.splice_image_places(rows, F.lit(5), max_length=30, batch="batch", padding_side="left")
+    out = K.splice_image_places(rows, F.lit(5), max_length=max_length, batch="batch", padding_side="left")
     return out.select(
-        "conv_id", "batch", _joined("input_ids").alias("input_ids"), _joined("labels").alias("labels"),
+        "turn_id", "batch", _joined("input_ids").alias("input_ids"), _joined("labels").alias("labels"),
         _joined("position_ids").alias("position_ids"),
     )
 
 
+@query("image_places_spliced_left", _spliced_sql(""))
+def image_places_spliced_left(spark, sf):
+    """One image place behind the second word becomes five; batches are padded on the left."""
+    return _spliced(spark, sf, None)
+
+
+@query("image_places_cut", _spliced_sql("[1:30]"))
+def image_places_cut(spark, sf):
+    """The same with the cut at the longest row the model takes."""
+    return _spliced(spark, sf, 30)
+
+
 @query(
     "questions_chunked",
     """WITH t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS cnt FROM documents)

@@ -229,7 +229,7 @@ def choice_predictions(spark, sf) -> DataFrame:
         "when 2 then concat('The answer is ', chr(cast(65 + doc_id % 5 as int)), '.') "
         "when 3 then 'The answer is A. The answer is B.' "
         "when 4 then concat('The answer is ', chr(cast(65 + doc_id % 5 as int))) "
-        "else substring(text, 1, 40) end as text",
+        "else text end as text",
         "case when doc_id % 2 = 0 then concat('<image> ', lang) else lang end as prompt",
     )
 
@@ -241,6 +241,6 @@ PREDICTIONS = """preds AS (
       WHEN 2 THEN 'The answer is ' || chr((65 + doc_id % 5)::INT) || '.'
       WHEN 3 THEN 'The answer is A. The answer is B.'
       WHEN 4 THEN 'The answer is ' || chr((65 + doc_id % 5)::INT)
-      ELSE substring(text, 1, 40) END AS text,
+      ELSE text END AS text,
     CASE WHEN doc_id % 2 = 0 THEN '<image> ' || lang ELSE lang END AS prompt
   FROM documents WHERE doc_id % 11 <> 0)"""

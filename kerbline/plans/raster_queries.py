@@ -339,13 +339,30 @@ def path_centre_line(spark, sf):
     return P.centre_line(D.sizes(spark, sf))
 
 
+@query(
+    "path_densified_points",
+    f"""WITH RECURSIVE {D.RASTER_GOALS}, {D.raster_paths_sql(6)},
+    g(i, r, k) AS (SELECT 0, 0, greatest(2, ceil(20/6.0::DOUBLE)::INT) UNION ALL
+      SELECT i + 1, r + k - 1, greatest(2, ceil((20 - (r + k - 1))/(6 - (i + 1))::DOUBLE)::INT) FROM g WHERE i < 4),
+    p AS (SELECT a.image_id, r + j AS seq, a.x + j*((b.x - a.x)/k) AS x, a.y + j*((b.y - a.y)/k) AS y
+      FROM g JOIN pts a ON a.seq = g.i JOIN pts b ON b.image_id = a.image_id AND b.seq = a.seq + 1, range(0, 20) t(j) WHERE j < k - 1
+      UNION ALL SELECT image_id, (SELECT max(r + k - 1) FROM g), x, y FROM pts WHERE seq = 5)
+    SELECT image_id, seq::BIGINT AS seq, x, y FROM p""",
+)
+def path_densified_points(spark, sf):
+    """One pass over six points asked to become twenty: every step is cut into its share."""
+    pts = D.raster_paths(spark, sf, 6).select("image_id", "seq", "x", "y")
+    return P.densify_pass(pts, 20).select("image_id", F.col("seq").cast("bigint").alias("seq"), "x", "y")
+
+
 @query(
     "path_densified_counts",
     f"""WITH {D.RASTER_GOALS}, {D.raster_paths_sql(6)},
-    c AS (SELECT image_id, count(*) AS n, min(x) AS x0 FROM pts GROUP BY image_id) SELECT image_id, 18 AS n_points, true AS ends_kept FROM c""",
+    c AS (SELECT image_id, count(*) AS n FROM pts GROUP BY image_id) SELECT image_id, greatest(n, 20) AS n_points, true AS ends_kept FROM c""",
 )
 def path_densified_counts(spark, sf):
-    """Six points asked to become twenty: 16 after one pass, 18 after two, then no share can grow."""
+    """Six points asked to become twenty: 16 after one pass, 18 after two, then no share can grow
+    and the longest steps are halved."""
     pts = D.raster_paths(spark, sf, 6).select("image_id", F.col("seq"), "x", "y")
     dense = P.densify(pts, 20)
     ends = pts.filter("seq = 5").select("image_id", F.col("x").alias("ex"), F.col("y").alias("ey"))
@@ -461,7 +478,7 @@ _BOUNDS = "greatest({x} - trunc(1.0/depth*{f})::BIGINT, 0) AS lx, least({x} + tr
 )
 def mask_goal_bands(spark, sf):
     goals = _points(spark, sf).withColumn("fx", F.lit(2000.0))
-    return M.run_pixels(M.goal_bands(goals, D.raster(spark, sf).filter("depth > 0"), 1.0))
+    return M.run_pixels(M.goal_bands(goals, D.raster(spark, sf), 1.0))
 
 
 _PATH_MASK = f"""bd AS (
@@ -479,7 +496,7 @@ pmask AS (
 
 def _path_mask(spark, sf):
     pts = _path_points(spark, sf).withColumn("fx", F.lit(1000.0))
-    return M.path_mask(pts, D.raster(spark, sf).filter("depth > 0"), 1.0)
+    return M.path_mask(pts, D.raster(spark, sf), 1.0)
 
 
 @query(
@@ -490,6 +507,16 @@ def mask_path(spark, sf):
     return M.run_pixels(_path_mask(spark, sf))
 
 
+@query(
+    "mask_points_without_depth",
+    f"WITH {D.RASTER}, {D.RASTER_GOALS}, {D.raster_paths_sql(6)} SELECT p.image_id, seq::BIGINT AS seq, px, py FROM pts p JOIN raster r ON r.image_id = p.image_id AND r.y = py AND r.x = px WHERE depth <= 0",
+)
+def mask_points_without_depth(spark, sf):
+    """Path points that no metric mask can size."""
+    out = M.points_without_depth(_path_points(spark, sf), D.raster(spark, sf))
+    return out.select("image_id", F.col("seq").cast("bigint").alias("seq"), "px", "py")
+
+
 @query(
     "mask_path_discs",
     f"""WITH {D.RASTER}, {D.RASTER_GOALS}, {D.raster_paths_sql(6)}, {_PIXELS},
@@ -498,7 +525,7 @@ def mask_path(spark, sf):
 )
 def mask_path_discs(spark, sf):
     pts = _path_points(spark, sf).withColumn("fx", F.lit(1000.0)).withColumn("fy", F.lit(800.0))
-    return M.run_pixels(M.path_disc_mask(pts, D.raster(spark, sf).filter("depth > 0"), 1.0))
+    return M.run_pixels(M.path_disc_mask(pts, D.raster(spark, sf), 1.0))
 
 
 _LINE_PX = """linepx AS (SELECT DISTINCT p.image_id, px8.y, px8.x FROM pts p JOIN px8 ON (px8.y - py)*(px8.y - py) + (px8.x - px)*(px8.x - px) <= 1

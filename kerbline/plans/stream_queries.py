@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from ..streaming import logs as L
 from . import fixtures as D
-from .registry import query
+from .registry import ORACLES, query
 
 _CLOSED = "d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM chat)"
 
@@ -61,6 +61,19 @@ def stream_running_scores(spark, sf):
     return L.run_available(L.running_scores(scores), "scores", mode="complete")
 
 
+@query("stream_scores_continued", ORACLES["stream_running_scores"])
+def stream_scores_continued(spark, sf):
+    """Update mode over files that arrive between two runs; the second run reads only the new one."""
+    folder, out, state = (scratch_path(spark, f"scores-{x}") for x in ("in", "out", "state"))
+    events = D.table(spark, sf, "events").selectExpr("event_type as tag", "concat('m', cast(user_id % 5 as string)) as metric", "cast(event_id % 10 as double) as value", "event_id % 3 as part")
+    for parts in ((0, 1), (2,)):
+        for part in parts:
+            events.filter(F.col("part") == part).drop("part").write.mode("append").parquet(folder)
+        scores = spark.readStream.schema(events.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        result = L.run_available(L.running_scores(scores), "scores", "update", ("tag", "metric"), out, state)
+    return result
+
+
 @query(
     "stream_first_copies",
     "SELECT strftime(ts, '%Y-%m-%d') AS day, md5(props) AS content_hash FROM events GROUP BY 1, 2",

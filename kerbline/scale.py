@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_KEYS = 4096  # keys brought to the driver to choose cut points, whatever the table size
+from .session import settle
 
 
 def seeded_hash(seed: int | str, *cols: str | Column) -> Column:
@@ -29,46 +29,19 @@ def hash_bucket(md5_col: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table stored in fewer files than there are cores.
-
-    Only such an input is shuffled; a table of many files is read as it lies.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
-def _cut_points(df: DataFrame, order: Sequence[str], buckets: int) -> list:
-    """Evenly spaced keys of a hash sample; the driver sees about SAMPLE_KEYS of them."""
-    keys = df.select(*order)
-    share = min(1.0, SAMPLE_KEYS / max(keys.count(), 1))
-    kept = F.pmod(F.xxhash64(*order), F.lit(2**31)) < int(share * 2**31)
-    picked = sorted(tuple(r) for r in keys.filter(kept).distinct().limit(4 * SAMPLE_KEYS).collect())
-    step = len(picked) / buckets
-    return sorted({picked[int(step * i)] for i in range(1, buckets)}) if picked else []
+    """Deal the rows out to all cores: for wide work on tables of few files, stated where it is used."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def _less(order: Sequence[str], point: tuple) -> Column:
-    cond = F.lit(False)
-    for name, value in reversed(list(zip(order, point))):
-        cond = (F.col(name) < F.lit(value)) | ((F.col(name) == F.lit(value)) & cond)
-    return cond
+def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows with ``_bkt``, a bucket number that follows ``order`` (the last column unique).
 
-
-def range_bucket(df: DataFrame, order: Sequence[str], buckets: int = 32) -> Column:
-    """Bucket number that follows ``order`` (non-null columns, the last one unique).
-
-    The cut points come from a bounded sample of keys; they only balance the buckets, the
-    numbering built on them is exact for any choice.
+    Buckets are the range partitions of one shuffle, as many as the session's shuffle partitions.
+    They are written once, so the input is evaluated once and the numbers stay what they are; the
+    numbering built on them is exact wherever the cuts fall.
     """
-    points = _cut_points(df, order, buckets)
-
-    def pick(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(_less(order, points[mid]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
-
-    return pick(0, len(points))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settle(df.repartitionByRange(parts, *order).withColumn("_bkt", F.spark_partition_id()), "ranged")
 
 
 def ordered_index(
@@ -79,7 +52,7 @@ def ordered_index(
     bucket: Column | None = None,
 ) -> DataFrame:
     """Number rows 1..n by ``order`` inside each ``within`` key, in parallel."""
-    b = df.withColumn("_bkt", bucket if bucket is not None else range_bucket(df, order))
+    b = df.withColumn("_bkt", bucket) if bucket is not None else _ranged(df, order)
     keys = [*within, "_bkt"]
     before = (
         Window.partitionBy(*(within or [F.lit(0)]))
@@ -109,7 +82,7 @@ def running_mean(
     bucket: Column | None = None,
 ) -> DataFrame:
     """Mean of all rows up to and including each row, for keys of any size."""
-    b = df.withColumn("_bkt", bucket if bucket is not None else range_bucket(df, order))
+    b = df.withColumn("_bkt", bucket) if bucket is not None else _ranged(df, order)
     keys = [*within, "_bkt"]
     before = (
         Window.partitionBy(*(within or [F.lit(0)]))

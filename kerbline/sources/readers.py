@@ -85,18 +85,21 @@ def read_goal_xml(spark: SparkSession, path: str, row_tag: str = "annotation") -
 
 
 def read_goal_record(spark: SparkSession, path: str) -> DataFrame:
-    """Goal of an earlier record: a list in one tag, or repeated tags as the writer makes them."""
+    """Goal of an earlier record: a list in one tag, or repeated tags as the writer makes them.
+
+    The image is named by the record; only a record without a name takes that of its file.
+    """
     raw = (
         spark.read.format("xml")
         .option("rowTag", "Annotation")
-        .schema("goal_position_xy array<string>, goal_object_label string")
+        .schema("filename string, goal_position_xy array<string>, goal_object_label string")
         .load(path)
     )
     one = F.from_json(F.col("goal_position_xy")[0], "array<double>")
     many = F.transform("goal_position_xy", lambda v: v.try_cast("double"))
     xy = F.when(F.size("goal_position_xy") == 1, one).otherwise(many)
     return raw.select(
-        _stem(F.col("_metadata.file_name")).alias("image_id"),
+        _stem(F.coalesce("filename", F.col("_metadata.file_name"))).alias("image_id"),
         F.coalesce("goal_object_label", F.lit("point")).alias("label"),
         F.get(xy, F.lit(0)).alias("cx"),
         F.get(xy, F.lit(1)).alias("cy"),

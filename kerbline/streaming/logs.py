@@ -6,7 +6,7 @@ drains a stream into a table on shared storage and returns that table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,17 +18,35 @@ from ..operators.goals import unfinished
 from ..session import scratch_path
 
 
-def run_available(plan: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process what is there, once, into a Parquet table; other modes keep the last result."""
+def run_available(
+    plan: DataFrame, name: str, mode: str = "append", keys: Sequence[str] = (), out: str | None = None, state: str | None = None
+) -> DataFrame:
+    """Process what is there, once, and return the table it has led to so far.
+
+    ``out`` and ``state`` name the table and the stream's checkpoint; a call with those of an
+    earlier one reads only what is new. They are fresh folders if left out. ``append`` adds rows,
+    ``complete`` keeps the last result, ``update`` merges the changed rows by ``keys``.
+    """
     spark = plan.sparkSession
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    out, state = out or scratch_path(spark, name), state or scratch_path(spark, f"{name}-state")
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys that changed rows are merged by")
     writer = plan.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
-    else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
-    query.awaitTermination()
-    return spark.read.schema(plan.schema).parquet(out)
+        query.awaitTermination()
+        return spark.read.schema(plan.schema).parquet(out)
+
+    def step(batch: DataFrame, number: int) -> None:
+        """Each micro-batch writes a version of its own, so a repeated one does no harm."""
+        if mode == "update" and number:
+            earlier = spark.read.schema(plan.schema).parquet(f"{out}/version={number - 1}")
+            batch = batch.unionByName(earlier.join(batch, list(keys), "left_anti"))
+        batch.write.mode("overwrite").parquet(f"{out}/version={number}")
+
+    writer.foreachBatch(step).start().awaitTermination()
+    last = spark.read.parquet(out).agg(F.max("version")).first()[0]
+    return spark.read.schema(plan.schema).parquet(f"{out}/version={last}")
 
 
 def daily_log(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -72,7 +90,8 @@ def chat_latency(events: DataFrame, late: str = "1 hour", accuracy: int = 10_000
 
 
 def running_scores(scores: DataFrame) -> DataFrame:
-    """Mean and count per tag and metric so far; run in ``complete`` or ``update`` mode."""
+    """Mean and count per tag and metric so far; run in ``complete`` mode, or in ``update`` mode by
+    tag and metric."""
     return scores.groupBy("tag", "metric").agg(
         F.sum("value").alias("total"), F.count("value").alias("n"), F.avg("value").alias("mean_value")
     )
@@ -87,9 +106,12 @@ def first_copies(events: DataFrame, content: Column, late: str = "1 day") -> Dat
 
 
 def generate_incrementally(
-    images: DataFrame, finished_path: str, generate: Callable[[DataFrame], DataFrame]
+    images: DataFrame, finished_path: str, generate: Callable[[DataFrame], DataFrame], state: str | None = None
 ) -> None:
-    """For each batch of new images: skip the finished ones, generate and append the rest."""
+    """For each batch of new images: skip the finished ones, generate and append the rest.
+
+    With the ``state`` folder of an earlier call only new images are read.
+    """
     spark = images.sparkSession
 
     def step(batch: DataFrame, _: int) -> None:
@@ -103,7 +125,7 @@ def generate_incrementally(
 
     query = (
         images.writeStream.foreachBatch(step)
-        .option("checkpointLocation", scratch_path(spark, "generate-state"))
+        .option("checkpointLocation", state or scratch_path(spark, "generate-state"))
         .trigger(availableNow=True)
         .start()
     )

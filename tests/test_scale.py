@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from kerbline import scale
 from kerbline.operators import batches as B
 from kerbline.operators import benchmarks as BM
+from kerbline.operators import paths as P
+from kerbline.operators import regions as M
 from kerbline.plans import fixtures as D
 from kerbline.plans import QUERIES
 from kerbline.streaming import logs as L
@@ -141,3 +143,26 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     root = checkpoint_root(spark)
     assert root and (named is None or root == named)
     assert scale.seeded_hash(17, F.lit(1)) is not None
+
+
+def test_update_mode_needs_keys(spark):
+    stream = spark.readStream.format("rate").load().groupBy("value").count()
+    with pytest.raises(ValueError):
+        L.run_available(stream, "x", "update")
+
+
+@pytest.mark.parametrize("n", [2, 3, 20, 50, 129])
+def test_densified_paths_reach_the_count(spark, n):
+    df = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 1.0, 2.0), (2, 0, 0.5, 0.5), (3, 0, 0.0, 0.0), (3, 1, 1.0, 0.0), (3, 2, 1.0, 9.0)], "image_id long, seq int, x double, y double")
+    rows = P.densify(df, n).collect()
+    by = {k: sorted((r.seq, r.x, r.y) for r in rows if r.image_id == k) for k in (1, 2, 3)}
+    assert len(by[1]) >= n and len(by[3]) >= n and len(by[2]) == 1
+    for path, first, last in ((by[1], (0.0, 0.0), (1.0, 2.0)), (by[3], (0.0, 0.0), (1.0, 9.0))):
+        assert [p[0] for p in path] == list(range(len(path))) and path[0][1:] == first and path[-1][1:] == last
+
+
+def test_points_without_depth_are_rejects(spark):
+    raster = spark.createDataFrame([(1, 0, x, 4, 4, float(x % 3)) for x in range(4)], "image_id long, y int, x int, h int, w int, depth double")
+    points = spark.createDataFrame([(1, s, s, 0, 4, 4, 100.0, 80.0) for s in range(4)], "image_id long, seq int, px int, py int, h int, w int, fx double, fy double")
+    assert sorted(r.seq for r in M.points_without_depth(points, raster).collect()) == [0, 3]
+    assert M.path_mask(points, raster, 0.01).count() > 0 and M.path_disc_mask(points, raster, 0.01).count() > 0
