@@ -293,7 +293,8 @@ def explode_map(raw: DataFrame, column: str, value_schema: str, key: str = "id")
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.option("sep", "\t").option("header", True).option("multiLine", True).schema(schema).csv(path)
+    """Tab-separated rows under a header; a quote inside a quoted field is doubled."""
+    return spark.read.options(sep="\t", header=True, multiLine=True, escape='"').schema(schema).csv(path)
 
 
 def decode_images(rows: DataFrame, column: str = "image") -> DataFrame:
