@@ -44,7 +44,10 @@ def choose_goals(images: DataFrame, depth: DataFrame, sources: list[tuple[str, D
 
 
 def image_paths(images: DataFrame, depth: DataFrame, goal: DataFrame, stored: DataFrame | None, s: Settings) -> DataFrame:
-    """``(image_id, seq, x, y, origin)``: stored, planned or straight path of every image."""
+    """``(image_id, seq, x, y, origin)``: stored, planned or straight path of every image.
+
+    Only images without a stored path are planned, and only their raster is read for it.
+    """
     ends = goal.join(images.select("image_id", "h", "w"), "image_id")
     line = paths.straight_line(
         ends.select("image_id", F.lit(0.5).alias("x1"), F.lit(1.0).alias("y1"), F.col("cx").alias("x2"), F.col("cy").alias("y2")),
@@ -53,7 +56,9 @@ def image_paths(images: DataFrame, depth: DataFrame, goal: DataFrame, stored: Da
     none = line.limit(0)
     planned = none
     if s.planner is not None:
-        points = paths.PLANNERS[s.planner](depth, ends.select("image_id", "h", "w", "cx", "cy"), s.per_metre)[1]
+        open_ends = ends if stored is None else ends.join(stored.select("image_id").distinct(), "image_id", "left_anti")
+        seen = depth if stored is None else depth.join(open_ends.select("image_id"), "image_id", "left_semi")
+        points = paths.PLANNERS[s.planner](seen, open_ends.select("image_id", "h", "w", "cx", "cy"), s.per_metre)[1]
         planned = points.select("image_id", "seq", F.col("nx").alias("x"), F.col("ny").alias("y"))
     return cut_lineage(paths.choose_paths(images, none if stored is None else stored, planned, line))
 

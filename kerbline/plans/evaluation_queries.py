@@ -21,14 +21,20 @@ from .conversation_queries import q
 from .registry import query
 
 # ---- records and truth from documents -----------------------------------------------------
-# field k of the truth is sentence k, of the prediction sentences k and k+1
+# a document is a row of records with five sentences each; field k of the truth is sentence k of
+# its record, of the prediction sentences k and k+1
 
 _TAGS = [t for t, _, _ in PT.EVALUATED_FIELDS]
 
 
 def _truth_and_pred(spark, sf):
-    s = F.split("text", r"\.")
-    docs = scale.spread(D.table(spark, sf, "documents").select("doc_id", "text")).withColumn("filename", F.concat(F.col("doc_id").cast("string"), F.lit(".xml")))
+    docs = scale.spread(D.table(spark, sf, "documents").select("doc_id", "text")).withColumn("all", F.split("text", r"\."))
+    parts = docs.withColumn("c", F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / 5).cast("int"))))
+    docs = parts.select(
+        F.concat_ws("-", F.col("doc_id").cast("string"), F.concat(F.col("c").cast("string"), F.lit(".xml"))).alias("filename"),
+        F.slice("all", F.col("c") * 5 + 1, F.lit(6)).alias("s"),
+    )
+    s = F.col("s")
     truth = docs.select("filename", *[F.get(s, F.lit(k)).alias(t) for k, t in enumerate(_TAGS)])
     pred = docs.select(
         "filename",
@@ -39,9 +45,9 @@ def _truth_and_pred(spark, sf):
 
 _WS = " \t\n\r"
 _FIELDS = f"""tags(k, tag) AS (VALUES {", ".join(f"({k}, '{t}')" for k, t in enumerate(_TAGS))}),
-fp AS (SELECT doc_id || '.xml' AS filename, tag,
+fp AS (SELECT doc_id || '-' || c || '.xml' AS filename, tag,
     trim(CASE WHEN k = 0 THEN 'In "India" ' || s[1] ELSE s[k+1] END, '{_WS}') AS t0, trim(s[k+1] || ' India ' || s[k+2], '{_WS}') AS pred
-  FROM (SELECT doc_id, string_split(text, '.') AS s FROM documents), tags),
+  FROM (SELECT doc_id, c, a[c*5+1:c*5+6] AS s FROM (SELECT doc_id, string_split(text, '.') AS a, unnest(range(0, (len(string_split(text, '.')) - 1)//5 + 1)) AS c FROM documents)), tags),
 fields AS (SELECT filename, tag, pred, replace(replace(t0, 'India', 'sidewalk'), '"', '') AS truth FROM fp)"""
 
 
