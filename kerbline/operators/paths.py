@@ -3,8 +3,9 @@
 The search runs on all images at once. A raster is held as one row per tile: the entry cost
 of each cell and the best distance so far, both with a one-cell frame. A round improves each
 tile on its own until it is stable and then sends the changed cells on its rim to the
-neighbour tiles. The search ends when no tile sends anything. Only the rims are shuffled, and
-the number of rounds follows the tiles a path crosses, not its length in pixels.
+neighbour tiles. The search ends when no tile sends anything. A round moves the rims and the
+tiles that got mail, not the costs or distances of the others, and the number of rounds follows
+the tiles a path crosses, not its length in pixels.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path, settle
 from .raster import MOVES, TileGrid, attach, cell_cost, change_cost, pack_tiles
 
 SEARCH_TILE = 128
@@ -271,57 +272,71 @@ def shortest_distances(
     def send(rows):
         """Rim cells of changed tiles, once per neighbour tile that frames them."""
         for pdf in rows:
-            out = {k: [] for k in ("image_id", "ty", "tx", "y", "x", "d")}
+            out = []
             for r in pdf.itertuples(index=False):
                 inner = _grid(r.dist, r.nh, r.nw)[1:-1, 1:-1]
-                for y, x in np.argwhere(_rim(r.nh, r.nw) & np.isfinite(inner)):
-                    gy, gx = int(y + r.y0), int(x + r.x0)
-                    near = {((gy + a) // tile, (gx + b) // tile) for a in (-1, 0, 1) for b in (-1, 0, 1)
-                            if 0 <= gy + a < r.h and 0 <= gx + b < r.w}
-                    for ty, tx in near - {(r.ty, r.tx)}:
-                        for k, v in zip(out, (r.image_id, ty, tx, gy, gx, float(inner[y, x]))):
-                            out[k].append(v)
-            yield pd.DataFrame(out)
+                y, x = np.nonzero(_rim(r.nh, r.nw) & np.isfinite(inner))
+                gy, gx, d = y + r.y0, x + r.x0, inner[y, x]
+                parts = []
+                for dy, dx in ((u, v) for u in (-1, 0, 1) for v in (-1, 0, 1)):
+                    ny, nx = gy + dy, gx + dx
+                    fits = (ny >= 0) & (ny < r.h) & (nx >= 0) & (nx < r.w)
+                    fits &= (ny // tile != r.ty) | (nx // tile != r.tx)
+                    parts.append(np.stack([ny // tile, nx // tile, gy, gx, np.arange(len(gy))], axis=1)[fits])
+                ty, tx, y, x, i = np.unique(np.concatenate(parts), axis=0).T
+                out.append(pd.DataFrame({"image_id": r.image_id, "ty": ty, "tx": tx, "y": y, "x": x, "d": d[i]}))
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({k: [] for k in ("image_id", "ty", "tx", "y", "x", "d")})
 
     def receive(rows):
+        """Tiles with their mail: the new distances, whether any fell, and whether one on the rim did."""
         for pdf in rows:
-            dists, flags = [], []
+            dists, better, flags = [], [], []
             for r in pdf.itertuples(index=False):
                 dist = _grid(r.dist, r.nh, r.nw)
-                moved = False
-                if r.inbox is not None and len(r.inbox):
-                    for m in r.inbox:
-                        y, x = m["y"] - r.y0 + 1, m["x"] - r.x0 + 1
-                        if m["d"] < dist[y, x]:
-                            dist[y, x], moved = m["d"], True
-                    if moved:
-                        old = dist[1:-1, 1:-1].copy()
-                        depth = _grid(r.depth, r.nh, r.nw) if use_depth_change else None
-                        dist = _improve(_grid(r.enter, r.nh, r.nw), depth, dist, moves)
-                        moved = bool((dist[1:-1, 1:-1] < old)[_rim(r.nh, r.nw)].any())
+                y, x, d = (np.array([m[k] for m in r.inbox]) for k in ("y", "x", "d"))
+                before = dist.copy()
+                np.minimum.at(dist, (y - r.y0 + 1, x - r.x0 + 1), d)
+                moved = bool((dist < before).any())
+                changed = False
+                if moved:
+                    old = dist[1:-1, 1:-1].copy()
+                    depth = _grid(r.depth, r.nh, r.nw) if use_depth_change else None
+                    dist = _improve(_grid(r.enter, r.nh, r.nw), depth, dist, moves)
+                    changed = bool((dist[1:-1, 1:-1] < old)[_rim(r.nh, r.nw)].any())
                 dists.append(dist.tobytes())
-                flags.append(moved)
-            yield pdf.drop(columns=["inbox"]).assign(dist=dists, changed=flags)
+                better.append(moved)
+                flags.append(changed)
+            yield pdf.drop(columns=["inbox", "enter", "depth"]).assign(dist=dists, better=better, changed=flags)
 
-    rounds = 0
+    # Costs and depths stay where they are; a round reads and writes only tiles that got mail.
+    keys, spark = ["image_id", "ty", "tx"], cells.sparkSession
     several = (F.col("h") > tile) | (F.col("w") > tile)
-    while True:
-        live = state.filter(F.col("changed") & several)
-        if live.isEmpty():
-            break
-        mail = (
-            live.select("image_id", "ty", "tx", "h", "w", "y0", "x0", "nh", "nw", "dist")
-            .mapInPandas(send, f"image_id {id_type}, ty int, tx int, y bigint, x bigint, d double")
-            .groupBy("image_id", "ty", "tx")
-            .agg(F.collect_list(F.struct("y", "x", "d")).alias("inbox"))  # at most the rims around one tile
-        )
-        state = cut_lineage(
-            state.drop("changed")
-            .join(mail, ["image_id", "ty", "tx"], "left")
-            .mapInPandas(receive, head + ", changed boolean")
-        )
+    geometry = [*keys, "h", "w", "y0", "x0", "nh", "nw"]
+    fixed = state.drop("dist", "changed")
+    moving = state.filter(F.col("changed") & several).select(*geometry, "dist")
+    if moving.isEmpty():
+        return state
+    log = scratch_path(spark, "distances")
+    state.select(*keys, "dist").write.parquet(f"{log}/round=0")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in moving.schema.fields[:-1])
+    last = F.max_by("dist", "round").alias("dist")
+    rounds = 0
+    while not moving.isEmpty():
         rounds += 1
-    return state
+        mail = settle(
+            moving.mapInPandas(send, f"image_id {id_type}, ty int, tx int, y bigint, x bigint, d double")
+            .groupBy(*keys)
+            .agg(F.collect_list(F.struct("y", "x", "d")).alias("inbox")),  # at most the rims around one tile
+            "mail",
+        )
+        now = spark.read.parquet(log).join(mail.select(*keys), keys, "left_semi").groupBy(*keys).agg(last)
+        tiles = mail.join(now, keys).join(fixed, keys).select(*geometry, "enter", "depth", "dist", "inbox")
+        got = settle(tiles.mapInPandas(receive, f"{kind}, dist binary, better boolean, changed boolean"), "tiles")
+        got.filter("better").select(*keys, "dist").write.parquet(f"{log}/round={rounds}")
+        moving = got.filter("changed").select(*geometry, "dist")
+    settled = spark.read.parquet(log).groupBy(*keys).agg(last)
+    columns = [c for c in state.columns if c != "changed"]
+    return cut_lineage(fixed.join(settled, keys).withColumn("changed", F.lit(False)).select(*columns, "changed"))
 
 
 def cell_distances(state: DataFrame) -> DataFrame:
