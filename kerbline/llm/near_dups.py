@@ -4,12 +4,12 @@
    rarity codes (1 MB at any size of the corpus) is the only thing broadcast.
 2. Equal texts fall together by digest. Each distinct text gets banded samples and its packed
    weighted set.
-3. A band key shared by several texts is a bucket. Members are compared with a hub, not with each
-   other; a bucket is done when all its members are connected. The members left over get hubs of
-   their own, twice as many in each round, until nothing is open: no pair of a bucket that
-   reaches the similarity stays unconnected, and a group of near copies costs one comparison per
-   member. Shingles that only one text has bound its similarity to all others. Small rests compare all their open members at once. Weighted Jaccard distance is a metric, so members too near to or too far from a hub to
-   be linked to an open member are left out of later rounds.
+3. A band key shared by several texts is a bucket. Its members are compared with a hub, not with
+   each other. A bucket whose members are then all connected is done, so a group of near copies
+   costs one comparison per member. A member left open is compared with those of its bucket that
+   are not yet connected with it and that bounds do not rule out: the distance of both to the hub
+   (weighted Jaccard distance is a metric) and the weight of shingles no other text has. So no
+   pair of a bucket that reaches the similarity stays unconnected.
 4. Links become classes by alternating star contraction.
 """
 
@@ -31,9 +31,8 @@ from .common import cut_batches, id_and_text
 from .shingles import DF_BITS, band_keys, consistent_samples, df_bucket, pack_set, rarity, shingles, unpack_set, weighted_jaccard, weights
 
 SIMILARITY = 0.8
-SLICE = 2 << 20
+SLICE = 1 << 20
 DF_CHUNK = 1 << 16
-SMALL = 16  # open members of a bucket that are all hubs at once
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -196,39 +195,35 @@ def links_of(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     members = settle(rows.join(shared.select("bucket", F.col("hub.text_key").alias("hub")), "bucket"), "dup-members")
     pairs = members.filter("text_key <> hub").select(F.col("hub").alias("a"), F.col("text_key").alias("b")).distinct()
     known = settle(similarities(pairs, sets), "dup-similar")
+    linked = known.filter(F.col("s") >= similarity).select("a", "b")
     # members without the hub; a text that owns more than the rest allows is linked to nothing
     to_hub = known.select(F.col("a").alias("hub"), F.col("b").alias("text_key"), (1 - F.col("s")).alias("d"))
     left = members.filter(F.col("own") <= far * F.col("total") + 1e-6).join(to_hub, ["hub", "text_key"]).drop("hub")
-    turn = 0
-    while True:
-        linked = known.filter(F.col("s") >= similarity).select("a", "b")
-        roots = components(linked).withColumnRenamed("node", "text_key")
-        rest = settle(left.join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key")), "dup-rest")
-        # the largest component of a bucket is settled; the others are open
-        per_root = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        main = per_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-        mixed = rest.join(main.select("bucket", F.col("m.root").alias("main")), "bucket").withColumn("open", F.col("root") != F.col("main"))
-        spread = mixed.filter("open").groupBy("bucket").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("n"), F.max(F.struct("copies", "text_key")).alias("best"))
-        kept = mixed.join(spread, "bucket").filter(F.col("open") | F.col("d").between(F.col("low") - far - 1e-9, F.col("high") + far + 1e-9))
-        draw = F.pmod(F.xxhash64("text_key", "bucket", F.lit(turn)), F.greatest(F.col("n"), F.lit(SMALL))) < SMALL * 4**turn
-        is_hub = F.col("open") & (draw | (F.col("text_key") == F.col("best.text_key")))
-        kept = settle(kept.select("bucket", "text_key", "copies", "total", "own", "d", "root", is_hub.alias("is_hub")), "dup-open")
-        hubs = kept.filter("is_hub").select("bucket", *(F.col(c).alias(f"hub_{c}") for c in ("text_key", "root", "d", "total", "own")))
-        if hubs.isEmpty():
-            return linked
-        common = F.least(F.col("total") - F.col("own"), F.col("hub_total") - F.col("hub_own"))
-        apart = (
-            (F.col("root") != F.col("hub_root"))
-            & (F.abs(F.col("d") - F.col("hub_d")) <= far + 1e-9)
-            & (common * (1 + similarity) + 1e-6 >= similarity * (F.col("total") + F.col("hub_total")))
-        )
-        pair = F.least("text_key", "hub_text_key").alias("a"), F.greatest("text_key", "hub_text_key").alias("b")
-        seen = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        asked = kept.join(hubs, "bucket").filter(apart).select(*pair).distinct().join(seen, ["a", "b"], "left_anti")
-        fresh = settle(similarities(asked, sets), "dup-similar")
-        known = settle(known.unionByName(fresh), "dup-known")
-        left = kept.filter("not is_hub").drop("root", "is_hub")
-        turn += 1
+    roots = components(linked).withColumnRenamed("node", "text_key")
+    rest = settle(left.join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key")), "dup-rest")
+    # the largest component of a bucket is settled; the others are open
+    per_root = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = per_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    mixed = rest.join(main.select("bucket", F.col("m.root").alias("main")), "bucket").withColumn("open", F.col("root") != F.col("main"))
+    spread = mixed.filter("open").groupBy("bucket").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    near = F.col("open") | F.col("d").between(F.col("low") - far - 1e-9, F.col("high") + far + 1e-9)
+    columns = ("text_key", "root", "d", "total", "own", "open", "bands")
+    kept = settle(mixed.join(spread, "bucket").filter(near).join(texts.select("text_key", "bands"), "text_key").select("bucket", *columns), "dup-open")
+    ask = kept.filter("open").select("bucket", *(F.col(c).alias(f"o_{c}") for c in columns))
+    common = F.least(F.col("total") - F.col("own"), F.col("o_total") - F.col("o_own"))
+    # the pair is asked for in the first bucket both are in, and once where both are open
+    place = F.array_position(F.zip_with("bands", "o_bands", lambda x, y: x == y), True)
+    apart = (
+        (F.col("root") != F.col("o_root"))
+        & (~F.col("open") | (F.col("text_key") < F.col("o_text_key")))
+        & (F.abs(F.col("d") - F.col("o_d")) <= far + 1e-9)
+        & (common * (1 + similarity) + 1e-6 >= similarity * (F.col("total") + F.col("o_total")))
+        & (F.element_at("bands", place.cast("int")) == F.col("bucket"))
+    )
+    seen = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    asked = kept.join(ask, "bucket").filter(apart).select(F.col("o_text_key").alias("a"), F.col("text_key").alias("b"))
+    fresh = settle(similarities(asked.join(seen, ["a", "b"], "left_anti"), sets), "dup-similar")
+    return linked.unionByName(fresh.filter(F.col("s") >= similarity).select("a", "b"))
 
 
 def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

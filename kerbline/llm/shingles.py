@@ -12,7 +12,7 @@ import zstandard
 from .common import per_worker
 
 WORDS = 5
-STEP = 4 << 20  # bytes of one text hashed at a time
+STEP = 1 << 20  # bytes of one text hashed at a time
 DF_BITS = 20  # buckets of the document frequencies
 HASH_BITS = 48  # of a shingle
 CHUNK = 1 << 14  # shingles sampled at a time
@@ -42,12 +42,12 @@ def word_bytes() -> np.ndarray:
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     def make() -> tuple[np.ndarray, np.ndarray]:
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        n = 1 << max(22, size.bit_length())
+        n = 1 << max(21, size.bit_length())
         up, down = np.full(n, BASE, np.uint64), np.full(n, inverse, np.uint64)
         up[0] = down[0] = 1
         return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
-    return per_worker(("powers", max(22, size.bit_length())), make)
+    return per_worker(("powers", max(21, size.bit_length())), make)
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
