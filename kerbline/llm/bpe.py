@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 
 from .common import cut_batches, id_and_text, per_worker
 
-KEEP = 800_000  # pieces whose ids a worker keeps between slices; more only costs memory
-SLICE = 4 << 20  # text bytes encoded at a time
+KEEP = 250_000  # pieces whose ids a worker keeps between slices; more only costs memory
+JUDGED = 400_000  # token pairs whose fit a worker remembers
+SLICE = 2 << 20  # text bytes encoded at a time
 TEXT_STEP = 1 << 20  # pieces of one text held at a time
 
 
@@ -158,7 +159,7 @@ class Coder:
                     m = merges.get(x << 20 | y)
                     if m is not None and m < x_until and m <= y_until:
                         known = False
-            if len(self.judged) > 2_000_000:
+            if len(self.judged) > JUDGED:
                 self.judged.clear()
             self.judged[a << 20 | b] = known
         return known

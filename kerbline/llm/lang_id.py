@@ -22,7 +22,7 @@ from .common import cut_batches, per_worker
 BITS = 16
 CHUNK = 4096  # buckets that travel in one row of partial counts
 SMOOTHING = 0.5
-SLICE = 2 << 20
+SLICE = 1 << 20
 UNKNOWN = "und"
 # Fixed odd multipliers of the n-gram hash.
 FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
