@@ -28,6 +28,7 @@ PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 284, 317
 FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 
 ROW = 576  # samples in a row of the stored form; payloads are padded to whole rows
+SLICE, PAGE_BATCH = 4 << 20, 4 << 20  # bytes of text written and of samples read at a time
 PAGE_ROWS = 16384  # a page holds 9.4 MB at most, a longer payload goes on in the next page
 
 
@@ -291,34 +292,35 @@ def _pages_of(data: bytes | None) -> Iterator[tuple]:
             yield k, len(found), None, None, None, note, f"{type(e).__name__}: {e}", *stored, None
 
 
-def tiff_pages(df: DataFrame, id_col: str = "id", data_col: str = "media") -> DataFrame:
-    """One row per page of every file, in directory order: ``PAGES``.
+def read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, media`` batches to page batches of a few megabytes."""
+    names = ["id", "page", "pages", "width", "height", "samples", "description", "error", "media_bytes", "media_sha256", "data"]
+    kinds = [pa.int64(), *[pa.int32()] * 5, pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
-    The pages of a file follow each other in one partition. A null or broken file gives one
-    row with ``error`` set, a broken page its own such row. Repeated rows repeat. An empty
-    table gives no rows.
-    """
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "page", "pages", "width", "height", "samples", "description", "error", "media_bytes", "media_sha256", "data"]
-        kinds = [pa.int64(), *[pa.int32()] * 5, pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+    rows, held = [], 0
+    for batch in batches:
+        for i, data in zip(batch.column("id"), batch.column("media")):
+            for page in _pages_of(data.as_py()):
+                rows.append((i.as_py(), *page))
+                held += len(page[-1] or b"")
+                if held > PAGE_BATCH:
+                    yield flush(rows)
+                    rows, held = [], 0
+    if rows:
+        yield flush(rows)
 
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-        rows, held = [], 0
-        for batch in batches:
-            for i, data in zip(batch.column("id"), batch.column("media")):
-                for page in _pages_of(data.as_py()):
-                    rows.append((i.as_py(), *page))
-                    held += len(page[-1] or b"")
-                    if held > 8 << 20:
-                        yield flush(rows)
-                        rows, held = [], 0
-        if rows:
-            yield flush(rows)
+def tiff_pages(df: DataFrame, id_col: str = "id", data_col: str = "media") -> DataFrame:
+    """One row per page of every file, in directory order: ``PAGES``.
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(data_col).alias("media")).mapInArrow(pages, PAGES)
+    The pages of a file follow each other in one partition. A null or broken file gives one row
+    with ``error`` set, a broken page its own such row. Repeated rows repeat. An empty table
+    gives no rows.
+    """
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(data_col).alias("media")).mapInArrow(read_pages, PAGES)
 
 
 # -- texts as pages -------------------------------------------------------------------------
@@ -330,22 +332,23 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw.ljust(max(1, -(-len(raw) // ROW)) * ROW, b"\xff"), len(raw)
 
 
+def write_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, text`` batches to ``id, media``."""
+    for batch in cut_batches(batches, SLICE):
+        media = []
+        for text in batch.column("text").to_pylist():
+            payload, n = payload_of(text)
+            rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
+            media.append(write_tiff([rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)], description=str(n)))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(media, pa.binary())], names=["id", "media"])
+
+
 def text_tiffs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, media``: each text as an 8-bit TIFF of 576 columns, deflate strips, predictor 2.
 
     The description of each page is the number of bytes before padding.
     """
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut_batches(batches, 8 << 20):
-            media = []
-            for text in batch.column("text").to_pylist():
-                payload, n = payload_of(text)
-                rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-                media.append(write_tiff([rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)], description=str(n)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(media, pa.binary())], names=["id", "media"])
-
-    return id_and_text(df, id_col, text_col).mapInArrow(write, "id long, media binary")
+    return id_and_text(df, id_col, text_col).mapInArrow(write_texts, "id long, media binary")
 
 
 def page_features(hist: np.ndarray, steps: int, size: int, pages: int) -> str:
@@ -357,36 +360,42 @@ def page_features(hist: np.ndarray, steps: int, size: int, pages: int) -> str:
     return f"pages={pages};rows={size // ROW};mean={mean:.3f};dev={dev:.3f};entropy={bits:.3f};steps={steps}"
 
 
+def digest_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages, those of a file one after the other, to one row per file."""
+    kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    sha, hist, steps, size = hashlib.sha256(), np.zeros(256, np.int64), 0, 0
+    for batch in batches:
+        out = []
+        for row in range(batch.num_rows):
+            get = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
+            if error := get("error"):
+                raise ValueError(f"document {get('id')}: {error}")
+            raw, page, pages = get("data"), get("page"), get("pages")
+            if page == 0:
+                sha, hist, steps, size = hashlib.sha256(), np.zeros(256, np.int64), 0, 0
+            image = np.frombuffer(raw, np.uint8).reshape(-1, get("width"))
+            sha.update(raw)
+            hist += np.bincount(image.ravel(), minlength=256)
+            steps += int(np.count_nonzero(image[:, 1:] != image[:, :-1]))
+            size += len(raw)
+            if page == pages - 1:
+                out.append((get("id"), int(get("description")), size, sha.hexdigest(), zlib.crc32(raw[-32:]), get("media_bytes"), get("media_sha256"), page_features(hist, steps, size, pages)))
+        cols = list(zip(*out)) if out else [()] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
+
+
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every text as a TIFF, reads the stored bytes back page by page, and digests them.
 
     Result: ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature``. A null or empty text is one row of 255. Equal texts give equal
-    values; repeated rows repeat; an empty table gives no rows.
+    values; repeated rows repeat; an empty table gives no rows. The three steps of ``text_tiffs``
+    and ``tiff_pages`` run in one Python worker per task, a few megabytes at a time.
     """
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        sha, hist, steps, size = hashlib.sha256(), np.zeros(256, np.int64), 0, 0
-        for batch in batches:
-            out = []
-            for row in range(batch.num_rows):
-                get = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
-                if error := get("error"):
-                    raise ValueError(f"document {get('id')}: {error}")
-                raw, page, pages = get("data"), get("page"), get("pages")
-                if page == 0:
-                    sha, hist, steps, size = hashlib.sha256(), np.zeros(256, np.int64), 0, 0
-                image = np.frombuffer(raw, np.uint8).reshape(-1, get("width"))
-                sha.update(raw)
-                hist += np.bincount(image.ravel(), minlength=256)
-                steps += int(np.count_nonzero(image[:, 1:] != image[:, :-1]))
-                size += len(raw)
-                if page == pages - 1:
-                    out.append((get("id"), int(get("description")), size, sha.hexdigest(), zlib.crc32(raw[-32:]), get("media_bytes"), get("media_sha256"), page_features(hist, steps, size, pages)))
-            cols = list(zip(*out)) if out else [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return digest_pages(read_pages(write_texts(batches)))
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return tiff_pages(text_tiffs(df, id_col, text_col)).mapInArrow(digest, schema)
+    return id_and_text(df, id_col, text_col).mapInArrow(run, schema)
