@@ -18,9 +18,15 @@ from kerbline.llm import bpe, lang_id, mixing, near_dups, pii
 from kerbline.llm.common import table
 from kerbline.session import settle
 
+ARROW_ROWS = 2000  # whole texts that Spark hands to a Python worker at a time
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """Five stages share the executors, so none may hold many texts beside the workers of another."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     return settle(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "pipeline-rows")
 
@@ -28,11 +34,13 @@ def numbered(docs: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language has a name. What the classifier rejects (``und``: null texts and
     texts without a letter) goes; a doubtful language is no reason to drop a document."""
+    in_small_batches(spark)
     return lang_id.label(docs, keep=COLUMNS).filter(F.col("lang_pred") != lang_id.UNKNOWN).select(*COLUMNS)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, the first in reading order."""
+    in_small_batches(spark)
     rows = numbered(docs)
     first = near_dups.near_duplicates(rows, id_col="row").filter("doc_id = class_id").select(F.col("doc_id").alias("row"))
     return rows.join(first, "row", "left_semi").select(*COLUMNS)
@@ -46,6 +54,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents the mix takes, twice where it takes them twice."""
+    in_small_batches(spark)
     rows = numbered(docs)
     taken = mixing.mix(rows, id_col="row", draw_col="doc_id").filter("taken > 0")
     copies = taken.select(F.col("doc_id").alias("row"), (F.col("taken") / F.col("size")).cast("int").alias("copies"))
@@ -54,6 +63,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the ids of every text, and of the text decoded from them."""
+    in_small_batches(spark)
     return bpe.bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -259,6 +259,7 @@ def bpe_round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 rows.append(one(c, texts[0]))
             n, a, b = zip(*rows)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.judged.clear()  # an idle worker holds what later tasks gain most from, and no more
 
     def one(c: Coder, text: str) -> tuple[int, str, str]:
         n, ids_sha, text_sha, held = 0, hashlib.sha256(), hashlib.sha256(), []

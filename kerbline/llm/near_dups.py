@@ -31,7 +31,7 @@ from .common import cut_batches, id_and_text
 from .shingles import DF_BITS, band_keys, consistent_samples, df_bucket, pack_set, rarity, shingles, unpack_set, weighted_jaccard, weights
 
 SIMILARITY = 0.8
-SLICE = 1 << 20
+SLICE = 1 << 19
 DF_CHUNK = 1 << 16
 
 
