@@ -1,10 +1,13 @@
 """Personal data by candidate gradient boosting, in DataFrame and SQL functions only.
 
 Generators propose overlapping spans: the four base formats, and loose forms of numbers, account
-numbers and written-out addresses. Base spans that pass their check stay. Boosted trees over
-format and context features judge the loose ones. They learn from all documents: candidates that
-overlap a checked base span are the positive cases. Features are small integers, so the training
-table is one row per feature vector with counts, bounded by the number of vectors and not by the
+numbers and written-out addresses. Base spans that pass their check stay, and so do loose spans
+with a check of their own that holds: account numbers by the remainder modulo 97, written-out
+addresses that decode to the email format. Boosted trees over format and context features judge
+all others. They learn from all documents, each kind from its own label: the checks just named,
+and for numbers a checked phone or card at the same place. No feature sees what decides a label:
+neither the plus of a phone nor a check sum; a phone also trains without its country code, as the
+number would stand in a national text. Features are small integers, so the training table is one row per feature vector with counts, bounded by the number of vectors and not by the
 documents; each split of a tree is one aggregation over it. Thresholds are calibrated on a fold
 of documents that did not train.
 
@@ -33,7 +36,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "number": r"[0-9](?:[\x20().-]{0,2}[0-9])++",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[(\[{]\x20?(?i:at)\x20?[)\]}]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[(\[{]\x20?(?i:dot)\x20?[)\]}])\x20?[A-Za-z0-9-]{1,63}){1,8}",
+    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[(\[{]\x20?(?i:at)\x20?[)\]}]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20\.\x20|\x20?[(\[{]\x20?(?i:dot)\x20?[)\]}]\x20?)[A-Za-z0-9-]{1,63}){0,8}",
+    # Numbers inside a long run of digits: one without spaces, or groups up to ten digits or more, or the rest.
+    "part": r"[0-9](?:[().-]{0,2}[0-9]){6,14}(?![().-]{0,2}[0-9])|[0-9](?:[\x20().-]{0,2}[0-9]){9}[0-9]*+|[0-9](?:[\x20().-]{0,2}[0-9]){6,}+",
 }
 #: Cheap tests that a text without a match fails.
 GUARDS = {
@@ -44,10 +49,12 @@ GUARDS = {
     "number": r"[0-9](?:[\x20().-]{0,2}[0-9]){6}",
     "account": r"[A-Z]{2}[0-9]{2}",
     "address": r"(?i:at)\x20?[)\]}]",
+    "part": r"[0-9]",
 }
+RUN = 19  # digits of the longest card; a run of more is also proposed in parts
 BEFORE, AFTER = 24, 8  # characters of context
 CUE = r"(?i)(?:tel|phone|fax|mobile|cell|call|mail|contact|card|visa|account|acct|iban|ssn|passport|licen[cs]e|id|no|nr|number|nummer|numéro|teléfono|addr(?:ess)?)[\x20.:#=]{0,3}$"
-FEATURES = ("kind", "digits", "groups", "longest", "marks", "letters", "dots", "distinct", "plus", "luhn", "glued", "cue")
+FEATURES = ("kind", "digits", "groups", "longest", "marks", "letters", "dots", "distinct", "glued", "cue")
 
 TREES, LEARNING, REGULAR = 8, 0.5, 1.0
 PRECISION = 0.95  # asked of the spans above a threshold, on the held-out fold
@@ -142,6 +149,69 @@ def passes(kind: str, value: Column) -> Column:
     return F.char_length(only_digits(value)).between(9, 15)
 
 
+def iban(value: Column) -> Column:
+    """Whether 15 to 34 letters and digits leave the remainder 1 modulo 97."""
+
+    def rest(s: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            code = F.ascii(F.substring(s, i, F.lit(1)))
+            return F.when(code < 65, a * 10 + code - 48).otherwise(a * 100 + code - 55) % 97
+
+        return F.aggregate(F.sequence(F.lit(1), F.char_length(s)), F.lit(0), step) == 1
+
+    plain = F.regexp_replace(value, "\x20", "")
+    turned = let(plain, lambda s: F.concat(F.substring(s, F.lit(5), F.char_length(s)), F.left(s, F.lit(4))))
+    return F.coalesce(let(turned, lambda s: F.when(F.char_length(s).between(15, 34), rest(s))), F.lit(False))
+
+
+def decoded(value: Column) -> Column:
+    """An address with its written-out signs replaced."""
+    at = F.regexp_replace(value, r"\x20?[(\[{]\x20?(?i:at)\x20?[)\]}]\x20?", "@")
+    return F.regexp_replace(at, r"\x20?[(\[{]\x20?(?i:dot)\x20?[)\]}]\x20?|\x20\.\x20", ".")
+
+
+def holds(kind: str, value: Column) -> Column:
+    """The check of a loose kind; a number has none of its own."""
+    if kind == "account":
+        return iban(value)
+    if kind == "address":
+        return decoded(value).rlike(f"^(?:{PATTERNS['email']})$")
+    return F.lit(False)
+
+
+def numbers(text: Column) -> Column:
+    """Runs of 7 to 34 digits, and the parts of runs of more than ``RUN``; what stands before a
+    run stands before each of its parts."""
+    found = matches(text, "number")
+    size = lambda c: F.char_length(only_digits(c["value"]))
+
+    def place(c: Column, p: Column) -> Column:
+        return F.struct(
+            p["value"].alias("value"),
+            c["before"].alias("before"),
+            F.left(F.concat(p["after"], c["after"]), F.lit(AFTER)).alias("after"),
+            (c["start"] + p["start"]).alias("start"),
+            (c["start"] + p["end"]).alias("end"),
+        )
+
+    def parts(c: Column) -> Column:
+        return F.transform(matches(c["value"], "part"), lambda p: place(c, p))
+
+    split = F.flatten(F.transform(F.filter(found, lambda c: size(c) > RUN), parts))
+    whole = lambda c, p: (c["start"] == p["start"]) & (c["end"] == p["end"])
+    return let(
+        F.filter(found, lambda c: size(c).between(7, 34)),
+        lambda runs: F.concat(runs, F.filter(split, lambda p: size(p).between(7, 34) & ~F.exists(runs, lambda c: whole(c, p)))),
+    )
+
+
+def national(text: Column) -> Column:
+    """Checked phones without their country code, at the place of the phone; they only train."""
+    found = F.filter(matches(text, "phone"), lambda c: passes("phone", c["value"]) & c["value"].rlike(r"^\+[0-9]+[^0-9]"))
+    bare = F.transform(found, lambda c: c.withField("value", F.regexp_replace(c["value"], r"^\+[0-9]+[^0-9]+", "")))
+    return F.filter(bare, lambda c: F.char_length(only_digits(c["value"])) >= 7)
+
+
 def features(c: Column, kind: int) -> Column:
     """Small whole numbers about the form of a candidate and what stands around it."""
     v, before, after = c["value"], c["before"], c["after"]
@@ -158,16 +228,14 @@ def features(c: Column, kind: int) -> Column:
         most(count("[^A-Za-z]"), 20).alias("letters"),
         most(count(r"[^.]"), 5).alias("dots"),
         most(F.size(F.array_distinct(F.split(only_digits(v), ""))), 10).alias("distinct"),
-        flag(before.endswith("+")).alias("plus"),
-        flag(luhn(only_digits(v))).alias("luhn"),
         (flag(before.rlike("[A-Za-z0-9]$")) + flag(after.rlike("^[A-Za-z0-9]"))).alias("glued"),
-        flag(before.rlike(CUE)).alias("cue"),
+        flag(F.regexp_replace(before, r"[+(]+$", "").rlike(CUE)).alias("cue"),
     )
 
 
 def with_candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``_base`` (checked base spans, by kind, then start) and ``_loose`` (candidates with
-    features, label and span); no row is moved."""
+    features, label, whether a base span covers them, and span); no row is moved."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def checked(kind: str) -> Column:
@@ -179,16 +247,15 @@ def with_candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     def candidates(kind: str) -> Column:
         k = KINDS.index(kind)
-        found = matches(text, kind)
-        if kind == "number":
-            found = F.filter(found, lambda c: F.char_length(only_digits(c["value"])).between(7, 34))
-        return F.transform(found, lambda c: F.struct(F.lit(k).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), features(c, k).alias("f")))
+        found = F.concat(numbers(text), national(text)) if kind == "number" else matches(text, kind)
+        return F.transform(found, lambda c: F.struct(F.lit(k).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), features(c, k).alias("f"), holds(kind, c["value"]).alias("holds")))
 
     some = text.rlike("[0-9@]") | text.rlike(GUARDS["address"])
     both = F.when(some, F.struct(base.alias("base"), F.concat(*map(candidates, LOOSE)).alias("loose")))
     out = df.withColumn("_both", both)
-    label = lambda c: F.exists(F.col("_both.base"), lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"]))
-    loose = F.transform("_both.loose", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["f"].alias("f"), label(c).alias("base")))
+    meets = lambda c, kinds: F.exists(F.col("_both.base"), lambda s: s["kind"].isin(*kinds) & (s["start"] < c["end"]) & (s["end"] > c["start"]))
+    told = lambda c: c["holds"] | ((c["kind"] == KINDS.index("number")) & meets(c, [BASE.index("card"), BASE.index("phone")]))
+    loose = F.transform("_both.loose", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["f"].alias("f"), c["holds"].alias("holds"), told(c).alias("label"), meets(c, range(len(BASE))).alias("base")))
     return out.withColumns({"_base": F.col("_both.base"), "_loose": loose}).drop("_both")
 
 
@@ -234,11 +301,11 @@ def train(candidates: DataFrame, id_col: str) -> tuple[list[dict], dict[int, flo
     """Trees of depth two, and the probability from which each loose kind counts as personal.
 
     ``candidates`` has ``_loose``. One fifth of the documents by hash of the id calibrates: a
-    kind's threshold is the lowest tenth above which ``PRECISION`` of the fold is positive; a
-    kind that never gets there selects nothing.
+    kind's threshold is the lowest tenth, not below one half, above which ``PRECISION`` of the
+    fold is positive; of a kind that never gets there the trees select nothing.
     """
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
-    rows = candidates.select(held.alias("held"), F.explode("_loose").alias("c")).select("held", "c.f.*", F.col("c.base").cast("long").alias("pos"))
+    rows = candidates.select(held.alias("held"), F.explode("_loose").alias("c")).select("held", "c.f.*", F.col("c.label").cast("long").alias("pos"))
     table = settle(rows.groupBy("held", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos")), "pii-vectors")
     stats = table.coalesce(1)  # one row per feature vector: a task of its own, no exchange per split
     fit = stats.filter(~F.col("held"))
@@ -265,21 +332,20 @@ def train(candidates: DataFrame, id_col: str) -> tuple[list[dict], dict[int, flo
         n = pos = 0
         for r in sorted((r for r in bins if r.kind == kind), key=lambda r: -r.bin):
             n, pos = n + r.n, pos + r.pos
-            if pos < PRECISION * n:
+            if pos < PRECISION * n or r.bin < 5:
                 break
             thresholds[kind] = r.bin / 10
     return trees, thresholds
 
 
 def chosen(trees: Sequence[dict], thresholds: dict[int, float]) -> Column:
-    """Loose candidates at or above the threshold of their kind that no checked base span covers."""
+    """Loose candidates whose own check holds, or at or above the threshold of their kind, that no
+    checked base span covers."""
     none = F.array().cast(SPAN)
-    if not thresholds:
-        return none
 
     def fits(c: Column) -> Column:
         p = probability(trees, lambda f: c["f"][f])
-        enough = F.lit(False)
+        enough = c["holds"]
         for kind, t in sorted(thresholds.items()):
             enough = enough | ((c["kind"] == kind) & (p >= t))
         return ~c["base"] & enough
@@ -298,7 +364,8 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
     Offsets are code points, ends exclusive; spans by kind, then start. A null, empty or clean
     text has no spans and the digest of an empty list. Repeated rows repeat and train once each.
-    Without candidates nothing is learned and nothing added. An empty table gives no rows.
+    Without candidates nothing is learned and nothing added; where the trees learn nothing, loose
+    spans whose own check holds are added still. An empty table gives no rows.
     """
     asked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = settle(with_candidates(asked).drop("text"), "pii-candidates")

@@ -122,6 +122,25 @@ def test_loose_spans_are_learned(spark):
     assert all(r.n_added == 0 for r in rows if 1000 <= r.doc_id < 5000) and all(r.n_phone == 1 for r in rows if r.doc_id < 1000)
 
 
+def test_loose_kinds_have_labels_of_their_own(spark):
+    """National numbers, account numbers, written-out addresses and numbers side by side are added."""
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    phones = [(i, f"call: +1 ({digits(3)}) {digits(3)}-{digits(4)} now") for i in range(300)]
+    plain = [(1000 + i, f"item {digits(9)} sold") for i in range(300)]
+    row = "(499) 555-1234 (499) 555-1235 (499) 555-1236 (499) 555-1237"
+    texts = {
+        5000: "call: (499) 555-1234 now", 5001: "pay DE89 3704 0044 0532 0130 00 today", 5002: "pay DE88 3704 0044 0532 0130 00 today",
+        5003: "ask john (at) ex (dot) com. Then wait", 5004: "we met (at) noon", 5005: f"call: {row} now", 5006: "call: 499 555 1234 499 555 1235 499 555 1236 499 555 1237 now",
+    }
+    df = spark.createDataFrame([*phones, *plain, *texts.items()], "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][int(a) : int(b)] for _, a, b in (x.split(":") for x in r.spans.split(",") if x)] for r in pii.find(df).collect() if r.doc_id >= 5000}
+    assert got == {
+        5000: ["499) 555-1234"], 5001: ["DE89 3704 0044 0532 0130 00"], 5002: [], 5003: ["john (at) ex (dot) com"], 5004: [],
+        5005: [f"499) 555-123{k}" for k in range(4, 8)], 5006: [f"499 555 123{k}" for k in range(4, 8)],
+    }
+
+
 def test_redaction(spark):
     texts = ["mail a@b.cc, ip 1.2.3.4!", None, "clean é😀", "😀 +1 (499) 555-6503"]
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, kind string")
