@@ -2,27 +2,39 @@
 
 Pass one judges each block alone, by its length, link density and stop-word density: good, bad,
 nearly good, or short. Pass two settles the rest from the nearest decided blocks on both sides.
-The article element, where a page has one, bounds the search and stands in for a good neighbour
-at its ends; navigation, page heads and feet, asides, forms, adverts, notices and comments
-never count.
+All blocks of a page are judged. An article element that holds a good block stands in for a good
+neighbour at its ends, and keeps what is undecided beside a good neighbour; one without, such as a
+teaser, changes nothing unless the page has no good block at all. Navigation, page heads and feet,
+asides, forms, adverts, notices and comments never count.
+
+Stop words are the fixed lists and, for each language and script, the words that make up at least
+one in ``RARE`` of the words of long blocks without links, counted over all pages.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .common import cut_batches
 
 SLICE = 4 << 20
 SHORT, LONG = 70, 200  # characters
 LINKS, STOP_LOW, STOP_HIGH = 0.33, 0.15, 0.30  # shares of characters and of words
 
+RARE = 1000  # at most so many stop words for a language and script
+ENOUGH = 2000  # words of a language and script from which its stop words are learned
+HELD = 200_000  # distinct words a task counts before it hands them on
+LISTED = ("", "en", "fr", "de", "es")
+
 # Fixed word lists: the most frequent function words of the languages.
 STOP_WORDS = frozenset(
     (
@@ -44,13 +56,18 @@ PARTS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adse
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"""([A-Za-z_:][\w:.-]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|$)|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})(?![A-Za-z])""", re.I)
+#: Scripts without spaces between words count each letter as a word, and as so many letters of others.
+DENSE, DENSE_LENGTH = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff", 3
+DENSE_LETTER = re.compile(f"[{DENSE}]")
+WORD = re.compile(rf"[{DENSE}]|[^\W\d_{DENSE}]+(?:['’][^\W\d_{DENSE}]+)?")
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"))
 
 
 class Block:
     __slots__ = ("parts", "links", "article", "never", "heading")
 
-    def __init__(self, article: bool, never: bool, heading: bool) -> None:
+    def __init__(self, article: tuple[int, ...], never: bool, heading: bool) -> None:
         self.parts, self.links, self.article, self.never, self.heading = [], [], article, never, heading
 
 
@@ -71,16 +88,17 @@ def unwanted(name: str, attrs: str, in_article: bool) -> bool:
 
 def blocks_of(page: str) -> Iterator[Block]:
     """Runs of text between block elements, with what surrounds them."""
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, in article, never, in link
-    article = never = link = heading = False
-    block, at, size = Block(False, False, False), 0, len(page)
+    stack: list[tuple[str, tuple[int, ...], bool, bool]] = []  # name, articles around, never, in link
+    article: tuple[int, ...] = ()
+    never = link = heading = False
+    block, at, size = Block((), False, False), 0, len(page)
 
     def fresh() -> Block:
         return Block(article, never, heading)
 
     def set_state() -> None:
         nonlocal article, never, link
-        article, never, link = stack[-1][1:] if stack else (False, False, False)
+        article, never, link = stack[-1][1:] if stack else ((), False, False)
 
     while at < size:
         m = TAG.search(page, at)
@@ -132,7 +150,8 @@ def blocks_of(page: str) -> Iterator[Block]:
             if name not in INLINE:
                 block = fresh()
             continue
-        stack.append((name, article or name in ("article", "main") and not never, never or unwanted(name, m[3], article), link or name == "a"))
+        inside = (*article[-7:], at) if name in ("article", "main") and not never else article
+        stack.append((name, inside, never or unwanted(name, m[3], bool(article)), link or name == "a"))
         set_state()
         if name not in INLINE:
             heading = re.fullmatch("h[1-6]", name) is not None
@@ -144,57 +163,130 @@ def clean(parts: list[str]) -> str:
     return " ".join(html.unescape("".join(parts)).split())
 
 
-def judge(text: str, links: int, heading: bool) -> str:
-    """Pass one: ``good``, ``bad``, ``near`` (nearly good) or ``short``."""
+def length(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + (DENSE_LENGTH - 1) * len(DENSE_LETTER.findall(text))
+
+
+def judge(text: str, links: int, heading: bool, stop: frozenset[str] | set[str] | None = STOP_WORDS) -> str:
+    """Pass one: ``good``, ``bad``, ``near`` (nearly good), ``low`` (few stop words) or ``short``.
+
+    Where no stop words are known, length and links decide alone.
+    """
     if links > LINKS * len(text):
         return "bad"
-    if len(text) < SHORT or heading:
+    size = length(text)
+    if size < SHORT or heading:
         return "short"
-    words = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+    words = WORD.findall(text.lower())
+    density = 1.0 if stop is None and words else sum(w in (stop or ()) for w in words) / max(len(words), 1)
     if density >= STOP_HIGH:
-        return "good" if len(text) > LONG else "near"
+        return "good" if size > LONG else "near"
     return "near" if density >= STOP_LOW else "low"
 
 
-def settle_blocks(labels: list[str], headings: list[bool], edge: bool) -> list[bool]:
+def settle_blocks(labels: list[str], headings: list[bool], articles: list[int]) -> list[bool]:
     """Pass two: undecided blocks take the label of the nearest decided ones on both sides.
 
-    Where the two differ the block is good if it is nearly good, or a heading of what follows. ``edge`` is the label beyond
-    both ends; inside an article (``edge``) a block of few stop words is undecided too, outside
-    it is bad.
+    Where the two differ the block is good if it is nearly good, or a heading of what follows.
+    Beyond both ends of the page is bad. ``articles`` numbers the article with a good block a
+    block is in, else 0: its ends are good, a block in it of few stop words is undecided too, and
+    one good side is enough. Beside such an article other blocks need two good sides.
     """
-    sure = {"good": True, "bad": False} | ({} if edge else {"low": False})
-    before, last = [], edge
-    for label in labels:
-        before.append(last)
-        last = sure.get(label, last)
-    after, last = [], edge
-    for label in reversed(labels):
-        after.append(last)
-        last = sure.get(label, last)
-    return [sure[x] if x in sure else (a and b) or ((a or b) and (x == "near" or edge)) or (b and h) for x, h, a, b in zip(labels, headings, before, reversed(after))]
-
-
-def main_text(page: str | None) -> str:
-    blocks = [(b, t) for b in blocks_of(page or "") if not b.never and b.parts and (t := clean(b.parts))]
-    article = any(b.article for b, _ in blocks)
-    blocks = [x for x in blocks if x[0].article == article]
-    kept = settle_blocks([judge(t, len(clean(b.links)), b.heading) for b, t in blocks], [b.heading for b, _ in blocks], article)
+
+    def nearest(order: Iterator[tuple[str, int]]) -> list[bool]:
+        out, last, inside = [], False, 0
+        for label, a in order:
+            if a != inside:
+                last, inside = bool(a) or last, a
+            out.append(last)
+            last = {"good": True, "bad": False}.get(label, last if a or label != "low" else False)
+        return out
+
+    before = nearest(zip(labels, articles))
+    after = nearest(zip(reversed(labels), reversed(articles)))[::-1]
+    beside = any(articles)
+
+    def kept(label: str, heading: bool, article: int, a: bool, b: bool) -> bool:
+        if label in ("good", "bad") or label == "low" and not article:
+            return label == "good"
+        return a and b or (a or b) and (bool(article) or label == "near" and not beside) or b and heading
+
+    return [kept(*x) for x in zip(labels, headings, articles, before, after)]
+
+
+def text_blocks(page: str | None) -> list[tuple[Block, str]]:
+    return [(b, t) for b in blocks_of(page or "") if not b.never and b.parts and (t := clean(b.parts))]
+
+
+def tongue(page: str | None, blocks: list[tuple[Block, str]]) -> str:
+    """Language a page names and the script of most of its letters."""
+    letters = (c for _, t in sorted(blocks, key=lambda x: -len(x[1]))[:3] for c in t[:100] if c.isalpha())
+    scripts = Counter(unicodedata.name(c, "?").split()[0] for c in letters)
+    named = LANG.search(page or "")
+    return f"{named[1].lower() if named else ''}:{min(scripts, key=lambda k: (-scripts[k], k)) if scripts else ''}"
+
+
+def stop_words(key: str, learned: dict[str, set[str]]) -> frozenset[str] | set[str] | None:
+    lang, script = key.split(":")
+    fixed = STOP_WORDS if script in ("LATIN", "") and lang in LISTED else frozenset()
+    return (fixed | learned.get(key, set())) or None
+
+
+def main_text(page: str | None, learned: dict[str, set[str]] | None = None) -> str:
+    blocks = text_blocks(page)
+    stop = stop_words(tongue(page, blocks), learned or {})
+    labels = [judge(t, len(clean(b.links)), b.heading, stop) for b, t in blocks]
+    trusted = {a for (b, _), label in zip(blocks, labels) if label == "good" or "good" not in labels for a in b.article}
+    articles = [b.article[-1] if b.article and b.article[-1] in trusted else 0 for b, _ in blocks]
+    kept = settle_blocks(labels, [b.heading for b, _ in blocks], articles)
     return "\n".join(t for (_, t), good in zip(blocks, kept) if good)
 
 
+def learn_words(pages: DataFrame) -> dict[str, set[str]]:
+    """Stop words by language and script: at most ``RARE`` each, from those with ``ENOUGH`` words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.string()), pa.array([w for _, w in held], pa.string()), pa.array(held.values(), pa.int64())], names=["tongue", "word", "n"])
+
+        held: Counter[tuple[str, str]] = Counter()
+        for batch in cut_batches(batches, SLICE, "html"):
+            for page in batch.column("html").to_pylist():
+                blocks = text_blocks(page)
+                key = tongue(page, blocks)
+                for b, t in blocks:
+                    if not b.heading and length(t) >= SHORT and len(clean(b.links)) <= LINKS * len(t):
+                        held.update((key, w) for w in WORD.findall(t.lower()))
+            if len(held) > HELD:
+                yield rows()
+                held.clear()
+        if held:
+            yield rows()
+
+    each = pages.select("html").mapInArrow(count, "tongue string, word string, n long")
+    counts = settle(each.groupBy("tongue", "word").agg(F.sum("n").alias("n")), "page-words")
+    least = {r.tongue: r.n / RARE for r in counts.groupBy("tongue").agg(F.sum("n").alias("n")).filter(F.col("n") >= ENOUGH).collect()}
+    learned: dict[str, set[str]] = {}
+    if least:
+        bound = F.create_map(*(F.lit(x) for kv in sorted(least.items()) for x in kv))
+        for r in counts.filter(F.col("n") >= bound[F.col("tongue")]).collect():
+            learned.setdefault(r.tongue, set()).add(r.word)
+    return learned
+
+
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page.
 
     A null or empty page, and one without main text, has an empty text. Broken markup is read
-    as far as it goes. Repeated rows repeat; an empty table gives no rows.
+    as far as it goes. Repeated rows repeat; an empty table gives no rows. The pages are read
+    twice, first for the stop words.
     """
+    asked = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    learned = df.sparkSession.sparkContext.broadcast(learn_words(asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut_batches(batches, SLICE, "html"):
-            texts = [main_text(page) for page in batch.column("html").to_pylist()]
+            texts = [main_text(page, learned.value) for page in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    asked = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return asked.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -40,6 +40,32 @@ def test_article_is_kept_whole(spark, sf):
         assert got[r.page_id].text == "\n".join(lines) and got[r.page_id].n_chars == len("\n".join(lines))
 
 
+def test_blocks_outside_an_article_are_judged():
+    page = f"<body><div><h2>Title</h2><p>{LONG}</p><p>{LONG}</p></div><article><p>Read more of it soon.</p></article>"
+    assert html_text.main_text(page) == f"Title\n{LONG}\n{LONG}"
+    page = f"<body><article><h1>Title</h1><p>Short one.</p><p>{LONG}</p><p>End.</p></article><div>Odd.</div>"
+    assert html_text.main_text(page) == f"Title\nShort one.\n{LONG}\nEnd."
+
+
+def test_stop_words_come_from_the_pages(spark):
+    """Pages of languages without a fixed list and without an article element keep their prose only."""
+    rng = random.Random(2)
+    prose = {
+        "ru": lambda: " ".join(rng.choice(["и", "в", "не", "на", "что", "с", "".join(rng.choices("абвгдежзиклмнопрстуф", k=7))]) for _ in range(80)),
+        "zh": lambda: "".join(rng.choice(["的", "是", "了", "在", chr(rng.randrange(0x4E00, 0x9000))]) for _ in range(200)),
+        "pl": lambda: " ".join(rng.choice(["i", "w", "nie", "na", "się", "że", "".join(rng.choices("abcdefghijklmnopqrstuwyz", k=7))]) for _ in range(80)),
+    }
+    names = " ".join("".join(rng.choices("абвгдежзиклмнопрстуф", k=9)) for _ in range(30))
+    want, rows = {}, []
+    for i in range(90):
+        lang = ("ru", "zh", "pl")[i % 3]
+        want[i] = f"{prose[lang]()}\n{prose[lang]()}"
+        rows.append((i, "u", f'<html lang="{lang}"><body><div><p>' + want[i].replace("\n", "</p><p>") + "</p></div>" + (f"<div>{names} {i}</div>" if lang == "ru" and i < 3 else "")))
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert html_text.main_text(rows[0][2].replace("ru", "sr")) != ""  # nothing learned: length and links decide
+
+
 def test_pages_edge_cases(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "", "x"), (1, None, None, "x")], "page_id long, url string, html string, text string")
     assert [(r.text, r.n_chars) for r in html_text.extract(df).collect()] == [("", 0)] * 3
