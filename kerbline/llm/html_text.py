@@ -5,7 +5,8 @@ nearly good, or short. Pass two settles the rest from the nearest decided blocks
 All blocks of a page are judged. An article element that holds a good block stands in for a good
 neighbour at its ends, and keeps what is undecided beside a good neighbour; one without, such as a
 teaser, changes nothing unless the page has no good block at all. Navigation, page heads and feet,
-asides, forms, adverts, notices and comments never count.
+asides, forms, adverts, notices and comments never count. A form or a part known by a class name
+counts after all if it holds an article element or most of the good text of the page.
 
 Stop words are the fixed lists and, for each language and script, the words that make up at least
 one in ``RARE`` of the words of long blocks without links, counted over all pages.
@@ -47,15 +48,21 @@ STOP_WORDS = frozenset(
 
 # Fixed names of elements.
 RAW = ("script", "style", "textarea", "title", "template", "noscript", "iframe", "svg", "math", "xmp", "noembed", "noframes")
-NEVER = frozenset((*RAW, "head", "nav", "aside", "form", "button", "select", "option", "label", "fieldset", "dialog", "menu", "object", "audio", "video", "canvas", "footer"))
+NEVER = frozenset((*RAW, "head", "nav", "aside", "button", "select", "option", "label", "dialog", "menu", "object", "audio", "video", "canvas", "footer"))
+WRAPPERS = frozenset(("form", "fieldset"))  # parts too, but some pages lie in one as a whole
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr rp rt ruby nobr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
-#: Words in class or id that mark a part which is not article.
-PARTS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|foot|masthead|topbar|header|comments?|commentlist|respond|reply|replies|disqus|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommended|widget|toolbar|pagination|pager|copyright|disclaimer|skip|hidden)(?:$|[\s_-])", re.I)
+#: Class names and ids that mark a part which is not article: such words alone or joined to each other,
+#: to numbers and to words of place and form. ``has-sidebar`` or ``with-comments`` say something else.
+WORDS = r"(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|foot|masthead|topbar|header|comments?|commentlist|respond|reply|replies|disqus|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommended|widget|toolbar|pagination|pager|copyright|disclaimer|skip|hidden)"
+PLACES = r"(?:site|page|main|global|top|bottom|left|right|upper|lower|primary|secondary|tertiary|first|last|inner|outer|wrap|wrapper|container|box|block|area|section|bar|list|item|items|row|col|column|link|links|slot|unit|buttons?|icons?|group|panel|body|content|text|form|title|area|message|js|\d+)"
+PARTS = re.compile(rf"(?:{PLACES}[_-]+)*{WORDS}(?:[_-]+(?:{WORDS}|{PLACES}))*", re.I)
+COMMENTS = re.compile(r"comment|respond|repl(?:y|ies)|disqus", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"""([A-Za-z_:][\w:.-]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
-HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|$)|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
 LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})(?![A-Za-z])""", re.I)
 #: Scripts without spaces between words count each letter as a word, and as so many letters of others.
 DENSE, DENSE_LENGTH = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff", 3
@@ -64,41 +71,63 @@ WORD = re.compile(rf"[{DENSE}]|[^\W\d_{DENSE}]+(?:['’][^\W\d_{DENSE}]+)?")
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"))
 
 
+class Part:
+    """A container that its name marks as no article."""
+
+    __slots__ = ("comments", "spared")
+
+    def __init__(self, comments: bool) -> None:
+        self.comments, self.spared = comments, False
+
+
 class Block:
-    __slots__ = ("parts", "links", "article", "never", "heading")
+    __slots__ = ("parts", "links", "article", "never", "named", "heading")
 
-    def __init__(self, article: tuple[int, ...], never: bool, heading: bool) -> None:
-        self.parts, self.links, self.article, self.never, self.heading = [], [], article, never, heading
+    def __init__(self, article: tuple[int, ...], never: bool, named: tuple[Part, ...], heading: bool) -> None:
+        self.parts, self.links, self.article, self.never, self.named, self.heading = [], [], article, never, named, heading
 
 
-def unwanted(name: str, attrs: str, in_article: bool) -> bool:
-    if name in NEVER or name == "header" and not in_article:
-        return True
+def unwanted(name: str, attrs: str, in_article: bool) -> tuple[bool, Part | None]:
+    """Whether an element never counts, and the part it is by its name."""
+    if name in NEVER:
+        return True, None
+    wrapper = name in WRAPPERS or name == "header" and not in_article
     if not attrs:
-        return False
+        return False, Part(False) if wrapper else None
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attrs)}
-    if name not in ("html", "body", "article", "main") or found.get("role", "") in ROLES:
-        marks = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{found.get('class', '')} {found.get('id', '')}")
-        if PARTS.search(marks) or found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true":
-            return True
-    elif PARTS.search(f"{found.get('class', '')}") and name == "article" and re.search("comment|reply|related|promo|teaser", found.get("class", ""), re.I):
-        return True
-    return bool(HIDDEN.search(re.sub(r"""("[^"]*"|'[^']*')""", "", attrs)) or HIDDEN.search(found.get("style", "")))
+    bare = re.sub(r"""("[^"]*"|'[^']*')""", "", attrs)
+    if HIDDEN.search(bare) or UNSEEN.search(found.get("style", "")) or found.get("aria-hidden", "").lower() == "true":
+        return True, None
+    role = found.get("role", "").lower()
+    if role in ROLES and role != "form":
+        return True, None
+    names = f"{found.get('class', '')} {found.get('id', '')}"
+    comments = any(COMMENTS.search(x) and marked(x) for x in names.split())
+    if name == "article":
+        return re.search("comment|reply|related|promo|teaser", found.get("class", ""), re.I) is not None and marked(found.get("class", "")), None
+    if wrapper or role == "form" or name not in ("html", "body", "main") and marked(names):
+        return (True, None) if name in INLINE else (False, Part(comments))
+    return False, None
+
+
+def marked(names: str) -> bool:
+    return any(PARTS.fullmatch(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", x)) for x in names.split())
 
 
 def blocks_of(page: str) -> Iterator[Block]:
     """Runs of text between block elements, with what surrounds them."""
-    stack: list[tuple[str, tuple[int, ...], bool, bool]] = []  # name, articles around, never, in link
+    stack: list[tuple[str, tuple[int, ...], bool, bool, tuple[Part, ...]]] = []  # name, articles around, never, in link, parts around
     article: tuple[int, ...] = ()
+    named: tuple[Part, ...] = ()
     never = link = heading = False
-    block, at, size = Block((), False, False), 0, len(page)
+    block, at, size = Block((), False, (), False), 0, len(page)
 
     def fresh() -> Block:
-        return Block(article, never, heading)
+        return Block(article, never, named, heading)
 
     def set_state() -> None:
-        nonlocal article, never, link
-        article, never, link = stack[-1][1:] if stack else ((), False, False)
+        nonlocal article, never, link, named
+        article, never, link, named = stack[-1][1:] if stack else ((), False, False, ())
 
     while at < size:
         m = TAG.search(page, at)
@@ -151,7 +180,11 @@ def blocks_of(page: str) -> Iterator[Block]:
                 block = fresh()
             continue
         inside = (*article[-7:], at) if name in ("article", "main") and not never else article
-        stack.append((name, inside, never or unwanted(name, m[3], bool(article)), link or name == "a"))
+        no, part = (True, None) if never else unwanted(name, m[3], bool(article))
+        if name in ("article", "main") and not no:
+            for p in named:
+                p.spared = p.spared or not p.comments
+        stack.append((name, inside, no, link or name == "a", (*named[-31:], part) if part else named))
         set_state()
         if name not in INLINE:
             heading = re.fullmatch("h[1-6]", name) is not None
@@ -232,10 +265,26 @@ def stop_words(key: str, learned: dict[str, set[str]]) -> frozenset[str] | set[s
     return (fixed | learned.get(key, set())) or None
 
 
+def spare(blocks: list[tuple[Block, str]], labels: list[str]) -> None:
+    """Spares the parts that hold most of the good text; of comments all of it."""
+    size: Counter[Part] = Counter()
+    total = 0
+    for (b, t), label in zip(blocks, labels):
+        if label == "good":
+            total += len(t)
+            for p in b.named:
+                size[p] += len(t)
+    for p, n in size.items():
+        p.spared = p.spared or (n == total if p.comments else 2 * n > total)
+
+
 def main_text(page: str | None, learned: dict[str, set[str]] | None = None) -> str:
     blocks = text_blocks(page)
     stop = stop_words(tongue(page, blocks), learned or {})
     labels = [judge(t, len(clean(b.links)), b.heading, stop) for b, t in blocks]
+    spare(blocks, labels)
+    left = [k for k, (b, _) in enumerate(blocks) if all(p.spared for p in b.named)]
+    blocks, labels = [blocks[k] for k in left], [labels[k] for k in left]
     trusted = {a for (b, _), label in zip(blocks, labels) if label == "good" or "good" not in labels for a in b.article}
     articles = [b.article[-1] if b.article and b.article[-1] in trusted else 0 for b, _ in blocks]
     kept = settle_blocks(labels, [b.heading for b, _ in blocks], articles)
@@ -255,7 +304,7 @@ def learn_words(pages: DataFrame) -> dict[str, set[str]]:
                 blocks = text_blocks(page)
                 key = tongue(page, blocks)
                 for b, t in blocks:
-                    if not b.heading and length(t) >= SHORT and len(clean(b.links)) <= LINKS * len(t):
+                    if not b.heading and all(p.spared for p in b.named) and length(t) >= SHORT and len(clean(b.links)) <= LINKS * len(t):
                         held.update((key, w) for w in WORD.findall(t.lower()))
             if len(held) > HELD:
                 yield rows()

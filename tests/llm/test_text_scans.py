@@ -47,6 +47,14 @@ def test_blocks_outside_an_article_are_judged():
     assert html_text.main_text(page) == f"Title\nShort one.\n{LONG}\nEnd."
 
 
+@pytest.mark.parametrize("around", ["class='content has-sidebar'", "class='site no-sidebar'", "class='post with-comments'", "style='overflow: hidden'", "class=sidebar", "id=header"])
+def test_names_do_not_take_the_page(around):
+    assert html_text.main_text(f"<body><div {around}><article><p>{LONG}</p></article></div><div class='side-bar'>x</div>") == LONG
+    assert html_text.main_text(f"<body><div {around}><p>{LONG}</p><p>{LONG}</p></div>") == f"{LONG}\n{LONG}"
+    assert html_text.main_text(f"<body><form {around}><p>{LONG}</p><p>{LONG}</p></form><div class=comments><p>{LONG}</p></div>") == f"{LONG}\n{LONG}"
+    assert html_text.main_text(f"<body><p>{LONG}</p><div class='site-footer'><p>{LONG}</p></div><div style='color:red; display: none'><p>{LONG}</p></div><div hidden=''><p>{LONG}</p></div>") == LONG
+
+
 def test_stop_words_come_from_the_pages(spark):
     """Pages of languages without a fixed list and without an article element keep their prose only."""
     rng = random.Random(2)
