@@ -119,6 +119,15 @@ def test_guess_cost_is_the_minimum():
     assert not secret_scan.spans_of("password is qwerty, passphrase: sunshine")
 
 
+@pytest.mark.parametrize("value", ["ab,Xq7$kP2!vN9w", "a;kd83jfK29dmQ", "my Xq7$kP2!vN", "x<y>Kd83jf,K29", "it's;Kd83jfK29"])
+def test_quoted_credential_values_are_whole(value):
+    for before, after in (('password="', '"'), ('pwd\t:\t"', '" x'), ('"secret" => "Bearer ', '"'), ('passphrase: "', "\nnext line")):
+        spans = secret_scan.spans_of(before + value + after)
+        assert (len(before), 3, len(before + value)) in spans
+    assert secret_scan.spans_of("pwd\t=\tXq7$kP2!vN now") == [(6, 3, 16)]
+    assert secret_scan.spans_of("pwd = Bearer 'Xq7$kP2!vN'") == [(14, 3, 24)]
+
+
 def brute_personal(t: str) -> str:
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
