@@ -128,6 +128,21 @@ def test_quoted_credential_values_are_whole(value):
     assert secret_scan.spans_of("pwd = Bearer 'Xq7$kP2!vN'") == [(14, 3, 24)]
 
 
+def test_words_come_from_the_documents(spark):
+    """Ordinary words after a credential word are no secret, a copied value of letters stays one."""
+    prose = [f"this identification document number {i} was written" for i in range(40)]
+    asked = ["Authorization: document", "credential: identification", "secret: zqjxkvwpq", "token: zqjxkvwpq", "pwd: zqjxkvwpq", "pwd: zqjxkvwpq"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*asked, *prose])], "doc_id long, text string")
+    got = {r.doc_id: r.n_guess for r in secret_scan.scan(df).collect()}
+    assert [got[i] for i in range(6)] == [0, 0, 1, 1, 1, 1] and not any(got[i] for i in range(6, 46))
+
+
+def test_repeats_of_any_unit():
+    for unit in ("zqjxk", "sunshinemonkey"):
+        once = secret_scan.guess_cost(unit)
+        assert secret_scan.guess_cost(unit * 5) <= once + 0.7 < secret_scan.STRONG
+
+
 def brute_personal(t: str) -> str:
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
