@@ -32,10 +32,11 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language has a name. What the classifier rejects (``und``: null texts and
-    texts without a letter) goes; a doubtful language is no reason to drop a document."""
+    """Documents with a letter. What the classifier rejects for want of one (``und``: null texts and
+    texts without a letter) goes; a doubtful language, or none learned, is no reason to drop a
+    document."""
     in_small_batches(spark)
-    return lang_id.label(docs, keep=COLUMNS).filter(F.col("lang_pred") != lang_id.UNKNOWN).select(*COLUMNS)
+    return lang_id.label(docs, keep=COLUMNS).filter((F.col("lang_pred") != lang_id.UNKNOWN) | F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

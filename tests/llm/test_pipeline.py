@@ -53,6 +53,11 @@ def test_language_stage_keeps_texts_with_letters(spark, docs, sf):
     assert sorted(r.text for r in out.collect()) == sorted(r[1] for r in ROWS if r[1] and any(map(str.isalpha, r[1])))
 
 
+def test_language_stage_keeps_texts_where_nothing_is_learned(spark, docs, sf):
+    out = corpus_pipeline.language(spark, docs.selectExpr("doc_id", "text", "cast(null as string) lang", "source", "n_chars"), sf)
+    assert sorted(r.text for r in out.collect()) == sorted(r[1] for r in ROWS if r[1] and any(map(str.isalpha, r[1])))
+
+
 def test_duplicate_stage_keeps_one_of_each_class(spark, docs, sf):
     out = corpus_pipeline.distinct_texts(spark, docs, sf).collect()
     texts = [r.text or "" for r in out]
