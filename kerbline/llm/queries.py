@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
+from .byte_net import score
+from .centroids import ORACLE as SIMPLEX_CLUSTERS
+from .centroids import cluster
+from .codebooks import ORACLE as VECTOR_CODES
+from .codebooks import compress
 from .common import table
 from .html_text import extract
 from .lang_id import identify
@@ -87,3 +92,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op11_vector_codes"] = VECTOR_CODES
+
+
+@query
+def op12_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_simplex_clusters"] = SIMPLEX_CLUSTERS
