@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import scale
+from ..session import settle
 
 
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 17) -> DataFrame:
@@ -107,24 +108,29 @@ def modality_batches(
     split = rows.withColumn("modality", F.when(F.col(signed_length) > 0, "image").otherwise("text")).withColumn(
         "_abs", F.abs(F.col(signed_length))
     )
-    dealt = length_batches(split, key, "_abs", batch_size, world_size, seed, within=("modality",))
-    counts = split.groupBy("modality").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_last", F.floor((F.col("_n") - 1) / mega_size)
-    )
-    both = split.agg(F.count_distinct("modality").alias("k")).scalar() == 2
-    tagged = dealt.join(counts, "modality").withColumn("_mixed", both & (F.col("mega") == F.col("_last")))
-    batch_hash = scale.seeded_hash(f"{seed}|batch", "modality", "mega")
-    regular = tagged.filter(~F.col("_mixed")).withColumn("_bh", batch_hash)
-    numbers = scale.ordered_index(
-        regular.select("modality", "mega", "_bh").distinct(),
-        ["_bh", "modality", "mega"],
-        "batch_no",
-        bucket=scale.hash_bucket(F.col("_bh")),
-    ).select("modality", "mega", F.when(both, F.col("batch_no") - 1).otherwise(F.col("mega")).alias("batch_no"))
+    # where every row went is written once; the regular batches, the mixed one and the sizes read it
+    dealt = settle(length_batches(split, key, "_abs", batch_size, world_size, seed, within=("modality",)), "dealt")
+    last = {r.modality: r.last for r in dealt.groupBy("modality").agg(F.max("mega").alias("last")).collect()}  # two at most
+    both = len(last) == 2
+    is_last = F.lit(False)
+    for name, mega in last.items():
+        is_last = is_last | ((F.col("modality") == name) & (F.col("mega") == mega))
+    whole = {name: mega + (not both) for name, mega in last.items()}  # regular mega-batches are numbered from 0
+    if both:
+        each = [dealt.sparkSession.range(n).select(F.lit(name).alias("modality"), F.col("id").alias("mega")) for name, n in whole.items()]
+        names = each[0].unionByName(each[1]).withColumn("_bh", scale.seeded_hash(f"{seed}|batch", "modality", "mega"))
+        order = ["_bh", "modality", "mega"]
+        numbers = scale.ordered_index(names, order, "batch_no", bucket=scale.hash_bucket(F.col("_bh"))).select(
+            "modality", "mega", (F.col("batch_no") - 1).alias("batch_no")
+        )
+        regular = dealt.filter(~is_last).join(numbers, ["modality", "mega"])
+    else:
+        regular = dealt.withColumn("batch_no", F.col("mega"))
     inside = Window.partitionBy("batch_no").orderBy("rank", "slot")
-    placed = regular.join(numbers, ["modality", "mega"]).withColumn("place", F.row_number().over(inside) - 1)
-    n_regular = numbers.agg(F.count(F.lit(1)).alias("n")).scalar()
-    mixed = tagged.filter("_mixed").withColumn("batch_no", n_regular)
-    mixed = mixed.withColumn("place", F.row_number().over(Window.partitionBy("batch_no").orderBy(key)) - 1)
     cols = [*rows.columns, "modality", "batch_no", "place"]
-    return placed.select(*cols).unionByName(mixed.select(*cols))
+    placed = regular.withColumn("place", F.row_number().over(inside) - 1).select(*cols)
+    if not both:
+        return placed
+    mixed = dealt.filter(is_last).withColumn("batch_no", F.lit(sum(whole.values())).cast("bigint"))  # two mega-batches at most
+    mixed = mixed.withColumn("place", F.row_number().over(Window.partitionBy("batch_no").orderBy(key)) - 1)
+    return placed.unionByName(mixed.select(*cols))

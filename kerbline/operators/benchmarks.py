@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import prompt_texts as P
 from ..functions import text as X
+from . import textmetrics
 
 
 def last_per_key(df: DataFrame, key: str, position: str) -> DataFrame:
@@ -194,6 +198,42 @@ def best_edit_similarity(rows: DataFrame, key: str, pred: str, answers: str) ->
     return rows.select(key, best.alias("score"))
 
 
+# ---- evaluators by name -------------------------------------------------------------------
+
+def _each(score: Callable[[Column, Column], Column]) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: rows.select("pair_id", score(F.col("pred"), F.col("answers")).alias("value"))
+
+
+def _corpus_bleu(rows: DataFrame) -> DataFrame:
+    refs = rows.select("pair_id", F.posexplode("answers").alias("ref_no", "text"))
+    whole = textmetrics.bleu(rows.select("pair_id", F.col("pred").alias("text")), refs)
+    return whole.select(F.lit(None).cast(rows.schema["pair_id"].dataType).alias("pair_id"), F.col("bleu").alias("value"))
+
+
+def _closest_answer(pred: Column, answers: Column) -> Column:
+    return F.array_max(F.transform(answers, lambda t: edit_similarity(pred, t)))
+
+
+EVALUATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "soft_accuracy": _each(soft_accuracy),
+    "exact_match": _each(exact_match),
+    "edit_similarity": _each(_closest_answer),
+    "bleu": _corpus_bleu,
+}
+
+
+def register_evaluator(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
+    """An evaluator maps ``rows(pair_id, pred, answers)`` to ``(pair_id, value)``; a score of the
+    whole corpus has no ``pair_id``."""
+    EVALUATORS[name] = fn
+
+
+def score_answers(rows: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Long scores ``(pair_id, metric, value)`` of the named evaluators, all by default."""
+    parts = [EVALUATORS[n](rows).select("pair_id", F.lit(n).alias("metric"), F.col("value").cast("double").alias("value")) for n in names or EVALUATORS]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---- pairwise reviews -------------------------------------------------------------------
 
 def review_rules(questions: DataFrame, rules: DataFrame, fallback: str | None = "default") -> tuple[DataFrame, DataFrame]:

@@ -1,12 +1,14 @@
 """Images to records: goals, paths, regions, region boxes, requests, answers, records.
 
 One lazy plan up to the requests; the answers of each stage are written once, because calls
-are costly. The search settles its rounds on the checkpoint folder.
+are costly. The search settles its rounds on the checkpoint folder. A run can leave out finished
+images, start from cached goals, take answers of earlier records, or ask for all answers in one turn.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from ..functions import geometry as G
 from ..functions import prompt_texts as P
 from ..session import cut_lineage, settle
 from . import boxes as B
-from . import goals, inference, paths, prompts, raster, records, regions
+from . import goals, inference, paths, prompts, records, regions
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,8 @@ class Settings:
     front_difference: float = 10.0
     front_crop: int = 10
     front_zero_base: bool = True
+    front_max_degree: float = 0.0  # 0: the centre column; else a seeded bearing within these degrees
+    front_circle: bool = False  # a front goal is called a circle, not a point
     path_half_width: float = 1.0
     goal_radius_px: int = 25
     depth_buffer: float = 5.0
@@ -36,11 +40,31 @@ class Settings:
     whole_image: bool = False  # every question sees the whole image and all boxes
     box_share: float = 0.1
     per_metre: float = 1.0  # raster units per metre
+    single_turn: bool = False  # one request per image asks for all answers
+    seed: int = 17
 
 
-def choose_goals(images: DataFrame, depth: DataFrame, sources: list[tuple[str, DataFrame]], s: Settings) -> DataFrame:
-    front = raster.front_point(depth, s.front_difference * s.per_metre, s.front_crop, s.front_zero_base)
-    return goals.resolve_goals(images, sources, front)
+class Run(NamedTuple):
+    """``goals`` are the next run's goal cache, ``records`` its finished images."""
+
+    records: DataFrame
+    points: DataFrame
+    goals: DataFrame
+
+
+Source = str | tuple[str, DataFrame]
+
+
+def choose_goals(
+    images: DataFrame, depth: DataFrame, sources: list[Source], s: Settings, inputs: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """Goals by source: a name of ``goals.GOAL_METHODS``, fed from ``inputs``, or a table with a name."""
+    given = goals.GoalInputs(
+        images, depth=depth, difference=s.front_difference * s.per_metre, crop=s.front_crop, zero_base=s.front_zero_base,
+        max_degree=s.front_max_degree, seed=s.seed, **(inputs or {}),
+    )
+    tables = [(m, goals.GOAL_METHODS[m](given)) if isinstance(m, str) else m for m in sources if m != "set_front"]
+    return goals.resolve_goals(images, tables, goals.GOAL_METHODS["set_front"](given), s.front_circle)
 
 
 def image_paths(images: DataFrame, depth: DataFrame, goal: DataFrame, stored: DataFrame | None, s: Settings) -> DataFrame:
@@ -64,20 +88,17 @@ def image_paths(images: DataFrame, depth: DataFrame, goal: DataFrame, stored: Da
 
 
 def region_masks(images: DataFrame, depth: DataFrame, goal: DataFrame, path: DataFrame, s: Settings) -> DataFrame:
-    """Pixels of the regions ``L R P`` and, if configured, ``D``."""
+    """Runs of the regions ``L R P`` and, if configured, ``D``."""
     ratio = G.camera_ratios("filename")[0] if s.camera_by_name else F.lit(0.6)
     sized = images.withColumn("fx", F.col("w") * ratio)
     points = paths.pixel_path(path.select("image_id", "seq", "x", "y"), images).join(
         sized.select("image_id", "fx"), "image_id"
     )
-    sides = regions.side_masks(points)
-    along = regions.path_mask(points, depth, s.path_half_width * s.per_metre)
     at_goal = goal.join(images.select("image_id", "h", "w"), "image_id").select(
         "image_id", "h", "w", G.project("cy", "h").alias("py"), G.project("cx", "w").alias("px")
     )
-    limited = raster.depth_mask(depth, at_goal, s.goal_radius_px, s.depth_buffer * s.per_metre)
-    masks = regions.run_pixels(sides.unionByName(along))
-    return regions.combine_regions(limited, masks, copies=(("D", "P"),) if s.goal_uses_path_mask else ())
+    copies = (("D", "P"),) if s.goal_uses_path_mask else ()
+    return regions.final_regions(depth, points, at_goal, s.path_half_width * s.per_metre, s.goal_radius_px, s.depth_buffer * s.per_metre, copies)
 
 
 def region_boxes(images: DataFrame, boxes: DataFrame, masks: DataFrame | None, s: Settings) -> DataFrame:
@@ -85,7 +106,7 @@ def region_boxes(images: DataFrame, boxes: DataFrame, masks: DataFrame | None, s
     every = lambda names: boxes.withColumn("region", F.explode(F.array(*[F.lit(n) for n in names])))
     if masks is None:
         return every(["D", "L", "R", "P"])
-    inside = regions.boxes_in_regions(boxes, regions.pixel_runs(masks), images, s.box_share)
+    inside = regions.boxes_in_regions(boxes, masks, images, s.box_share)
     kept = boxes.join(inside.select("image_id", "region", "box_no"), ["image_id", "box_no"])
     return kept if s.goal_uses_path_mask else kept.unionByName(every(["D"]).select(kept.columns))
 
@@ -94,33 +115,67 @@ def generate_records(
     images: DataFrame,
     depth: DataFrame,
     boxes: DataFrame,
-    sources: list[tuple[str, DataFrame]],
+    sources: list[Source],
     clients,
     settings: Settings = Settings(),
     dropped_labels: DataFrame | None = None,
     stored_paths: DataFrame | None = None,
+    inputs: dict[str, DataFrame] | None = None,
+    finished: DataFrame | None = None,
+    goal_cache: DataFrame | None = None,
+    earlier: DataFrame | None = None,
+    reuse: dict[str, bool] | None = None,
     **calls,
-) -> tuple[DataFrame, DataFrame]:
-    """``(records, path points)`` of ``images(image_id, filename, h, w)``.
-
-    ``sources`` are goal tables in order of preference. Five region answers, the decision over
-    them and the summary; records with a missing answer are left out.
+) -> Run:
+    """Records, path points and goals of ``images(image_id, filename, h, w)``.
+
+    ``sources`` are goal methods by name or goal tables, in order of preference; ``inputs`` are the
+    tables the named methods read (``goals.GoalInputs``), boxes apart. Images of ``finished`` are
+    left out, so a second run over the same images makes no call. ``goal_cache`` gives the goals it
+    has; only other images look for one. ``reuse`` flags record fields whose answer comes from
+    ``earlier`` records without a call; an image that lacks a flagged answer has no record. Else
+    five region answers, the decision over them and the summary are asked for; records with a
+    missing answer are left out.
     """
     s = settings
+    if finished is not None:
+        images = cut_lineage(goals.unfinished(images, finished))
     used = boxes if dropped_labels is None else B.drop_labels(boxes, dropped_labels)
-    goal = cut_lineage(choose_goals(images, depth, sources, s))
+    find = lambda todo: choose_goals(
+        todo, depth.join(todo.select("image_id"), "image_id", "left_semi"), sources, s, {"boxes": used, **(inputs or {})}
+    )
+    columns = ["image_id", "label", "cx", "cy", "method"]
+    if goal_cache is None:
+        goal = cut_lineage(find(images).select(*columns))
+    else:
+        goal = cut_lineage(goals.fill_cache(images, goal_cache.select(*columns), lambda todo: find(todo).select(*columns)))
     path = image_paths(images, depth, goal, stored_paths, s)
+    sizes = images.select("image_id", "filename", "h", "w")
+    if s.single_turn:
+        asked = prompts.single_turn_requests(goal, used)
+        answers = settle(inference.run_requests(asked, clients, keep=records.ANSWER_KEYS, **calls), "answers")
+        return Run(records.assemble_single(answers, goal, sizes), path, goal)
     masks = None if s.whole_image else region_masks(images, depth, goal, path, s)
     requests = prompts.region_requests(goal, region_boxes(images, used, masks, s), used, s.library)
-
-    def ask(what: DataFrame, name: str) -> DataFrame:
-        answered = inference.run_requests(what, clients, keep=records.ANSWER_KEYS, **calls)
-        return settle(records.region_answers(answered), name)
-
-    first = ask(requests, "regions")
+    flags = {t: bool((reuse or {}).get(field)) for t, (_, field) in records.RECORD_FIELDS.items()}
+    kept = records.earlier_answers(earlier, images, [t for t, on in flags.items() if on]) if any(flags.values()) else None
+
+    def ask(what: DataFrame, name: str, targets: list[str]) -> DataFrame:
+        """Answers of the flagged targets from earlier records, of the others from calls."""
+        todo = what.filter(~F.col("target").isin([t for t in targets if flags[t]] or [""]))
+        out = None
+        if not all(flags[t] for t in targets):
+            answered = inference.run_requests(todo, clients, keep=records.ANSWER_KEYS, **calls)
+            out = settle(records.region_answers(answered), name)
+        if kept is None:
+            return out
+        old = kept.filter(F.col("target").isin(targets))
+        return old if out is None else out.unionByName(old)
+
+    first = ask(requests, "regions", list(P.TARGETS))
     lists = prompts.box_lists(used, ["image_id"])
-    second = ask(records.decision_requests(records.wide_answers(first), lists, s.library), P.DECISION)
+    second = ask(records.decision_requests(records.wide_answers(first), lists, s.library), P.DECISION, [P.DECISION])
     so_far = first.unionByName(second)
-    third = ask(records.summary_requests(records.wide_answers(so_far)), "summaries")
+    third = ask(records.summary_requests(records.wide_answers(so_far)), "summaries", ["Sum"])
     wide = records.wide_answers(so_far.unionByName(third))
-    return records.assemble(wide, goal, images.select("image_id", "filename", "h", "w")), path
+    return Run(records.assemble(wide, goal, sizes), path, goal)

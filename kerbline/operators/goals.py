@@ -5,13 +5,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import scale
+from . import raster
+from .boxes import goal_candidates
 
 FRONT_DEFAULT = (0.5, 0.75)  # fixed value: three quarters down the middle
 
@@ -96,9 +99,84 @@ def unfinished(images: DataFrame, finished: DataFrame, key: str = "image_id") ->
     return images.join(finished.select(key), key, "left_anti")
 
 
-GOAL_METHODS: dict[str, Callable[..., DataFrame]] = {}
+@dataclass(frozen=True)
+class GoalInputs:
+    """What the goal methods choose from; a method uses the tables it needs.
 
+    ``images(image_id, filename, h, w)``, ``boxes`` as cleaned, ``depth`` in long form,
+    ``wanted(label)``, ``points(image_id, px, py)`` in pixels, ``marked`` and ``records`` goals of
+    annotation files and of earlier records.
+    """
+
+    images: DataFrame
+    boxes: DataFrame | None = None
+    depth: DataFrame | None = None
+    wanted: DataFrame | None = None
+    points: DataFrame | None = None
+    marked: DataFrame | None = None
+    records: DataFrame | None = None
+    difference: float = 10.0
+    crop: int = 10
+    zero_base: bool = True
+    max_degree: float = 0.0
+    seed: int = 17
+
+
+def _given(x: GoalInputs, name: str) -> DataFrame:
+    table = getattr(x, name)
+    if table is None:
+        raise ValueError(f"this goal method needs {name}")
+    return table
+
+
+def detected(x: GoalInputs) -> DataFrame:
+    """One seeded pick among the detections with a wanted label."""
+    found = goal_candidates(_given(x, "boxes"), _given(x, "wanted"))
+    return pick_one(found, x.seed).select("image_id", "label", "cx", "cy")
+
+
+def annotated_points(x: GoalInputs) -> DataFrame:
+    """Points of text annotations, from pixels to shares of the image."""
+    return goals_from_pixels(_given(x, "points"), x.images.select("image_id", "w", "h"))
+
+
+def marked_goals(x: GoalInputs) -> DataFrame:
+    return _given(x, "marked").select("image_id", F.lit("point").alias("label"), "cx", "cy")
 
-def register_goal_method(name: str, fn: Callable[..., DataFrame]) -> None:
-    """A goal method maps its inputs (images, boxes, depth) to ``(image_id, label, cx, cy)``."""
+
+def recorded_goals(x: GoalInputs) -> DataFrame:
+    """Goals of earlier records with the label they have there."""
+    return _given(x, "records").select("image_id", "label", "cx", "cy")
+
+
+def front_goals(x: GoalInputs) -> DataFrame:
+    """The point ahead where the depth changes enough: up the centre column, or with ``max_degree``
+    along a seeded bearing."""
+    depth = _given(x, "depth")
+    if x.max_degree:
+        sizes = x.images.select("image_id", "h", "w")
+        found = raster.front_point_bearing(depth, sizes, x.difference, x.max_degree, x.crop, x.zero_base, x.seed)
+    else:
+        found = raster.front_point(depth, x.difference, x.crop, x.zero_base)
+    return found.select("image_id", F.lit("point").alias("label"), "cx", "cy")
+
+
+GOAL_METHODS: dict[str, Callable[[GoalInputs], DataFrame]] = {
+    "select_det": detected,
+    "load_anno": annotated_points,
+    "load_xml": marked_goals,
+    "load_output_typed_xml": recorded_goals,
+    "set_front": front_goals,
+}
+
+
+def register_goal_method(name: str, fn: Callable[[GoalInputs], DataFrame]) -> None:
+    """A goal method maps ``GoalInputs`` to ``(image_id, label, cx, cy)``, one row an image at most."""
     GOAL_METHODS[name] = fn
+
+
+def goals_by_name(x: GoalInputs, methods: Sequence[str], circle: bool = False) -> DataFrame:
+    """Goals of the named methods in order of preference, then the front point, then the default."""
+    sources = [(name, GOAL_METHODS[name](x)) for name in methods if name != "set_front"]
+    front = GOAL_METHODS["set_front"](x) if x.depth is not None else None
+    return resolve_goals(x.images, sources, front, circle)

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions import prompt_texts as P
 from ..functions import text as X
-from ..session import settle
+from ..session import scratch_path, settle
 from . import conversations as C
 
+CALLS_PER_TASK = 256  # a task makes its calls one after the other
+IN_FLIGHT = 256  # most calling tasks, so most calls at a time whatever the number of cores
 FAILED_TEXT = "#ERROR#"  # fixed value: text of a failed answer where a text is required
 
 
@@ -45,6 +47,11 @@ class DummyClient:
 ClientFactory = Callable[[], Client]
 
 
+def calling_tasks(n: int) -> int:
+    """Tasks for ``n`` requests."""
+    return max(1, min(IN_FLIGHT, -(-n // CALLS_PER_TASK)))
+
+
 def run_requests(
     requests: DataFrame,
     clients: ClientFactory | dict[str, ClientFactory],
@@ -62,6 +69,9 @@ def run_requests(
 
     ``client`` names the entry of ``clients`` that answers the row. A call that fails
     ``tries`` times leaves ``failure_text`` (NULL by default) and its error.
+
+    ``parallel`` is the number of calling tasks. Left out, the requests are written once and counted:
+    a task per ``CALLS_PER_TASK`` of them, ``IN_FLIGHT`` at most, dealt evenly.
     """
     routed = isinstance(clients, dict)
     factories: dict[str, ClientFactory] = clients if routed else {"": clients}
@@ -70,6 +80,9 @@ def run_requests(
     results = [answer, "elapsed_s", "tries", "error"]
     if parallel:
         src = src.repartition(parallel, "req_id")
+    else:
+        src = settle(src, "requests")
+        src = src.repartition(calling_tasks(src.count()))
 
     def call(rows):
         opened: dict[str, Client] = {}
@@ -117,6 +130,14 @@ def with_cache(requests: DataFrame, cache: DataFrame, clients, **kwargs) -> tupl
     return known.select(*cols).unionByName(fresh.select(*cols)), fresh.filter("error is null").select(*cols)
 
 
+def by_turn(questions: DataFrame) -> DataFrame:
+    """``questions(conv_id, text, i)`` as a written table partitioned by ``i``."""
+    spark, path = questions.sparkSession, scratch_path(questions.sparkSession, "questions")
+    rows = questions.select("conv_id", "text", F.col("i").cast("bigint").alias("i"))
+    rows.write.partitionBy("i").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def chain_turns(
     questions: DataFrame,
     clients,
@@ -129,10 +150,12 @@ def chain_turns(
 
     ``questions(conv_id, i, text)``, ``i`` from 0 without gaps. ``history="all"`` renders the
     whole conversation so far with the template; ``"last"`` puts only the previous exchange in
-    front of the question. One round asks turn ``i`` of every conversation in parallel.
+    front of the question. One round asks turn ``i`` of every conversation in parallel. The
+    questions are computed once and written by turn number; a round reads the files of its turn.
     """
     if history not in ("all", "last"):
         raise ValueError("history is 'all' or 'last'")
+    questions = by_turn(questions)
     last = questions.agg(F.max("i")).first()[0]
     so_far = questions.filter("i = 0").select("conv_id", F.lit("").alias("before"), F.lit("").alias("exchange"))
     done = None

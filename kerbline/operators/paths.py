@@ -3,30 +3,43 @@
 The search runs on all images at once. A raster is held as one row per tile: the entry cost
 of each cell and the best distance so far, both with a one-cell frame. A round improves each
 tile on its own until it is stable and then sends the changed cells on its rim to the
-neighbour tiles. The search ends when no tile sends anything. A round moves the rims and the
-tiles that got mail, not the costs or distances of the others, and the number of rounds follows
+neighbour tiles. The search ends when no tile sends anything, and the number of rounds follows
 the tiles a path crosses, not its length in pixels.
+
+Costs and distances are tables partitioned by tile group (blocks of neighbouring tiles of an
+image). A round names the groups that got mail and reads the files of those alone; of these it
+shuffles only the tiles that got mail. Groups whose images are settled are not read again. Walking
+back from the goals reads the same way.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
-from ..session import cut_lineage, scratch_path, settle
+from ..session import cut_lineage, discard, scratch_path, settle
 from .raster import MOVES, TileGrid, attach, cell_cost, change_cost, pack_tiles
 
 SEARCH_TILE = 128
+GROUP_TILES = 512  # tiles of a group on average, some 200 MB of costs and distances
+GROUP_SIDE = 16  # a group is made of blocks of this many tiles each way, so one huge image has many
+NAMED_GROUPS = 10_000  # most groups that a round lists; with more of them active it reads all
 
 # Result texts.
 FOUND = "Path is planned successfully."
 UNREACHABLE = "No path found - goal is unreachable with the given threshold."
 
+UNSETTLED = "No path found - distances are not settled."
+KEYS = ["image_id", "ty", "tx"]
+
 
 # ---- polylines -----------------------------------------------------------------------
 
@@ -65,13 +78,25 @@ def pixel_path(points: DataFrame, sizes: DataFrame) -> DataFrame:
 def segments(points: DataFrame, cols: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """Consecutive pairs: each point with its successor (``next_…``).
 
-    ``seq`` counts without gaps, so the successor is an equi-join on (image, seq), which
-    spreads one endless path over all tasks; a window per image would not.
+    ``seq`` counts without repeats, so a point meets its successor under the key (image, seq): as
+    itself and, one number earlier, as the next one. One grouping spreads one endless path over
+    all tasks, which a window per image would not, and reads the points once, which a join of the
+    points with themselves would not.
     """
-    after = points.select(
-        "image_id", (F.col("seq") - 1).alias("seq"), *[F.col(c).alias(f"next_{c}") for c in cols]
+    own = F.struct(*[c for c in points.columns if c not in ("image_id", "seq")])
+    after = F.struct(*cols)
+    no_own, no_after = (F.lit(None).cast(points.select(x.alias("s")).schema["s"].dataType) for x in (own, after))
+    seq = points.schema["seq"].dataType
+    both = F.array(
+        F.struct(F.col("seq").alias("seq"), own.alias("own"), no_after.alias("after")),
+        F.struct((F.col("seq") - 1).cast(seq).alias("seq"), no_own.alias("own"), after.alias("after")),
     )
-    return points.join(after, ["image_id", "seq"])
+    met = points.select("image_id", F.explode(both).alias("b")).groupBy("image_id", F.col("b.seq").alias("seq")).agg(
+        F.first("b.own", ignorenulls=True).alias("own"), F.first("b.after", ignorenulls=True).alias("after")
+    )
+    pairs = met.filter(F.col("own").isNotNull() & F.col("after").isNotNull())
+    kept = [c if c in ("image_id", "seq") else f"own.{c}" for c in points.columns]
+    return pairs.select(*kept, *[F.col(f"after.{c}").alias(f"next_{c}") for c in cols])
 
 
 def densify(points: DataFrame, n: int) -> DataFrame:
@@ -220,18 +245,58 @@ def _rim(nh: int, nw: int) -> np.ndarray:
     return edge
 
 
+class Tiles(NamedTuple):
+    """Search result: costs and distances per tile, both partitioned by ``grp`` of ``groups``."""
+
+    costs: DataFrame
+    dists: DataFrame
+    groups: int
+
+
+def tile_groups(images: DataFrame, tile: int) -> int:
+    """Number of tile groups for ``images(h, w)``."""
+    n = images.agg(F.sum(F.ceil(F.col("h") / tile) * F.ceil(F.col("w") / tile))).first()[0]
+    return max(1, math.ceil((n or 0) / GROUP_TILES))
+
+
+def _with_group(df: DataFrame, groups: int) -> DataFrame:
+    block = [F.floor(F.col(c) / GROUP_SIDE) for c in ("ty", "tx")]
+    return df.withColumn("grp", F.pmod(F.xxhash64("image_id", *block), F.lit(groups)).cast("int"))
+
+
+def _by_group(df: DataFrame, path: str) -> DataFrame:
+    """Write tiles partitioned by their group, one file a group."""
+    df.repartition("grp").write.partitionBy("grp").parquet(path)
+    rest = [f for f in df.schema.fields if f.name != "grp"]
+    return df.sparkSession.read.schema(T.StructType([*rest, T.StructField("grp", T.IntegerType())])).parquet(path)
+
+
+def _touched(table: DataFrame, keys: DataFrame, groups: int) -> DataFrame:
+    """The tiles of ``table`` named by ``keys(image_id, ty, tx, grp)``; other groups are not read.
+
+    The driver learns the group numbers only. ``keys`` is a written table, so that the optimiser
+    knows its size: a small one is broadcast and untouched tiles of a group are not shuffled.
+    """
+    active = [r.grp for r in keys.select("grp").distinct().limit(NAMED_GROUPS + 1).collect()]
+    if len(active) <= min(NAMED_GROUPS, groups - 1):
+        table = table.filter(F.expr(f"grp in ({', '.join(map(str, sorted(active)))})") if active else F.lit(False))
+    return table.join(keys, [*KEYS, "grp"], "left_semi")
+
+
 def shortest_distances(
     cells: DataFrame,
     starts: DataFrame,
     use_depth_change: bool = False,
     moves: list[tuple[int, int]] = MOVES,
     tile: int = SEARCH_TILE,
-) -> DataFrame:
-    """Tile table with the distance of every cell from its image's start.
+    rounds_log: list[dict] | None = None,
+) -> Tiles:
+    """Tile tables with the distance of every cell from its image's start.
 
     ``cells(image_id, h, w, y, x, enter_cost[, depth])``: NULL cost means impassable;
     ``starts(image_id, h, w, sy, sx)``. With ``use_depth_change`` a move also costs the
-    squared depth difference.
+    squared depth difference. ``rounds_log`` receives the groups and the number of tiles of each
+    round.
     """
     id_type = cells.schema["image_id"].dataType.simpleString()
 
@@ -263,11 +328,11 @@ def shortest_distances(
 
     head = f"image_id {id_type}, ty int, tx int, h bigint, w bigint, {_STATE_FIELDS}"
     keep = ["image_id", "h", "w", "y", "x", "enter_cost", *(["depth"] if use_depth_change else [])]
+    spark, groups = cells.sparkSession, tile_groups(starts, tile)
     placed = attach(cells.select(*keep), starts.select("image_id", "h", "w", "sy", "sx"))
     values = ("enter_cost", "depth") if use_depth_change else ("enter_cost",)
-    state = cut_lineage(
-        pack_tiles(placed, 1, tile, values, keep=("sy", "sx")).mapInPandas(first_pass, head + ", changed boolean")
-    )
+    packed = pack_tiles(placed, 1, tile, values, keep=("sy", "sx")).mapInPandas(first_pass, head + ", changed boolean")
+    state = _by_group(_with_group(packed, groups), scratch_path(spark, "tiles"))
 
     def send(rows):
         """Rim cells of changed tiles, once per neighbour tile that frames them."""
@@ -308,40 +373,43 @@ def shortest_distances(
                 flags.append(changed)
             yield pdf.drop(columns=["inbox", "enter", "depth"]).assign(dist=dists, better=better, changed=flags)
 
-    # Costs and depths stay where they are; a round reads and writes only tiles that got mail.
-    keys, spark = ["image_id", "ty", "tx"], cells.sparkSession
     several = (F.col("h") > tile) | (F.col("w") > tile)
-    geometry = [*keys, "h", "w", "y0", "x0", "nh", "nw"]
-    fixed = state.drop("dist", "changed")
+    geometry = [*KEYS, "h", "w", "y0", "x0", "nh", "nw", "grp"]
+    versions = state.select(*geometry, "dist").withColumn("round", F.lit(0))
     moving = state.filter(F.col("changed") & several).select(*geometry, "dist")
-    if moving.isEmpty():
-        return state
-    log = scratch_path(spark, "distances")
-    state.select(*keys, "dist").write.parquet(f"{log}/round=0")
+    log, last, done = scratch_path(spark, "distances"), F.max_by("dist", "round").alias("dist"), []
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in moving.schema.fields[:-1])
-    last = F.max_by("dist", "round").alias("dist")
-    rounds = 0
     while not moving.isEmpty():
-        rounds += 1
-        mail = settle(
-            moving.mapInPandas(send, f"image_id {id_type}, ty int, tx int, y bigint, x bigint, d double")
-            .groupBy(*keys)
-            .agg(F.collect_list(F.struct("y", "x", "d")).alias("inbox")),  # at most the rims around one tile
-            "mail",
+        inbox = F.collect_list(F.struct("y", "x", "d")).alias("inbox")  # at most the rims around one tile
+        sent = moving.mapInPandas(send, f"image_id {id_type}, ty int, tx int, y bigint, x bigint, d double")
+        mail = settle(_with_group(sent.groupBy(*KEYS).agg(inbox), groups), "mail")
+        keys = settle(mail.select(*KEYS, "grp"), "mail-keys")
+        now = _touched(versions, keys, groups).groupBy(*geometry).agg(last)
+        tiles = mail.drop("grp").join(now, KEYS).join(_touched(state.select(*KEYS, "grp", "enter", "depth"), keys, groups).drop("grp"), KEYS)
+        got = settle(tiles.select(*geometry, "enter", "depth", "dist", "inbox").mapInPandas(receive, f"{kind}, dist binary, better boolean, changed boolean"), "round")
+        if rounds_log is not None:
+            rounds_log.append({"groups": sorted(r.grp for r in keys.select("grp").distinct().collect()), "tiles": got.count()})
+        newer = _by_group(got.filter("better").select(*geometry, "dist"), f"{log}/round={len(done) + 1}")
+        versions = state.select(*geometry, "dist").withColumn("round", F.lit(0)).unionByName(
+            spark.read.schema(T.StructType([*newer.schema.fields, T.StructField("round", T.IntegerType())])).parquet(log)
         )
-        now = spark.read.parquet(log).join(mail.select(*keys), keys, "left_semi").groupBy(*keys).agg(last)
-        tiles = mail.join(now, keys).join(fixed, keys).select(*geometry, "enter", "depth", "dist", "inbox")
-        got = settle(tiles.mapInPandas(receive, f"{kind}, dist binary, better boolean, changed boolean"), "tiles")
-        got.filter("better").select(*keys, "dist").write.parquet(f"{log}/round={rounds}")
         moving = got.filter("changed").select(*geometry, "dist")
-    settled = spark.read.parquet(log).groupBy(*keys).agg(last)
-    columns = [c for c in state.columns if c != "changed"]
-    return cut_lineage(fixed.join(settled, keys).withColumn("changed", F.lit(False)).select(*columns, "changed"))
-
-
-def cell_distances(state: DataFrame) -> DataFrame:
+        done.append((mail, keys, got))
+        if len(done) > 1:  # the tiles of the round before are read no more
+            for table in done[-2]:
+                discard(table)
+    costs = state.select(*geometry, "enter", "depth")
+    if not done:
+        return Tiles(costs, state.select(*geometry, "dist"), groups)
+    settled = _by_group(versions.groupBy(*geometry).agg(last), scratch_path(spark, "settled"))
+    for table in (*done[-1], newer):
+        discard(table)
+    return Tiles(costs, settled, groups)
+
+
+def cell_distances(state: Tiles) -> DataFrame:
     """Long form ``(image_id, y, x, dist)``; unreachable cells are left out."""
-    id_type = state.schema["image_id"].dataType.simpleString()
+    id_type = state.dists.schema["image_id"].dataType.simpleString()
 
     def unpack(rows):
         for pdf in rows:
@@ -352,30 +420,32 @@ def cell_distances(state: DataFrame) -> DataFrame:
                     {"image_id": r.image_id, "y": yy + r.y0, "x": xx + r.x0, "dist": inner[yy, xx]}
                 )
 
-    return state.select("image_id", "y0", "x0", "nh", "nw", "dist").mapInPandas(
+    return state.dists.select("image_id", "y0", "x0", "nh", "nw", "dist").mapInPandas(
         unpack, f"image_id {id_type}, y bigint, x bigint, dist double"
     )
 
 
 def trace_back(
-    state: DataFrame,
+    state: Tiles,
     ends: DataFrame,
     use_depth_change: bool = False,
     towards_goal: bool = False,
     moves: list[tuple[int, int]] = MOVES,
     tile: int = SEARCH_TILE,
 ) -> DataFrame:
-    """Walk from each goal to its start, tile by tile: ``(image_id, back, y, x, cost)``.
+    """Walk from each goal to its start, tile by tile: ``(image_id, back, y, x, cost, lost)``.
 
     ``back`` counts from the goal. Among equally cheap predecessors the first move in the
-    fixed order wins, or with ``towards_goal`` the one whose move points best at the goal.
+    fixed order wins, or with ``towards_goal`` the one whose move points best at the goal. A walk
+    that finds no predecessor ends in a row with ``lost``; other images go on. A leg reads the
+    tile groups its walks stand in.
     """
-    id_type = state.schema["image_id"].dataType.simpleString()
+    id_type = state.costs.schema["image_id"].dataType.simpleString()
     cell_at = F.floor(F.col("y") / tile).cast("int"), F.floor(F.col("x") / tile).cast("int")
 
     def walk(rows):
         for pdf in rows:
-            out = {k: [] for k in ("image_id", "back", "y", "x", "cost", "live", "gy", "gx")}
+            out = {k: [] for k in ("image_id", "back", "y", "x", "cost", "live", "gy", "gx", "lost")}
             for r in pdf.itertuples(index=False):
                 dist, enter = _grid(r.dist, r.nh, r.nw), _grid(r.enter, r.nh, r.nw)
                 depth = _grid(r.depth, r.nh, r.nw) if use_depth_change else None
@@ -385,7 +455,7 @@ def trace_back(
                 while True:
                     inside = 1 <= y <= r.nh and 1 <= x <= r.nw
                     stop = not inside or dist[y, x] == 0.0
-                    values = (r.image_id, back, y + r.y0 - 1, x + r.x0 - 1, dist[y, x], not inside, r.gy, r.gx)
+                    values = (r.image_id, back, y + r.y0 - 1, x + r.x0 - 1, dist[y, x], not inside, r.gy, r.gx, False)
                     for k, v in zip(out, values):
                         out[k].append(v)
                     if stop:
@@ -403,32 +473,29 @@ def trace_back(
                             y, x = y - dy, x - dx
                             break
                     else:
-                        raise RuntimeError("no predecessor: distances are not settled")
+                        out["lost"][-1] = True
+                        break
                     back += 1
             yield pd.DataFrame(out)
 
     schema = (
-        f"image_id {id_type}, back bigint, y bigint, x bigint, cost double, live boolean, gy bigint, gx bigint"
+        f"image_id {id_type}, back bigint, y bigint, x bigint, cost double, live boolean, gy bigint, gx bigint, lost boolean"
     )
     tokens = ends.select(
         "image_id", F.lit(0).cast("bigint").alias("back"), F.col("gy").alias("y"), F.col("gx").alias("x"), "gy", "gx"
     )
     walked = None
     while True:
-        here = (
-            tokens.withColumn("ty", cell_at[0])
-            .withColumn("tx", cell_at[1])
-            .join(
-                state.select("image_id", "ty", "tx", "y0", "x0", "nh", "nw", "enter", "depth", "dist"),
-                ["image_id", "ty", "tx"],
-            )
-        )
-        leg = cut_lineage(here.mapInPandas(walk, schema))
+        here = _with_group(tokens.withColumn("ty", cell_at[0]).withColumn("tx", cell_at[1]), state.groups)
+        keys = settle(here.select(*KEYS, "grp").distinct(), "walk-keys")
+        near = [_touched(t.drop("h", "w"), keys, state.groups).drop("grp") for t in (state.costs, state.dists.select(*KEYS, "grp", "dist"))]
+        leg = cut_lineage(here.drop("grp").join(near[0], KEYS).join(near[1], KEYS).mapInPandas(walk, schema))
+        discard(keys)
         done = leg.filter(~F.col("live"))
         walked = done if walked is None else walked.unionByName(done)
         tokens = leg.filter("live").select("image_id", "back", "y", "x", "gy", "gx")
         if tokens.isEmpty():
-            return walked.select("image_id", "back", "y", "x", "cost")
+            return walked.select("image_id", "back", "y", "x", "cost", "lost")
 
 
 def plan_paths(
@@ -441,18 +508,25 @@ def plan_paths(
 ) -> tuple[DataFrame, DataFrame]:
     """``(results, points)``: one result row per image, and the cells of each found path.
 
-    ``ends`` comes from ``search_ends`` (or has ``sy, sx, gy, gx``). With ``keep_raw_start``
+    An image whose walk is lost has a result row that says so and no points. ``ends`` comes from ``search_ends`` (or has ``sy, sx, gy, gx``). With ``keep_raw_start``
     the start before clamping comes first, so its ``ny`` can be 1.0.
     """
     state = shortest_distances(cells, ends, use_depth_change, tile=tile)
-    back = trace_back(state, ends, use_depth_change, towards_goal, tile=tile)
-    goal = back.filter("back = 0").select("image_id", F.col("cost"))
+    return path_results(trace_back(state, ends, use_depth_change, towards_goal, tile=tile), ends, keep_raw_start)
+
+
+def path_results(back: DataFrame, ends: DataFrame, keep_raw_start: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(results, points)`` of walked paths; see ``plan_paths``."""
+    lost = back.filter("lost").select("image_id")
+    goal = back.filter("back = 0").select("image_id", "cost").join(lost.withColumn("_lost", F.lit(True)), "image_id", "left")
+    found = F.col("cost").isNotNull() & F.col("_lost").isNull()
     results = ends.join(goal, "image_id", "left").select(
         "image_id",
-        F.col("cost").isNotNull().alias("res"),
-        F.when(F.col("cost").isNotNull(), FOUND).otherwise(UNREACHABLE).alias("reason"),
-        "cost",
+        found.alias("res"),
+        F.when(found, FOUND).when(F.col("_lost"), UNSETTLED).otherwise(UNREACHABLE).alias("reason"),
+        F.when(found, F.col("cost")).alias("cost"),
     )
+    back = back.join(lost, "image_id", "left_anti")
     length = back.groupBy("image_id").agg(F.max("back").alias("n"))
     shift = 1 if keep_raw_start else 0
     points = (

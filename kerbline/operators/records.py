@@ -145,6 +145,33 @@ def reuse_answers(fresh: DataFrame, earlier: DataFrame, flags: dict[str, bool] |
     return out.select(*cols)
 
 
+def earlier_answers(earlier: DataFrame, images: DataFrame, targets: list[str]) -> DataFrame:
+    """Answers of earlier records in the form of ``region_answers``; no time was spent on them."""
+    cells = F.array(
+        *[
+            F.struct(F.lit(t).alias("target"), F.col(RECORD_FIELDS[t][0]).alias("query"), F.col(RECORD_FIELDS[t][1]).alias("answer"))
+            for t in targets
+        ]
+    )
+    rows = earlier.join(images.select("image_id"), "image_id", "left_semi").select("image_id", F.explode(cells).alias("c"))
+    return rows.filter("c.answer is not null").select("image_id", "c.*", F.lit(0.0).alias("elapsed_s"))
+
+
+def assemble_single(answers: DataFrame, goals: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Records of a single-turn run: six texts out of one answer, one query. A failed call leaves
+    no record."""
+    parts = single_turn_record(answers.select("image_id", X.remove_tokens("text").alias("text")))
+    asked = answers.select("image_id", X.remove_tokens("prompt").alias("recommend_query"))
+    return (
+        parts.filter("recommend is not null").join(asked, "image_id").join(goals, "image_id").join(sizes, "image_id").select(
+            "image_id", "filename", F.lit("pipeline").alias("annotator"), F.array("w", "h", F.lit(3)).alias("size_whc"),
+            F.array("cx", "cy").alias("goal_position_xy"), F.col("label").alias("goal_object_label"),
+            "dest_desc", "left_desc", "right_desc", "path_desc", "desc_before_llm", "recommend_query",
+            X.swap(F.col("recommend"), "\n", " ").alias("recommend"),
+        )
+    )
+
+
 def training_samples(records: DataFrame, image: str = "filename", answer: str = "summary_answer") -> DataFrame:
     """``id, image, conversations[]`` rows; the id ends at the first dot of the file name."""
     turn = lambda who, text: F.struct(F.lit(who).alias("from"), text.alias("value"))

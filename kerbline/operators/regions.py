@@ -2,9 +2,10 @@
 
 Shapes (polygons, discs, rectangles, bands) are cut into one interval per raster row. The
 union per row adds +1 / -1 at interval ends and sums them, so a thousand overlapping shapes
-shrink to at most one change per column before anything is sorted. Pixels are written out
-only where a pixel table is joined. A pixel belongs to a shape if its centre is inside or on
-the edge.
+shrink to at most one change per column before anything is sorted. The final regions come from one
+sweep over the run ends of a row: shapes and the depth limit enter as runs and leave as runs.
+Pixels are written out only where a pixel table is joined. A pixel belongs to a shape if its
+centre is inside or on the edge.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import settle
+from . import raster as R
 from .boxes import XYXY
 from .paths import cell_distances, segments, shortest_distances
 
@@ -140,6 +143,11 @@ def _moves(points: DataFrame) -> DataFrame:
 # ---- the masks -----------------------------------------------------------------------
 
 def side_masks(points: DataFrame, as_reference: bool = True) -> DataFrame:
+    """The union of ``side_runs``."""
+    return merge_runs(side_runs(points, as_reference))
+
+
+def side_runs(points: DataFrame, as_reference: bool = True) -> DataFrame:
     """Areas left (``L``) and right (``R``) of a path; ``points(image_id, seq, px, py, h, w)``.
 
     Each path segment spans a quad to the image border. The left quad names its border
@@ -154,9 +162,7 @@ def side_masks(points: DataFrame, as_reference: bool = True) -> DataFrame:
     left = side("L", zero, h, zero) if as_reference else side("L", zero, zero, h)
     both = pairs.withColumn("_s", F.explode(F.array(left, side("R", w, zero, h)))).select("*", "_s.*")
     border = [(F.col("bx"), F.col("ya")), (F.col("bx"), F.col("yb"))]
-    return merge_runs(
-        quad_runs(both, [(F.col("px"), F.col("py")), (F.col("next_px"), F.col("next_py")), *border])
-    )
+    return quad_runs(both, [(F.col("px"), F.col("py")), (F.col("next_px"), F.col("next_py")), *border])
 
 
 def circle_mask(centres: DataFrame, region: str = "C") -> DataFrame:
@@ -215,6 +221,11 @@ def goal_bands(goals: DataFrame, raster: DataFrame, half_width: float) -> DataFr
 
 
 def path_mask(points: DataFrame, raster: DataFrame, half_width: float, region: str = "P") -> DataFrame:
+    """The union of ``path_runs``."""
+    return merge_runs(path_runs(points, raster, half_width, region))
+
+
+def path_runs(points: DataFrame, raster: DataFrame, half_width: float, region: str = "P") -> DataFrame:
     """Area within ``half_width`` metres of the path.
 
     ``points(image_id, seq, px, py, h, w, fx)``. Each pair of points spans a rectangle from the
@@ -246,7 +257,7 @@ def path_mask(points: DataFrame, raster: DataFrame, half_width: float, region: s
         F.col("p.py").alias("cy"),
         G.truncate((F.col("p.right_x") - F.col("p.left_x")) / 2).alias("r"),
     )
-    return merge_runs(rectangle_runs(rects).unionByName(disc_runs(disc)))
+    return rectangle_runs(rects).unionByName(disc_runs(disc))
 
 
 def path_disc_mask(points: DataFrame, raster: DataFrame, radius: float, region: str = "P") -> DataFrame:
@@ -322,38 +333,87 @@ def flood_masks(pixels: DataFrame, line: DataFrame, tile: int = 128) -> DataFram
     )
 
 
-def combine_regions(
-    pixels: DataFrame, masks: DataFrame, cut: str = "P", copies: tuple[tuple[str, str], ...] = ()
+def limit_runs(raster: DataFrame, ref: DataFrame, nearer: bool = True) -> DataFrame:
+    """Runs ``(image_id, y, x_from, x_to)`` of the pixels on the wanted side of ``ref_depth``.
+
+    ``ref(image_id, h, w, ref_depth)``. Consecutive pixels of a row differ from their rank by the
+    same number, so one sort of each raster row gives its runs.
+    """
+    test = F.col("depth") < F.col("ref_depth") if nearer else F.col("depth") > F.col("ref_depth")
+    inside = R.attach(raster.select("image_id", "y", "x", "depth"), ref).filter(test).select("image_id", "y", "x")
+    rank = F.row_number().over(Window.partitionBy("image_id", "y").orderBy("x"))
+    ranked = inside.withColumn("_g", F.col("x") - rank).groupBy("image_id", "y", "_g")
+    return ranked.agg(F.min("x").alias("x_from"), F.max("x").alias("x_to")).drop("_g")
+
+
+def sweep_runs(
+    masks: DataFrame, limits: DataFrame, regions: tuple[str, ...] = ("L", "R", "P"), cut: str = "P", copies: tuple[tuple[str, str], ...] = ()
 ) -> DataFrame:
-    """Final region pixels: each mask within the depth limit, and outside ``cut`` unless exempt.
+    """Final regions: each mask within the limits, and outside ``cut`` unless exempt, as runs.
 
-    ``pixels(image_id, y, x, in_depth)``, ``masks(image_id, region, y, x)``. ``copies`` adds
-    regions that copy another one, e.g. ``(("D", "P"),)``. Regions ``D`` and the cut itself
-    keep their overlap. One grouping brings all facts of a pixel together.
+    ``masks`` are runs, overlapping or not, ``limits`` runs without a region. ``copies`` adds
+    regions that copy another one, e.g. ``(("D", "P"),)``. Regions ``D`` and the cut itself keep
+    their overlap. Ends of runs are added up per column before they are sorted; a sweep along each
+    raster row then knows at every end what covers the pixels up to the next one.
     """
-    for new, old in copies:
-        masks = masks.unionByName(masks.filter(F.col("region") == old).withColumn("region", F.lit(new)))
-    marks = masks.select("image_id", "y", "x", "region", F.lit(False).alias("ok"))
-    limits = pixels.filter("in_depth").select(
-        "image_id", "y", "x", F.lit(None).cast("string").alias("region"), F.lit(True).alias("ok")
+    marked = masks.select("image_id", "y", "x_from", "x_to", "region").unionByName(
+        limits.select("image_id", "y", "x_from", "x_to", F.lit("").alias("region"))
     )
-    facts = (
-        marks.unionByName(limits)
-        .groupBy("image_id", "y", "x")
-        .agg(F.collect_set("region").alias("regions"), F.max("ok").alias("ok"))
-        .filter(F.col("ok") & (F.size("regions") > 0))
+    edge = F.array(
+        F.struct(F.col("x_from").alias("x"), F.lit(1).alias("d")), F.struct((F.col("x_to") + 1).alias("x"), F.lit(-1).alias("d"))
     )
-    on_cut = F.array_contains("regions", cut)
-    return (
-        facts.withColumn("region", F.explode("regions"))
-        .filter(F.col("region").isin("D", cut) | ~on_cut)
-        .select("image_id", "region", "y", "x")
+    ends = marked.select("image_id", "y", "region", F.explode(edge).alias("e"))
+    names = {r: f"c{k}" for k, r in enumerate((*regions, ""))}
+    steps = ends.groupBy("image_id", "y", F.col("e.x").alias("x")).agg(
+        *[F.sum(F.when(F.col("region") == r, F.col("e.d")).otherwise(0)).alias(c) for r, c in names.items()]
     )
+    line = Window.partitionBy("image_id", "y").orderBy("x")
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    on = steps.select("image_id", "y", "x", *[(F.sum(c).over(upto) > 0).alias(c) for c in names.values()])
+
+    def covered(new: str, old: str) -> Column:
+        free = F.lit(True) if new in ("D", cut) else ~F.col(names[cut])
+        return F.col(names[old]) & F.col(names[""]) & free
+
+    wanted = [(r, r) for r in regions] + list(copies)
+    kept = on.select("image_id", "y", "x", *[covered(*pair).alias(f"k{k}") for k, pair in enumerate(wanted)])
+    before = [F.coalesce(F.lag(f"k{k}").over(line), F.lit(False)) for k in range(len(wanted))]
+    turns = F.array(*[F.struct(F.lit(new).alias("region"), F.col(f"k{k}").alias("now"), before[k].alias("was")) for k, (new, _) in enumerate(wanted)])
+    turned = kept.select("image_id", "y", "x", turns.alias("t")).select("image_id", "y", "x", F.explode("t").alias("t")).filter("t.now <> t.was")
+    along = Window.partitionBy("image_id", "y", "region").orderBy("x")
+    spans = turned.select("image_id", F.col("t.region").alias("region"), "y", "x", F.col("t.now").alias("now"))
+    spans = spans.withColumn("x_to", F.lead("x").over(along) - 1).filter("now")
+    return spans.select("image_id", "region", "y", F.col("x").alias("x_from"), "x_to")
+
+
+def final_regions(
+    raster: DataFrame,
+    points: DataFrame,
+    goals: DataFrame,
+    half_width: float,
+    radius: int,
+    buffer: float,
+    copies: tuple[tuple[str, str], ...] = (("D", "P"),),
+    always_nearer: bool = False,
+) -> DataFrame:
+    """Runs of the regions ``L R P`` and the copies within the depth limit of the goal.
 
-
-def pixel_runs(mask: DataFrame) -> DataFrame:
-    """Pixels back to runs, row by row."""
-    return merge_runs(mask.select("image_id", "region", "y", F.col("x").alias("x_from"), F.col("x").alias("x_to")))
+    ``points(image_id, seq, px, py, h, w, fx)``, ``goals(image_id, h, w, py, px)``. The raster is
+    read twice: once for the pixels asked for (those of the path and those around the goal, kept as
+    a small table), once for the depth limit.
+    """
+    points, goals = settle(points, "points"), goals.select("image_id", "h", "w", "py", "px")
+    around = goals.select(
+        "image_id", "px",
+        F.explode(F.sequence(F.greatest(F.col("py") - radius, F.lit(0)), F.least(F.col("py") + radius, F.col("h")) - 1)).alias("y"),
+        F.greatest(F.col("px") - radius, F.lit(0)).alias("lo"), (F.least(F.col("px") + radius, F.col("w")) - 1).alias("hi"),
+    ).select("image_id", "y", F.explode(F.sequence("lo", "hi")).alias("x"), F.lit(True).alias("goal"))
+    along = points.select("image_id", F.col("py").alias("y"), F.col("px").alias("x"), F.lit(False).alias("goal")).distinct()
+    asked = along.unionByName(around).groupBy("image_id", "y", "x").agg(F.max("goal").alias("goal"))
+    probes = settle(raster.select("image_id", "h", "w", "y", "x", "depth").join(asked, ["image_id", "y", "x"]), "probes")
+    ref = probes.filter("goal").groupBy("image_id", "h", "w").agg((F.max("depth") + buffer).alias("ref_depth"))
+    limits = limit_runs(raster, ref, always_nearer or buffer > 0)
+    return sweep_runs(side_runs(points).unionByName(path_runs(points, probes, half_width)), limits, copies=copies)
 
 
 def boxes_in_regions(boxes: DataFrame, runs: DataFrame, sizes: DataFrame, share: float = 0.1) -> DataFrame:

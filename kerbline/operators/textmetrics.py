@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 
 from ..functions.stemming import stem
 from ..functions.text import words
+from ..session import settle
 
 VECTOR_BLOCK = 256
+STRIP = 8  # blocks of a side that meet as many of the other side in one grid cell
 
 
 def rouge_tokens(text: Column, stemmed: bool) -> Column:
@@ -131,26 +133,55 @@ def _align(pred: list[str], truth: list[str], groups: list[Callable[[str], str]]
     return sorted(matched)
 
 
+FEW_SYNONYMS = 100_000  # words of a synonym table from which on a word's pairs are salted
+
+
+def _known_groups(pairs: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """``(pair_id, groups)``: the synonym group of every word of a pair that has one, as a map.
+
+    Words are made distinct per pair first. The table is written, so that the optimiser knows its
+    size and broadcasts a small one. A larger one is copied per salt, so that a word that stands in
+    every pair is dealt over many tasks.
+    """
+    table = settle(synonyms.groupBy("word").agg(F.min("grp").alias("grp")), "synonyms")
+    each = pairs.select("pair_id", F.explode(F.array_distinct(F.concat("t", "p"))).alias("word"))
+    if table.count() <= FEW_SYNONYMS:
+        met = each.join(table, "word")
+    else:
+        salts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = each.withColumn("_salt", F.pmod(F.xxhash64("pair_id"), F.lit(salts)).cast("int")).join(copies, ["word", "_salt"])
+    return met.groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "grp"))).alias("groups"))
+
+
 def meteor(
     pairs: DataFrame,
-    synonyms: dict[str, str] | None = None,
+    synonyms: DataFrame | None = None,
     alpha: float = 0.9,
     beta: float = 3.0,
     gamma: float = 0.5,
 ) -> DataFrame:
     """Exact, stem and synonym matches with a chunk penalty.
 
-    ``synonyms`` maps a word to its group; without it that stage finds nothing.
+    ``synonyms(word, grp)`` names the group of a lower-case word (the first group in order if there
+    are several); words without one are their own group. Without the table that stage finds nothing.
     """
-    stages: list[Callable[[str], str]] = [lambda w: w, stem]
-    if synonyms:
-        stages.append(lambda w: synonyms.get(w, w))
 
     @F.pandas_udf(T.DoubleType())
-    def score(truth: pd.Series, pred: pd.Series) -> pd.Series:
-        def one(t, p) -> float:
-            t, p = [w.lower() for w in t], [w.lower() for w in p]
-            hits = _align(p, t, stages)
+    def score(truth: pd.Series, pred: pd.Series, groups: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}  # per Arrow batch
+
+        def stemmed(w: str) -> str:
+            if w not in known:
+                known[w] = stem(w)
+            return known[w]
+
+        def one(t, p, g) -> float:
+            stages: list[Callable[[str], str]] = [lambda w: w, stemmed]
+            if g is not None:
+                g = dict(g)
+                stages.append(lambda w: g.get(w, w))
+            hits = _align(list(p), list(t), stages)
             if not hits:
                 return 0.0
             chunks = 1 + sum(
@@ -160,9 +191,15 @@ def meteor(
             mean = precision * recall / (alpha * precision + (1 - alpha) * recall)
             return (1 - gamma * (chunks / len(hits)) ** beta) * mean
 
-        return pd.Series([one(t, p) for t, p in zip(truth, pred)], dtype=float)
+        return pd.Series([one(t, p, g) for t, p, g in zip(truth, pred, groups)], dtype=float)
 
-    return pairs.select("pair_id", score(words("truth"), words("pred")).alias("value"))
+    lower = lambda c: F.transform(words(c), F.lower)
+    toks = pairs.select("pair_id", lower("truth").alias("t"), lower("pred").alias("p"))
+    if synonyms is None:
+        toks = toks.withColumn("groups", F.lit(None).cast("map<string,string>"))
+    else:
+        toks = toks.join(_known_groups(toks, synonyms), "pair_id", "left")
+    return toks.select("pair_id", score("t", "p", "groups").alias("value"))
 
 
 # ---- token vectors -------------------------------------------------------------------
@@ -198,13 +235,32 @@ def best_partners(truth: DataFrame, pred: DataFrame, block: int = VECTOR_BLOCK)
                     out["best"] += top.tolist()
             yield pd.DataFrame(out)
 
-    grids = _blocks(truth, "t", block).join(_blocks(pred, "p", block), "pair_id")
-    partial = grids.select("pair_id", "t", "p").mapInPandas(
+    partial = token_grid(truth, pred, block).select("pair_id", "t", "p").mapInPandas(
         products, f"pair_id {id_type}, side string, pos bigint, best double"
     )
     return partial.groupBy("pair_id", "side", "pos").agg(F.max("best").alias("best"))
 
 
+def token_grid(truth: DataFrame, pred: DataFrame, block: int = VECTOR_BLOCK, strip: int = STRIP) -> DataFrame:
+    """Every block of truth tokens beside every block of predicted tokens of the same pair.
+
+    The grid of a pair is cut into cells of ``strip`` x ``strip`` blocks, and the blocks are joined
+    on (pair, row of cells, column of cells). So a long pair is dealt over as many tasks as it has
+    cells, a block is sent once per cell it is part of, and a cell holds a bounded number of blocks.
+    Strips are told how many strips the other side has under the key (pair, strip), which spreads a
+    long pair as well.
+    """
+    t = _blocks(truth, "t", block).withColumn("t_strip", F.floor(F.col("t_block") / strip))
+    p = _blocks(pred, "p", block).withColumn("p_strip", F.floor(F.col("p_block") / strip))
+    last = lambda df, name: df.groupBy("pair_id").agg(F.floor(F.max("pos") / (block * strip)).alias(name))
+    ends = last(truth, "last_t").join(last(pred, "last_p"), "pair_id")
+    rows = ends.select("pair_id", "last_p", F.explode(F.sequence(F.lit(0).cast("bigint"), "last_t")).alias("t_strip"))
+    cols = ends.select("pair_id", "last_t", F.explode(F.sequence(F.lit(0).cast("bigint"), "last_p")).alias("p_strip"))
+    left = t.join(rows, ["pair_id", "t_strip"]).withColumn("p_strip", F.explode(F.sequence(F.lit(0).cast("bigint"), "last_p")))
+    right = p.join(cols, ["pair_id", "p_strip"]).withColumn("t_strip", F.explode(F.sequence(F.lit(0).cast("bigint"), "last_t")))
+    return left.drop("last_p").join(right.drop("last_t"), ["pair_id", "t_strip", "p_strip"])
+
+
 def vector_score(truth: DataFrame, pred: DataFrame, block: int = VECTOR_BLOCK) -> DataFrame:
     """Precision, recall and F1 of greedy token matching over supplied vectors."""
     sides = best_partners(truth, pred, block).groupBy("pair_id").agg(
@@ -287,6 +343,19 @@ def register_metric(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     METRICS[name] = fn
 
 
+def vector_metric(encode: Callable[[DataFrame], DataFrame], block: int = VECTOR_BLOCK) -> Callable[[DataFrame], DataFrame]:
+    """The F1 of ``vector_score`` as a metric. ``encode`` maps ``(pair_id, pos, token)`` to
+    ``(pair_id, pos, vec)``; tokens are the words of a text."""
+
+    def tokens(pairs: DataFrame, side: str) -> DataFrame:
+        return pairs.select("pair_id", F.posexplode(words(side)).alias("pos", "token")).withColumn("pos", F.col("pos").cast("bigint"))
+
+    def score(pairs: DataFrame) -> DataFrame:
+        return vector_score(encode(tokens(pairs, "truth")), encode(tokens(pairs, "pred")), block).select("pair_id", F.col("f1").alias("value"))
+
+    return score
+
+
 def score_pairs(pairs: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Long scores ``(pair_id, metric, value)``."""
     out = None

@@ -11,6 +11,7 @@ from ..operators import benchmarks as BM
 from ..sources import readers as RD
 from ..sources import writers as WR
 from ..scale import spread
+from ..session import scratch_path
 from . import fixtures as D
 from .conversation_queries import q
 from .registry import query
@@ -150,6 +151,14 @@ def choice_result_rows(spark, sf):
     return BM.choice_result_rows(_analysis(spark, sf))
 
 
+@query("choice_result_map", f"WITH {_ANALYSIS} SELECT question_id::VARCHAR AS question_id, pred_idx AS result, pred_text AS output FROM an")
+def choice_result_map(spark, sf):
+    """The result file of a run: one JSON object over part files, read back line by line."""
+    analysis, path = _analysis(spark, sf), scratch_path(spark, "results")
+    WR.write_result_map(BM.choice_result_rows(analysis), BM.choice_accuracy(analysis), path)
+    return RD.read_result_map(spark, path)
+
+
 @query(
     "choice_split_restricted",
     f"""WITH {D.PROBLEMS} SELECT question_id, n_choices, answer FROM problems WHERE question_id IN (SELECT doc_id FROM labels WHERE quality = 1)""",
@@ -570,3 +579,23 @@ def raster_size_rejects(spark, sf):
     r = D.raster(spark, sf).filter("not (image_id % 25 = 3 and y = 0 and x = 0)")
     sizes = D.raster_goals(spark, sf).selectExpr("image_id", "8L as h", "case when image_id % 10 = 0 then 9L else 8L end as w")
     return RD.check_raster_sizes(r, sizes)[1].select("image_id", "want_h", "want_w")
+
+
+_ANSWERED = """an AS (SELECT doc_id AS pair_id, lang AS pred, list_transform(range(10), lambda i: CASE WHEN (doc_id + i*i) % 3 = 0 THEN lang WHEN i % 2 = 0 THEN lang || 'x' ELSE source END) AS answers FROM documents),
+k AS (SELECT *, len(list_filter(answers, lambda a: a = pred))::DOUBLE AS hits FROM an),
+e AS (SELECT pair_id, unnest(answers) AS a, pred FROM an), s AS (SELECT pair_id, 1 - levenshtein(pred, a)/greatest(length(pred), length(a))::DOUBLE AS sim FROM e)"""
+
+
+@query(
+    "evaluators_by_name",
+    f"""WITH {_ANSWERED} SELECT pair_id, 'soft_accuracy' AS metric, round((hits*least(1, (hits - 1)/3) + (10 - hits)*least(1, hits/3))/10, 9) AS value FROM k WHERE hits > 0
+    UNION ALL SELECT pair_id, 'soft_accuracy', 0 FROM k WHERE hits = 0 UNION ALL SELECT pair_id, 'exact_match', (hits > 0)::INT FROM k
+    UNION ALL SELECT pair_id, 'edit_similarity', round(max(CASE WHEN sim >= 0.5 THEN sim ELSE 0 END), 9) FROM s GROUP BY 1
+    UNION ALL SELECT NULL, 'bleu', 0""",
+)
+def evaluators_by_name(spark, sf):
+    """Every registered evaluator over the same answers; one-word texts have no four-word hit."""
+    docs = D.table(spark, sf, "documents").select("doc_id", "lang", "source")
+    choice = lambda i: F.when((F.col("doc_id") + i * i) % 3 == 0, F.col("lang")).when(i % 2 == 0, F.concat("lang", F.lit("x"))).otherwise(F.col("source"))
+    rows = docs.select(F.col("doc_id").alias("pair_id"), F.col("lang").alias("pred"), F.transform(F.sequence(F.lit(0), F.lit(9)), choice).alias("answers"))
+    return BM.score_answers(rows).withColumn("value", F.round("value", 9))

@@ -422,9 +422,18 @@ def batches_by_length_uneven(spark, sf):
     return dealt.groupBy("mega").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
 
 
-@query("batches_over_ranks")
+@query(
+    "batches_over_ranks",
+    f"""WITH RECURSIVE {_LEN}, s AS (SELECT *, row_number() OVER (ORDER BY md5('17|' || conv_id), conv_id) - 1 AS pos, count(*) OVER () AS cnt FROM lens),
+    r AS MATERIALIZED (SELECT conv_id, length, pos // 16 AS mega, row_number() OVER (PARTITION BY pos // 16 ORDER BY length DESC, pos) - 1 AS rn, least(16, cnt - pos // 16 * 16) AS n FROM s),
+    d AS (SELECT DISTINCT mega, -1::BIGINT AS rn, [0, 0, 0, 0]::DOUBLE[] AS load, [0, 0, 0, 0]::BIGINT[] AS cnt, 0::BIGINT AS k FROM r WHERE n % 4 = 0
+      UNION ALL SELECT mega, rn, list_transform(range(1, 5), lambda i: CASE WHEN i <> k THEN load[i] WHEN cnt[i] = n // 4 - 1 THEN 'inf'::DOUBLE ELSE load[i] + length END),
+        list_transform(range(1, 5), lambda i: cnt[i] + (i = k)::BIGINT), k
+      FROM (SELECT r.mega, r.rn, r.n, r.length, d.load, d.cnt, list_position(d.load, list_min(d.load))::BIGINT AS k FROM d JOIN r ON r.mega = d.mega AND r.rn = d.rn + 1))
+    SELECT r.conv_id, r.length, r.mega, coalesce(d.k - 1, r.rn % 4) AS rank, coalesce(d.cnt[d.k] - 1, r.rn // 4) AS slot FROM r LEFT JOIN d ON d.mega = r.mega AND d.rn = r.rn""",
+)
 def batches_over_ranks(spark, sf):
-    """Greedy deal over four ranks; checked against a direct computation in the tests."""
+    """Greedy deal over four ranks; the SQL deals row by row."""
     return B.length_batches(_lengths(spark, sf).drop("modality_length"), "conv_id", "length", 4, world_size=4)
 
 
@@ -544,3 +553,14 @@ def answers_zipped_by_position(spark, sf):
         D.table(spark, sf, "documents").select("doc_id"), ["doc_id"],
         D.table(spark, sf, "events").select("value", "event_id"), ["value", "event_id"],
     ).drop("value")
+
+
+@query(
+    "token_ids_by_encoder",
+    """SELECT conv_id, turn, array_to_string([1] || list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: length(w)), ' ') AS ids FROM conversations""",
+)
+def token_ids_by_encoder(spark, sf):
+    """An encoder of the user's own behind the tokenizer interface: the length of each word."""
+    tok = K.ArrowTokenizer(lambda: lambda text: [1, *map(len, text.split())], model_max_length=1_000_000)
+    ids = K.plain_ids(D.turns(spark, sf), "text", tok, "ids")
+    return ids.select("conv_id", "turn", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import prompt_texts as PT
+from ..functions.text import word_count, words
 from ..operators import boxes as BX
 from ..operators import evaluate as EV
 from ..operators import generate as GEN
@@ -18,7 +21,9 @@ from .. import scale
 from ..session import settle
 from . import fixtures as D
 from .conversation_queries import q
+from .raster_queries import _REGIONS
 from .registry import query
+from .stem_sql import stems
 
 # ---- records and truth from documents -----------------------------------------------------
 # a document is a row of records with five sentences each; field k of the truth is sentence k of
@@ -87,22 +92,103 @@ def rouge_two_words(spark, sf):
     return TM.rouge_n(D.pairs(spark, sf), 2, stemmed=False)
 
 
-@query("rouge_one_stemmed")
+_ROUGE_TOKENS = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_F_MEASURE = "CASE WHEN hits > 0 THEN 2*(hits/n_pred::DOUBLE)*(hits/n_truth::DOUBLE)/(hits/n_pred::DOUBLE + hits/n_truth::DOUBLE) ELSE 0 END AS value"
+# words with their place and stem; words of up to three letters are not stemmed
+_STEMMED = f"""{D.PAIRS}, raw AS MATERIALIZED (SELECT pair_id, side, unnest(tok) AS word, unnest(range(1, len(tok) + 1)) AS pos FROM (
+    SELECT pair_id, 't' AS side, {_ROUGE_TOKENS.format("truth")} AS tok FROM pairs UNION ALL SELECT pair_id, 'p', {_ROUGE_TOKENS.format("pred")} FROM pairs)),
+{stems("SELECT word FROM raw", 4)},
+tok AS MATERIALIZED (SELECT pair_id, side, pos, stem FROM raw JOIN stems USING (word)),
+sizes AS (SELECT pairs.pair_id, count(pos) FILTER (side = 't') AS n_truth, count(pos) FILTER (side = 'p') AS n_pred FROM pairs LEFT JOIN tok USING (pair_id) GROUP BY 1)"""
+
+
+@query(
+    "rouge_one_stemmed",
+    f"""WITH {_STEMMED}, c AS (SELECT pair_id, stem, count(*) FILTER (side = 't') AS t, count(*) FILTER (side = 'p') AS p FROM tok GROUP BY 1, 2),
+    h AS (SELECT pair_id, sum(least(t, p))::BIGINT AS hits FROM c GROUP BY 1),
+    r AS (SELECT pair_id, coalesce(hits, 0) AS hits, n_truth, n_pred FROM sizes LEFT JOIN h USING (pair_id))
+    SELECT *, {_F_MEASURE} FROM r""",
+)
 def rouge_one_stemmed(spark, sf):
-    """Stemmed tokens; the stemmer is checked on published words in the tests."""
+    """Stemmed tokens; the SQL takes the suffixes off in a chain of tables."""
     return TM.rouge_n(D.pairs(spark, sf), 1)
 
 
-@query("rouge_longest_sequence")
+# The places of each truth token in the prediction, last place first, are fed one by one into the
+# list of the smallest ends of common subsequences of every length (it starts with a 0).
+_LONGEST = """feed AS (SELECT a.pair_id, list([b.pos] ORDER BY a.pos, b.pos DESC) AS places FROM tok a JOIN tok b
+    ON a.pair_id = b.pair_id AND a.stem = b.stem AND a.side = 't' AND b.side = 'p' GROUP BY 1),
+lcs AS (SELECT pair_id, len(list_reduce(list_concat([[0::BIGINT]], places), lambda ends, p:
+    list_concat(list_filter(ends, lambda e: e < p[1]), p, (list_filter(ends, lambda e: e >= p[1]))[2:]))) - 1 AS hits FROM feed)"""
+
+
+@query(
+    "rouge_longest_sequence",
+    f"""WITH {_STEMMED}, {_LONGEST}, r AS (SELECT pair_id, coalesce(hits, 0) AS hits, n_truth, n_pred FROM sizes LEFT JOIN lcs USING (pair_id))
+    SELECT *, {_F_MEASURE} FROM r""",
+)
 def rouge_longest_sequence(spark, sf):
-    """Checked against the textbook table in the tests."""
+    """Longest common subsequence of stems; the SQL grows it by increasing places."""
     return TM.rouge_l(D.pairs(spark, sf))
 
 
-@query("meteor_scores")
+_WORD_LIST = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')"
+
+
+def _meteor_sql(synonyms: bool) -> str:
+    """Stages match the k-th last free word of a key in one text with the k-th last in the other."""
+    keys = ["word", "stem", *(["grp"] if synonyms else [])]
+    out = [
+        f"""raw AS MATERIALIZED (SELECT pair_id, side, lower(unnest(tok)) AS word, unnest(range(1, len(tok) + 1)) AS pos FROM (
+    SELECT pair_id, 't' AS side, {_WORD_LIST.format("truth")} AS tok FROM pairs UNION ALL SELECT pair_id, 'p', {_WORD_LIST.format("pred")} FROM pairs))""",
+        stems("SELECT word FROM raw", 1),
+        f"""f0 AS MATERIALIZED (SELECT pair_id, side, pos, word, stem{", coalesce(grp, word) AS grp" if synonyms else ""} FROM raw JOIN stems USING (word){" LEFT JOIN syn USING (word)" if synonyms else ""})""",
+    ]
+    for k, key in enumerate(keys):
+        out.append(f"r{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair_id, side, {key} ORDER BY pos DESC) AS k FROM f{k})")
+        out.append(f"m{k} AS MATERIALIZED (SELECT p.pair_id, p.pos AS i, t.pos AS j FROM r{k} p JOIN r{k} t ON p.pair_id = t.pair_id AND p.{key} = t.{key} AND p.k = t.k AND p.side = 'p' AND t.side = 't')")
+        out.append(
+            f"f{k + 1} AS MATERIALIZED (SELECT f.* FROM f{k} f WHERE NOT EXISTS (SELECT 1 FROM m{k} m WHERE m.pair_id = f.pair_id AND CASE WHEN f.side = 'p' THEN m.i ELSE m.j END = f.pos))"
+        )
+    hits = " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(len(keys)))
+    out.append(f"hit AS (SELECT *, lag(i) OVER w AS pi, lag(j) OVER w AS pj FROM ({hits}) WINDOW w AS (PARTITION BY pair_id ORDER BY i))")
+    out.append("n AS (SELECT pair_id, count(*)::DOUBLE AS hits, 1 + count(*) FILTER (pi IS NOT NULL AND NOT (i = pi + 1 AND j = pj + 1)) AS chunks FROM hit GROUP BY 1)")
+    out.append("s AS (SELECT pairs.pair_id, count(pos) FILTER (side = 't') AS n_t, count(pos) FILTER (side = 'p') AS n_p FROM pairs LEFT JOIN raw USING (pair_id) GROUP BY 1)")
+    mean = "(hits/n_p)*(hits/n_t)/(0.9*(hits/n_p) + 0.1*(hits/n_t))"
+    return f"WITH {D.PAIRS}, {{more}}{', '.join(out)} SELECT pair_id, round(coalesce((1 - 0.5*(chunks/hits)**3)*({mean}), 0), 9) AS value FROM s LEFT JOIN n USING (pair_id)"
+
+
+@query(
+    "metrics_by_name",
+    f"""WITH {D.PAIRS}, {_rouge_sql("pairs", 2)} SELECT pair_id, 'plain2' AS metric, round(value, 9) AS value FROM rouge
+    UNION ALL SELECT pair_id, 'word_gap', abs({"len(" + _WORD_LIST.format("truth") + ")"} - {"len(" + _WORD_LIST.format("pred") + ")"}) FROM pairs""",
+)
+def metrics_by_name(spark, sf):
+    """Metrics registered under names of their own and scored by these names."""
+    TM.register_metric("plain2", lambda pairs: TM.rouge_n(pairs, 2, stemmed=False).select("pair_id", "value"))
+    TM.register_metric("word_gap", lambda pairs: pairs.select("pair_id", F.abs(word_count("truth") - word_count("pred")).cast("double").alias("value")))
+    try:
+        return TM.score_pairs(D.pairs(spark, sf), ["plain2", "word_gap"]).withColumn("value", F.round("value", 9))
+    finally:
+        for name in ("plain2", "word_gap"):
+            TM.METRICS.pop(name)
+
+
+@query("meteor_scores", _meteor_sql(False).replace("{more}", ""))
 def meteor_scores(spark, sf):
-    """Checked on worked examples in the tests."""
-    return TM.meteor(D.pairs(spark, sf))
+    """Exact and stem stage."""
+    return TM.meteor(D.pairs(spark, sf)).withColumn("value", F.round("value", 9))
+
+
+_SYNONYMS = f"""syn AS MATERIALIZED (SELECT word, left(word, 2) AS grp FROM (SELECT DISTINCT lower(unnest({_WORD_LIST.format("text")})) AS word FROM conversations) WHERE length(word) BETWEEN 4 AND 6), """
+
+
+@query("meteor_with_synonyms", _meteor_sql(True).replace("{more}", _SYNONYMS))
+def meteor_with_synonyms(spark, sf):
+    """All three stages; words of four to six letters that start alike count as synonyms."""
+    said = D.turns(spark, sf).select(F.explode(F.transform(words("text"), F.lower)).alias("word")).distinct()
+    table = said.filter(F.char_length("word").between(4, 6)).select("word", F.substring("word", 1, 2).alias("grp"))
+    return TM.meteor(D.pairs(spark, sf), table).withColumn("value", F.round("value", 9))
 
 
 def _token_vectors(spark, sf, shift: int = 0):
@@ -199,8 +285,6 @@ _WORDS = "len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')
 def evaluation_running_means(spark, sf):
     """Mean words so far per field, in file order."""
     pairs = evaluation_pairs(spark, sf)
-    from ..functions.text import word_count
-
     scores = pairs.select("filename", "tag", F.lit("word_count").alias("metric"), word_count("pred").cast("double").alias("value"))
     return EV.running_averages(scores)
 
@@ -373,6 +457,17 @@ def region_requests_all_libraries(spark, sf):
     return rows.select("image_id", "target", "p.library", F.md5("p.prompt").alias("digest"))
 
 
+@query(
+    "requests_of_registered_library",
+    f"""WITH {_REQUESTS} SELECT image_id, target, 'Ask ' || target || ' of ' || dest || '?' AS prompt FROM og, tg""",
+)
+def requests_of_registered_library(spark, sf):
+    """A prompt library of the user's own, by name."""
+    PR.register_library("asked", {t: f"Ask {t} of {{destination}}?" for t in [*PT.TARGETS, PT.DECISION]})
+    none = _region_boxes(spark, sf).limit(0)
+    return PR.region_requests(_order_goals(spark, sf), none, none, "asked").select("image_id", "target", "prompt")
+
+
 @query(
     "single_turn_requests",
     f"""WITH {_REQUESTS} SELECT og.image_id, {q(PT.SYSTEM_BASE + PT.DECISION_RULES)} || CASE WHEN bx IS NULL THEN '' ELSE {q(' ' + PT.BOXES_LEAD)} || bx || '.' || chr(10) END AS system,
@@ -459,7 +554,7 @@ def records_from_images(spark, sf):
     found = GO.pick_one(BX.goal_candidates(boxes, wanted))
     settings = GEN.Settings(front_difference=6.0, goal_radius_px=2, per_metre=D.CM)
     depth = D.raster(spark, sf).withColumn("depth", F.greatest("depth", F.lit(1.0)))
-    recs, _ = GEN.generate_records(images, depth, boxes, [("select_det", found)], INF.EchoClient, settings, tries=1)
+    recs = GEN.generate_records(images, depth, boxes, [("select_det", found)], INF.EchoClient, settings, tries=1).records
     return recs.select(
         "filename", "goal_object_label", F.col("goal_position_xy")[0].alias("cx"), "left_desc", "recommend", "summary_answer"
     )
@@ -489,6 +584,170 @@ def records_reuse_merge(spark, sf):
     return RC.reuse_answers(fresh, old, {"dest_desc": True, "left_desc": False})
 
 
+class BoxListClient:
+    """Answers with the boxes its system text names, so that regions show in the records."""
+
+    def generate(self, system, prompt, picture):
+        at = system.find(PT.BOXES_LEAD)
+        return "no boxes" if at < 0 else system[at + len(PT.BOXES_LEAD) :].removesuffix(".\n")
+
+
+# straight path of six points to the annotated goal; half a width of one metre in centimetres, a
+# focal length of 0.6 widths
+_SHOWN = f"""{_REGIONS.replace("1.0/depth*1000.0::DOUBLE", "100.0/depth*4.8::DOUBLE")}, {D.BOXES},
+one AS (SELECT image_id, box_no FROM int_boxes SEMI JOIN rgoals USING (image_id) GROUP BY 1, 2 HAVING count(*) = 1),
+ph AS (SELECT image_id, box_no, x1, y1, x2, y2, 'label' || label_id || ' [' || {_NUM.format("x1")} || ', ' || {_NUM.format("y1")} || ', ' || {_NUM.format("x2")} || ', ' || {_NUM.format("y2")} || ']' AS phrase
+  FROM int_boxes SEMI JOIN one USING (image_id, box_no)),
+kb AS (SELECT *, trunc(x1/100.0::DOUBLE*8)::BIGINT AS px1, trunc(y1/100.0::DOUBLE*8)::BIGINT AS py1, trunc(x2/100.0::DOUBLE*8)::BIGINT AS px2, trunc(y2/100.0::DOUBLE*8)::BIGINT AS py2 FROM ph),
+hit AS (SELECT image_id, region, box_no, phrase FROM kb JOIN regions USING (image_id) WHERE px2 > px1 AND py2 > py1 AND y >= py1 AND y < py2 AND x >= px1 AND x < px2
+  GROUP BY image_id, region, box_no, phrase, px1, py1, px2, py2 HAVING count(*)/((px2 - px1)*(py2 - py1))::DOUBLE >= 0.1),
+bl AS (SELECT image_id, region, string_agg(phrase, ', ' ORDER BY box_no) AS bx FROM hit GROUP BY 1, 2 UNION ALL SELECT image_id, 'Desc', string_agg(phrase, ', ' ORDER BY box_no) FROM ph GROUP BY 1),
+shown AS (SELECT image_id, image_id || '.png' AS filename, gx/8.0::DOUBLE AS cx, gy/8.0::DOUBLE AS cy,
+  {", ".join(f"coalesce((SELECT any_value(bx) FROM bl WHERE bl.image_id = g.image_id AND region = '{t}'), 'no boxes') AS {n}_desc" for t, n in (("D", "dest"), ("L", "left"), ("R", "right"), ("P", "path"), ("Desc", "scene")))}
+  FROM rgoals g)"""
+_WALKED = "(SELECT string_agg(px || ':' || py, ' ' ORDER BY seq) FROM pts WHERE pts.image_id = shown.image_id) AS walked"
+
+
+def _image_tables(spark, sf):
+    """Images, rasters and boxes of one number each."""
+    images = D.raster_goals(spark, sf).select(
+        "image_id", "h", "w", F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("filename")
+    )
+    boxes = D.boxes(spark, sf).join(images.select("image_id"), "image_id", "left_semi")
+    once = boxes.groupBy("image_id", "box_no").count().filter("count = 1").select("image_id", "box_no")
+    return images, D.raster(spark, sf), boxes.join(once, ["image_id", "box_no"])
+
+
+def _annotated(spark, sf) -> dict:
+    """Annotated goal pixels."""
+    return {"points": D.raster_goals(spark, sf).selectExpr("image_id", "cast(gx as double) as px", "cast(gy as double) as py")}
+
+
+_STRAIGHT = GEN.Settings(planner=None, line_points=6, goal_radius_px=2, depth_buffer=1.5, per_metre=D.CM)
+
+
+@query(
+    "records_with_regions",
+    f"WITH {_SHOWN} SELECT filename, cx, cy, dest_desc, left_desc, right_desc, path_desc, scene_desc, scene_desc AS recommend, 'no boxes' AS summary_answer, {_WALKED} FROM shown",
+)
+def records_with_regions(spark, sf):
+    """From rasters with depth 0 and named goals to records whose answers show the boxes of each
+    region, beside the path walked."""
+    images, depth, boxes = _image_tables(spark, sf)
+    run = GEN.generate_records(images, depth, boxes, ["load_anno"], BoxListClient, _STRAIGHT, inputs=_annotated(spark, sf), tries=1)
+    points = run.points.join(images.select("image_id", "h", "w"), "image_id")
+    cell = F.concat_ws(":", F.floor(F.least(F.col("x") * F.col("w"), F.col("w") - 1)).cast("string"), F.floor(F.least(F.col("y") * F.col("h"), F.col("h") - 1)).cast("string"))
+    walked = points.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("seq", cell.alias("c")))).alias("s"))
+    return run.records.join(walked, "image_id").select(
+        "filename", F.col("goal_position_xy")[0].alias("cx"), F.col("goal_position_xy")[1].alias("cy"), "dest_desc", "left_desc", "right_desc",
+        "path_desc", F.col("desc_before_llm").alias("scene_desc"), "recommend", "summary_answer", F.array_join("s.c", " ").alias("walked"),
+    )
+
+
+@query(
+    "records_resumed",
+    f"WITH {_SHOWN} SELECT filename, CASE WHEN image_id % 2 = 0 THEN left_desc ELSE 'second' END AS left_desc, CASE WHEN image_id % 2 = 0 THEN 1 ELSE 2 END AS run FROM shown",
+)
+def records_resumed(spark, sf):
+    """A run over half of the images, one over all, one that finds all finished and makes no call."""
+    images, depth, boxes = _image_tables(spark, sf)
+    out, cache, finished = None, None, None
+    for k, client in enumerate((BoxListClient, lambda: INF_SECOND, NoCalls)):
+        todo = images.filter("image_id % 2 = 0") if k == 0 else images
+        run = GEN.generate_records(
+            todo, depth, boxes, ["load_anno"], client, _STRAIGHT, inputs=_annotated(spark, sf), finished=finished, goal_cache=cache, tries=1
+        )
+        made = settle(run.records.select("image_id", "filename", "left_desc", F.lit(k + 1).alias("run")), "finished")
+        out, cache = made if out is None else out.unionByName(made), run.goals if cache is None else cache.unionByName(run.goals)
+        finished = out
+    return out.drop("image_id")
+
+
+class _Second:
+    def generate(self, system, prompt, picture):
+        return "second"
+
+
+INF_SECOND = _Second()
+
+
+class NoCalls:
+    """A client that must not be called."""
+
+    def generate(self, system, prompt, picture):
+        raise AssertionError("a call for a finished image")
+
+
+@query(
+    "records_recycled",
+    f"WITH {_SHOWN} SELECT filename, 'earlier ' || image_id AS dest_desc, left_desc, 'kept ' || image_id AS recommend FROM shown WHERE image_id % 3 <> 0",
+)
+def records_recycled(spark, sf):
+    """Two answers come from earlier records without a call; an image that lacks one has no record."""
+    images, depth, boxes = _image_tables(spark, sf)
+    text = lambda word: F.concat(F.lit(word + " "), F.col("image_id").cast("string"))
+    empty = [F.lit(None).cast("string").alias(c) for pair in RC.RECORD_FIELDS.values() for c in pair if c not in ("dest_query", "dest_desc", "recommend_query", "recommend")]
+    earlier = images.select(
+        "image_id", F.lit("q").alias("dest_query"), text("earlier").alias("dest_desc"), F.lit("q").alias("recommend_query"),
+        F.when(F.col("image_id") % 3 != 0, text("kept")).alias("recommend"), *empty,
+    )
+    run = GEN.generate_records(
+        images, depth, boxes, ["load_anno"], BoxListClient, _STRAIGHT, inputs=_annotated(spark, sf), earlier=earlier,
+        reuse={"dest_desc": True, "recommend": True}, tries=1,
+    )
+    return run.records.select("filename", "dest_desc", "left_desc", "recommend")
+
+
+class SixLineClient:
+    """Six numbered lines, the fifth with the boxes of the image."""
+
+    def generate(self, system, prompt, picture):
+        return "\n".join(f"{k}: {BoxListClient().generate(system, prompt, picture) if k == 5 else 'text ' + str(k)}" for k in range(1, 7))
+
+
+@query(
+    "records_single_turn",
+    f"WITH {_SHOWN} SELECT filename, cx, ' text 2' AS left_desc, ' ' || scene_desc AS scene_desc, ' text 6' AS recommend FROM shown",
+)
+def records_single_turn(spark, sf):
+    """One request per image instead of seven."""
+    images, depth, boxes = _image_tables(spark, sf)
+    run = GEN.generate_records(
+        images, depth, boxes, ["load_anno"], SixLineClient, dataclasses.replace(_STRAIGHT, single_turn=True), inputs=_annotated(spark, sf), tries=1
+    )
+    return run.records.select("filename", F.col("goal_position_xy")[0].alias("cx"), "left_desc", F.col("desc_before_llm").alias("scene_desc"), "recommend")
+
+
+@query(
+    "goals_by_method",
+    f"""WITH {D.RASTER}, {D.RASTER_GOALS}, {D.BOXES},
+    det AS (SELECT image_id, label, (x_min + x_max)/2 AS cx, y_max AS cy, row_number() OVER (PARTITION BY image_id ORDER BY md5('17|' || image_id || '|' || box_no), box_no, label, (x_min + x_max)/2, y_max) AS rn
+            FROM boxes WHERE label IN ('label1', 'label4')),
+    fr AS (SELECT image_id, max(y)/8.0::DOUBLE AS cy FROM raster WHERE x = 4 AND depth >= 600 GROUP BY 1),
+    src AS (SELECT image_id, 1 AS o, 'load_output_typed_xml' AS method, 'old' AS label, 0.25::DOUBLE AS cx, 0.5::DOUBLE AS cy FROM rgoals WHERE image_id % 5 = 0
+      UNION ALL SELECT image_id, 2, 'load_xml', 'point', 0.75, 0.25 FROM rgoals WHERE image_id % 5 = 1
+      UNION ALL SELECT image_id, 3, 'load_anno', 'point', gx/8.0::DOUBLE, gy/8.0::DOUBLE FROM rgoals WHERE image_id % 5 = 2
+      UNION ALL SELECT image_id, 4, 'select_det', label, cx, cy FROM det WHERE rn = 1
+      UNION ALL SELECT image_id, 5, 'front', 'circle', 0.5, cy FROM fr
+      UNION ALL SELECT image_id, 6, 'default', 'point', 0.5, 0.75 FROM rgoals)
+    SELECT image_id, method, label, cx, cy FROM src SEMI JOIN rgoals USING (image_id) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY o) = 1""",
+)
+def goals_by_method(spark, sf):
+    """All goal methods by name, in order of preference."""
+    g = D.raster_goals(spark, sf)
+    images = g.select("image_id", "h", "w", F.col("image_id").cast("string").alias("filename"))
+    boxes = D.boxes(spark, sf).join(images.select("image_id"), "image_id", "left_semi")
+    given = GO.GoalInputs(
+        images, boxes, D.raster(spark, sf), boxes.select("label").distinct().filter(F.col("label").isin("label1", "label4")),
+        points=g.filter("image_id % 5 = 2").selectExpr("image_id", "cast(gx as double) as px", "cast(gy as double) as py"),
+        marked=g.filter("image_id % 5 = 1").selectExpr("image_id", "0.75D as cx", "0.25D as cy"),
+        records=g.filter("image_id % 5 = 0").selectExpr("image_id", "'old' as label", "0.25D as cx", "0.5D as cy"),
+        difference=600.0,
+    )
+    names = ["load_output_typed_xml", "load_xml", "load_anno", "select_det"]
+    return GO.goals_by_name(given, names, circle=True).select("image_id", "method", "label", "cx", "cy")
+
+
 @query(
     "records_with_lists",
     f"""WITH {D.BOXES} SELECT image_id, count(*) AS n_boxes, sum((x_min = 0.05::DOUBLE)::INT)::BIGINT AS n_edge FROM boxes GROUP BY image_id""",

@@ -112,10 +112,9 @@ def raster(spark, sf) -> DataFrame:
     )
 
 
-RASTER = """raster AS (
-  SELECT vec_id AS image_id, 8 AS h, 8 AS w, p // 8 AS y, p % 8 AS x,
-         floor(abs(embedding[p+1]::DOUBLE) * 4000)::DOUBLE AS depth
-  FROM embeddings, range(64) r(p))"""
+RASTER = """raster AS MATERIALIZED (
+  SELECT image_id, 8 AS h, 8 AS w, p // 8 AS y, p % 8 AS x, floor(abs(z::DOUBLE) * 4000)::DOUBLE AS depth
+  FROM (SELECT vec_id AS image_id, unnest(range(len(embedding))) AS p, unnest(embedding) AS z FROM embeddings))"""
 
 
 def raster_goals(spark, sf) -> DataFrame:

@@ -52,9 +52,10 @@ def _points(spark, sf):
 
 
 def _mask_sql(buffer: str, test: str) -> str:
-    return f"""WITH {D.RASTER}, {D.RASTER_GOALS}, ref AS (
-      SELECT r.image_id, max(depth) + ({buffer}) AS ref_depth FROM raster r JOIN rgoals g USING (image_id)
-      WHERE y >= greatest(gy - 2, 0) AND y < least(gy + 2, 8) AND x >= greatest(gx - 2, 0) AND x < least(gx + 2, 8) GROUP BY 1)
+    return f"""WITH {D.RASTER}, {D.RASTER_GOALS},
+    patch AS MATERIALIZED (SELECT image_id, y, unnest(range(greatest(gx - 2, 0), least(gx + 2, 8))) AS x FROM
+      (SELECT image_id, gx, unnest(range(greatest(gy - 2, 0), least(gy + 2, 8))) AS y FROM rgoals)),
+    ref AS MATERIALIZED (SELECT image_id, max(depth) + ({buffer}) AS ref_depth FROM patch JOIN raster USING (image_id, y, x) GROUP BY 1)
     SELECT image_id, y, x, depth {test} ref_depth AS in_depth FROM raster JOIN ref USING (image_id)"""
 
 
@@ -172,8 +173,8 @@ def neighbour_moves_ranked(spark, sf):
 
 @query(
     "raster_move_costs",
-    f"""WITH {D.RASTER} SELECT a.image_id, a.y, a.x, b.y AS ny, b.x AS nx, (a.depth - b.depth)*(a.depth - b.depth) AS change2
-    FROM raster a JOIN raster b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y, a.x) <> (b.y, b.x)""",
+    f"""WITH {D.RASTER}, m AS MATERIALIZED (SELECT image_id, y, x, depth, y + k // 3 - 1 AS ny, x + k % 3 - 1 AS nx FROM (SELECT *, unnest([0, 1, 2, 3, 5, 6, 7, 8]) AS k FROM raster))
+    SELECT m.image_id, m.y, m.x, ny, nx, (m.depth - b.depth)*(m.depth - b.depth) AS change2 FROM m JOIN raster b ON m.image_id = b.image_id AND b.y = ny AND b.x = nx""",
 )
 def raster_move_costs(spark, sf):
     return R.move_costs(D.raster(spark, sf))
@@ -575,10 +576,13 @@ regions AS (
   UNION ALL SELECT image_id, 'D', y, x FROM pmask SEMI JOIN near USING (image_id, y, x))"""
 
 
+def region_runs(spark, sf):
+    points = _path_points(spark, sf).withColumn("fx", F.lit(1000.0))
+    return M.final_regions(D.raster(spark, sf), points, _points(spark, sf), 1.0, 2, 150.0)
+
+
 def final_regions(spark, sf):
-    pixels = R.depth_mask(D.raster(spark, sf), _points(spark, sf), 2, 150.0)
-    masks = M.run_pixels(M.side_masks(_path_points(spark, sf))).unionByName(M.run_pixels(_path_mask(spark, sf)))
-    return M.combine_regions(pixels, masks, copies=(("D", "P"),))
+    return M.run_pixels(region_runs(spark, sf))
 
 
 @query("mask_final_regions", f"WITH {_REGIONS} SELECT image_id, region, y, x FROM regions")
@@ -609,4 +613,4 @@ def mask_region_values(spark, sf):
 def mask_box_share(spark, sf):
     g = D.raster_goals(spark, sf).select("image_id", "h", "w")
     b = D.boxes(spark, sf).join(g.select("image_id"), "image_id", "left_semi").dropDuplicates(["image_id", "box_no", *M.XYXY])
-    return M.boxes_in_regions(b, M.pixel_runs(final_regions(spark, sf)), g, 0.1)
+    return M.boxes_in_regions(b, region_runs(spark, sf), g, 0.1)

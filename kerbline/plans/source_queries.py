@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -118,3 +119,87 @@ def answers_jsonl(spark, sf):
     WR.write_answers(rows, f"{path}/run=2")
     return RD.read_keyed_jsonl(spark, path, "question_id long, text string, model_id string", "question_id").drop("run")
 
+
+
+def _named(spark, sf, suffix: str, content) -> str:
+    """One file per document, named by its id."""
+    folder = scratch_path(spark, "files")
+    WR.write_files(D.table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(suffix)).alias("name"), content.alias("content")), folder)
+    return folder
+
+
+@query("images_listed", "SELECT doc_id::VARCHAR AS image_id, doc_id || '.png' AS filename, octet_length(encode(text))::BIGINT AS length FROM documents")
+def images_listed(spark, sf):
+    """Image files of a folder; the text stands for the bytes."""
+    return RD.list_images(spark, _named(spark, sf, ".png", F.col("text"))).select("image_id", "filename", "length")
+
+
+@query(
+    "images_in_order",
+    "SELECT doc_id || '.png' AS filename, row_number() OVER (ORDER BY doc_id || '.png') - 1 AS place FROM documents",
+)
+def images_in_order(spark, sf):
+    """The listing written in its order and read back line by line."""
+    path = scratch_path(spark, "listing")
+    RD.list_images(spark, _named(spark, sf, ".png", F.col("lang"))).select("filename").write.text(path)
+    lines = spark.read.text(path).select(F.col("value").alias("filename"), F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("i"))
+    at = F.row_number().over(Window.partitionBy("f").orderBy("i")) - 1
+    sizes = lines.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("f", (F.sum("n").over(Window.orderBy("f")) - F.col("n")).alias("before"))  # one row a part file
+    return lines.withColumn("at", at).join(before, "f").select("filename", (F.col("at") + F.col("before")).alias("place"))
+
+
+@query("goal_xml_files", "SELECT doc_id::VARCHAR AS image_id, 'point' AS label, (doc_id % 7)/8.0::DOUBLE AS cx, (doc_id % 5)/4.0::DOUBLE AS cy FROM documents WHERE doc_id % 3 > 0")
+def goal_xml_files(spark, sf):
+    """One annotation file per image; files without a goal give none."""
+    xy = F.struct(((F.col("doc_id") % 7) / 8).alias("x"), ((F.col("doc_id") % 5) / 4).alias("y"))
+    goal = F.struct(F.col("lang").alias("folder"), F.when(F.col("doc_id") % 3 > 0, xy).alias("goal_position"))
+    return RD.read_goal_xml(spark, _named(spark, sf, ".xml", F.to_xml(goal, {"rowTag": "annotation"})))
+
+
+@query("goal_text_files", "SELECT doc_id::VARCHAR AS image_id, (doc_id % 640)::DOUBLE AS px, (doc_id % 480) + 0.5::DOUBLE AS py FROM documents")
+def goal_text_files(spark, sf):
+    """Pixel points, one text file per image."""
+    line = F.concat((F.col("doc_id") % 640).cast("string"), F.lit(" "), (F.col("doc_id") % 480).cast("string"), F.lit(".5\n"), "lang")
+    return RD.read_goal_text(spark, _named(spark, sf, ".txt", line))
+
+
+@query(
+    "example_prompts_read",
+    "SELECT doc_id || '.png' AS filename, array_to_string(list_transform(list_filter(list_zip(range(len(l)), l), lambda z: z[1] % 2 = 0), lambda z: trim(z[2], ' \t\n\r')), '|') AS lines FROM (SELECT doc_id, string_split('first ' || lang || chr(10) || 'answer' || chr(10) || ' second ' || source || chr(10) || 'answer', chr(10)) AS l FROM documents)",
+)
+def example_prompts_read(spark, sf):
+    """Example images with the prompt lines beside them."""
+    text = F.concat(F.lit("first "), "lang", F.lit("\nanswer\n second "), "source", F.lit("\nanswer\n"))
+    shown = RD.read_examples(spark, _named(spark, sf, ".png", F.col("lang")), _named(spark, sf, ".txt", text))
+    return shown.select("filename", F.array_join("prompt_lines", "|").alias("lines"))
+
+
+@query(
+    "record_files",
+    f"SELECT doc_id || '.jpg' AS filename, {_BLANK} AS dest_desc, lang AS recommend, doc_id || '.xml' AS file FROM documents",
+)
+def record_files(spark, sf):
+    """One XML file per record, named after its image."""
+    folder = scratch_path(spark, "record-files")
+    rows = _documents(spark, sf).select(F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("filename"), F.col("text").alias("dest_desc"), F.col("lang").alias("recommend"))
+    WR.write_record_files(rows, folder)
+    raw = spark.read.format("xml").option("rowTag", "Annotation").schema("filename string, dest_desc string, recommend string").load(folder)
+    return raw.select("filename", F.coalesce("dest_desc", F.lit("")).alias("dest_desc"), "recommend", F.col("_metadata.file_name").alias("file"))
+
+
+@query(
+    "score_report",
+    """SELECT 'avg_scores' AS part, lang AS tag, sum(n_chars)/count(*)::DOUBLE AS value, count(*) AS n FROM documents GROUP BY lang
+    UNION ALL SELECT 'tag_scores', lang, n_chars, 1 FROM documents UNION ALL SELECT 'errors', source, NULL, 1 FROM documents WHERE doc_id % 9 = 0""",
+)
+def score_report(spark, sf):
+    """Averages, scores and errors of a report, read back from its three tables."""
+    docs, folder = D.table(spark, sf, "documents"), scratch_path(spark, "report")
+    scores = docs.select(F.col("lang").alias("tag"), F.lit("length").alias("metric"), F.col("n_chars").cast("double").alias("value"))
+    WR.write_score_report(scores, docs.filter("doc_id % 9 = 0").select(F.col("source").alias("tag")), folder)
+    part = lambda name, value, n: spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("part"), "tag", value.alias("value"), n.alias("n"))
+    one = F.lit(1).cast("bigint")
+    return part("avg_scores", F.col("mean_value"), F.col("n")).unionByName(part("tag_scores", F.col("value"), one)).unionByName(
+        part("errors", F.lit(None).cast("double"), one)
+    )

@@ -58,3 +58,18 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folders of a settled table whose last reader is done.
+
+    Only folders below the shared checkpoint folder go. A table that another one still reads
+    lazily must stay.
+    """
+    spark = df.sparkSession
+    root = checkpoint_root(spark).split(":", 1)[-1].strip("/")
+    folders = {f"{root}/{f.split(f'/{root}/', 1)[1].split('/', 1)[0]}" for f in df.inputFiles() if f"/{root}/" in f}
+    scheme = checkpoint_root(spark).split(root, 1)[0]
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scheme + folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

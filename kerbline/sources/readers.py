@@ -285,6 +285,21 @@ def read_keyed_map(spark: SparkSession, path: str, value_schema: str, key: str =
     return explode_map(raw, "value", value_schema, key)
 
 
+def read_result_map(spark: SparkSession, path: str, result: str = "long") -> DataFrame:
+    """``question_id, result, output`` of a map written by ``write_result_map``, line by line."""
+    pair = r'^( +),?("(?:[^"\\]|\\.)*"):(.*)$'
+    lines = spark.read.text(path).filter(F.col("value").startswith(" "))
+    part = lambda k: F.regexp_extract("value", pair, k)
+    value = lambda kind: F.from_json(F.concat(F.lit('{"v":'), part(3), F.lit("}")), f"v {kind}")["v"]
+    parsed = lines.select(
+        F.from_json(F.concat(F.lit('{"v":'), part(2), F.lit("}")), "v string")["v"].alias("question_id"),
+        (F.char_length(part(1)) == 1).alias("_first"), value(result).alias("result"), value("string").alias("output"),
+    )
+    return parsed.groupBy("question_id").agg(
+        F.max(F.when(F.col("_first"), F.col("result"))).alias("result"), F.max(F.when(~F.col("_first"), F.col("output"))).alias("output")
+    )
+
+
 def explode_map(raw: DataFrame, column: str, value_schema: str, key: str = "id") -> DataFrame:
     parsed = raw.select(F.explode(F.from_json(column, f"map<string,{value_schema}>")).alias(key, "_v"))
     if value_schema.startswith("struct"):

@@ -1,12 +1,15 @@
 """Sinks: records as XML and JSON, samples, score reports, answer logs, result maps, reviews.
 
-All writes are distributed: a folder of part files. Whole-table maps exist as rows first; the
-one-cell forms are for results that fit a cell.
+All writes are distributed: a folder of part files. A whole-table map is written as lines in key
+order; its part files, one after the other, are one JSON object.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import averages
@@ -21,6 +24,37 @@ def write_record_xml(records: DataFrame, path: str, root: str = "Annotations", r
     records.write.format("xml").option("rootTag", root).option("rowTag", row).mode("overwrite").save(path)
 
 
+def write_files(rows: DataFrame, folder: str) -> int:
+    """One file per row of ``rows(name, content)``, written by the tasks; returns their number.
+
+    ``folder`` is a URI that all executors reach (a bare path is one of the file system). A task
+    that is repeated writes the same files again. Names must differ.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        if "://" in folder or folder.startswith("file:"):
+            system, root = fs.FileSystem.from_uri(folder)
+        else:
+            system, root = fs.LocalFileSystem(), folder
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                with system.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    content = F.col("content").cast("binary")
+    return rows.select("name", content.alias("content")).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def write_record_files(records: DataFrame, folder: str, row: str = "Annotation") -> int:
+    """One XML file per record, named after its image: ``a.png`` gives ``a.xml``."""
+    name = F.concat(F.regexp_replace("filename", r"\.[^.]*$", ""), F.lit(".xml"))
+    return write_files(records.select(name.alias("name"), F.to_xml(F.struct("*"), {"rowTag": row}).alias("content")), folder)
+
+
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
@@ -40,15 +74,43 @@ def write_answers(answers: DataFrame, path: str, mode: str = "append") -> None:
     write_json(answers, path, mode)
 
 
-def result_maps(rows: DataFrame, summary: DataFrame) -> DataFrame:
-    """The summary row with ``results`` and ``outputs`` maps, for result sets that fit one cell."""
-    maps = rows.agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("question_id").cast("string"), "result")))).alias("results"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("question_id").cast("string"), "output")))).alias("outputs"),
-    )
-    return summary.select(
-        "*", maps.select("results").scalar().alias("results"), maps.select("outputs").scalar().alias("outputs")
+def _json_text(value: Column) -> Column:
+    """One value as JSON text, null included."""
+    whole = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})  # {"v":…}
+    return F.substring(whole, F.lit(6), F.char_length(whole) - 6)
+
+
+def result_map_lines(rows: DataFrame, summary: DataFrame) -> DataFrame:
+    """``(section, key, line)``: lines that in this order are one JSON object.
+
+    The object holds the columns of the one-row ``summary``, then ``results`` and ``outputs``, maps
+    from ``question_id`` to the columns ``result`` and ``output`` of ``rows``. Every entry is a line
+    of its own, indented by one blank in ``results`` and by two in ``outputs``; all entries but the
+    first of a map, the smallest key, start with a comma. No map and no list is built.
+    """
+    key = F.col("question_id").cast("string")
+    first = rows.agg(F.min(key).alias("k")).scalar()
+
+    def entry(section: int, value: str) -> Column:
+        comma = F.when(key == first, F.lit("")).otherwise(F.lit(","))
+        line = F.concat(F.lit(" " * (section // 2)), comma, _json_text(key), F.lit(":"), _json_text(F.col(value)))
+        return F.struct(F.lit(section).alias("section"), key.alias("key"), line.alias("line"))
+
+    entries = rows.select(F.explode(F.array(entry(2, "result"), entry(4, "output"))).alias("e")).select("e.*")
+    facts = F.concat(*[F.concat(_json_text(F.lit(c)), F.lit(":"), _json_text(F.col(c)), F.lit(",")) for c in summary.columns], F.lit(""))
+    head = F.concat(F.lit("{"), facts, F.lit('"results":{'))
+    marks = F.array(
+        F.struct(F.lit(1).alias("section"), head.alias("line")),
+        F.struct(F.lit(3).alias("section"), F.lit('},"outputs":{').alias("line")),
+        F.struct(F.lit(5).alias("section"), F.lit("}}").alias("line")),
     )
+    frame = summary.select(F.explode(marks).alias("m")).select("m.section", F.lit("").alias("key"), "m.line")
+    return frame.unionByName(entries)
+
+
+def write_result_map(rows: DataFrame, summary: DataFrame, path: str) -> None:
+    """Write ``result_map_lines`` in order: part files follow the key ranges."""
+    result_map_lines(rows, summary).orderBy("section", "key").select("line").write.mode("overwrite").text(path)
 
 
 def pending_reviews(candidates: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:

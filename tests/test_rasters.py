@@ -120,6 +120,52 @@ def test_search_over_many_tiles(spark, raster, grids, use_depth):
             assert c1 == c2 + step
 
 
+def test_a_round_reads_only_groups_with_mail(spark, monkeypatch):
+    """One image settles in its first tile, another one's path crosses all of its tiles."""
+    monkeypatch.setattr(P, "GROUP_TILES", 1)
+    monkeypatch.setattr(P, "GROUP_SIDE", 1)
+    rows = [(1, 2, 2, y, x, 1.0) for y in range(2) for x in range(2)]
+    rows += [(2, 4, 24, y, x, 1.0) for y in range(4) for x in range(24)]
+    cells = spark.createDataFrame(rows, "image_id long, h long, w long, y long, x long, enter_cost double")
+    ends = spark.createDataFrame([(1, 2, 2, 0, 0, 1, 1), (2, 4, 24, 0, 0, 3, 23)], "image_id long, h long, w long, sy long, sx long, gy long, gx long")
+    log: list = []
+    state = P.shortest_distances(cells, ends, tile=4, rounds_log=log)
+    assert state.groups == 7 and len(log) >= 5
+    assert all(len(r["groups"]) <= 3 and r["tiles"] <= 3 for r in log)  # a wave front, never all tiles
+    assert {(r.y, r.x): r.dist for r in P.cell_distances(state).collect() if r.image_id == 2} == {(y, x): float(max(y, x)) for y in range(4) for x in range(24)}
+    one = state.costs.filter("image_id = 1").select("image_id", "ty", "tx", "grp")
+    near = P._touched(state.costs, one, state.groups)
+    grp = one.first().grp
+    scan = [line for line in near._jdf.queryExecution().explainString(near.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).splitlines() if "PartitionFilters" in line]
+    assert any(f"= {grp}" in line or f"IN ({grp})" in line for line in scan), scan
+    read = {r.f.rsplit("/", 2)[1] for r in state.costs.filter(F.expr(f"grp in ({grp})")).select(F.input_file_name().alias("f")).collect()}
+    assert read == {f"grp={grp}"}
+
+
+def test_a_lost_walk_is_a_status_row(spark, raster):
+    cells = raster.withColumn("enter_cost", F.lit(1.0))
+    sizes = [tuple(r) for r in raster.select("image_id", "h", "w").distinct().collect()]
+    ends = spark.createDataFrame(
+        [(i, h, w, h - 1, 0, 0, w - 1, h, 0) for i, h, w in sizes],
+        "image_id long, h long, w long, sy long, sx long, gy long, gx long, raw_sy long, raw_sx long",
+    )
+    state = P.shortest_distances(cells, ends, tile=64)
+    bad = sizes[0][0]
+
+    def spoil(pdfs):
+        for pdf in pdfs:
+            for k, r in pdf.iterrows():
+                if r.image_id == bad:
+                    pdf.at[k, "dist"] = (np.frombuffer(r["dist"], np.float64) * 1.5 + 0.25).tobytes()
+            yield pdf
+
+    broken = state._replace(dists=state.dists.mapInPandas(spoil, state.dists.schema))
+    results, points = P.path_results(P.trace_back(broken, ends, tile=64), ends)
+    got = {r.image_id: (r.res, r.reason) for r in results.collect()}
+    assert got.pop(bad) == (False, P.UNSETTLED) and set(got.values()) == {(True, P.FOUND)}
+    assert bad not in {r.image_id for r in points.select("image_id").distinct().collect()}
+
+
 def test_unreachable_goal(spark, raster):
     cells = raster.filter("image_id = 3").withColumn("enter_cost", F.when(F.col("y") != 1, F.lit(1.0)))
     ends = spark.createDataFrame(

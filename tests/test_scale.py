@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kerbline import scale
 from kerbline.operators import batches as B
 from kerbline.operators import benchmarks as BM
+from kerbline.operators import inference as INF
 from kerbline.operators import paths as P
 from kerbline.operators import regions as M
 from kerbline.plans import fixtures as D
@@ -111,6 +112,81 @@ def test_silent_gaps_of_hot_source(spark):
     assert sorted(r.s for r in rows) == ["cold", "hot"]
 
 
+def test_slice_ends_keep_every_silence_of_a_hot_source(spark, tmp_path):
+    """A busy source leaves a few rows per task and slice, and the stream reports what brute force does."""
+    rows = spark.range(40_000).selectExpr(
+        "case when id % 3 = 0 then concat('s', id % 50) else 'hot' end as s",
+        "timestamp_seconds(id + case when id > 20000 then 90000 else 0 end + case when id > 30000 then 7200 else 0 end) as ts",
+    ).repartition(8)
+    ends = L.slice_ends(rows, "s", 3600)
+    hot = ends.filter("s = 'hot'")
+    n = hot.count()
+    assert n <= 2 * 8 * 16 and hot.select(F.spark_partition_id()).distinct().count() == 8
+    rows.unionByName(rows.selectExpr("s", "cast(null as timestamp) as ts").limit(5)).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in"))
+    got = L.run_available(L.stale_sources(stream, "s", 3600), "stale").filter("next_ts is not null")
+    want = L.silent_gaps(rows, "s", 3600)
+    key = lambda df: sorted((r.s, r.last_seen, r.next_ts) for r in df.collect())
+    assert key(got) == key(want) and len(key(want)) >= 100
+
+
+def test_an_update_rewrites_touched_buckets_only(spark, tmp_path):
+    out = str(tmp_path / "table")
+    rows = spark.range(1000).selectExpr("id as k", "id as v")
+    assert L.read_versions(spark, out, rows.schema).count() == 0
+    assert L.merge_batch(rows, 0, out, ["k"], 16) == list(range(16))
+    change = spark.createDataFrame([(3, -3), (5000, 1)], rows.schema)
+    touched = L.merge_batch(change, 1, out, ["k"], 16)
+    assert 1 <= len(touched) <= 2
+
+    def versions() -> dict:
+        return {p.name: sorted(v.name for v in p.iterdir() if v.is_dir()) for p in (tmp_path / "table").glob("bucket=*")}
+
+    assert {b for b, v in versions().items() if "version=1" in v} == {f"bucket={b}" for b in touched}
+    size = lambda v: sum(f.stat().st_size for f in (tmp_path / "table").glob(f"bucket=*/version={v}/*.parquet"))
+    assert size(1) < size(0) / 4  # bytes written by the second batch
+    L.merge_batch(change, 1, out, ["k"], 16)  # a repeated micro-batch changes nothing
+    got = {r.k: r.v for r in L.read_versions(spark, out, rows.schema).collect()}
+    assert got == {**{i: i for i in range(1000)}, 3: -3, 5000: 1}
+    L.merge_batch(spark.createDataFrame([(3, 9)], rows.schema), 2, out, ["k"], 16)
+    assert all(len(v) <= 2 for v in versions().values()) and len([v for v in versions().values() if v == ["version=1", "version=2"]]) == 1
+    assert {r.k: r.v for r in L.read_versions(spark, out, rows.schema).collect()}[3] == 9
+
+
+def test_a_stream_without_input_gives_an_empty_table(spark, tmp_path):
+    spark.range(0).selectExpr("'a' as tag", "'b' as metric", "1.0D as value").write.parquet(str(tmp_path / "none"))
+    stream = spark.readStream.schema("tag string, metric string, value double").parquet(str(tmp_path / "none"))
+    for mode in ("update", "complete"):
+        assert L.run_available(L.running_scores(stream), "none", mode, ("tag", "metric")).count() == 0
+
+
+def test_calling_tasks_follow_the_requests(spark):
+    assert [INF.calling_tasks(n) for n in (0, 1, 256, 257, 10**6)] == [1, 1, 1, 2, INF.IN_FLIGHT]
+    requests = spark.range(1000).coalesce(1).selectExpr("id as req_id", "'' as system", "'a b' as prompt", "cast(null as string) as picture")
+    answers = INF.run_requests(requests, INF.EchoClient, tries=1)
+    assert answers.rdd.getNumPartitions() == 4 and answers.count() == 1000
+
+
+def test_a_round_of_turns_reads_its_own_files(spark):
+    questions = INF.by_turn(spark.range(60).selectExpr("id % 20 as conv_id", "id div 20 as i", "'x' as text"))
+    one = questions.filter("i = 1")
+    assert one.count() == 20 and {r.f.rsplit("/", 2)[1] for r in one.select(F.input_file_name().alias("f")).collect()} == {"i=1"}
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(i" in plan
+
+
+def test_modality_batches_have_a_short_plan(spark):
+    rows = spark.range(200).selectExpr("id", "case when id % 3 = 0 then id + 1 else -(id + 1) end as len")
+    plan = B.modality_batches(rows, "id", "len", 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 20 and plan.count("Scan parquet") <= 2
+
+
+@pytest.mark.parametrize("name", ["mask_final_regions", "mask_box_share"])
+def test_masks_read_each_table_a_few_times(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 10 and plan.count("Exchange") <= 20
+
+
 def test_last_duplicate_uses_an_aggregate(hot):
     plan = BM.last_per_key(hot.select("k", "id", "v"), "k", "id")._jdf.queryExecution().toString()
     assert "Window" not in plan and "partial_max_by" in plan

@@ -195,8 +195,19 @@ def test_reviews_resume(spark, tmp_path):
 
 def test_result_maps_and_web_table(spark, tmp_path):
     rows = spark.createDataFrame([(2, 1, "B"), (1, 0, "A")], "question_id long, result long, output string")
-    row = WR.result_maps(rows, spark.createDataFrame([(50.0, 1, 2)], "acc double, correct long, n long")).first()
-    assert row.results == {"1": 0, "2": 1} and row.outputs["2"] == "B" and row.acc == 50.0
+    rows = rows.unionByName(spark.createDataFrame([(10, None, 'say "no",\n{}: \\ é')], rows.schema)).repartition(3)
+    path = str(tmp_path / "results")
+    WR.write_result_map(rows, spark.createDataFrame([(50.0, 1, None)], "acc double, correct long, n long"), path)
+    lines = [line for f in sorted((tmp_path / "results").glob("part-*")) for line in f.read_text().splitlines()]
+    whole = json.loads("\n".join(lines))
+    assert whole["results"] == {"1": 0, "10": None, "2": 1} and list(whole["outputs"]) == ["1", "10", "2"]
+    assert whole["outputs"]["10"] == 'say "no",\n{}: \\ é' and (whole["acc"], whole["correct"], whole["n"]) == (50.0, 1, None)
+    back = RD.read_result_map(spark, path)
+    assert {(int(r.question_id), r.result, r.output) for r in back.collect()} == {tuple(r) for r in rows.collect()}
+    plan = WR.result_map_lines(rows, spark.range(1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "map_from_entries" not in plan
+    WR.write_result_map(rows.limit(0), spark.range(1), path)
+    assert json.loads("\n".join(line for f in sorted((tmp_path / "results").glob("part-*")) for line in f.read_text().splitlines())) == {"id": 0, "results": {}, "outputs": {}}
     recs = spark.createDataFrame(
         [(2, "c", "q", "x", "y", "e", 8.0, 9.0), (1, "c", "q", "x", "y", "e", 1.0, 2.0)],
         "id int, category string, question string, answer1 string, answer2 string, evaluation string, score1 double, score2 double",

@@ -367,3 +367,66 @@ def test_chained_prompts_carry_answers(spark):
     system = PT.TEMPLATES["vicuna_v1"][0]
     assert full[1, 1] == f"{system} USER: a b ASSISTANT: hello world</s>USER: c ASSISTANT:"
     assert full[2, 0] == f"{system} USER: x ASSISTANT:"
+
+
+def test_a_long_pair_is_dealt_over_many_tasks(spark):
+    """A third of all tokens belong to one pair; its grid is joined under many keys."""
+    tokens = spark.range(3000).selectExpr(
+        "case when id < 1000 then 'long' else concat('p', id % 100) end as pair_id",
+        "case when id < 1000 then id else id div 100 - 10 end as pos",
+        "array(cast(id % 7 + 1 as double), cast(id % 5 as double), cast(id % 3 as double)) as vec",
+    )
+    other = tokens.withColumn("vec", F.transform("vec", lambda v: v * v + 1.0))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        grid = TM.token_grid(tokens, other, block=16, strip=2).filter("pair_id = 'long'")
+        tasks = [r["count"] for r in grid.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(tasks) == 63 * 63 and len(tasks) >= 6 and max(tasks) < 0.4 * sum(tasks)
+    key = lambda df: {(r.pair_id, r.side, r.pos): round(r.best, 12) for r in df.collect()}
+    assert key(TM.best_partners(tokens, other, block=16)) == key(TM.best_partners(tokens, other, block=4096))
+
+
+def test_stems_in_sql_agree():
+    import duckdb
+
+    from kerbline.functions.stemming import stem
+    from kerbline.plans.stem_sql import stems
+
+    listed = (
+        "relational rationally conditional formalli valenci digitizer conformabli radically differently vileli analogousli vietnamization "
+        "predication operator feudalism decisiveness hopefulness callousness formaliti sensitiviti sensibiliti archaeologi logi geologi triplicate "
+        "formative formalize electriciti electrical hopeful goodness revival allowance inference airliner gyroscopic adjustable defensible irritant "
+        "replacement adjustment dependent adoption homologou communism activate angulariti homologous effective bowdlerize probate rate cease "
+        "controll roll sky skies dying news happy say by enjoy toy syzygy yyy flies dies tie ties hopping tanned falling hissing fizzed failing "
+        "filing feed agreed plastered bled motoring sing conflated troubled sized caresses ponies caress cats nationally spied died a is oed eed ied "
+        "fully nationalli hoping yes eye eyes owed bay boy's caf\u00e9s x1ed 12ing inning ee ll all"
+    ).split()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE v (word VARCHAR)")
+    con.executemany("INSERT INTO v VALUES (?)", [(w,) for w in listed])
+    for least, want in ((1, stem), (4, lambda w: stem(w) if len(w) > 3 else w)):
+        got = dict(con.execute(f"WITH {stems('SELECT word FROM v', least)} SELECT word, stem FROM stems").fetchall())
+        assert got == {w: want(w) for w in listed}
+
+
+def test_meteor_synonyms_come_from_a_table(spark, monkeypatch):
+    pairs = spark.createDataFrame([(1, "the car stops", "the auto stops"), (2, "a b", "c d")], "pair_id int, truth string, pred string")
+    table = spark.createDataFrame([("car", "vehicle"), ("auto", "vehicle"), ("auto", "z")], "word string, grp string")
+    plain = {r.pair_id: r.value for r in TM.meteor(pairs).collect()}
+    met = {r.pair_id: r.value for r in TM.meteor(pairs, table).collect()}
+    assert met[1] > 0.9 > plain[1] and met[2] == plain[2] == 0.0
+    monkeypatch.setattr(TM, "FEW_SYNONYMS", 1)
+    assert {r.pair_id: r.value for r in TM.meteor(pairs, table).collect()} == met
+
+
+def test_vectors_as_a_metric(spark):
+    encode = lambda t: t.select("pair_id", "pos", F.array(F.length("token").cast("double"), F.lit(1.0)).alias("vec"))
+    TM.register_metric("vector", TM.vector_metric(encode))
+    try:
+        pairs = spark.createDataFrame([("a", "one three", "two seven")], "pair_id string, truth string, pred string")
+        (row,) = TM.score_pairs(pairs, ["vector"]).collect()
+    finally:
+        TM.METRICS.pop("vector")
+    assert row.metric == "vector" and abs(row.value - 1.0) < 1e-12
