@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .common import cut_batches
 
 SAMPLE = 1500  # training documents of each label, at most
@@ -187,13 +188,13 @@ def taught(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality"
 def training_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     """``doc_id, y, text``: at most ``size`` documents of each label, in the order of a seeded hash.
 
-    Twice as many ids are drawn, as some may have no document or too long a one; those ids are the
-    side that is broadcast (at most 4 x ``size`` rows), so no text is shuffled but the sample's.
-    Documents that repeat an id count once.
+    Twice as many ids are drawn, as some may have no document or too long a one. They are a written
+    table of at most 4 x ``size`` rows, small enough to be broadcast, so no text is shuffled but the
+    sample's. Documents that repeat an id count once.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.col("doc_id")
     parts = [labels.filter(F.col("y") == k).orderBy(*order).limit(2 * size) for k in (0, 1)]
-    ids = F.broadcast(parts[0].unionByName(parts[1]))
+    ids = settle(parts[0].unionByName(parts[1]), "training-ids")
     short = docs.filter(F.octet_length("text") <= LONGEST)
     found = short.join(ids, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     sides = [found.filter(F.col("y") == k).orderBy(*order).limit(size) for k in (0, 1)]

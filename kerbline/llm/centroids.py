@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
-from .common import forget
+from ..session import discard, settle
 from .vectors import SMALL, arrays, distances, finite, floored, group_sums, matrix, summed
 
 CENTROIDS = 16
@@ -157,12 +156,12 @@ def cluster(
     hashed = F.sha2(F.concat(F.lit("1:"), F.col("id").cast("string")), 256)
     start = kept.filter("id is not null").orderBy(hashed, "v").select("v").limit(centroids).collect()
     if not start:
-        forget(kept)
+        discard(kept)
         return spark.createDataFrame([], kind)
     now = np.array([r.v for r in start], np.int64)
     points, base = base_of(now, pivots)
     held = settle(kept.mapInArrow(cache(spark.sparkContext.broadcast(points)), "id long, v array<int>, d array<long>"), "cluster-pivots")
-    forget(kept)
+    discard(kept)
     for _ in range(rounds):
         model = spark.sparkContext.broadcast((now, points, base))
         each = held.select("v", "d").mapInArrow(sum_up(model), "cluster int, n long, sums array<long>")
@@ -176,12 +175,12 @@ def cluster(
         now = new
     model = spark.sparkContext.broadcast((now, points, base))
     done = settle(held.mapInArrow(assign(model), "vec_id long, cluster int, distance long"), "cluster-assigned")
-    forget(held)
+    discard(held)
     totals = done.groupBy("cluster").agg(summed("distance").alias("t")).collect()  # at most one row a centroid
     digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in now.tolist()]
     every = min(sum(r.t for r in totals), 2**63 - 1)
     facts = spark.createDataFrame([(r.cluster, r.t, every, digest[r.cluster]) for r in totals], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
-    return done.join(F.broadcast(facts), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+    return done.join(facts, "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
 def _rounds() -> str:

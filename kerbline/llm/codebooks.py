@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import settle
-from .common import forget
+from ..session import discard, settle
 from .vectors import arrays, distances, finite, floored, group_sums, matrix, with_total
 
 PARTS = 4
@@ -133,7 +132,7 @@ def compress(
     state = settle(rows, "codes-rows")
     start = state.filter("id is not null").orderBy("id", "v").select("v").limit(entries).collect()
     if not start:
-        forget(state)
+        discard(state)
         return spark.createDataFrame([], kind)
     books = np.array([r.v for r in start], np.int64).reshape(len(start), parts, -1).transpose(1, 0, 2).copy()
     fields = [*state.schema.fields, *T._parse_datatype_string("code array<short>, dist array<long>, part int, entry int, n long, sums array<long>").fields]
@@ -143,7 +142,7 @@ def compress(
         source = state if k == 0 else state.filter("part is null").select("id", "label", "v", "code", "dist")
         held = state
         state = settle(source.mapInArrow(pass_over(model, parts, k == rounds), T.StructType(fields)), f"codes-{k}")
-        forget(held)
+        discard(held)
         model.unpersist()
         if k < rounds:
             new = moved_books(state, books)

@@ -11,8 +11,6 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,14 +50,3 @@ def cut_batches(batches: Iterator[pa.RecordBatch], limit: int, text: str = "text
             total += int(size)
         if start < batch.num_rows:
             yield batch.slice(start)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a settled table whose last reader is done. Only folders under the shared checkpoint
-    folder go, and no failure to delete one matters."""
-    spark = df.sparkSession
-    root = checkpoint_root(spark).rstrip("/")
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if f"{root.split(':', 1)[-1].lstrip('/')}/" in path:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -7,9 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 LIMIT = 1 << 27  # integer components are held at this magnitude, so that a squared distance fits a long
 SMALL = 1 << 53  # sums below this are exact in doubles
-TOTALS = 50_000  # most rows of totals that are broadcast
 
 
 def finite(vector: Column) -> Column:
@@ -70,15 +71,22 @@ def summed(value: str) -> Column:
 def with_total(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """``value`` summed over the rows of equal ``key`` (nulls together) as a new column.
 
-    Sums are made map-side first. Few totals are broadcast after their number is counted; many
-    meet the rows by key and a salt of the row, so that a key with a third of all rows is dealt
-    over as many tasks as there are shuffle partitions.
+    Sums are made map-side first and written, so that the optimiser knows their size. A key with
+    more rows than an even share of the shuffle partitions is hot; there are fewer hot keys than
+    partitions. Rows of a hot key meet a copy of its sum per salt, so they are dealt over all tasks.
     """
-    totals = df.groupBy(F.col(key).alias("_key")).agg(summed(value).alias(name))
-    if totals.count() <= TOTALS:
-        return df.join(F.broadcast(totals), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
-    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = df.withColumn("_row_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    totals = settle(df.groupBy(F.col(key).alias("_key")).agg(summed(value).alias(name), F.count(F.lit(1)).alias("_n")), "totals")
+    rows = totals.agg(F.sum("_n")).first()[0] or 0
+    hot = [r._key for r in totals.filter(F.col("_n") * parts > rows).select("_key").collect()]
+
+    def is_hot(c: str) -> Column:
+        named = F.coalesce(F.col(c).isin([k for k in hot if k is not None]), F.lit(False))
+        return named | F.col(c).isNull() if None in hot else named
+
+    salts = F.when(is_hot("_key"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    copies = totals.select("_key", name, F.explode(salts).alias("_salt"))
+    salt = F.when(is_hot(key), F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int")).otherwise(F.lit(0))
+    dealt = df.withColumn("_row_salt", salt)
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_row_salt") == F.col("_salt"))
-    return dealt.join(salted, same).drop("_key", "_salt", "_row_salt")
+    return dealt.join(copies, same).drop("_key", "_salt", "_row_salt")
