@@ -29,6 +29,7 @@ FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 
 ROW = 576  # samples in a row of the stored form; payloads are padded to whole rows
 SLICE, PAGE_BATCH = 4 << 20, 4 << 20  # bytes of text written and of samples read at a time
+STRIP_ROWS, TILE = 128, (192, 16)
 PAGE_ROWS = 16384  # a page holds 9.4 MB at most, a longer payload goes on in the next page
 
 
@@ -332,6 +333,19 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw.ljust(max(1, -(-len(raw) // ROW)) * ROW, b"\xff"), len(raw)
 
 
+def layout_of(payload: bytes) -> dict:
+    """Compression, predictor, strips or tiles and byte order of a payload, chosen by its digest, so
+    that each decoder reads a share of all texts and equal texts are stored alike.
+
+    An eighth each goes to LZW, plain samples and the old code of deflate, a quarter to PackBits,
+    the rest to deflate. A quarter has tiles (of LZW, whose codec is slow, an eighth).
+    """
+    a, b = hashlib.sha256(payload).digest()[:2]
+    kind = (LZW, PACKBITS, PACKBITS, NONE, OLD_DEFLATE, DEFLATE, DEFLATE, DEFLATE)[a % 8]
+    tiled = (a >> 3) % (8 if kind == LZW else 4) == 0
+    return {"compression": kind, "tile": TILE if tiled else None, "predictor": 1 + (b & 1), "order": "<>"[b >> 1 & 1]}
+
+
 def write_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``id, text`` batches to ``id, media``."""
     for batch in cut_batches(batches, SLICE):
@@ -339,12 +353,13 @@ def write_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text").to_pylist():
             payload, n = payload_of(text)
             rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-            media.append(write_tiff([rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)], description=str(n)))
+            pages = [rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)]
+            media.append(write_tiff(pages, strip_rows=STRIP_ROWS, description=str(n), **layout_of(payload)))
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(media, pa.binary())], names=["id", "media"])
 
 
 def text_tiffs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, media``: each text as an 8-bit TIFF of 576 columns, deflate strips, predictor 2.
+    """``id, media``: each text as an 8-bit TIFF of 576 columns, stored by ``layout_of``.
 
     The description of each page is the number of bytes before padding.
     """

@@ -65,3 +65,22 @@ def test_long_text_takes_several_pages(spark, monkeypatch):
     text = "".join(chr(97 + i % 26) for i in range(576 * 7 + 5))
     pages = tiff.tiff_pages(tiff.text_tiffs(spark.createDataFrame([(9, text)], "doc_id long, text string"))).collect()
     assert b"".join(bytes(p.data) for p in pages) == tiff.payload_of(text)[0]
+
+
+def test_every_decoder_reads_a_share_of_the_texts(spark):
+    texts = [f"text {i} " * (i % 90) for i in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    seen: dict = {}
+    for r in tiff.text_tiffs(df).collect():
+        order, tags = next(tiff.directories(bytes(r.media)))
+        seen.setdefault("compression", []).append(tags[tiff.COMPRESSION][0])
+        seen.setdefault("tiled", []).append(tiff.TILE_OFFSETS in tags)
+        seen.setdefault("predictor", []).append(tags[tiff.PREDICTOR][0])
+        seen.setdefault("order", []).append(order)
+        seen.setdefault("tiled by code", []).append((tags[tiff.COMPRESSION][0], tiff.TILE_OFFSETS in tags))
+    share = {k: {x: v.count(x) / len(v) for x in set(v)} for k, v in seen.items()}
+    assert set(share["compression"]) == {tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE, tiff.OLD_DEFLATE}
+    assert min(share["compression"].values()) > 0.08 and share["tiled"][True] > 0.15
+    assert min(share["predictor"].values()) > 0.4 and min(share["order"].values()) > 0.4 and len(share["tiled by code"]) == 10
+    rows = {r.doc_id: r for r in tiff.text_media(df).collect()}
+    assert all(rows[i].payload_sha256 == hashlib.sha256(tiff.payload_of(t)[0]).hexdigest() for i, t in enumerate(texts))
