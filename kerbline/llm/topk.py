@@ -4,9 +4,11 @@ Candidates are sorted by length and cut into buckets of a bounded size; each buc
 one packed row, and so does each block of queries. A first pass scores every query block against
 the bucket of the longest vectors, which gives each query a threshold: its k-th best score so
 far. In the second pass a bucket turns the threshold of a query into a local cosine threshold,
-threshold / (|query| * longest vector). Above 1 the whole bucket is skipped. Otherwise, where the
-threshold is high, candidates are pruned by coordinates (the largest query coordinate bounds the
-angle), else by length; what is left is verified by exact products.
+threshold / (|query| * longest vector). Above 1 the whole bucket is skipped: only pairs of a block
+and a bucket that some query can reach are formed, from lengths and thresholds alone, before any
+matrix is sent. Otherwise, where the threshold is high, candidates are pruned by coordinates (the
+largest query coordinate bounds the angle), else by length; what is left is verified by exact
+products.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ BLOCK = 1024  # queries per block, on average
 SCALE = 256
 COORDINATE_FROM = 0.8  # local cosine threshold from which coordinates are looked at
 EXACT = float(1 << 53)  # products below this are exact in doubles
+SLACK = 1e-6  # rounding of the bounds must not prune a tie
+STRIP = 16  # blocks of queries that share a copy of a bucket
+BINS = 8  # of a doubling of the length; the driver holds the last bucket of each bin
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -96,7 +101,7 @@ def best_of(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, flo
     out, size, longest = [], np.sqrt((m * m).sum(axis=1)), 0.0
     qsize = np.sqrt((q * q).sum(axis=1))
     longest = float(size.max(initial=0.0))
-    slack = 1e-6 * (1.0 + qsize * longest)  # rounding of the bounds must not prune a tie
+    slack = SLACK * (1.0 + qsize * longest)
     asked = np.arange(len(q))
     if floor is not None:
         asked = asked[(floor - slack <= qsize * longest)]  # local threshold at most 1
@@ -138,6 +143,19 @@ def _by_coordinate(q: np.ndarray, qsize: np.ndarray, m: np.ndarray, size: np.nda
     return np.flatnonzero((qf[None, :] * pf + rest >= floor[None, :]).any(axis=1))
 
 
+def needed_length(q: np.ndarray, floor: np.ndarray) -> float:
+    """Least length a vector needs to reach the floor of some query."""
+    size = np.sqrt((q * q).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        need = np.where(size > 0, (floor - SLACK) / (size * (1 + SLACK)), np.where(floor > SLACK, np.inf, -np.inf))
+    return float(need.min(initial=np.inf))
+
+
+def length_bin(longest: Column) -> Column:
+    """Bins of the length, an eighth of a doubling each; -100,000 holds length 0."""
+    return F.when(longest > 0, F.floor(F.log2(longest) * BINS)).otherwise(F.lit(-100_000)).cast("int")
+
+
 def top_products(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best candidates of each query, ties to smaller ids.
 
@@ -156,7 +174,6 @@ def top_products(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     buckets, blocks = packed(rows, max(1, -(-n // BUCKET))), packed(asked, max(1, -(-n_asked // BLOCK)))
     b = buckets.select(F.col("part").alias("bucket"), F.col("dim").alias("b_dim"), "longest", F.col("ids").alias("b_ids"), F.col("m").alias("b_m"))
     width = buckets.agg(F.max("dim")).first()[0]
-    last = buckets.agg(F.max("part")).first()[0]
     first = buckets.agg(F.min_by("part", F.struct(-F.col("longest"), F.col("part")))).first()[0]
 
     def score(k: int) -> Callable:
@@ -173,26 +190,47 @@ def top_products(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
 
         return run
 
-    pairs = blocks.drop("longest").withColumn("bucket", F.lit(first)).join(b, "bucket")
+    # every block meets the first bucket; copies of it are dealt over the tasks by a salt
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    copies = b.filter(F.col("bucket") == first).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = blocks.drop("longest").withColumn("salt", F.col("part") % salts).join(copies, "salt").drop("salt")
     seen = settle(pairs.mapInArrow(score(k), kind), "top-first")
     # a query's floor is its k-th best score in the first bucket, where that holds k candidates
     floors = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).filter(F.col("n") >= k)
 
+    # buckets are numbered by falling length: those of a length or more end with the last of their bins
+    bins = buckets.groupBy(length_bin(F.col("longest")).alias("bin")).agg(F.max("part").alias("last")).orderBy(F.desc("bin")).collect()
+    bin_of, last_in = np.array([r.bin for r in bins]), np.maximum.accumulate([r.last for r in bins])
+
     def with_floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for ids, known in zip(batch.column("ids").to_pylist(), batch.column("known").to_pylist()):
+            floors, needs, reach = [], [], []
+            for ids, known, raw, dim in zip(*(batch.column(c).to_pylist() for c in ("ids", "known", "m", "dim"))):
                 ids = np.frombuffer(ids, "<i8")
                 held = {x["query_id"]: x["floor"] for x in known or ()}
-                out.append(np.array([held.get(i, -np.inf) for i in ids.tolist()], "<f8").tobytes())
+                floor = np.array([held.get(i, -np.inf) for i in ids.tolist()], "<f8")
+                need = needed_length(_matrix(raw, dim, dim), floor)
+                least = np.floor(np.log2(need) * BINS) - 1 if 0 < need < np.inf else np.inf if need > 0 else -np.inf
+                inside = np.flatnonzero(bin_of >= least)
+                floors.append(floor.tobytes())
+                needs.append(need)
+                reach.append(int(last_in[inside[-1]]) if len(inside) else -1)
             keep = [c for c in batch.schema.names if c != "known"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary())], names=[*keep, "floors"])
+            more = [pa.array(floors, pa.binary()), pa.array(needs, pa.float64()), pa.array(reach, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *more], names=[*keep, "floors", "need", "reach"])
 
     members = blocks.mapInArrow(_members, "part int, query_id long")
     known = members.join(floors, "query_id").groupBy("part").agg(F.collect_list(F.struct("query_id", "floor")).alias("known"))
-    ready = blocks.join(known, "part", "left").mapInArrow(with_floors, "part int, dim int, longest double, ids binary, m binary, floors binary")
-    others = ready.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(last)))).filter(F.col("bucket") != first)
-    rest = others.drop("longest").join(b.drop("longest"), "bucket").mapInArrow(score(k), kind)
+    columns = "part int, dim int, longest double, ids binary, m binary, floors binary, need double, reach int"
+    ready = settle(blocks.join(known, "part", "left").mapInArrow(with_floors, columns), "top-blocks")
+    asked_of = ready.filter("reach >= 0").select("part", "need", F.explode(F.sequence(F.lit(0), F.col("reach"))).alias("bucket"))
+    lengths = buckets.select(F.col("part").alias("bucket"), F.col("longest").alias("b_longest"))
+    met = asked_of.filter(F.col("bucket") != first).join(lengths, "bucket").filter(F.col("b_longest") >= F.col("need")).select("part", "bucket")
+    strip = F.floor(F.col("part") / STRIP).alias("strip")
+    met = settle(met.select("part", "bucket", strip), "top-pairs")
+    left = met.join(ready.select("part", "dim", "ids", "m", "floors"), "part")
+    right = met.select("bucket", "strip").distinct().join(b.drop("longest"), "bucket")
+    rest = left.join(right, ["bucket", "strip"]).drop("strip").mapInArrow(score(k), kind)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     best = seen.unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

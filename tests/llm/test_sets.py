@@ -115,6 +115,27 @@ def test_top_products_match_brute_force(spark, monkeypatch):
     assert topk.top_products(df.limit(0)).count() == 0
 
 
+def test_top_products_form_only_pairs_within_reach(spark, monkeypatch):
+    """Short vectors cannot beat long ones: their buckets meet no block, and no loop joins tables."""
+    monkeypatch.setattr(topk, "BUCKET", 32)
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    rng = np.random.default_rng(1)
+    rows = [(i, (abs(rng.normal(size=6)) * (20 if i % 8 == 1 else 0.05 if i % 50 else 1)).tolist()) for i in range(800)]
+    made = []
+    monkeypatch.setattr(topk, "settle", lambda df, name, was=topk.settle: made.append((name, was(df, name))) or made[-1][1])
+    out = topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    pairs = dict(made)["top-pairs"].count()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and pairs < 0.5 * 2 * 25
+    want = []
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    for i, q in whole:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in whole if j != i)[:5]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
 def brute_classes(texts: list[str]) -> list[int]:
     owner, h, counts = shingles.shingles(texts)
     df = np.bincount(shingles.df_bucket(h), minlength=1 << shingles.DF_BITS)
