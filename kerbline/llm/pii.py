@@ -53,6 +53,7 @@ GUARDS = {
 }
 RUN = 19  # digits of the longest card; a run of more is also proposed in parts
 BEFORE, AFTER = 24, 8  # characters of context
+CHUNK = 1024  # code points of a text cut out at a time
 CUE = r"(?i)(?:tel|phone|fax|mobile|cell|call|mail|contact|card|visa|account|acct|iban|ssn|passport|licen[cs]e|id|no|nr|number|nummer|numéro|teléfono|addr(?:ess)?)[\x20.:#=]{0,3}$"
 FEATURES = ("kind", "digits", "groups", "longest", "marks", "letters", "dots", "distinct", "glued", "cue")
 
@@ -66,24 +67,29 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def running_starts(sizes: Column) -> Column:
-    """Sum of all earlier sizes at each place, in steps of 256 so that long arrays stay cheap."""
-    add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+def running(values: Column, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """All earlier values merged at each place, in steps of 256 so that long arrays stay cheap."""
+    fold = lambda xs: F.aggregate(xs, zero, merge)
 
     def by_block(xs: Column) -> Column:
         blocks = F.sequence(F.lit(0), ((F.size(xs) - 1) / 256).cast("int"))
-        sums = F.transform(blocks, lambda b: add(F.slice(xs, b * 256 + 1, F.lit(256))))
+        sums = F.transform(blocks, lambda b: fold(F.slice(xs, b * 256 + 1, F.lit(256))))
         return let(
             sums,
             lambda s: let(
-                F.transform(s, lambda _, b: add(F.slice(s, F.lit(1), b))),
+                F.transform(s, lambda _, b: fold(F.slice(s, F.lit(1), b))),
                 lambda before: F.transform(
-                    xs, lambda _, i: F.element_at(before, (i / 256).cast("int") + 1) + add(F.slice(xs, (i / 256).cast("int") * 256 + 1, i % 256))
+                    xs, lambda _, i: merge(F.element_at(before, (i / 256).cast("int") + 1), fold(F.slice(xs, (i / 256).cast("int") * 256 + 1, i % 256)))
                 ),
             ),
         )
 
-    return let(sizes, by_block)
+    return let(values, by_block)
+
+
+def running_starts(sizes: Column) -> Column:
+    """Sum of all earlier sizes at each place."""
+    return running(sizes, F.lit(0), lambda a, x: a + x)
 
 
 def matches(text: Column, kind: str) -> Column:
@@ -195,13 +201,16 @@ def numbers(text: Column) -> Column:
         )
 
     def parts(c: Column) -> Column:
-        return F.transform(matches(c["value"], "part"), lambda p: place(c, p))
+        """Parts of a long run but for the run itself, which is proposed anyway if it is not too long."""
+        whole = lambda p: (p["start"] == c["start"]) & (p["end"] == c["end"]) & (size(c) <= 34)
+        places = F.transform(matches(c["value"], "part"), lambda p: place(c, p))
+        return F.filter(places, lambda p: size(p).between(7, 34) & ~whole(p))
 
-    split = F.flatten(F.transform(F.filter(found, lambda c: size(c) > RUN), parts))
-    whole = lambda c, p: (c["start"] == p["start"]) & (c["end"] == p["end"])
     return let(
-        F.filter(found, lambda c: size(c).between(7, 34)),
-        lambda runs: F.concat(runs, F.filter(split, lambda p: size(p).between(7, 34) & ~F.exists(runs, lambda c: whole(c, p)))),
+        found,
+        lambda runs: F.concat(
+            F.filter(runs, lambda c: size(c).between(7, 34)), F.flatten(F.transform(F.filter(runs, lambda c: size(c) > RUN), parts))
+        ),
     )
 
 
@@ -253,10 +262,48 @@ def with_candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
     some = text.rlike("[0-9@]") | text.rlike(GUARDS["address"])
     both = F.when(some, F.struct(base.alias("base"), F.concat(*map(candidates, LOOSE)).alias("loose")))
     out = df.withColumn("_both", both)
-    meets = lambda c, kinds: F.exists(F.col("_both.base"), lambda s: s["kind"].isin(*kinds) & (s["start"] < c["end"]) & (s["end"] > c["start"]))
-    told = lambda c: c["holds"] | ((c["kind"] == KINDS.index("number")) & meets(c, [BASE.index("card"), BASE.index("phone")]))
-    loose = F.transform("_both.loose", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["f"].alias("f"), c["holds"].alias("holds"), told(c).alias("label"), meets(c, range(len(BASE))).alias("base")))
-    return out.withColumns({"_base": F.col("_both.base"), "_loose": loose}).drop("_both")
+    return out.withColumns({"_base": F.col("_both.base"), "_loose": judged(F.col("_both.base"), F.col("_both.loose"))}).drop("_both")
+
+
+FAR = (1 << 31) - 1
+FORM = "struct<" + ",".join(f"{f}:int" for f in FEATURES) + ">"
+
+
+def judged(base: Column, loose: Column) -> Column:
+    """The loose candidates with ``label`` and ``base``, whether a checked base span covers them.
+
+    Both lists are sorted as one. A base span meets a candidate if it stands before it and ends
+    behind its start, or stands after it and starts before its end. So the furthest end so far and
+    the next start tell, and a text with many numbers costs no pairs.
+    """
+    plain = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(None).cast(FORM).alias("f"), F.lit(None).cast("boolean").alias("holds"), F.lit(True).alias("checked")))
+    open_ones = F.transform(loose, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["f"].cast(FORM).alias("f"), c["holds"].alias("holds"), F.lit(False).alias("checked")))
+    numeric = [BASE.index("card"), BASE.index("phone")]
+
+    def ends(all_: Column, kinds: Sequence[int]) -> Column:
+        each = F.transform(all_, lambda e: F.when(e["checked"] & e["kind"].isin(*kinds), e["end"]).otherwise(F.lit(0)))
+        return running(each, F.lit(0), lambda a, x: F.greatest(a, x))
+
+    def starts(all_: Column, kinds: Sequence[int]) -> Column:
+        each = F.transform(F.reverse(all_), lambda e: F.when(e["checked"] & e["kind"].isin(*kinds), e["start"]).otherwise(F.lit(FAR)))
+        return F.reverse(running(each, F.lit(FAR), lambda a, x: F.least(a, x)))
+
+    def tell(all_: Column) -> Column:
+        facts = F.struct(
+            ends(all_, range(len(BASE))).alias("end"), starts(all_, range(len(BASE))).alias("start"),
+            ends(all_, numeric).alias("n_end"), starts(all_, numeric).alias("n_start"),
+        )
+        return let(facts, lambda x: F.filter(F.transform(all_, lambda e, i: one(e, i, x)), lambda c: ~c["checked"]))
+
+    def one(e: Column, i: Column, x: Column) -> Column:
+        meets = lambda end, start: (F.get(x[end], i) > e["start"]) | (F.get(x[start], i) < e["end"])
+        label = e["holds"] | ((e["kind"] == KINDS.index("number")) & meets("n_end", "n_start"))
+        return F.struct(
+            e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end"), e["f"].alias("f"), e["holds"].alias("holds"),
+            label.alias("label"), meets("end", "start").alias("base"), e["checked"].alias("checked"),
+        )
+
+    return let(F.array_sort(F.concat(plain, open_ones)), tell)
 
 
 # -- boosted trees --------------------------------------------------------------------------
@@ -307,7 +354,7 @@ def train(candidates: DataFrame, id_col: str) -> tuple[list[dict], dict[int, flo
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
     rows = candidates.select(held.alias("held"), F.explode("_loose").alias("c")).select("held", "c.f.*", F.col("c.label").cast("long").alias("pos"))
     table = settle(rows.groupBy("held", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos")), "pii-vectors")
-    stats = table.coalesce(1)  # one row per feature vector: a task of its own, no exchange per split
+    stats = table  # one row per feature vector; sums are made where the rows are
     fit = stats.filter(~F.col("held"))
     trees: list[dict] = []
     leaf = lambda g, h: {"leaf": LEARNING * g / (h + REGULAR)}
@@ -395,12 +442,25 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.col(text_col)
     name = lambda s: F.element_at(F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), s["kind"] + 1)
 
-    def step(a: Column, s: Column) -> Column:
-        new = s["start"] >= a["at"]
-        more = F.when(new, F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), name(s))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), more.alias("out"))
+    def cut(chunks: Column, lo: Column, hi: Column) -> Column:
+        """Code points ``lo`` to ``hi`` of a text in chunks; a piece costs its own length only."""
+        a, b = (lo / CHUNK).cast("int"), (hi / CHUNK).cast("int")
+        at = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+        inside = F.substring(at(a), lo % CHUNK + 1, hi - lo)
+        across = F.concat(F.substring(at(a), lo % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(at(b), F.lit(1), hi % CHUNK))
+        return F.when(a == b, inside).otherwise(across)
+
+    def pieces(chunks: Column, spans_: Column) -> Column:
+        """What stands before each span that begins behind all earlier ones, and its name; the rest."""
+        before = running(F.transform(spans_, lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x))
+
+        def each(at: Column) -> Column:
+            named = F.transform(spans_, lambda s, i: F.when(s["start"] >= F.get(at, i), F.concat(cut(chunks, F.get(at, i), s["start"]), name(s))).otherwise(F.lit("")))
+            last = F.greatest(F.get(at, F.size(spans_) - 1), F.get(spans_, F.size(spans_) - 1)["end"])
+            return F.concat(F.array_join(named, ""), cut(chunks, last, F.char_length(text)))
+
+        return let(before, each)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text) - a["at"])))
+    clean = let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), lambda chunks: let(F.col("_spans"), lambda x: pieces(chunks, x)))
     out = found.withColumn("_spans", spans)
     return out.withColumn(text_col, F.when(text.isNotNull() & (F.size("_spans") > 0), clean).otherwise(text)).select(*columns)

@@ -204,3 +204,35 @@ def test_redaction(spark):
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, kind string")
     out = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert out == {0: "mail [EMAIL], ip [IP]!", 1: None, 2: "clean é😀", 3: "😀 [PHONE]"}
+
+
+def test_spans_that_meet_match_brute_force(spark):
+    """Labels and covers of candidates against all pairs, over one long text of numbers."""
+    rng = random.Random(6)
+    shapes = ["+49 30 %07d x", "%016d ", "n %04d-%04d-%04d ", "x@y%d.com ", "10.0.%d.7 ", "+1%09d, ", "4111 1111 1111 1111 ", "5%d" * 30 + " "]
+    text = "".join(p % tuple(rng.randrange(900) for _ in range(p.count("%"))) for p in rng.choices(shapes, k=1500))
+    df = spark.createDataFrame([(1, text), (2, "no digits"), (3, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.with_candidates(df).collect()}
+    assert rows[2]._loose is None and rows[3]._loose is None
+    base, loose = rows[1]._base, rows[1]._loose
+    assert len(loose) > 1500 and len(base) > 600
+    for c in loose:
+        met = [s for s in base if s.start < c.end and s.end > c.start]
+        assert c.base == bool(met)
+        number = c.kind == pii.KINDS.index("number") and any(pii.BASE[s.kind] in ("card", "phone") for s in met)
+        assert c.label == (c.holds or number)
+
+
+def test_redaction_over_chunks_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CHUNK", 16)
+    rng = random.Random(3)
+    text = "".join(rng.choice(["é word ", "a@b.org ", "10.2.3.4", " +49 30 1234567 ", "\U0001f600" * 20, "x" * 40 + " "]) for _ in range(300))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = [s.split(":") for s in pii.find(df).first().spans.split(",")]
+    order = sorted((int(a), pii.KINDS.index(k), int(b)) for k, a, b in spans)
+    want, at = "", 0
+    for a, k, b in order:
+        if a >= at:
+            want += text[at:a] + f"[{pii.KINDS[k].upper()}]"
+        at = max(at, b)
+    assert pii.redact(df).first().text == want + text[at:]
