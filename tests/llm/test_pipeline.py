@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import re
+import struct
+from collections import Counter
 
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from check import canonical
-from kerbline.llm import near_dups, pii
+from kerbline.llm import near_dups
 from kerbline.llm.queries import ORACLES, QUERIES
+from kerbline.session import settle
+from test_sets import brute_classes, brute_targets
 from test_text_scans import brute_personal
+from test_tokens import library
 
 ROWS = [
     (1, "the house is on the hill and the river is below it", "en", "a", 50, "x"),
@@ -85,7 +92,85 @@ def test_stages_on_an_empty_table(spark, docs, sf):
         assert stage(spark, docs.limit(0), sf).count() == 0
 
 
-def test_run(spark, sf):
-    out = corpus_pipeline.run(spark, sf).collect()
-    assert out and all(len(r.ids_sha256) == 64 and r.n_tokens > 0 for r in out)
-    assert len({r.decoded_sha256 for r in out}) <= len(out) and pii.KINDS and hashlib
+PROSE = {
+    "en": "the river of and was seen by all people in this town that day when rain came down from hills then went for rest year".split(),
+    "fr": "la maison sur cette colline avec le jardin derrière les murs dans une rue que nous avons vue pendant toute année".split(),
+}
+
+
+def corpus() -> list[tuple]:
+    """Groups of copies and near copies, three sources, nulls, mail addresses, repeated rows."""
+    rng, rows = random.Random(8), []
+    for i in range(60):
+        lang = "fr" if i % 4 == 0 else "en"
+        words = [rng.choice(PROSE[lang]) + (str(rng.randrange(9000)) if rng.random() < 0.5 else "").translate(DIGITS) for _ in range(rng.randint(20, 90))]
+        text = " ".join(words) + (f" write to user{i}@mail.example.org now" if i % 7 == 0 else "")
+        source = ("hot", "hot", "b", None)[i % 4]
+        known = None if i % 9 == 5 else lang
+        rows.append((i, text, known, source, len(text), "x"))
+        for k in range(i % 3):  # near copies: one word of many differs
+            near = words[:]
+            near[rng.randrange(len(near))] = f"zz{'abc'[k]}"
+            rows.append((100 + 3 * i + k, " ".join(near) + text[len(" ".join(words)) :], known, "b", None, "y"))
+    rows += [rows[3], rows[3], (None, rows[8][1], "en", "b", 7, "z"), (900, None, "en", "hot", 0, "z"), (901, "", None, None, None, "z"), (902, "12 34!", "fr", "b", 6, "z")]
+    return rows
+
+
+DIGITS = str.maketrans("0123456789", "abcdefghij")
+
+
+def as_rows(df) -> list[tuple]:
+    return [tuple(r) for r in df.select(*corpus_pipeline.COLUMNS).collect()]
+
+
+def test_run_matches_a_plain_version(spark, tmp_path):
+    """Every stage against plain Python on what the stage before kept, and ``run`` against the last."""
+    rows = corpus()
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept: dict[str, list[tuple]] = {}
+    for name in list(stages)[:-1]:
+        docs = settle(stages[name](spark, docs, folder), f"test-{name}")
+        kept[name] = as_rows(docs)
+
+    lettered = [r[:5] for r in rows if r[1] and any(map(str.isalpha, r[1]))]
+    language = lambda t: "fr" if sum(w in PROSE["fr"] for w in t.split()) > sum(w in PROSE["en"] for w in t.split()) else "en"
+    want = [(i, t, lang or language(t), s, n) for i, t, lang, s, n in lettered]
+    assert sorted(kept["language"], key=str) == sorted(want, key=str)
+
+    texts = [r[1] for r in kept["language"]]
+    classes = brute_classes(texts)
+    class_of = dict(zip(texts, classes))
+    assert len(kept["near_duplicates"]) == len(set(classes)) < len(texts) and set(kept["near_duplicates"]) <= set(kept["language"])
+    assert sorted(class_of[r[1]] for r in kept["near_duplicates"]) == sorted(set(classes))
+
+    mail = lambda t: re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[EMAIL]", t)
+    clean = [(i, mail(t), lang, s, len(mail(t))) for i, t, lang, s, _ in kept["near_duplicates"]]
+    assert sorted(kept["personal_data"], key=str) == sorted(clean, key=str) and any("[EMAIL]" in r[1] for r in clean)
+
+    size = lambda t: len(t.split())
+    sizes: dict = {}
+    for r in clean:
+        sizes[r[3]] = sizes.get(r[3], 0) + size(r[1])
+    taken = Counter(kept["mixing"])
+    assert set(taken) <= set(clean) and max(taken.values()) <= 2
+    longest = {s: max(size(r[1]) for r in clean if r[3] == s) for s in sizes}
+    for s, target in brute_targets(sizes).items():
+        words = sum(n * size(r[1]) for r, n in taken.items() if r[3] == s)
+        assert abs(words - target) <= longest[s], (s, words, target)
+
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, folder).collect())
+    encoding = library()
+    plain: Counter = Counter()
+    for i, t, *_ in kept["mixing"]:
+        ids = encoding.encode_ordinary(t)
+        plain[i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += 1
+    assert got == plain
+
+
+def test_registered_operators_are_whole(spark):
+    names = entry.queries()
+    assert all(sum(q.startswith(f"op{n}_") for q in names) == 1 for n in range(1, 14))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "personal_data", "mixing", "byte_pairs"]
