@@ -17,14 +17,16 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import discard, settle
 from .common import cut_batches
 
 SLICE = 4 << 20
@@ -34,6 +36,8 @@ LINKS, STOP_LOW, STOP_HIGH = 0.33, 0.15, 0.30  # shares of characters and of wor
 RARE = 1000  # at most so many stop words for a language and script
 ENOUGH = 2000  # words of a language and script from which its stop words are learned
 HELD = 200_000  # distinct words a task counts before it hands them on
+BROADCAST = 500_000  # most stop words that a reading of the pages holds; more take further readings
+REMEMBERED = 20_000  # names of elements whose verdict a worker keeps
 LISTED = ("", "en", "fr", "de", "es")
 
 # Fixed word lists: the most frequent function words of the languages.
@@ -59,7 +63,12 @@ WORDS = r"(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed
 PLACES = r"(?:site|page|main|global|top|bottom|left|right|upper|lower|primary|secondary|tertiary|first|last|inner|outer|wrap|wrapper|container|box|block|area|section|bar|list|item|items|row|col|column|link|links|slot|unit|buttons?|icons?|group|panel|body|content|text|form|title|area|message|js|\d+)"
 PARTS = re.compile(rf"(?:{PLACES}[_-]+)*{WORDS}(?:[_-]+(?:{WORDS}|{PLACES}))*", re.I)
 COMMENTS = re.compile(r"comment|respond|repl(?:y|ies)|disqus", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A tag without a further angle bracket in it, which nearly all are; no match looks beyond the next bracket.
+PLAIN_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/<>"']*+)(?=[\s/>])((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
+#: The same, comments and declarations, for pages where no "<" stands in the text.
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|{PLAIN_TAG.pattern}|<[!?][^<>]*+>", re.S)
+NAME_END, TAG_MARK = re.compile(r"[\s/>]"), re.compile(r"""[>"']""")
+OF_INTEREST = re.compile(r"class|id|style|role|hidden", re.I)  # attributes that decide something
 ATTRIBUTE = re.compile(r"""([A-Za-z_:][\w:.-]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
 UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
@@ -67,93 +76,219 @@ LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})(?![A-Za-z])
 #: Scripts without spaces between words count each letter as a word, and as so many letters of others.
 DENSE, DENSE_LENGTH = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff", 3
 DENSE_LETTER = re.compile(f"[{DENSE}]")
+ASCII_WORD = re.compile("[a-z]+(?:'[a-z]+)?")
+NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
+BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
 WORD = re.compile(rf"[{DENSE}]|[^\W\d_{DENSE}]+(?:['’][^\W\d_{DENSE}]+)?")
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"))
 
 
 class Part:
-    """A container that its name marks as no article."""
+    """A container that its name marks as no article, and the one around it."""
 
-    __slots__ = ("comments", "spared")
+    __slots__ = ("comments", "spared", "parent", "around", "good", "clear")
 
     def __init__(self, comments: bool) -> None:
-        self.comments, self.spared = comments, False
+        self.comments, self.spared, self.parent = comments, False, None
+        self.around = False  # holds an article element
+        self.good, self.clear = 0, False
+
+
+class Article:
+    """An article element, and the one around it."""
+
+    __slots__ = ("parent", "trusted")
+
+    def __init__(self, parent: "Article | None") -> None:
+        self.parent, self.trusted = parent, False
 
 
 class Block:
     __slots__ = ("parts", "links", "article", "never", "named", "heading")
 
-    def __init__(self, article: tuple[int, ...], never: bool, named: tuple[Part, ...], heading: bool) -> None:
+    def __init__(self, article: Article | None, never: bool, named: Part | None, heading: bool) -> None:
         self.parts, self.links, self.article, self.never, self.named, self.heading = [], [], article, never, named, heading
 
 
-def unwanted(name: str, attrs: str, in_article: bool) -> tuple[bool, Part | None]:
-    """Whether an element never counts, and the part it is by its name."""
+KEEP, NEVER_COUNTS, IS_PART, IS_COMMENTS = range(4)
+_verdicts: dict[tuple[str, str, bool], int] = {}
+
+
+def unwanted(name: str, attrs: str, in_article: bool) -> int:
+    """Whether an element never counts, is a part by its name, or a part of comments."""
     if name in NEVER:
-        return True, None
+        return NEVER_COUNTS
     wrapper = name in WRAPPERS or name == "header" and not in_article
-    if not attrs:
-        return False, Part(False) if wrapper else None
+    if not attrs or not OF_INTEREST.search(attrs):
+        return IS_PART if wrapper else KEEP
+    key = (name, attrs, in_article)
+    known = _verdicts.get(key)
+    if known is None:
+        if len(_verdicts) >= REMEMBERED:
+            _verdicts.clear()
+        known = _verdicts[key] = _judged(name, attrs, wrapper)
+    return known
+
+
+def _judged(name: str, attrs: str, wrapper: bool) -> int:
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attrs)}
     bare = re.sub(r"""("[^"]*"|'[^']*')""", "", attrs)
     if HIDDEN.search(bare) or UNSEEN.search(found.get("style", "")) or found.get("aria-hidden", "").lower() == "true":
-        return True, None
+        return NEVER_COUNTS
     role = found.get("role", "").lower()
     if role in ROLES and role != "form":
-        return True, None
+        return NEVER_COUNTS
     names = f"{found.get('class', '')} {found.get('id', '')}"
     comments = any(COMMENTS.search(x) and marked(x) for x in names.split())
     if name == "article":
-        return re.search("comment|reply|related|promo|teaser", found.get("class", ""), re.I) is not None and marked(found.get("class", "")), None
+        teaser = re.search("comment|reply|related|promo|teaser", found.get("class", ""), re.I) is not None
+        return NEVER_COUNTS if teaser and marked(found.get("class", "")) else KEEP
     if wrapper or role == "form" or name not in ("html", "body", "main") and marked(names):
-        return (True, None) if name in INLINE else (False, Part(comments))
-    return False, None
+        return NEVER_COUNTS if name in INLINE else IS_COMMENTS if comments else IS_PART
+    return KEEP
 
 
 def marked(names: str) -> bool:
     return any(PARTS.fullmatch(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", x)) for x in names.split())
 
 
-def blocks_of(page: str) -> Iterator[Block]:
-    """Runs of text between block elements, with what surrounds them."""
-    stack: list[tuple[str, tuple[int, ...], bool, bool, tuple[Part, ...]]] = []  # name, articles around, never, in link, parts around
-    article: tuple[int, ...] = ()
-    named: tuple[Part, ...] = ()
-    never = link = heading = False
-    block, at, size = Block((), False, (), False), 0, len(page)
+class Tags:
+    """The tags of a page, first to last: ``(start, end, closing, name, attributes)``.
 
-    def fresh() -> Block:
-        return Block(article, never, named, heading)
+    A tag ends at the first ``>`` outside quotes; where there is none its ``<`` is text. The time is
+    linear in the page whatever its markup: positions that were found are kept, and a quote from
+    which no tag can end is looked at once.
+    """
 
-    def set_state() -> None:
+    def __init__(self, page: str) -> None:
+        self.page, self.size = page, len(page)
+        self.plain = PLAIN_TAG.search(page)
+        self.name_end = self.mark = -1
+        self.closes: dict[int, int] = {}  # quote that opens outside quotes -> end of its tag, -1 if none
+        self.lasts = {q: page.rfind(q) for q in ">\"'"}
+
+    def _next(self, pattern: re.Pattern, known: int, at: int) -> int:
+        if known >= at:
+            return known
+        m = pattern.search(self.page, at)
+        return m.start() if m else self.size
+
+    def _end(self, at: int) -> int:
+        """Place behind the ``>`` that ends a tag whose attributes start here, or -1."""
+        page, seen = self.page, []
+        while True:
+            if seen:
+                m = TAG_MARK.search(page, at)
+                k = m.start() if m else self.size
+            else:  # also what the next "<" meets first, if it lies before
+                k = self.mark = self._next(TAG_MARK, self.mark, at)
+            if k >= self.size:
+                end = -1
+                break
+            if page[k] == ">":
+                end = k + 1
+                break
+            if k in self.closes:
+                end = self.closes[k]
+                break
+            seen.append(k)
+            close = page.find(page[k], k + 1) if self.lasts[page[k]] > k else -1
+            if close < 0:
+                end = -1
+                break
+            at = close + 1
+        for k in seen:
+            self.closes[k] = end
+        return end
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """The first tag, comment or declaration from ``at`` on."""
+        page = self.page
+        while True:
+            m = self.plain
+            if m is not None and m.start() < at:
+                m = self.plain = PLAIN_TAG.search(page, at)
+            k = page.find("<", at)
+            if k < 0:
+                return None
+            if m is not None and m.start() == k:
+                return k, m.end(), m[1], m[2], m[3]
+            odd = page[k + 1 : k + 2]
+            if odd == "!" or odd == "?":
+                if page.startswith("<!--", k):
+                    end = page.find("-->", k + 4)
+                    return k, end + 3 if end >= 0 else self.size, "", "", ""
+                end = page.find(">", k) if self.lasts[">"] > k else -1
+                if end >= 0:
+                    return k, end + 1, "", "", ""
+            else:
+                start = k + 1 + (odd == "/")
+                first = page[start : start + 1]
+                if first.isascii() and first.isalpha():
+                    self.name_end = self._next(NAME_END, self.name_end, start)
+                    if self.name_end < self.size:
+                        end = self._end(self.name_end)
+                        if end >= 0:
+                            return k, end, odd if odd == "/" else "", page[start : self.name_end], page[self.name_end : end - 1]
+            at = k + 1
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[Part]]:
+    """Runs of text between block elements with what surrounds them, and all marked parts, an outer
+    one before those in it."""
+    stack: list[tuple[str, Article | None, bool, bool, Part | None]] = []  # name, article, never, in link, part
+    opened: dict[str, int] = defaultdict(int)  # elements of each name on the stack
+    article: Article | None = None
+    named: Part | None = None
+    never = link = heading = False
+    out: list[Block] = []
+    parts: list[Part] = []
+    block, at, size, token, tags = Block(None, False, None, False), 0, len(page), TOKEN.search, None
+
+    def close_from(depth: int) -> None:
         nonlocal article, never, link, named
-        article, never, link, named = stack[-1][1:] if stack else ((), False, False, ())
+        for k in range(len(stack) - 1, depth - 1, -1):
+            opened[stack[k][0]] -= 1
+        del stack[depth:]
+        article, never, link, named = stack[-1][1:] if stack else (None, False, False, None)
+
+    def last_of(name: str) -> int:
+        return next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
 
     while at < size:
-        m = TAG.search(page, at)
-        text = page[at : m.start() if m else size]
-        if text and not never:
+        if tags is None:
+            m = token(page, at)
+            start = m.start() if m else size
+            if page.find("<", at, start) >= 0:  # a "<" in the text or a tag with brackets in its quotes
+                tags = Tags(page)
+        if tags is not None:
+            tag = tags.after(at)
+            start, end, closing, name, attrs = tag or (size, size, "", "", "")
+        elif m:
+            end = m.end()
+            closing, name, attrs = m.groups()
+        else:
+            end, name = size, ""
+        if start > at and not never:
+            text = page[at:start]
             block.parts.append(text)
             if link:
                 block.links.append(text)
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or "").lower()
+        at = end
         if not name:
             continue
+        name = name.lower()
+        inline = name in INLINE
         if name == "br" and not never:
             block.parts.append(" ")
-        if m[1]:
-            if name not in INLINE:
-                yield block
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
-                del stack[depth:]
-                set_state()
-            if name not in INLINE:
+        if closing:
+            if not inline and block.parts:
+                out.append(block)
+            if opened[name]:
+                close_from(len(stack) - 1 if stack[-1][0] == name else last_of(name))
+            if not inline:
                 heading = False
-                block = fresh()
+                block = Block(article, never, named, heading)
             continue
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, at)
@@ -161,35 +296,49 @@ def blocks_of(page: str) -> Iterator[Block]:
                 close = page.find(">", end.end()) if end else -1
                 at = close + 1 if close >= 0 else size
             continue
+        if not inline and block.parts:
+            out.append(block)
         if name in VOID:
-            if name not in INLINE:
-                yield block
-                block = fresh()
+            if not inline:
+                block = Block(article, never, named, heading)
             continue
-        if name not in INLINE:
-            yield block
-            if name in CLOSES_P and any(s[0] == "p" for s in stack):
-                depth = max(k for k, s in enumerate(stack) if s[0] == "p")
-                del stack[depth:]
-                set_state()
+        if not inline:
+            if opened["p"] and name in CLOSES_P:
+                close_from(last_of("p"))
             if name in ("li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
-                stack.pop()
-                set_state()
-        if m[3].endswith("/"):
-            if name not in INLINE:
-                block = fresh()
+                close_from(len(stack) - 1)
+        if attrs.endswith("/"):
+            if not inline:
+                block = Block(article, never, named, heading)
             continue
-        inside = (*article[-7:], at) if name in ("article", "main") and not never else article
-        no, part = (True, None) if never else unwanted(name, m[3], bool(article))
-        if name in ("article", "main") and not no:
-            for p in named:
-                p.spared = p.spared or not p.comments
-        stack.append((name, inside, no, link or name == "a", (*named[-31:], part) if part else named))
-        set_state()
-        if name not in INLINE:
-            heading = re.fullmatch("h[1-6]", name) is not None
-            block = fresh()
-    yield block
+        verdict = NEVER_COUNTS if never else unwanted(name, attrs, article is not None)
+        is_article = name in ("article", "main")
+        inside = Article(article) if is_article and not never else article
+        if is_article and verdict == KEEP:
+            p = named
+            while p is not None and not p.around:  # those around a marked one are marked
+                p.around = True
+                p.spared = not p.comments
+                p = p.parent
+        if verdict >= IS_PART:
+            part = Part(verdict == IS_COMMENTS)
+            part.parent, named = named, part
+            parts.append(part)
+        stack.append((name, inside, verdict == NEVER_COUNTS, link or name == "a", named))
+        opened[name] += 1
+        article, never, link, named = stack[-1][1:]
+        if not inline:
+            heading = len(name) == 2 and name[0] == "h" and name[1] in "123456"
+            block = Block(article, never, named, heading)
+    if block.parts:
+        out.append(block)
+    return out, parts
+
+
+def clear_parts(parts: list[Part]) -> None:
+    """Marks the parts that are spared like all parts around them."""
+    for p in parts:
+        p.clear = p.spared and (p.parent is None or p.parent.clear)
 
 
 def clean(parts: list[str]) -> str:
@@ -210,8 +359,8 @@ def judge(text: str, links: int, heading: bool, stop: frozenset[str] | set[str]
     size = length(text)
     if size < SHORT or heading:
         return "short"
-    words = WORD.findall(text.lower())
-    density = 1.0 if stop is None and words else sum(w in (stop or ()) for w in words) / max(len(words), 1)
+    words = words_of(text)
+    density = 1.0 if stop is None and words else sum(map((stop or frozenset()).__contains__, words)) / max(len(words), 1)
     if density >= STOP_HIGH:
         return "good" if size > LONG else "near"
     return "near" if density >= STOP_LOW else "low"
@@ -247,16 +396,37 @@ def settle_blocks(labels: list[str], headings: list[bool], articles: list[int])
     return [kept(*x) for x in zip(labels, headings, articles, before, after)]
 
 
-def text_blocks(page: str | None) -> list[tuple[Block, str]]:
-    return [(b, t) for b in blocks_of(page or "") if not b.never and b.parts and (t := clean(b.parts))]
+def text_blocks(page: str | None) -> tuple[list[tuple[Block, str]], list[Part]]:
+    blocks, parts = blocks_of(page or "")
+    return [(b, t) for b in blocks if not b.never and (t := clean(b.parts))], parts
+
+
+_scripts: dict[str, str] = {}
+
+
+def script_of(letter: str) -> str:
+    known = _scripts.get(letter)
+    if known is None:
+        known = _scripts[letter] = unicodedata.name(letter, "?").split()[0] if letter.isalpha() else ""
+    return known
 
 
 def tongue(page: str | None, blocks: list[tuple[Block, str]]) -> str:
     """Language a page names and the script of most of its letters."""
-    letters = (c for _, t in sorted(blocks, key=lambda x: -len(x[1]))[:3] for c in t[:100] if c.isalpha())
-    scripts = Counter(unicodedata.name(c, "?").split()[0] for c in letters)
+    text = "".join([t for _, t in blocks])
+    scripts: Counter[str] = Counter()
+    scripts["LATIN"] = len(text.encode("ascii", "ignore").translate(None, NO_LETTERS))
+    if not text.isascii():
+        for letter, n in Counter(BEYOND_ASCII.findall(text)).items():
+            scripts[script_of(letter)] += n
     named = LANG.search(page or "")
-    return f"{named[1].lower() if named else ''}:{min(scripts, key=lambda k: (-scripts[k], k)) if scripts else ''}"
+    found = [k for k, n in scripts.items() if k and n]
+    return f"{named[1].lower() if named else ''}:{min(found, key=lambda k: (-scripts[k], k)) if found else ''}"
+
+
+def words_of(text: str) -> list[str]:
+    low = text.lower()
+    return (ASCII_WORD if low.isascii() else WORD).findall(low)
 
 
 def stop_words(key: str, learned: dict[str, set[str]]) -> frozenset[str] | set[str] | None:
@@ -265,48 +435,78 @@ def stop_words(key: str, learned: dict[str, set[str]]) -> frozenset[str] | set[s
     return (fixed | learned.get(key, set())) or None
 
 
-def spare(blocks: list[tuple[Block, str]], labels: list[str]) -> None:
+def spare(blocks: list[tuple[Block, str]], labels: list[str], parts: list[Part]) -> None:
     """Spares the parts that hold most of the good text; of comments all of it."""
-    size: Counter[Part] = Counter()
     total = 0
     for (b, t), label in zip(blocks, labels):
         if label == "good":
             total += len(t)
-            for p in b.named:
-                size[p] += len(t)
-    for p, n in size.items():
-        p.spared = p.spared or (n == total if p.comments else 2 * n > total)
+            if b.named is not None:
+                b.named.good += len(t)
+    for p in reversed(parts):  # an inner part before those around it
+        if p.parent is not None:
+            p.parent.good += p.good
+        if p.good:
+            p.spared = p.spared or (p.good == total if p.comments else 2 * p.good > total)
+
+
+def is_left(block: Block) -> bool:
+    return block.named is None or block.named.clear
 
 
 def main_text(page: str | None, learned: dict[str, set[str]] | None = None) -> str:
-    blocks = text_blocks(page)
-    stop = stop_words(tongue(page, blocks), learned or {})
-    labels = [judge(t, len(clean(b.links)), b.heading, stop) for b, t in blocks]
-    spare(blocks, labels)
-    left = [k for k, (b, _) in enumerate(blocks) if all(p.spared for p in b.named)]
+    blocks, parts = text_blocks(page)
+    return text_of(blocks, parts, stop_words(tongue(page, blocks), learned or {}))
+
+
+def text_of(blocks: list[tuple[Block, str]], parts: list[Part], stop: frozenset[str] | set[str] | None) -> str:
+    labels = [judge(t, len(clean(b.links)) if b.links else 0, b.heading, stop) for b, t in blocks]
+    spare(blocks, labels, parts)
+    clear_parts(parts)
+    left = [k for k, (b, _) in enumerate(blocks) if is_left(b)]
     blocks, labels = [blocks[k] for k in left], [labels[k] for k in left]
-    trusted = {a for (b, _), label in zip(blocks, labels) if label == "good" or "good" not in labels for a in b.article}
-    articles = [b.article[-1] if b.article and b.article[-1] in trusted else 0 for b, _ in blocks]
+    some = "good" in labels
+    for (b, _), label in zip(blocks, labels):
+        if label == "good" or not some:
+            a = b.article
+            while a is not None and not a.trusted:  # those around a trusted one are trusted
+                a.trusted, a = True, a.parent
+    numbers: dict[Article, int] = {}
+    articles = [numbers.setdefault(b.article, len(numbers) + 1) if b.article is not None and b.article.trusted else 0 for b, _ in blocks]
     kept = settle_blocks(labels, [b.heading for b, _ in blocks], articles)
     return "\n".join(t for (_, t), good in zip(blocks, kept) if good)
 
 
-def learn_words(pages: DataFrame) -> dict[str, set[str]]:
-    """Stop words by language and script: at most ``RARE`` each, from those with ``ENOUGH`` words."""
+def share(tongue: Column, readings: int) -> Column:
+    """The reading of the pages that a language and script belongs to."""
+    return F.crc32(tongue.cast("binary")) % readings
+
+
+def count_words(page: str | None, held: dict[str, Counter[str]]) -> None:
+    """Words of a page's long blocks without links, under its language and script."""
+    blocks, parts = text_blocks(page)
+    words = held[tongue(page, blocks)]
+    clear_parts(parts)
+    for b, t in blocks:
+        if not b.heading and is_left(b) and length(t) >= SHORT and (not b.links or len(clean(b.links)) <= LINKS * len(t)):
+            words.update(words_of(t))
+
+
+def word_counts(pages: DataFrame) -> DataFrame:
+    """``tongue, word, n, least``: the words that are frequent enough to be stop words, at most
+    ``RARE`` for each language and script with ``ENOUGH`` words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.string()), pa.array([w for _, w in held], pa.string()), pa.array(held.values(), pa.int64())], names=["tongue", "word", "n"])
+            flat = [(k, w, n) for k, words in held.items() for w, n in words.items()]
+            tongues, words, n = zip(*flat) if flat else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(tongues, pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["tongue", "word", "n"])
 
-        held: Counter[tuple[str, str]] = Counter()
+        held: dict[str, Counter[str]] = defaultdict(Counter)
         for batch in cut_batches(batches, SLICE, "html"):
             for page in batch.column("html").to_pylist():
-                blocks = text_blocks(page)
-                key = tongue(page, blocks)
-                for b, t in blocks:
-                    if not b.heading and all(p.spared for p in b.named) and length(t) >= SHORT and len(clean(b.links)) <= LINKS * len(t):
-                        held.update((key, w) for w in WORD.findall(t.lower()))
-            if len(held) > HELD:
+                count_words(page, held)
+            if sum(map(len, held.values())) > HELD:
                 yield rows()
                 held.clear()
         if held:
@@ -314,28 +514,44 @@ def learn_words(pages: DataFrame) -> dict[str, set[str]]:
 
     each = pages.select("html").mapInArrow(count, "tongue string, word string, n long")
     counts = settle(each.groupBy("tongue", "word").agg(F.sum("n").alias("n")), "page-words")
-    least = {r.tongue: r.n / RARE for r in counts.groupBy("tongue").agg(F.sum("n").alias("n")).filter(F.col("n") >= ENOUGH).collect()}
-    learned: dict[str, set[str]] = {}
-    if least:
-        bound = F.create_map(*(F.lit(x) for kv in sorted(least.items()) for x in kv))
-        for r in counts.filter(F.col("n") >= bound[F.col("tongue")]).collect():
-            learned.setdefault(r.tongue, set()).add(r.word)
-    return learned
+    least = counts.groupBy("tongue").agg(F.sum("n").alias("all")).filter(F.col("all") >= ENOUGH)
+    stop = counts.join(least, "tongue").filter(F.col("n") * RARE >= F.col("all")).select("tongue", "word")
+    kept = settle(stop, "stop-words")
+    discard(counts)
+    return kept
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page.
 
     A null or empty page, and one without main text, has an empty text. Broken markup is read
-    as far as it goes. Repeated rows repeat; an empty table gives no rows. The pages are read
-    twice, first for the stop words.
+    as far as it goes, in time linear in the page. Repeated rows repeat; an empty table gives no
+    rows. The pages are read twice, first for the stop words. A worker holds at most ``BROADCAST``
+    of these; where there are more, each further reading settles the pages of some languages and
+    scripts.
     """
     asked = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    learned = df.sparkSession.sparkContext.broadcast(learn_words(asked))
+    stop = word_counts(asked)
+    readings = max(1, -(-stop.count() // BROADCAST))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut_batches(batches, SLICE, "html"):
-            texts = [main_text(page, learned.value) for page in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return asked.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    def reading(k: int) -> DataFrame:
+        learned: dict[str, set[str]] = {}
+        for r in stop.filter(share(F.col("tongue"), readings) == k).collect():
+            learned.setdefault(r.tongue, set()).add(r.word)
+        model = df.sparkSession.sparkContext.broadcast(learned)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in cut_batches(batches, SLICE, "html"):
+                texts, rows = [], []
+                for row, page in enumerate(batch.column("html").to_pylist()):
+                    blocks, parts = text_blocks(page)
+                    key = tongue(page, blocks)
+                    if zlib.crc32(key.encode()) % readings == k:
+                        texts.append(text_of(blocks, parts, stop_words(key, model.value)))
+                        rows.append(row)
+                own = batch if len(rows) == batch.num_rows else batch.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([own.column("page_id"), own.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+        return asked.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+    return reduce(DataFrame.unionByName, map(reading, range(readings)))
