@@ -18,11 +18,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import cut_batches, id_and_text, per_worker
+from .common import at_rest, cut_batches, id_and_text, per_worker
 
-KEEP = 250_000  # pieces whose ids a worker keeps between slices; more only costs memory
-JUDGED = 400_000  # token pairs whose fit a worker remembers
-SLICE = 2 << 20  # text bytes encoded at a time
+KEEP = 120_000  # pieces whose ids a worker keeps between slices, some 25 MB
+AT_REST = 30_000  # those met most often, which it keeps between tasks
+JUDGED = 200_000  # token pairs whose fit a worker remembers during a task, some 25 MB
+SLICE = 1 << 20  # text bytes encoded at a time
 TEXT_STEP = 1 << 20  # pieces of one text held at a time
 
 
@@ -183,23 +184,24 @@ class Coder:
             self.sizes.append(len(ids))
             self.pool.extend(ids)
 
-    def shrink(self) -> None:
-        """Beyond ``KEEP`` pieces only those met more than once stay, and none if those are too many."""
-        if len(self.known) <= KEEP:
+    def shrink(self, most: int) -> None:
+        """Beyond ``most`` pieces only the half of them met most often stays."""
+        if len(self.known) <= most:
             return
-        kept = [(p, self.pool[self.starts[k] : self.starts[k] + self.sizes[k]]) for p, k in self.known.items() if self.uses[k] > 1]
+        names, uses = list(self.known), self.uses
+        order = np.argsort(-uses[np.fromiter(self.known.values(), np.int64, len(names))], kind="stable")[: most // 2]
+        kept = [(p := names[i], self.pool[self.starts[k := self.known[p]] : self.starts[k] + self.sizes[k]], int(uses[k])) for i in order.tolist()]
         self.forget()
-        if len(kept) <= KEEP // 2:
-            for p, ids in kept:
-                self.known[p] = len(self.starts)
-                self.starts.append(len(self.pool))
-                self.sizes.append(len(ids))
-                self.pool.extend(ids)
-            self.uses = np.ones(len(kept), np.int64)
+        for p, ids, _ in kept:
+            self.known[p] = len(self.starts)
+            self.starts.append(len(self.pool))
+            self.sizes.append(len(ids))
+            self.pool.extend(ids)
+        self.uses = np.array([n for _, _, n in kept], np.int64) // 2  # old uses count less than new ones
 
     def spread(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a list of pieces, and how many each piece has."""
-        self.shrink()
+        self.shrink(KEEP)
         known = self.known
         self.learn({p for p in pieces if p not in known})
         codes = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
@@ -260,6 +262,9 @@ def bpe_round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id
             n, a, b = zip(*rows)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         c.judged.clear()  # an idle worker holds what later tasks gain most from, and no more
+        c.shrink(AT_REST)
+        c.left_edges.clear()
+        c.right_edges.clear()
 
     def one(c: Coder, text: str) -> tuple[int, str, str]:
         n, ids_sha, text_sha, held = 0, hashlib.sha256(), hashlib.sha256(), []
@@ -278,4 +283,4 @@ def bpe_round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id
         n += flush()
         return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_and_text(df, id_col, text_col).mapInArrow(at_rest(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

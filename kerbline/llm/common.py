@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -27,14 +29,36 @@ def per_worker(key: tuple, make: Callable):
     """One object per Python worker process, built on first use and shared by later tasks.
 
     The package travels by value, so module globals are fresh in each task; the cache hangs
-    on a module object of the interpreter instead.
+    on a module object of the interpreter instead. Keys begin with the name of their operator:
+    a worker that comes to another one drops the tables of the one before.
     """
     held = sys.modules.setdefault("kerbline_worker", types.ModuleType("kerbline_worker")).__dict__
     if key not in held:
+        for other in [k for k in held if isinstance(k, tuple) and k[0] != key[0]]:
+            del held[other]
         held[key] = make()
     return held[key]
 
 
+def at_rest(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function that gives its free memory back to the system when it ends.
+
+    Workers are kept for later tasks and stages; what they only used in between would else stay
+    with them beside the JVM of the executor.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: nothing to ask
+            pass
+
+    return wrapped
+
+
 def cut_batches(batches: Iterator[pa.RecordBatch], limit: int, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` text bytes; a longer text is a slice of its own.
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_batches, per_worker
+from .common import at_rest, cut_batches, per_worker
 
 BITS = 16
 CHUNK = 4096  # buckets that travel in one row of partial counts
@@ -29,7 +29,7 @@ FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
 def letter_table() -> np.ndarray:
-    return per_worker(("letters",), lambda: np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return per_worker(("language", "letters"), lambda: np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,7 +104,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
         return pdf.head(1)[["lang", "chunk", "salt"]].assign(texts=pdf["texts"].sum(), counts=[total.tobytes()])
 
     kind = "lang string, chunk int, salt int, texts long, counts binary"
-    parts = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null").mapInArrow(count, kind)
+    parts = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null").mapInArrow(at_rest(count), kind)
     for keys in (("lang", "chunk", "salt"), ("lang", "chunk")):  # two steps, so that no task adds up all partial counts
         parts = parts.groupBy(*keys).applyInPandas(add, kind)
     rows = parts.collect()  # languages x buckets
@@ -161,7 +161,7 @@ def label(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array(names, pa.string()), pa.array(scores)], names=[*own, "lang_pred", "score"])
 
     kind = T.StructType([*asked.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return asked.mapInArrow(predict, kind).toDF(*keep, "lang_pred", "score")
+    return asked.mapInArrow(at_rest(predict), kind).toDF(*keep, "lang_pred", "score")
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -47,7 +47,7 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
         up[0] = down[0] = 1
         return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
-    return per_worker(("powers", max(21, size.bit_length())), make)
+    return per_worker(("shingles", "powers", max(21, size.bit_length())), make)
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +134,7 @@ def gamma_tables() -> tuple[np.ndarray, np.ndarray]:
             x = np.clip(x - f / np.maximum(x * np.exp(-x), 1e-12), x / 4, x * 2 + 1)
         return x.astype(np.float32), np.log(x).astype(np.float32)
 
-    return per_worker(("gamma",), make)
+    return per_worker(("shingles", "gamma"), make)
 
 
 def consistent_samples(owner: np.ndarray, h: np.ndarray, w: np.ndarray, texts: int) -> np.ndarray:
