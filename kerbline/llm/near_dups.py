@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
-from .common import cut_batches, id_and_text
+from ..session import discard, settle
+from .common import at_rest, cut_batches, id_and_text
 from .shingles import DF_BITS, band_keys, consistent_samples, df_bucket, pack_set, rarity, shingles, unpack_set, weighted_jaccard, weights
 
 SIMILARITY = 0.8
@@ -60,7 +60,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         return pdf.head(1)[["chunk", "salt"]].assign(texts=pdf["texts"].sum(), counts=[zstandard.compress(total.tobytes(), 1)])
 
     kind = "chunk int, salt int, texts long, counts binary"
-    parts = docs.select("text").mapInArrow(count, kind)
+    parts = docs.select("text").mapInArrow(at_rest(count), kind)
     for keys in (("chunk", "salt"), ("chunk",)):  # two steps, so that no task adds up all partial counts
         parts = parts.groupBy(*keys).applyInPandas(add, kind)
     rows, total = parts.collect(), np.zeros(1 << DF_BITS, np.int64)
@@ -100,7 +100,7 @@ def sketches(docs: DataFrame, codes: np.ndarray) -> DataFrame:
                 names=["id", "text_key", "bands", "words"],
             )
 
-    return docs.mapInArrow(run, "id long, text_key binary, bands array<long>, words binary")
+    return docs.mapInArrow(at_rest(run), "id long, text_key binary, bands array<long>, words binary")
 
 
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     joined = pairs.join(sets.select(F.col("text_key").alias("b"), F.col("words").alias("words_b")), "b").join(
         sets.select(F.col("text_key").alias("a"), F.col("words").alias("words_a")), "a"
     )
-    return joined.select("a", "b", "words_a", "words_b").mapInArrow(run, "a binary, b binary, s double")
+    return joined.select("a", "b", "words_a", "words_b").mapInArrow(at_rest(run), "a binary, b binary, s double")
 
 
 def own_weights(sets: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def own_weights(sets: DataFrame) -> DataFrame:
                     [pa.array(np.full(len(h), int.from_bytes(key[:8], "big", signed=True))), pa.array(h), pa.array(w)], names=["tid", "h", "w"]
                 )
 
-    each = sets.mapInArrow(spread, "tid long, h long, w double")
+    each = sets.mapInArrow(at_rest(spread), "tid long, h long, w double")
     single = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("tid").alias("tid"), F.max("w").alias("w")).filter("n = 1")
     own = single.groupBy("tid").agg(F.sum("w").alias("own"))
 
@@ -148,15 +148,16 @@ def own_weights(sets: DataFrame) -> DataFrame:
             tid = [int.from_bytes(key[:8], "big", signed=True) for key in keys]
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(tid, pa.int64()), pa.array(total, pa.float64())], names=["text_key", "tid", "total"])
 
-    totals = sets.mapInArrow(weigh, "text_key binary, tid long, total double")
+    totals = sets.mapInArrow(at_rest(weigh), "text_key binary, tid long, total double")
     return totals.join(own, "tid", "left").select("text_key", "total", F.coalesce("own", F.lit(0.0)).alias("own"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, made: list[DataFrame] | None = None) -> DataFrame:
     """``node, root`` for every node of ``links`` (a, b): the least node of its component.
 
     Alternating large-star and small-star steps; the number of rounds is logarithmic in the
-    length of a chain. Each round is written before the next begins.
+    length of a chain. Each round is written before the next begins, and then the one before is
+    deleted; the last is added to ``made``, which the caller deletes when it has read the result.
     """
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
 
@@ -174,20 +175,23 @@ def components(links: DataFrame) -> DataFrame:
 
     before = mark(edges)
     while before[0]:
-        edges = settle(star(star(edges, True).distinct(), False).distinct(), "links")
+        old, edges = edges, settle(star(star(edges, True).distinct(), False).distinct(), "links")
+        discard(old)
         after = mark(edges)
         if after == before:
             break
         before = after
+    if made is not None:
+        made.append(edges)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def links_of(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def links_of(texts: DataFrame, sets: DataFrame, similarity: float, made: list[DataFrame]) -> DataFrame:
     """``a, b`` links that connect every two texts of a bucket that reach ``similarity``.
 
     ``texts`` has ``text_key, copies, bands, total, own``. The hub of a bucket is its text with
-    most copies.
+    most copies. Tables that the result reads are added to ``made``, the others deleted.
     """
     far = 1.0 - similarity
     rows = texts.select("text_key", "copies", "total", "own", F.explode("bands").alias("bucket"))
@@ -199,8 +203,11 @@ def links_of(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     # members without the hub; a text that owns more than the rest allows is linked to nothing
     to_hub = known.select(F.col("a").alias("hub"), F.col("b").alias("text_key"), (1 - F.col("s")).alias("d"))
     left = members.filter(F.col("own") <= far * F.col("total") + 1e-6).join(to_hub, ["hub", "text_key"]).drop("hub")
-    roots = components(linked).withColumnRenamed("node", "text_key")
+    held: list[DataFrame] = [members]
+    roots = components(linked, held).withColumnRenamed("node", "text_key")
     rest = settle(left.join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key")), "dup-rest")
+    for t in held:
+        discard(t)
     # the largest component of a bucket is settled; the others are open
     per_root = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     main = per_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
@@ -209,6 +216,7 @@ def links_of(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     near = F.col("open") | F.col("d").between(F.col("low") - far - 1e-9, F.col("high") + far + 1e-9)
     columns = ("text_key", "root", "d", "total", "own", "open", "bands")
     kept = settle(mixed.join(spread, "bucket").filter(near).join(texts.select("text_key", "bands"), "text_key").select("bucket", *columns), "dup-open")
+    discard(rest)
     ask = kept.filter("open").select("bucket", *(F.col(c).alias(f"o_{c}") for c in columns))
     common = F.least(F.col("total") - F.col("own"), F.col("o_total") - F.col("o_own"))
     # the pair is asked for in the first bucket both are in, and once where both are open
@@ -223,6 +231,8 @@ def links_of(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     seen = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
     asked = kept.join(ask, "bucket").filter(apart).select(F.col("o_text_key").alias("a"), F.col("text_key").alias("b"))
     fresh = settle(similarities(asked.join(seen, ["a", "b"], "left_anti"), sets), "dup-similar")
+    discard(kept)
+    made += [known, fresh]
     return linked.unionByName(fresh.filter(F.col("s") >= similarity).select("a", "b"))
 
 
@@ -247,11 +257,17 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, id_col: str =
     common = keys.join(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket"), "bucket", "left_semi").select("text_key").distinct()
     some = settle(sets.join(common, "text_key", "left_semi").dropDuplicates(["text_key"]), "dup-sets")
     compared = settle(banded.join(own_weights(some), "text_key"), "dup-compared")
-    roots = settle(components(links_of(compared, some, similarity)), "dup-roots")
+    made: list[DataFrame] = []
+    roots = settle(components(links_of(compared, some, similarity, made), made), "dup-roots")
+    for t in (*made, some, compared):
+        discard(t)
     member: Column = F.coalesce("root", "text_key")
     rooted = settle(texts.drop("bands").join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("root", member), "dup-rooted")
+    keys_of = settle(held.select("id", "text_key"), "dup-keys")
+    for t in (held, texts, roots):
+        discard(t)
     classes = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     return (
-        held.select("id", "text_key").join(rooted.join(classes, "root").select("text_key", "class_id", "class_size"), "text_key")
+        keys_of.join(rooted.join(classes, "root").select("text_key", "class_id", "class_size"), "text_key")
         .select(F.col("id").alias("doc_id"), "class_id", "class_size")
     )
