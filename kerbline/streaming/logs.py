@@ -295,5 +295,8 @@ def stale_sources(events: DataFrame, key: str, limit_s: float, late: str = "10 m
 
 
 def stream_table(spark: SparkSession, folder: str, file: str, schema) -> DataFrame:
-    """A Parquet table of a folder as a file stream."""
+    """A Parquet table of a folder, one file or a folder of part files, as a file stream."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{file}")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return spark.readStream.schema(schema).parquet(f"{folder}/{file}")
     return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)

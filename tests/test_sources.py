@@ -238,3 +238,16 @@ def test_cache_computes_missing_only(spark, cached):
     have = images.filter(F.col("image_id") < cached).withColumn("v", F.lit("cached"))
     got = GO.fill_cache(images, have, lambda m: m.withColumn("v", F.lit("new")))
     assert sorted((r.image_id, r.v) for r in got.collect()) == [(i, "cached" if i < cached else "new") for i in range(3)]
+
+
+def test_stream_of_a_table_in_part_files(spark, tmp_path):
+    rows = spark.range(10).selectExpr("id as image_id", "id * 2 as n").repartition(3)
+    rows.write.parquet(str(tmp_path / "many.parquet"))
+    spark.range(3).write.parquet(str(tmp_path / "other.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "w"))
+    next((tmp_path / "w").glob("part-*.parquet")).rename(tmp_path / "one.parquet")
+    for name in ("many.parquet", "one.parquet"):
+        out = str(tmp_path / f"out-{name}")
+        for _ in range(2):
+            L.generate_incrementally(L.stream_table(spark, str(tmp_path), name, rows.schema), out, lambda todo: todo)
+        assert sorted(r.n for r in spark.read.parquet(out).collect()) == list(range(0, 20, 2))
