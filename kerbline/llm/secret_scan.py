@@ -57,7 +57,7 @@ LONGEST = max(map(len, WORDS))
 RARE, LEAST = 100_000, 3
 LETTERS = re.compile(r"(?<![^\W_])[^\W\d_]{3,30}(?![^\W_])")
 HELD = 100_000  # distinct words a task counts before it hands them on
-UNITS = 64  # longest unit of a repeat inside a value of more than 4 * UNITS characters
+UNITS = 128  # longest unit whose repeats are looked for at every place
 LEET = str.maketrans("4@8310!57$", "aabeloists")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:\d{1,2}[-/._]\d{1,2}[-/._](?:\d{4}|\d{2})|(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])(?:19|20)\d\d|(?:19|20)\d\d)", re.A)
@@ -89,8 +89,9 @@ def brute(c: str) -> float:
 def guess_cost(value: str, rank_of: dict[str, int] = RANK, longest: int = LONGEST) -> float:
     """Decimal logarithm of the guesses of the cheapest segmentation.
 
-    Units of repeats have any length, and in values of more than ``4 * UNITS`` characters
-    ``UNITS`` at most, so the time is linear in the length.
+    Units of repeats have any length, in values of any length. Up to ``UNITS`` characters they start
+    anywhere; longer ones start and end at cuts of the cheapest segmentation of what stands before
+    their second copy, as far as that one is weak: a few dozen cuts, so the time stays linear.
     """
     n, low = len(value), value.lower()
     if len(low) != n:  # a few letters change length in lower case
@@ -101,20 +102,25 @@ def guess_cost(value: str, rank_of: dict[str, int] = RANK, longest: int = LONGES
     for i in range(n):
         if low[i].isdigit() and (m := DATE.match(low, i)):
             dates.setdefault(m.end(), []).append((i, 2.1 if m.end() - i == 4 else math.log10(366 * 150)))
-    widest = n // 2 if n <= 4 * UNITS else UNITS
+    widest = min(n // 2, UNITS)
+    cut = [0] * (n + 1)  # where the last part of the cheapest segmentation starts
+    ahead: dict[int, list[tuple[int, float]]] = {}  # ends that copies of a long unit reach
     runs, walk, turns, way = [0] * widest, 0, 0, None
     units: dict[str, float] = {}
     for end in range(1, n + 1):
         c = low[end - 1]
-        cost = best[end - 1] + brute(c) + (math.log10(2) if value[end - 1].isupper() else 0.0)
+        cost, cut[end], copied = best[end - 1] + brute(c) + (math.log10(2) if value[end - 1].isupper() else 0.0), end - 1, False
         for size in range(2, min(longest, end) + 1):
             rank = rank_of.get(plain[end - size : end])
             if rank:
                 part = value[end - size : end]
                 changed = sum(a != b for a, b in zip(part, plain[end - size : end]))
-                cost = min(cost, best[end - size] + math.log10(rank) + math.log10(2) * (1 + changed))
+                whole = best[end - size] + math.log10(rank) + math.log10(2) * (1 + changed)
+                if whole < cost:
+                    cost, cut[end] = whole, end - size
         for start, price in dates.get(end, ()):
-            cost = min(cost, best[start] + price)
+            if best[start] + price < cost:
+                cost, cut[end] = best[start] + price, start
         for u in range(1, min(widest, end - 1) + 1):  # repeats of a unit of u characters
             if c != low[end - 1 - u]:
                 runs[u - 1] = 0
@@ -126,16 +132,34 @@ def guess_cost(value: str, rank_of: dict[str, int] = RANK, longest: int = LONGES
                 unit = low[start : start + u]
                 if unit not in units:
                     units[unit] = guess_cost(unit, rank_of, longest) if u > 4 else sum(map(brute, unit))
-                cost = min(cost, best[start] + units[unit] + math.log10(times))
+                whole = best[start] + units[unit] + math.log10(times)
+                if whole < cost:
+                    cost, cut[end], copied = whole, start, True
+        for start, whole in ahead.pop(end, ()):
+            if whole < cost:
+                cost, cut[end], copied = whole, start, True
         if end > 1 and c in NEAR.get(low[end - 2], {}):
             step = NEAR[low[end - 2]][c]
             walk, turns = walk + 1, turns + (walk > 0 and step != way)
             way = step
             if walk >= 2:
-                cost = min(cost, best[end - walk - 1] + WALK_START + math.log10(walk + 1) + WALK_STEP * min(turns, walk))
+                whole = best[end - walk - 1] + WALK_START + math.log10(walk + 1) + WALK_STEP * min(turns, walk)
+                if whole < cost:
+                    cost, cut[end], copied = whole, end - walk - 1, False
         else:
             walk, turns, way = 0, 0, None
         best[end] = cost
+        start = cut[end] if cost < STRONG else 0
+        if copied:  # copies of copies are copies of the shorter unit
+            start = cut[start]
+        while cost < STRONG and end - start <= n - end:
+            unit, times = low[start:end] if end - start > UNITS and low[start : start + 16] == low[end : end + 16] else "", 1
+            while unit and low.startswith(unit, end + (times - 1) * len(unit)):
+                times += 1
+                ahead.setdefault(start + times * len(unit), []).append((start, cost + math.log10(times)))
+            if not start:
+                break
+            start = cut[start]
     return best[n]
 
 

@@ -236,3 +236,12 @@ def test_redaction_over_chunks_matches_brute_force(spark, monkeypatch):
             want += text[at:a] + f"[{pii.KINDS[k].upper()}]"
         at = max(at, b)
     assert pii.redact(df).first().text == want + text[at:]
+
+
+def test_copies_of_long_units_count_at_any_length():
+    unit = "a" * 100 + "7" * 100
+    once = secret_scan.guess_cost(unit)
+    assert secret_scan.guess_cost(unit[50:150] * 2) < secret_scan.guess_cost(unit[50:150] * 3) < secret_scan.STRONG
+    for k in (2, 3, 30):
+        assert abs(secret_scan.guess_cost(unit * k) - once - secret_scan.math.log10(k)) < 1e-9
+    assert not [s for s in secret_scan.spans_of(f"pwd = {unit * 3}") if s[1] == 3]
