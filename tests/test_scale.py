@@ -11,6 +11,7 @@ from kerbline import scale
 from kerbline.operators import batches as B
 from kerbline.operators import benchmarks as BM
 from kerbline.operators import inference as INF
+from kerbline.operators import prompts as PR
 from kerbline.operators import paths as P
 from kerbline.operators import regions as M
 from kerbline.plans import fixtures as D
@@ -242,3 +243,28 @@ def test_points_without_depth_are_rejects(spark):
     points = spark.createDataFrame([(1, s, s, 0, 4, 4, 100.0, 80.0) for s in range(4)], "image_id long, seq int, px int, py int, h int, w int, fx double, fy double")
     assert sorted(r.seq for r in M.points_without_depth(points, raster).collect()) == [0, 3]
     assert M.path_mask(points, raster, 0.01).count() > 0 and M.path_disc_mask(points, raster, 0.01).count() > 0
+
+
+def test_a_given_number_of_shards_is_cut_where_they_are_long(spark, monkeypatch):
+    rows = spark.range(100).selectExpr("cast(id as string) as req_id", "'' as system", "concat('a b ', id) as prompt", "cast(null as string) as picture")
+    assert INF.run_requests(rows, INF.EchoClient, parallel=4, tries=1).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(INF, "SHARD_CALLS", 10)
+    out = INF.run_requests(rows, lambda: INF.EchoClient(1), parallel=4, tries=1)
+    assert out.rdd.getNumPartitions() == 12 and sorted(int(r.text) for r in out.collect()) == list(range(100))
+
+
+def test_prompts_are_neither_written_nor_shuffled(spark, monkeypatch):
+    """The facts of an image are dealt to the calls, and its texts made there; the requests stay the same."""
+    goals = spark.createDataFrame([(1, "door", 0.1, 0.2), (2, "car", 0.5, 0.5), (None, "x", 0.0, 0.0)], "image_id long, label string, cx double, cy double")
+    boxes = spark.createDataFrame([(1, r, k, "box", 0.1, 0.2, 0.3, 0.4) for r in "LR" for k in (2, 1)], "image_id long, region string, box_no long, label string, x_min double, y_min double, x_max double, y_max double")
+    written, real = [], INF.settle
+    monkeypatch.setattr(INF, "settle", lambda df, name: written.append(df.columns) or real(df, name))
+    facts = PR.region_facts(goals, boxes, boxes)
+    got = INF.run_requests(facts, INF.EchoClient, tries=1, keep=("image_id", "target", "system", "prompt"), build=PR.fan_out, each=5).drop("elapsed_s")
+    assert written and not {"system", "prompt"} & {c for cols in written for c in cols}
+    requests = {(r.image_id, r.target): r for r in PR.region_requests(goals, boxes, boxes).collect()}
+    rows = got.collect()
+    assert len(rows) == len(requests) == 15
+    assert all((r.system, r.prompt) == (requests[r.image_id, r.target].system, requests[r.image_id, r.target].prompt) for r in rows)
+    phrase = "box [0.1, 0.2, 0.3, 0.4]"
+    assert {t: requests[1, t].system.count(phrase) for t in ("D", "L", "R", "P", "Desc")} == {"D": 0, "L": 2, "R": 2, "P": 0, "Desc": 4}
