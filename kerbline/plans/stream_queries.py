@@ -69,7 +69,7 @@ def stream_scores_continued(spark, sf):
     for parts in ((0, 1), (2,)):
         for part in parts:
             events.filter(F.col("part") == part).drop("part").write.mode("append").parquet(folder)
-        scores = spark.readStream.schema(events.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        scores = spark.readStream.schema(events.drop("part").schema).option("maxBytesPerTrigger", 256 << 20).parquet(folder)
         result = L.run_available(L.running_scores(scores), "scores", "update", ("tag", "metric"), out, state)
     return result
 
