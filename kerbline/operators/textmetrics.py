@@ -1,12 +1,13 @@
 """Text metrics between a true and a predicted text.
 
-``pairs(pair_id, truth, pred)`` → one value per pair. N-gram metrics are joins and sums; LCS
-and word alignment run per pair in Arrow batches; vector metrics run on blocks of tokens, so
+``pairs(pair_id, truth, pred)`` → one value per pair. N-grams are counted inside the pair (BLEU joins
+them); LCS and word alignment run per pair in Arrow batches; vector metrics run on blocks of tokens, so
 no task emits all token pairs.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -61,23 +62,33 @@ def f_measure(hits: Column, n_pred: Column, n_truth: Column) -> Column:
     return F.when((hits > 0), 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
+@F.pandas_udf(T.LongType())
+def clipped_hits(truth: pd.Series, pred: pd.Series) -> pd.Series:
+    """What two lists share, repeats counted."""
+    return pd.Series([sum((Counter(t) & Counter(p)).values()) for t, p in zip(truth, pred)], dtype="int64")
+
+
 def rouge_n(pairs: DataFrame, n: int, stemmed: bool = True) -> DataFrame:
-    """``(pair_id, hits, n_truth, n_pred, value)`` with clipped n-gram counts."""
-    toks = pairs.select(
-        "pair_id", rouge_tokens(F.col("truth"), stemmed).alias("t"), rouge_tokens(F.col("pred"), stemmed).alias("p")
-    )
-    grams = toks.select(
+    """``(pair_id, hits, n_truth, n_pred, value)`` with clipped n-gram counts.
+
+    Rows of one ``pair_id`` count together; only the texts of repeated ones are shuffled, no n-grams.
+    ``pairs`` is read for its ids first.
+    """
+    ids = pairs.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and pair_id is not null")
+    repeated = settle(ids.select("pair_id"), "repeated")
+    cleaned = pairs.select(
         "pair_id",
-        F.explode(
-            F.concat(
-                F.transform(ngrams(F.col("t"), n), lambda g: F.struct(g.alias("g"), F.lit(1).alias("t"), F.lit(0).alias("p"))),
-                F.transform(ngrams(F.col("p"), n), lambda g: F.struct(g.alias("g"), F.lit(0).alias("t"), F.lit(1).alias("p"))),
-            )
-        ).alias("e"),
-    )
-    counts = grams.groupBy("pair_id", "e.g").agg(F.sum("e.t").alias("t"), F.sum("e.p").alias("p"))
-    sums = counts.groupBy("pair_id").agg(
-        F.sum(F.least("t", "p")).alias("hits"), F.sum("t").alias("n_truth"), F.sum("p").alias("n_pred")
+        *[F.array_join(rouge_tokens(F.col(c), stemmed), " ").alias(a) for c, a in (("truth", "t"), ("pred", "p"))],
+    ).filter("t is not null and p is not null")
+    texts = cleaned.select("pair_id", F.array("t").alias("t"), F.array("p").alias("p"))
+    if not repeated.isEmpty():
+        many = cleaned.join(repeated, "pair_id", "left_semi").groupBy("pair_id").agg(F.collect_list("t").alias("t"), F.collect_list("p").alias("p"))
+        texts = texts.join(repeated, "pair_id", "left_anti").unionByName(many)
+    tokens = lambda c: F.transform(c, lambda s: F.filter(F.split(s, " "), lambda w: w != "")).alias(c)
+    grams = lambda c: F.flatten(F.transform(c, lambda ws: ngrams(ws, n))).alias(c)
+    lists = texts.select("pair_id", tokens("t"), tokens("p")).select("pair_id", grams("t"), grams("p"))
+    sums = lists.select(
+        "pair_id", clipped_hits("t", "p").alias("hits"), F.size("t").cast("bigint").alias("n_truth"), F.size("p").cast("bigint").alias("n_pred")
     )
     full = pairs.select("pair_id").join(sums, "pair_id", "left").na.fill(0, ["hits", "n_truth", "n_pred"])
     return full.withColumn("value", f_measure(F.col("hits"), F.col("n_pred"), F.col("n_truth")))

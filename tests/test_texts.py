@@ -430,3 +430,14 @@ def test_vectors_as_a_metric(spark):
     finally:
         TM.METRICS.pop("vector")
     assert row.metric == "vector" and abs(row.value - 1.0) < 1e-12
+
+
+def test_rouge_shuffles_texts_not_words(spark):
+    """Rows of one pair count together, n-grams do not reach from one to the next."""
+    rows = [("a", "x y x", "x x z"), ("a", "y", "y q"), ("b", "One, two!", "two one"), ("c", None, "x"), ("c", "x", "x"), ("d", "x", None), (None, "x", "x"), ("e", "", "")]
+    pairs = spark.createDataFrame(rows, "pair_id string, truth string, pred string")
+    got = {n: sorted((r.pair_id or "", r.hits, r.n_truth, r.n_pred) for r in TM.rouge_n(pairs, n, stemmed=False).collect()) for n in (1, 2)}
+    assert got[1] == [("", 0, 0, 0), ("a", 3, 4, 5), ("a", 3, 4, 5), ("b", 2, 2, 2), ("c", 1, 1, 1), ("c", 1, 1, 1), ("d", 0, 0, 0), ("e", 0, 0, 0)]
+    assert got[2] == [("", 0, 0, 0), ("a", 0, 2, 3), ("a", 0, 2, 3), ("b", 0, 1, 1), ("c", 0, 0, 0), ("c", 0, 0, 0), ("d", 0, 0, 0), ("e", 0, 0, 0)]
+    plan = TM.rouge_n(pairs, 1, stemmed=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
