@@ -268,3 +268,13 @@ def test_prompts_are_neither_written_nor_shuffled(spark, monkeypatch):
     assert all((r.system, r.prompt) == (requests[r.image_id, r.target].system, requests[r.image_id, r.target].prompt) for r in rows)
     phrase = "box [0.1, 0.2, 0.3, 0.4]"
     assert {t: requests[1, t].system.count(phrase) for t in ("D", "L", "R", "P", "Desc")} == {"D": 0, "L": 2, "R": 2, "P": 0, "Desc": 4}
+
+
+def test_a_score_trigger_takes_a_part(spark, sf, tmp_path, monkeypatch):
+    """The number of batches does not grow with the number of files."""
+    spark.read.parquet(f"{sf}/events.parquet").repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    seen, real = [], L.merge_batch
+    monkeypatch.setattr(L, "merge_batch", lambda batch, number, *rest: seen.append(number) or real(batch, number, *rest))
+    rows = {(r.tag, r.metric): (r.total, r.n) for r in QUERIES["stream_scores_continued"](spark, str(tmp_path)).collect()}
+    assert rows == {(r.tag, r.metric): (r.total, r.n) for r in QUERIES["stream_running_scores"](spark, sf).collect()}
+    assert seen == [0, 1, 2]
