@@ -278,3 +278,14 @@ def test_a_score_trigger_takes_a_part(spark, sf, tmp_path, monkeypatch):
     rows = {(r.tag, r.metric): (r.total, r.n) for r in QUERIES["stream_scores_continued"](spark, str(tmp_path)).collect()}
     assert seen == [0, 1, 2]
     assert rows == {(r.tag, r.metric): (r.total, r.n) for r in QUERIES["stream_running_scores"](spark, sf).collect()}
+
+
+def test_shapes_keep_their_tasks(spark, monkeypatch):
+    """A small table of path moves becomes many runs: it is not merged into one task."""
+    points = spark.createDataFrame([(i, s, 4 - s, 7 - s, 8, 8) for i in range(20) for s in range(4)], "image_id long, seq int, px long, py long, h long, w long")
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert M.side_runs(points).rdd.getNumPartitions() == own and M.side_runs(points, parts=23).rdd.getNumPartitions() == 23
+    assert M._tasks(points) == own
+    monkeypatch.setattr(M, "ROWS_PER_TASK", 20)
+    assert M._tasks(points) == 32
+    assert sorted(M.side_runs(points, parts=23).collect()) == sorted(M.side_runs(points).collect())
