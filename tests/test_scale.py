@@ -289,3 +289,14 @@ def test_shapes_keep_their_tasks(spark, monkeypatch):
     monkeypatch.setattr(M, "ROWS_PER_TASK", 20)
     assert M._tasks(points) == 32
     assert sorted(M.side_runs(points, parts=23).collect()) == sorted(M.side_runs(points).collect())
+
+
+def test_boxes_of_images_are_shuffled_by_their_rows(spark, sf, monkeypatch):
+    """A task of the shuffle reads the same share of ``lineitem`` at any size."""
+    images, seen, real = D.raster_goals(spark, sf).select("image_id"), [], scale.settle
+    own, rows = spark.conf.get("spark.sql.shuffle.partitions"), D.table(spark, sf, "lineitem").count()
+    monkeypatch.setattr(scale, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(scale, "settle", lambda df, name: seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))) or real(df, name))
+    got = D.boxes_of(spark, sf, images)
+    assert seen == [-(-rows // 100)] and seen[0] > int(own) and spark.conf.get("spark.sql.shuffle.partitions") == own
+    assert sorted(got.collect()) == sorted(D.boxes(spark, sf).join(images, "image_id", "left_semi").collect())
