@@ -122,10 +122,10 @@ def answers_jsonl(spark, sf):
 
 
 def _named(spark, sf, suffix: str, content) -> str:
-    """One file per document, named by its id."""
+    """One file per document, named by its id; the folders they are in."""
     folder = scratch_path(spark, "files")
-    WR.write_files(D.table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(suffix)).alias("name"), content.alias("content")), folder)
-    return folder
+    WR.write_files(D.table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(suffix)).alias("name"), content.alias("content")), folder, nested=True)
+    return f"{folder}/*"
 
 
 @query("images_listed", "SELECT doc_id::VARCHAR AS image_id, doc_id || '.png' AS filename, octet_length(encode(text))::BIGINT AS length FROM documents")
@@ -183,8 +183,8 @@ def record_files(spark, sf):
     """One XML file per record, named after its image."""
     folder = scratch_path(spark, "record-files")
     rows = _documents(spark, sf).select(F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("filename"), F.col("text").alias("dest_desc"), F.col("lang").alias("recommend"))
-    WR.write_record_files(rows, folder)
-    raw = spark.read.format("xml").option("rowTag", "Annotation").schema("filename string, dest_desc string, recommend string").load(folder)
+    WR.write_record_files(rows, folder, nested=True)
+    raw = spark.read.format("xml").option("rowTag", "Annotation").schema("filename string, dest_desc string, recommend string").load(f"{folder}/*")
     return raw.select("filename", F.coalesce("dest_desc", F.lit("")).alias("dest_desc"), "recommend", F.col("_metadata.file_name").alias("file"))
 
 

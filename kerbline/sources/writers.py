@@ -6,15 +6,19 @@ order; its part files, one after the other, are one JSON object.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import averages
 from ..operators.records import training_samples
 
+FILES_PER_TASK = 2000  # single files that one task writes
+
 
 def to_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "overwrite") -> None:
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
@@ -24,9 +28,13 @@ def write_record_xml(records: DataFrame, path: str, root: str = "Annotations", r
     records.write.format("xml").option("rootTag", root).option("rowTag", row).mode("overwrite").save(path)
 
 
-def write_files(rows: DataFrame, folder: str) -> int:
+def write_files(rows: DataFrame, folder: str, nested: bool = False) -> int:
     """One file per row of ``rows(name, content)``, written by the tasks; returns their number.
 
+    The rows are counted and dealt by name, ``FILES_PER_TASK`` to a task, so that no task grows with
+    the table. ``nested`` gives each task a folder of its own below ``folder``: many tasks do not
+    wait for one folder, and a reader of ``folder/*`` lists them side by side.
+
     ``folder`` is a URI that all executors reach (a bare path is one of the file system). A task
     that is repeated writes the same files again. Names must differ.
     """
@@ -38,6 +46,8 @@ def write_files(rows: DataFrame, folder: str) -> int:
             system, root = fs.FileSystem.from_uri(folder)
         else:
             system, root = fs.LocalFileSystem(), folder
+        if nested:
+            root = f"{root}/{TaskContext.get().partitionId()}"
         system.create_dir(root, recursive=True)
         for batch in batches:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
@@ -46,13 +56,14 @@ def write_files(rows: DataFrame, folder: str) -> int:
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
     content = F.col("content").cast("binary")
-    return rows.select("name", content.alias("content")).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+    dealt = rows.repartition(max(1, math.ceil(rows.count() / FILES_PER_TASK)), "name")
+    return dealt.select("name", content.alias("content")).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def write_record_files(records: DataFrame, folder: str, row: str = "Annotation") -> int:
+def write_record_files(records: DataFrame, folder: str, row: str = "Annotation", nested: bool = False) -> int:
     """One XML file per record, named after its image: ``a.png`` gives ``a.xml``."""
     name = F.concat(F.regexp_replace("filename", r"\.[^.]*$", ""), F.lit(".xml"))
-    return write_files(records.select(name.alias("name"), F.to_xml(F.struct("*"), {"rowTag": row}).alias("content")), folder)
+    return write_files(records.select(name.alias("name"), F.to_xml(F.struct("*"), {"rowTag": row}).alias("content")), folder, nested)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -251,3 +251,14 @@ def test_stream_of_a_table_in_part_files(spark, tmp_path):
         for _ in range(2):
             L.generate_incrementally(L.stream_table(spark, str(tmp_path), name, rows.schema), out, lambda todo: todo)
         assert sorted(r.n for r in spark.read.parquet(out).collect()) == list(range(0, 20, 2))
+
+
+def test_files_are_dealt_to_bounded_tasks(spark, tmp_path, monkeypatch):
+    """One partition of 95 rows is written by ten tasks, each into a folder of its own."""
+    monkeypatch.setattr(WR, "FILES_PER_TASK", 10)
+    rows = spark.range(95).coalesce(1).selectExpr("concat(id, '.png') as name", "concat('text ', id) as content")
+    assert WR.write_files(rows, str(tmp_path / "nested"), nested=True) == 95
+    folders = [sorted(f.name for f in d.iterdir() if not f.name.startswith(".")) for d in (tmp_path / "nested").iterdir()]
+    assert len(folders) == 10 and max(map(len, folders)) < 40
+    assert sorted(n for f in folders for n in f) == sorted(f"{i}.png" for i in range(95))
+    assert WR.write_files(rows, str(tmp_path / "flat")) == 95 and (tmp_path / "flat" / "7.png").read_text() == "text 7"
