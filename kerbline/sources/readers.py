@@ -17,6 +17,7 @@ from ..functions import geometry as G
 from ..functions import text as X
 from ..operators import boxes as B
 from ..operators.benchmarks import last_per_key
+from ..session import settle
 
 IMAGE_SUFFIXES = [".png", ".jpg", ".jpeg", ".JPG"]  # fixed values, case counts
 
@@ -26,11 +27,22 @@ def _stem(name):
 
 
 def list_images(spark: SparkSession, folder: str, with_content: bool = False) -> DataFrame:
-    """Image files of a folder, sorted by name; bytes are read only on request."""
+    """Image files of a folder, sorted by name; bytes are read only on request.
+
+    Without the bytes the listing is written once, as sorting reads its input twice, and a task takes
+    some thousand files: they are not opened, so there is no cost of opening to count for them.
+    """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,JPG}").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     cols = [_stem(name).alias("image_id"), name.alias("filename"), "path", "length", "modificationTime"]
-    return raw.select(*cols, *(["content"] if with_content else [])).orderBy("filename")
+    if with_content:
+        return raw.select(*cols, "content").orderBy("filename")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64k")
+    try:
+        return settle(raw.select(*cols), "images").orderBy("filename")
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
 
 
 def unique_images(images: DataFrame) -> DataFrame:

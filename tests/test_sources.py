@@ -262,3 +262,15 @@ def test_files_are_dealt_to_bounded_tasks(spark, tmp_path, monkeypatch):
     assert len(folders) == 10 and max(map(len, folders)) < 40
     assert sorted(n for f in folders for n in f) == sorted(f"{i}.png" for i in range(95))
     assert WR.write_files(rows, str(tmp_path / "flat")) == 95 and (tmp_path / "flat" / "7.png").read_text() == "text 7"
+
+
+def test_a_listing_is_written_before_it_is_sorted(spark, tmp_path):
+    """Sorting reads its input twice; the files are looked up once, and many of them by one task."""
+    rows = spark.range(70).selectExpr("concat(id, '.png') as name", "'x' as content")
+    WR.write_files(rows, str(tmp_path / "f"), nested=True)
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    listed = RD.list_images(spark, f"{tmp_path}/f/*")
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan and "binaryFile" not in plan
+    assert [r.filename for r in listed.collect()] == sorted(f"{i}.png" for i in range(70))
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
