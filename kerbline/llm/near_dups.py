@@ -256,6 +256,9 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, id_col: str =
     keys = banded.select("text_key", F.explode("bands").alias("bucket"))
     common = keys.join(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket"), "bucket", "left_semi").select("text_key").distinct()
     some = settle(sets.join(common, "text_key", "left_semi").dropDuplicates(["text_key"]), "dup-sets")
+    # the sets of all texts are the largest table here, and from now on only ids and keys are read
+    keys_of = settle(held.select("id", "text_key"), "dup-keys")
+    discard(held)
     compared = settle(banded.join(own_weights(some), "text_key"), "dup-compared")
     made: list[DataFrame] = []
     roots = settle(components(links_of(compared, some, similarity, made), made), "dup-roots")
@@ -263,8 +266,7 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, id_col: str =
         discard(t)
     member: Column = F.coalesce("root", "text_key")
     rooted = settle(texts.drop("bands").join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("root", member), "dup-rooted")
-    keys_of = settle(held.select("id", "text_key"), "dup-keys")
-    for t in (held, texts, roots):
+    for t in (texts, roots):
         discard(t)
     classes = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     return (
