@@ -1,10 +1,11 @@
 """Near duplicates by consistent weighted samples of TF-IDF shingles.
 
 1. Document frequencies of all shingles are counted in ``2 ** 20`` hash buckets; the table of
-   rarity codes (1 MB at any size of the corpus) is the only thing broadcast.
-2. Equal texts fall together by digest. Each distinct text gets banded samples and its packed
-   weighted set.
-3. A band key shared by several texts is a bucket. Its members are compared with a hub, not with
+   rarity codes (1 MB at any size of the corpus) is broadcast.
+2. Equal texts fall together by digest. Each distinct text gets banded samples.
+3. A band key shared by several texts is a bucket. Only texts that share one get their packed
+   weighted set, in another pass over the texts that knows them by a bitmap of digests (2 MB at
+   any size) and then by the digest itself. Members of a bucket are compared with a hub, not with
    each other. A bucket whose members are then all connected is done, so a group of near copies
    costs one comparison per member. A member left open is compared with those of its bucket that
    are not yet connected with it and that bounds do not rule out: the distance of both to the hub
@@ -22,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ from .shingles import DF_BITS, band_keys, consistent_samples, df_bucket, pack_se
 SIMILARITY = 0.8
 SLICE = 1 << 19
 DF_CHUNK = 1 << 16
+MARK_BYTES = 3  # of a digest, its place in the bitmap of the texts to compare
+MARK_CHUNK = 1 << 15  # bits that Spark's bitmap functions keep in a row
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -69,38 +72,69 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return total, rows[0].texts if rows else 0
 
 
-def sketches(docs: DataFrame, codes: np.ndarray) -> DataFrame:
-    """``id, text_key, bands, words``: digest of the text, its band keys and packed set.
+def digests(texts: list[str]) -> tuple[list[bytes], list[int]]:
+    """Digest of every text, and the places of those that no text before equals."""
+    keys = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
+    place: dict[bytes, int] = {}
+    for k, key in enumerate(keys):
+        place.setdefault(key, k)
+    return keys, list(place.values())
 
-    Bands and set are null where the slice held the same text before, and for texts without words.
+
+def sketches(docs: DataFrame, codes: Broadcast) -> DataFrame:
+    """``id, text_key, bands``: digest of the text and its band keys.
+
+    Bands are null where the slice held the same text before, and for texts without words.
     """
-    table = docs.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = table.value
         for batch in cut_batches(batches, SLICE):
             texts = batch.column("text").to_pylist()
-            keys = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
-            place: dict[bytes, int] = {}
-            for k, key in enumerate(keys):
-                place.setdefault(key, k)
-            own = list(place.values())
+            keys, own = digests(texts)
             owner, h, counts = shingles([texts[k] for k in own])
-            rare = codes[df_bucket(h)]
-            samples = consistent_samples(owner, h, weights(counts, rare.astype(np.float64)), len(own))
-            bands = band_keys(samples)
-            ends = np.searchsorted(owner, np.arange(len(own) + 1))
-            band_col, set_col = [None] * len(texts), [None] * len(texts)
-            for n, k in enumerate(own):
-                a, b = int(ends[n]), int(ends[n + 1])
-                if b > a:
-                    band_col[k], set_col[k] = bands[n], pack_set(h[a:b], counts[a:b], rare[a:b])
+            samples = consistent_samples(owner, h, weights(counts, codes.value[df_bucket(h)].astype(np.float64)), len(own))
+            bands, some = band_keys(samples), np.bincount(owner, minlength=len(own)) > 0
+            band_col = [None] * len(texts)
+            for n in np.flatnonzero(some):
+                band_col[own[n]] = bands[n]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(keys, pa.binary()), pa.array(band_col, pa.list_(pa.int64())), pa.array(set_col, pa.binary())],
-                names=["id", "text_key", "bands", "words"],
+                [batch.column("id"), pa.array(keys, pa.binary()), pa.array(band_col, pa.list_(pa.int64()))], names=["id", "text_key", "bands"]
             )
 
-    return docs.mapInArrow(at_rest(run), "id long, text_key binary, bands array<long>, words binary")
+    return docs.mapInArrow(at_rest(run), "id long, text_key binary, bands array<long>")
+
+
+def marks(keys: DataFrame) -> np.ndarray:
+    """Bitmap of the first ``MARK_BYTES`` bytes of all digests ``text_key``, least bit first."""
+    place = F.conv(F.hex(F.substring("text_key", 1, MARK_BYTES)), 16, 10).cast("long")
+    parts = keys.select((place / MARK_CHUNK).cast("long").alias("part"), (place % MARK_CHUNK).alias("bit"))
+    out = np.zeros((1 << 8 * MARK_BYTES) // 8, np.uint8)
+    for r in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        out[r.part * MARK_CHUNK // 8 : (r.part + 1) * MARK_CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def weighted_sets(docs: DataFrame, codes: Broadcast, keys: DataFrame) -> DataFrame:
+    """``text_key, words``: packed set of each text of ``docs`` whose digest is in ``keys``.
+
+    Texts that the bitmap rules out are neither cut into shingles nor shuffled."""
+    marked = docs.sparkSession.sparkContext.broadcast(marks(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cut_batches(batches, SLICE):
+            texts = batch.column("text").to_pylist()
+            names, own = digests(texts)
+            at = np.array([int.from_bytes(names[k][:MARK_BYTES], "big") for k in own])
+            own = [own[n] for n in np.flatnonzero(marked.value[at >> 3] >> (at & 7) & 1)]
+            if not own:
+                continue
+            owner, h, counts = shingles([texts[k] for k in own])
+            rare, ends = codes.value[df_bucket(h)], np.searchsorted(owner, np.arange(len(own) + 1))
+            packed = [pack_set(h[a:b], counts[a:b], rare[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in own], pa.binary()), pa.array(packed, pa.binary())], names=["text_key", "words"])
+
+    sets = docs.select("text").mapInArrow(at_rest(run), "text_key binary, words binary")
+    return sets.join(keys, "text_key", "left_semi").dropDuplicates(["text_key"])
 
 
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -247,18 +281,19 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, id_col: str =
     """
     docs = id_and_text(df, id_col, text_col)
     frequency, n = document_frequencies(docs)
-    held = settle(sketches(docs, rarity(frequency, n)), "dup-sketches")
+    codes = docs.sparkSession.sparkContext.broadcast(rarity(frequency, n))
+    held = settle(sketches(docs, codes), "dup-sketches")
     per = held.groupBy("text_key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     texts = settle(per.join(held.filter("bands is not null").select("text_key", "bands").dropDuplicates(["text_key"]), "text_key", "left"), "dup-texts")
-    sets = held.filter("words is not null").select("text_key", "words")
+    keys_of = settle(held.select("id", "text_key"), "dup-keys")
+    discard(held)
     banded = texts.filter("bands is not null").select("text_key", "copies", "bands")
     # only texts that share a bucket are ever compared
     keys = banded.select("text_key", F.explode("bands").alias("bucket"))
-    common = keys.join(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket"), "bucket", "left_semi").select("text_key").distinct()
-    some = settle(sets.join(common, "text_key", "left_semi").dropDuplicates(["text_key"]), "dup-sets")
-    # the sets of all texts are the largest table here, and from now on only ids and keys are read
-    keys_of = settle(held.select("id", "text_key"), "dup-keys")
-    discard(held)
+    shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket")
+    common = settle(keys.join(shared, "bucket", "left_semi").select("text_key").distinct(), "dup-common")
+    some = settle(weighted_sets(docs, codes, common), "dup-sets")
+    discard(common)
     compared = settle(banded.join(own_weights(some), "text_key"), "dup-compared")
     made: list[DataFrame] = []
     roots = settle(components(links_of(compared, some, similarity, made), made), "dup-roots")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
 
@@ -179,6 +180,30 @@ def test_near_duplicates_of_an_empty_table(spark):
     assert near_dups.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_write_no_set_of_a_text_without_a_bucket(spark, monkeypatch):
+    rng, written, plain = random.Random(6), {}, near_dups.settle
+    texts = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(2000)) for _ in range(300)]
+    texts += [texts[0] + " end", texts[1] + " end"]
+
+    def settle(df, name):
+        table = plain(df, name)
+        written[name] = sum(os.path.getsize(f.removeprefix("file:")) for f in table.inputFiles())
+        if name == "dup-sets":
+            written["sets"] = table.count()
+        return table
+
+    monkeypatch.setattr(near_dups, "settle", settle)
+    got = near_dups.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i for i in range(300)} | {300: 0, 301: 1}
+    assert written.pop("sets") == 4 and sum(written.values()) < sum(map(len, texts)) / 4
+
+
+def test_marks_hold_the_digests_given(spark):
+    keys = [bytes([0, 0, 0, 9]), bytes([0, 0, 1, 1]), bytes([0, 128, 0, 1]), bytes([255, 255, 255, 2]), bytes([255, 255, 255, 3])]
+    bits = np.unpackbits(near_dups.marks(spark.createDataFrame([(k,) for k in keys], "text_key binary")), bitorder="little")
+    assert len(bits) == 1 << 24 and np.flatnonzero(bits).tolist() == sorted({int.from_bytes(k[:3], "big") for k in keys})
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = random.Random(1)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(2000)]

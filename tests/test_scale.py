@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pathlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from kerbline.operators import paths as P
 from kerbline.operators import regions as M
 from kerbline.plans import fixtures as D
 from kerbline.plans import QUERIES
+from kerbline.session import SHUFFLES_GO, settle
 from kerbline.streaming import logs as L
 
 SOURCE = pathlib.Path(__file__).resolve().parents[1] / "kerbline"
@@ -27,6 +29,19 @@ def hot(spark):
     return spark.range(3000).selectExpr("id", "case when id % 3 < 2 then 'hot' else concat('k', id % 7) end as k", "id % 11 as v")
 
 
+def test_settled_table_leaves_no_shuffle_files(spark):
+    def files() -> set[str]:
+        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in held.mkString(",").split(",") if "/shuffle_" in f}
+
+    before, option = files(), spark.conf.get(SHUFFLES_GO, None)
+    table = settle(spark.range(5000).groupBy((F.col("id") % 100).alias("k")).count().join(spark.range(100).withColumnRenamed("id", "k").hint("merge"), "k"), "shuffled")
+    end = time.monotonic() + 10
+    while files() - before and time.monotonic() < end:  # executors delete them in the background
+        time.sleep(0.1)
+    assert not files() - before and table.count() == 100 and spark.conf.get(SHUFFLES_GO, None) == option
+
+
 def test_ordered_index_within_hot_key(hot):
     got = scale.ordered_index(hot, ["v", "id"], "n", within=["k"]).collect()
     by_key: dict = {}
