@@ -7,9 +7,15 @@ Parquet once (``writers.to_parquet``): only there do filters and column choice r
 from __future__ import annotations
 
 import io
+import math
+import os
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +24,120 @@ from ..functions import text as X
 from ..operators import boxes as B
 from ..operators.benchmarks import last_per_key
 from ..session import settle
+from .writers import FILES_PER_TASK
 
 IMAGE_SUFFIXES = [".png", ".jpg", ".jpeg", ".JPG"]  # fixed values, case counts
+EXAMPLE_SUFFIXES = [".png", ".jpg", ".jpeg"]
+PACKED_SUFFIXES = [".gz", ".bz2", ".deflate", ".snappy", ".lz4", ".zst"]  # the engine's text reader unpacks these
+QUOTED = re.compile(r"[^A-Za-z0-9_\-!.~'()*,;:$&+=@\u00a0-\U0010ffff]|\s")  # in the file names of the engine's readers
+MOST_MATCHES = 20_000  # most folders and files named by a pattern that are dealt to tasks
 
 
 def _stem(name):
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
+def _ends(name: str, suffixes: list[str]):
+    return F.col(name).rlike(f"({'|'.join(map(re.escape, suffixes))})\\z")
+
+
+def _matches(spark: SparkSession, path: str) -> list[str]:
+    """What ``path`` names on the file system all tasks share; nothing for other file systems."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = (system.globStatus(pattern) if system.getScheme() == "file" else None) or []
+    return [f.getPath().toUri().getPath() for f in found] if len(found) <= MOST_MATCHES else []
+
+
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The files an engine's reader of ``root`` takes: those in it, not hidden, not empty. A ``key=value``
+    folder is a row without a name."""
+
+    def inside(top: str) -> Iterator[tuple[str, str | None, int, int]]:
+        if not os.path.isdir(top):
+            facts = os.stat(top)
+            yield *os.path.split(top), facts.st_size, facts.st_mtime_ns
+            return
+        with os.scandir(top) as entries:
+            for entry in entries:
+                if not entry.is_dir():
+                    try:
+                        yield top, entry.name, entry.stat().st_size, entry.stat().st_mtime_ns
+                    except FileNotFoundError:  # a link to nothing
+                        continue
+                elif "=" in entry.name and not entry.name.startswith("."):
+                    yield top, None, 1, 0
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        root, folder, name, length, modified = zip(*rows)
+        columns = [root, folder, pa.array(name, pa.string()), pa.array([x and QUOTED.sub(lambda m: quote(m[0], safe=""), x) for x in name], pa.string())]
+        columns += [pa.array(length, pa.int64()), pa.array(modified, pa.timestamp("us", "UTC"))]
+        return pa.RecordBatch.from_pydict(dict(zip(("root", "folder", "filename", "quoted", "length", "modificationTime"), columns)))
+
+    for batch in batches:
+        for root in batch.column("root").to_pylist():
+            rows = []
+            for folder, name, size, modified in inside(root):
+                n = name or ""
+                hidden = n.startswith(".") or (n.startswith("_") and "=" not in n) or n.endswith("._COPYING_")
+                if size == 0 or (hidden and not n.startswith(("_metadata", "_common_metadata"))):
+                    continue
+                rows.append((root, folder, name, size, modified // 1_000_000 * 1000))
+                if len(rows) == FILES_PER_TASK:
+                    yield batch_of(rows)
+                    rows = []
+            if rows:
+                yield batch_of(rows)
+
+
+def list_files(spark: SparkSession, path: str, suffixes: list[str] | None = None) -> DataFrame | None:
+    """``(root, folder, filename, quoted, length, modificationTime)`` of the files of ``path``, written once.
+
+    ``root`` is what the pattern names, a folder or a file; ``quoted`` is the name as in a URI. Tasks
+    list the folders, each folder in one of them; the driver holds the roots alone. None where the
+    pattern names nothing, too many roots, folders with ``key=value`` folders or another file system:
+    the engine's readers must list there.
+    """
+    roots = _matches(spark, path)
+    if not roots:
+        return None
+    tasks = min(len(roots), 8 * spark.sparkContext.defaultParallelism)
+    dealt = spark.createDataFrame([(r,) for r in roots], "root string").repartition(tasks)
+    found = dealt.mapInArrow(_list, "root string, folder string, filename string, quoted string, length bigint, modificationTime timestamp")
+    if suffixes:
+        found = found.filter(F.col("filename").isNull() | _ends("filename", suffixes))
+    files = settle(found, "files")
+    return files if files.filter("filename is null").isEmpty() else None
+
+
+def with_contents(files: DataFrame) -> DataFrame:
+    """Rows of ``list_files`` with the bytes as ``content``, read by tasks of ``FILES_PER_TASK`` files."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, held, size = 0, [], 0
+            for at, (folder, name) in enumerate(zip(batch.column("folder").to_pylist(), batch.column("filename").to_pylist()), 1):
+                with open(f"{folder}/{name}", "rb") as f:
+                    held.append(f.read())
+                size += len(held[-1])
+                if size >= 1 << 24 or at == batch.num_rows:  # large files leave in small batches
+                    rows = batch.slice(start, at - start)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(held, pa.binary())], [*batch.schema.names, "content"])
+                    start, held, size = at, [], 0
+
+    schema = ", ".join(f"{c} {kind}" for c, kind in files.dtypes)
+    dealt = files.repartition(max(1, math.ceil(files.count() / FILES_PER_TASK)))
+    return dealt.mapInArrow(read, f"{schema}, content binary")
+
+
+def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, value)``: each file as one text. Folders with packed files are left to the engine's reader."""
+    files = list_files(spark, path)
+    if files is None or not files.filter(_ends("filename", PACKED_SUFFIXES)).isEmpty():
+        return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    return with_contents(files).select(F.col("quoted").alias("file"), F.col("content").cast("string").alias("value"))
+
+
 def list_images(spark: SparkSession, folder: str, with_content: bool = False) -> DataFrame:
     """Image files of a folder, sorted by name; bytes are read only on request.
 
@@ -213,21 +325,21 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_examples(spark: SparkSession, images: str, prompts: str) -> DataFrame:
-    """Few-shot prompts: every other line of the text file beside each example image, by name."""
-    files = (
-        spark.read.text(prompts, wholetext=True)
-        .select(_stem(F.col("_metadata.file_name")).alias("image_id"), "value")
-    )
+    """Few-shot prompts: every other line of the text file beside each example image, by name.
+
+    The rows are written once, as sorting reads its input twice. The names of the images are merged,
+    as the size of their listing tells little of their number.
+    """
+    files = read_whole_texts(spark, prompts).select(_stem(F.col("file")).alias("image_id"), "value")
     lines = F.split(F.regexp_replace("value", r"\n$", ""), "\n")
     kept = F.transform(F.filter(lines, lambda s, i: i % 2 == 0), X.strip)
-    shown = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.{png,jpg,jpeg}")
-        .load(images)
-        .select(F.element_at(F.split("path", "/"), -1).alias("filename"))
-        .withColumn("image_id", _stem(F.col("filename")))
-    )
-    return files.join(shown, "image_id").select("filename", kept.alias("prompt_lines")).orderBy("filename")
+    found = list_files(spark, images, EXAMPLE_SUFFIXES)
+    if found is None:
+        raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg}").load(images)
+        found = raw.select(F.element_at(F.split("path", "/"), -1).alias("filename"))
+    shown = found.select("filename", _stem(F.col("filename")).alias("image_id"))
+    rows = files.join(shown.hint("merge"), "image_id").select("filename", kept.alias("prompt_lines"))
+    return settle(rows, "examples").orderBy("filename")
 
 
 RECORD_TEXTS = [

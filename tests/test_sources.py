@@ -8,6 +8,7 @@ import json
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameReader
 
 from kerbline.operators import conversations as C
 from kerbline.operators import goals as GO
@@ -274,3 +275,22 @@ def test_a_listing_is_written_before_it_is_sorted(spark, tmp_path):
     assert "parquet" in plan and "binaryFile" not in plan
     assert [r.filename for r in listed.collect()] == sorted(f"{i}.png" for i in range(70))
     assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
+
+
+def folders_of(tmp_path, files):
+    """Three folders of equal files below one, and the pattern that names them."""
+    for k in range(3):
+        write(tmp_path / "many" / str(k), {name.format(k): content for name, content in files.items()})
+    return str(tmp_path / "many") + "/*"
+
+
+
+
+
+def test_examples_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    images = folders_of(tmp_path / "i", {"a{}.png": b"1", "b{}.JPG": b"1"})
+    texts = folders_of(tmp_path / "t", {"a{}.txt": "q\nskip\n r \n", "b{}.txt": "no"})
+    monkeypatch.setattr(DataFrameReader, "format", lambda self, kind: pytest.fail(kind))
+    monkeypatch.setattr(DataFrameReader, "text", lambda *a, **k: pytest.fail("text"))
+    rows = RD.read_examples(spark, images, texts).collect()
+    assert [(r.filename, r.prompt_lines) for r in rows] == [(f"a{k}.png", ["q", "r"]) for k in range(3)]
