@@ -232,10 +232,9 @@ def read_goal_record(spark: SparkSession, path: str) -> DataFrame:
 
 def read_goal_text(spark: SparkSession, path: str) -> DataFrame:
     """First line ``cx cy`` in pixels: ``(image_id, px, py)``."""
-    raw = spark.read.text(path, wholetext=True)
     parts = F.split(X.first_line("value"), " ")
-    return raw.select(
-        _stem(F.col("_metadata.file_name")).alias("image_id"),
+    return read_whole_texts(spark, path).select(
+        _stem(F.col("file")).alias("image_id"),
         X.strip(parts[0]).try_cast("double").alias("px"),
         X.strip(F.get(parts, F.lit(1))).try_cast("double").alias("py"),
     )

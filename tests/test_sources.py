@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
 
@@ -285,6 +286,19 @@ def folders_of(tmp_path, files):
 
 
 
+def test_goal_texts_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    path = folders_of(tmp_path, {"p {}.txt": "1 2\nx", "q{}.txt": " 3\n", "e{}.txt": "", "_h{}.txt": "5 6"})
+    monkeypatch.setattr(DataFrameReader, "text", lambda *a, **k: pytest.fail("text"))
+    got = sorted((r.image_id, r.px, r.py) for r in RD.read_goal_text(spark, path).collect())
+    assert got == [(f"p%20{k}", 1.0, 2.0) for k in range(3)] + [(f"q{k}", None, 3.0) for k in range(3)]
+
+
+def test_packed_texts_and_key_folders_are_left_to_the_engine(spark, tmp_path):
+    packed = write(tmp_path / "z", {"a.txt.gz": gzip.compress(b"1 2"), "b.txt": "3 4"})
+    assert sorted((r.image_id, r.px) for r in RD.read_goal_text(spark, packed).collect()) == [("a.txt", 1.0), ("b", 3.0)]
+    write(tmp_path / "keys" / "day=1", {"a.png": b"1"})
+    write(tmp_path / "keys" / "day=2", {"b.png": b"22"})
+    assert [(r.filename, r.length) for r in RD.list_images(spark, str(tmp_path / "keys")).collect()] == [("a.png", 1), ("b.png", 2)]
 
 
 def test_examples_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
