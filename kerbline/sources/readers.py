@@ -11,6 +11,7 @@ import math
 import os
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import quote
 
 import numpy as np
@@ -37,6 +38,20 @@ def _stem(name):
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
+@contextmanager
+def _many_a_task(spark: SparkSession):
+    """Plans made inside read some thousand small files a task, not 32; the driver forgets the files of earlier ones."""
+    inside = {"spark.sql.files.openCostInBytes": "64k", "spark.sql.hive.manageFilesourcePartitions": "false"}
+    before = {name: spark.conf.get(name) for name in inside}
+    try:
+        for name, value in inside.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def _ends(name: str, suffixes: list[str]):
     return F.col(name).rlike(f"({'|'.join(map(re.escape, suffixes))})\\z")
 
@@ -141,20 +156,19 @@ def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
 def list_images(spark: SparkSession, folder: str, with_content: bool = False) -> DataFrame:
     """Image files of a folder, sorted by name; bytes are read only on request.
 
-    Without the bytes the listing is written once, as sorting reads its input twice, and a task takes
-    some thousand files: they are not opened, so there is no cost of opening to count for them.
+    Without the bytes the listing is written once, as sorting reads its input twice.
     """
+    files = list_files(spark, folder, IMAGE_SUFFIXES)
+    kept = [_stem(F.col("filename")).alias("image_id"), "filename", "path", "length", "modificationTime", *(["content"] if with_content else [])]
+    if files is not None:
+        files = with_contents(files) if with_content else files
+        return files.withColumn("path", F.concat(F.lit("file:"), "folder", F.lit("/"), "filename")).select(*kept).orderBy("filename")
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,JPG}").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    cols = [_stem(name).alias("image_id"), name.alias("filename"), "path", "length", "modificationTime"]
+    named = raw.withColumn("filename", F.element_at(F.split("path", "/"), -1)).select(*kept)
     if with_content:
-        return raw.select(*cols, "content").orderBy("filename")
-    before = spark.conf.get("spark.sql.files.openCostInBytes")
-    spark.conf.set("spark.sql.files.openCostInBytes", "64k")
-    try:
-        return settle(raw.select(*cols), "images").orderBy("filename")
-    finally:
-        spark.conf.set("spark.sql.files.openCostInBytes", before)
+        return named.orderBy("filename")
+    with _many_a_task(spark):  # the files are not opened
+        return settle(named, "images").orderBy("filename")
 
 
 def unique_images(images: DataFrame) -> DataFrame:

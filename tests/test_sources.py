@@ -285,6 +285,16 @@ def folders_of(tmp_path, files):
     return str(tmp_path / "many") + "/*"
 
 
+def test_image_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Neither the listing nor the bytes go through a reader whose files the driver holds."""
+    path = folders_of(tmp_path, {"b{}.png": b"x", "a{}.jpeg": b"yy", ".h{}.png": b"z", "e{}.png": b"", "n{}.txt": b"n"})
+    monkeypatch.setattr(DataFrameReader, "format", lambda self, kind: pytest.fail(kind))
+    want = [(f"a{k}.jpeg", 2) for k in range(3)] + [(f"b{k}.png", 1) for k in range(3)]
+    assert [(r.filename, r.length) for r in RD.list_images(spark, path).collect()] == want
+    rows = RD.list_images(spark, path, with_content=True).collect()
+    assert [(r.image_id, bytes(r.content)) for r in rows] == [(f"a{k}", b"yy") for k in range(3)] + [(f"b{k}", b"x") for k in range(3)]
+    assert rows[0].path == f"file:{path[:-1]}0/a0.jpeg"
+
 
 def test_goal_texts_are_read_by_tasks(spark, tmp_path, monkeypatch):
     path = folders_of(tmp_path, {"p {}.txt": "1 2\nx", "q{}.txt": " 3\n", "e{}.txt": "", "_h{}.txt": "5 6"})
