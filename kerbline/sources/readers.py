@@ -19,17 +19,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import geometry as G
 from ..functions import text as X
 from ..operators import boxes as B
 from ..operators.benchmarks import last_per_key
-from ..session import settle
+from ..session import scratch_path, settle
 from .writers import FILES_PER_TASK
 
 IMAGE_SUFFIXES = [".png", ".jpg", ".jpeg", ".JPG"]  # fixed values, case counts
 EXAMPLE_SUFFIXES = [".png", ".jpg", ".jpeg"]
 PACKED_SUFFIXES = [".gz", ".bz2", ".deflate", ".snappy", ".lz4", ".zst"]  # the engine's text reader unpacks these
+FILES_AT_ONCE = 32_000  # files of one plan; the driver holds them all
 QUOTED = re.compile(r"[^A-Za-z0-9_\-!.~'()*,;:$&+=@\u00a0-\U0010ffff]|\s")  # in the file names of the engine's readers
 MOST_MATCHES = 20_000  # most folders and files named by a pattern that are dealt to tasks
 
@@ -153,6 +155,44 @@ def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return with_contents(files).select(F.col("quoted").alias("file"), F.col("content").cast("string").alias("value"))
 
 
+def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
+    """``file`` and the columns of ``schema`` for every ``row_tag`` element, written once.
+
+    The driver holds the files of a plan, so the folders are read one group after the other, each of
+    ``FILES_AT_ONCE`` files or one folder.
+    """
+
+    kind = StructType.fromDDL(schema)
+
+    def load(paths: str | list[str]) -> DataFrame:
+        raw = spark.read.format("xml").option("rowTag", row_tag).schema(kind).load(paths)
+        return raw.select(F.col("_metadata.file_name").alias("file"), *kind.names)
+
+    files = list_files(spark, path)
+    groups = [] if files is None else file_groups(files)
+    if not groups:
+        return load(path)
+    out = scratch_path(spark, "xml")
+    with _many_a_task(spark):
+        for roots in groups:
+            names = [re.sub(r"([][{}*?\\])", r"\\\1", root) for root in roots]  # a name is no pattern
+            load([f"file:{name}" for name in names]).write.mode("append").parquet(out)
+    return spark.read.schema(StructType([StructField("file", StringType()), *kind.fields])).parquet(out)
+
+
+def file_groups(files: DataFrame) -> list[list[str]]:
+    """The roots of ``list_files`` rows in groups of ``FILES_AT_ONCE`` files; a larger root is a group."""
+    groups: list[list[str]] = []
+    held = FILES_AT_ONCE
+    for root, n in sorted(files.groupBy("root").count().collect()):
+        if held + n > FILES_AT_ONCE:
+            groups.append([])
+            held = 0
+        groups[-1].append(root)
+        held += n
+    return groups
+
+
 def list_images(spark: SparkSession, folder: str, with_content: bool = False) -> DataFrame:
     """Image files of a folder, sorted by name; bytes are read only on request.
 
@@ -208,14 +248,9 @@ def read_detections(
 
 
 def read_goal_xml(spark: SparkSession, path: str, row_tag: str = "annotation") -> DataFrame:
-    raw = (
-        spark.read.format("xml")
-        .option("rowTag", row_tag)
-        .schema("goal_position struct<x:double,y:double>")
-        .load(path)
-    )
+    raw = read_xml(spark, path, row_tag, "goal_position struct<x:double,y:double>")
     return raw.select(
-        _stem(F.col("_metadata.file_name")).alias("image_id"),
+        _stem(F.col("file")).alias("image_id"),
         F.lit("point").alias("label"),
         F.col("goal_position.x").alias("cx"),
         F.col("goal_position.y").alias("cy"),

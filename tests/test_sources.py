@@ -318,3 +318,15 @@ def test_examples_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(DataFrameReader, "text", lambda *a, **k: pytest.fail("text"))
     rows = RD.read_examples(spark, images, texts).collect()
     assert [(r.filename, r.prompt_lines) for r in rows] == [(f"a{k}.png", ["q", "r"]) for k in range(3)]
+
+
+def test_goal_xml_is_read_some_files_at_a_time(spark, tmp_path, monkeypatch):
+    goal = "<annotation><goal_position><x>0.25</x><y>{}</y></goal_position></annotation>"
+    path = folders_of(tmp_path, {"a{}.xml": goal.format(1), "b{}.xml": f"<r>{goal.format(2)}{goal.format(3)}</r>", "c{}.xml": "<annotation/>"})
+    (tmp_path / "many" / "0").rename(tmp_path / "many" / "[0]{x}")
+    asked, load = [], DataFrameReader.load
+    monkeypatch.setattr(RD, "FILES_AT_ONCE", 6)
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, path=None, *a, **k: (asked.append(path), load(self, path, *a, **k))[1])
+    got = sorted((r.image_id, r.cy) for r in RD.read_goal_xml(spark, path).collect())
+    assert got == [(f"a{k}", 1.0) for k in range(3)] + [(f"b{k}", y) for k in range(3) for y in (2.0, 3.0)]
+    assert sorted(map(len, asked)) == [1, 2]
