@@ -184,8 +184,8 @@ def record_files(spark, sf):
     folder = scratch_path(spark, "record-files")
     rows = _documents(spark, sf).select(F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("filename"), F.col("text").alias("dest_desc"), F.col("lang").alias("recommend"))
     WR.write_record_files(rows, folder, nested=True)
-    raw = spark.read.format("xml").option("rowTag", "Annotation").schema("filename string, dest_desc string, recommend string").load(f"{folder}/*")
-    return raw.select("filename", F.coalesce("dest_desc", F.lit("")).alias("dest_desc"), "recommend", F.col("_metadata.file_name").alias("file"))
+    raw = RD.read_xml(spark, f"{folder}/*", "Annotation", "filename string, dest_desc string, recommend string")
+    return raw.select("filename", F.coalesce("dest_desc", F.lit("")).alias("dest_desc"), "recommend", "file")
 
 
 @query(

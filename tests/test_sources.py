@@ -14,6 +14,7 @@ from pyspark.sql.readwriter import DataFrameReader
 from kerbline.operators import conversations as C
 from kerbline.operators import goals as GO
 from kerbline.operators import records as RC
+from kerbline.plans import QUERIES
 from kerbline.sources import readers as RD
 from kerbline.sources import writers as WR
 from kerbline.streaming import logs as L
@@ -330,3 +331,16 @@ def test_goal_xml_is_read_some_files_at_a_time(spark, tmp_path, monkeypatch):
     got = sorted((r.image_id, r.cy) for r in RD.read_goal_xml(spark, path).collect())
     assert got == [(f"a{k}", 1.0) for k in range(3)] + [(f"b{k}", y) for k in range(3) for y in (2.0, 3.0)]
     assert sorted(map(len, asked)) == [1, 2]
+
+
+def test_record_files_are_read_some_files_at_a_time(spark, tmp_path, monkeypatch):
+    """Many files a task, and no plan over all files."""
+    monkeypatch.setattr(RD, "FILES_AT_ONCE", 100)
+    monkeypatch.setattr(WR, "FILES_PER_TASK", 40)
+    docs = spark.createDataFrame([(i, f" text {i} ", "en") for i in range(300)], "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    asked, load = [], DataFrameReader.load
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, path=None, *a, **k: (asked.append(path), load(self, path, *a, **k))[1])
+    rows = QUERIES["record_files"](spark, str(tmp_path)).collect()
+    assert sorted((r.filename, r.dest_desc, r.recommend, r.file) for r in rows) == sorted((f"{i}.jpg", f"text {i}", "en", f"{i}.xml") for i in range(300))
+    assert len(asked) > 2 and sum(map(len, asked)) == 8
